@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, packing, quality_rules, suffix_dedup, token_counts, url_filter
+from . import decontaminate, html_extract, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_filter
 
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -38,6 +38,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), ngram_join.Params(words=3, percent=90))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extraction": op2_html_extraction,
         "op5_decontamination": op5_decontamination,
         "op6_packing": op6_packing,
+        "op7_ngram_join": op7_ngram_join,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_url_filter": op10_url_filter,
