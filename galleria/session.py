@@ -57,6 +57,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Spark's own switch to remove an execution's shuffle files when it has ended; here, when its table is written.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written once to the shared folder, so that lost executors need not repeat what made them."""
 
@@ -68,15 +72,26 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> str:
         self.n += 1
         path = f"{self.base}/{self.n:02d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        try:
+            if before is not None:
+                self.spark.conf.set(_CLEANUP, "true")
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            if before is not None:
+                self.spark.conf.set(_CLEANUP, before)
         return path
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         schema = df.schema
-        return self.spark.read.schema(schema).parquet(self.write(df, name))
-
-    def drop(self, path: str) -> None:
-        with contextlib.suppress(Exception):
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        path = self.write(df, name)
+        out = self.spark.read.schema(schema).parquet(path)
+        out._galleria_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this scratch folder that nothing reads any more."""
+        for t in tables:
+            with contextlib.suppress(AttributeError):
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(t._galleria_path)
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
