@@ -91,9 +91,21 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="content").assign(width=width, height=height, status=status, truncated=cut)
 
 
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files without content, which the binaryFile source passes over: (path, length, content)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files, found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        if f.getLen() == 0:
+            found.append((f.getPath().toString(), 0, b""))
+    return spark.createDataFrame(found, "path string, length long, content binary")
+
+
 def scan_dataset(spark: SparkSession, root: str, keep_truncated: bool = False, tiny_below: int = 8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, subjects, problems) of a folder tree; digests and lengths are computed by Spark, sizes from file headers."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "content")
+    files = files.filter("length > 0").unionByName(empty_files(spark, root))
     named = parse_paths(files, root).filter("shown")
     is_image = F.col("ext").isin(*EXTENSIONS)
     rows = named.filter(is_image).select("image_id", "subject", "orig_split", F.col("length").alias("file_bytes"), F.when(F.col("length") > 0, F.md5("content")).otherwise("").alias("md5"), "content")
