@@ -5,8 +5,8 @@ each host (`source`) and line hash the distinct documents are counted; lines abo
 of which too little is left is rejected.
 
 Copies are not evidence of boilerplate. Documents are counted by text, so exact copies count once. Near copies are told
-apart by a sketch of a document's lines (the smallest line hash): a line is over the limit only where more than
-`max_docs_per_host` texts hold it and those texts have more than half as many sketches as there are texts. Otherwise
+apart by a sketch of what else they hold (the smallest hash of their other lines): a line is over the limit only where
+more than `max_docs_per_host` texts hold it and those texts have more than half as many sketches as there are texts. Otherwise
 one group of near copies would strip itself, and nothing of it would be left for a later stage to keep one of.
 
 Scale: one Arrow pass over the texts writes a row per document (counts, line hashes) as a scratch table; lines are
@@ -101,6 +101,21 @@ def line_hashes(lines: list[bytes]) -> np.ndarray:
     return K.Rolling(buf, (0,)).ranges(offs[:-1], offs[1:])
 
 
+def other_line(lines: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """For each line of a text the smallest hash of the text's other lines (0: there is none)."""
+    out = np.zeros(len(lines), np.uint64)
+    doc = np.repeat(np.arange(len(per)), per)
+    order = np.lexsort((lines, doc))
+    at = np.cumsum(per) - per
+    has, two = per > 0, per > 1
+    least, second = np.zeros(len(per), np.uint64), np.zeros(len(per), np.uint64)
+    least[has] = lines[order[at[has]]]
+    second[two] = lines[order[at[two] + 1]]
+    more = two[doc]
+    out[more] = np.where(lines[more] == least[doc[more]], second[doc[more]], least[doc[more]])
+    return out
+
+
 def _scan(rules: Rules):
     def make():
         def fn(batch: pa.RecordBatch):
@@ -119,16 +134,13 @@ def _scan(rules: Rules):
                     words += lw
                     per[d] = len(ln)
                 lines = line_hashes(names)
-                ends = np.cumsum(per)
-                sketch = np.zeros(j - i, np.uint64)
-                has = per > 0
-                if has.any():
-                    sketch[has] = np.minimum.reduceat(lines, (ends - per)[has])
+                other = other_line(lines, per)
                 t1, t2 = text_hashes(b, o)
                 yield [
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), t1, t2, w.counts,
-                    sums[o[1:]] - sums[o[:-1]], syms[o[1:]] - syms[o[:-1]], dups, repeat, sketch,
+                    sums[o[1:]] - sums[o[:-1]], syms[o[1:]] - syms[o[:-1]], dups, repeat,
                     K.list_column(K.signed(lines), per, pa.int64()), K.list_column(np.array(words, np.int64), per, pa.int64()),
+                    K.list_column(K.signed(other), per, pa.int64()),
                 ]
 
         return fn
@@ -138,12 +150,12 @@ def _scan(rules: Rules):
 
 _SCAN = (
     "id {id}, host string, t1 long, t2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, sketch long, line array<long>, line_words array<long>"
+    "n_repeat_words long, line array<long>, line_words array<long>, other array<long>"
 )
 
 
 def scan(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document: counts, text hash, line sketch and the hashes of its distinct normalised lines."""
+    """One row per document: counts, text hash and the hashes of its distinct normalised lines."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(rows, _scan(rules), _SCAN.format(id=kind))
@@ -151,7 +163,7 @@ def scan(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str =
 
 def flagged_lines(scanned: DataFrame, rules: Rules) -> DataFrame:
     """(host, line) of lines that more documents of a host hold than the limit allows."""
-    each = scanned.select("host", "t1", "t2", "sketch", F.explode("line").alias("line"))
+    each = scanned.select("host", "t1", "t2", F.explode(F.arrays_zip("line", "other")).alias("x")).select("host", "t1", "t2", F.col("x.line").alias("line"), F.col("x.other").alias("sketch"))
     texts = each.groupBy("host", "line", "sketch", "t1", "t2").agg(F.lit(1).alias("one"))
     sketches = texts.groupBy("host", "line", "sketch").agg(F.count("*").alias("texts"))
     counted = sketches.groupBy("host", "line").agg(F.sum("texts").alias("texts"), F.count("*").alias("sketches"))
@@ -177,7 +189,7 @@ def judge(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", t
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.keep(scan(docs, rules, id_col, text_col, host_col), "lines")
     marks = verdicts(scanned, rules).select(F.col("host").alias("mh"), F.col("t1").alias("m1"), F.col("t2").alias("m2"), "flagged_words", "flagged")
-    flat = scanned.drop("line", "line_words", "sketch")
+    flat = scanned.drop("line", "line_words", "other")
     rows = flat.join(marks, (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")) & F.col("host").eqNullSafe(F.col("mh")), "left").drop("mh", "m1", "m2")
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     left = F.col("n_words") - F.coalesce("flagged_words", F.lit(0))
