@@ -247,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None, id_col: str
     worth = np.where(ok, np.log((1 - false_share) / false_share) * np.sqrt(t + 1) + 1e9 * built_in, -1)
     best = np.lexsort((h, -worth))[: min(p.features, int(ok.sum()))]
     if not len(best):  # nothing to learn from: the built-in lexicon alone
-        return Model(Features.of(lex, np.zeros(len(lex), bool)), np.full(len(lex), 4.0), -4.0, p)
+        return Model(Features.of(lex, np.zeros(len(lex), bool)), np.full(len(lex), 8.0), -4.0, p)
     known = Features.of(h[best], dense[best])
     rows = map_arrow(sample, _votes(known, p), "y int, f array<int>").toArrow()
     y = rows["y"].to_numpy().astype(np.float64)
