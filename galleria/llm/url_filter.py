@@ -6,9 +6,9 @@ host and all its subdomains are one interval of keys, and intervals of two rules
 stack of rules whose intervals are open there. Among them the longest rule (host and path; then by host) whose path the
 URL's path starts with decides.
 
-Scale: the URLs are not sorted as one table. They are dealt evenly to `chunks` sorted runs by a hash of id and URL salted
-with the partition, and the rules' events, whose number is bounded by the rule table, are in every run; so a host that a
-third of all rows share makes no run larger, and each run is one streaming merge.
+Scale: the URLs are not sorted as one table. They are dealt evenly to `chunks` sorted runs by a hash of their place
+in the input, and the rules' events are in every run; so a host that a third of all rows share makes no run larger,
+and each run is one streaming merge. A rule table of more than RULES_PER_RUN rules is first dealt by top-level label.
 
 Defined results: null URL or one without "://" has an empty host and path, which no rule fits; ties in host and path keep
 the rule that blocks; repeated rows are judged each; extra columns pass by; an empty table gives an empty result.
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Most rules that are dealt to every sorted run; a larger table is swept in turns of this size.
-MAX_RULES = 100_000
+#: Rules that are dealt to every sorted run; a larger table is dealt by top-level label, so each run gets about as many.
+RULES_PER_RUN = 100_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -54,10 +54,11 @@ def _stacks(rules: DataFrame) -> DataFrame:
         up.filter(F.col("up") != F.col("key")).join(hosts.select(F.col("key").alias("up"), "own"), "up")
         .groupBy("key").agg(F.flatten(F.collect_list("own")).alias("open"))
     )
-    starts = full.select("key", F.lit(1).alias("kind"), F.length("key").alias("depth"), "open")
+    label = F.substring_index("key", ".", 1).alias("tld")
+    starts = full.select(label, "key", F.lit(1).alias("kind"), F.length("key").alias("depth"), "open")
     # An interval ends before the first key that doesn't start with its own: the closing "." becomes "/", the next sign.
     ends = hosts.join(parents, "key", "left").select(
-        F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")).alias("key"), F.lit(0).alias("kind"), (-F.length("key")).alias("depth"),
+        label, F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")).alias("key"), F.lit(0).alias("kind"), (-F.length("key")).alias("depth"),
         F.coalesce("open", F.slice("own", 1, 0)).alias("open"),
     )
     return starts.unionByName(ends.select(*starts.columns))
@@ -66,15 +67,18 @@ def _stacks(rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", chunks: int | None = None) -> DataFrame:
     """id, host, path, rule, verdict per row of pages. rules: rule, host, path and verdict (allow or block)."""
     spark = pages.sparkSession
-    if rules.count() > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: split them by top-level domain and judge in turns")
     chunks = chunks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     host, path = split_url(F.col(url_col).cast("string"))
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     # Rows are dealt in turn: monotonically_increasing_id counts rows of an input partition, whose files and order are fixed.
-    chunk = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
-    probes = rows.select(chunk.alias("chunk"), host_key(F.col("host")).alias("key"), F.lit(2).alias("kind"), F.lit(0).alias("depth"), id_col, "host", "path")
-    events = _stacks(rules).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    parts = max(1, min(chunks, rules.count() // RULES_PER_RUN))
+    salts = -(-chunks // parts)
+    part = F.pmod(F.xxhash64("tld"), F.lit(parts)) * salts
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))
+    rows = rows.withColumn("salt", salt).withColumn("key", host_key(F.col("host"))).withColumn("tld", F.substring_index("key", ".", 1))
+    probes = rows.select((part + F.col("salt")).cast("int").alias("chunk"), "key", F.lit(2).alias("kind"), F.lit(0).alias("depth"), id_col, "host", "path")
+    events = _stacks(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    events = events.withColumn("chunk", (part + F.col("salt")).cast("int")).drop("tld", "salt")
     both = probes.unionByName(events, allowMissingColumns=True)
     sweep = Window.partitionBy("chunk").orderBy("key", "kind", "depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = both.withColumn("open", F.last("open", ignorenulls=True).over(sweep)).filter(F.col("kind") == 2)

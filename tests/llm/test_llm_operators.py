@@ -225,6 +225,12 @@ def test_url_filter(spark):
 
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, url_filter.rule_table(spark, rules), chunks=3).collect()}
     assert got == {k: judge(u) for k, u in enumerate(urls)}
+    url_filter.RULES_PER_RUN, before = 2, url_filter.RULES_PER_RUN
+    try:
+        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, url_filter.rule_table(spark, rules), chunks=5).collect()}
+    finally:
+        url_filter.RULES_PER_RUN = before
+    assert got == {k: judge(u) for k, u in enumerate(urls)}
 
 
 def test_license_scan(spark, docs):
