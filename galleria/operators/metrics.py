@@ -85,14 +85,13 @@ def roc_auc(rows: DataFrame) -> DataFrame:
 
     Rows are aggregated by score first; running counts go over score ranges in two levels, so no task holds all scores."""
     s = rows.groupBy("p").agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b"))
-    below = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    s = running(s, "p", {"b": "less"}, below)
+    s = running(s, "p", {"b": "less"})
     u = F.sum(F.col("a") * (F.col("less") + F.col("b") / 2.0))
     n1, n0 = F.sum("a"), F.sum("b")
     return s.agg(F.when((n1 > 0) & (n0 > 0), pct(u / (n1 * n0))).alias("auc"))
 
 
-def running(rows: DataFrame, order: str, sums: dict[str, str], _frame=None, buckets: int = 64) -> DataFrame:
+def running(rows: DataFrame, order: str, sums: dict[str, str], buckets: int = 64) -> DataFrame:
     """Sums of the rows before each (by an ordered double column), in two levels: ranges by quantiles, then inside each.
 
     Range bounds come from approximate quantiles; sums are exact whatever they are."""
