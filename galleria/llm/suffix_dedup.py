@@ -11,7 +11,8 @@
    symbol runs long enough for a `length`-byte run are repeated. An exact check of the bytes around those, at each byte
    offset, decides.
 4. Anchors with more than `max_contexts` different contexts (a passage in a great share of all documents) would not fit a
-   block. Their runs are counted one by one, by a 128-bit hash in a distributed aggregation, which is exact as well.
+   block. Their runs are counted by 128-bit hashes in distributed aggregations, which is exact as well: bands of
+   neighbouring runs first, and single runs where contexts of a band differ.
 5. Spans return to the texts that hold the contexts, are merged and cut out.
 
 Scale: nothing here is grouped by document, source or text in one task; anchors whose hash is seen once are dropped by a
@@ -47,6 +48,7 @@ class Params:
     symbol: int = 25
     max_contexts: int = 1000  #: of one anchor in a block
     block_contexts: int = 4000  #: in a block
+    band: int = 50  #: neighbouring run starts that are counted together
 
     @property
     def reach(self) -> int:
@@ -240,8 +242,6 @@ def _by_suffix_array(p: Params):
             for batch in batches:
                 cols = [c.to_pylist() for c in batch.columns]
                 for row in zip(*cols, strict=True):
-                    if rows and row[:3] == rows[-1][:3]:
-                        continue  # of a repeated row
                     if len(rows) >= p.block_contexts and row[0] != rows[-1][0]:
                         got = solve(rows)
                         rows.clear()
@@ -275,22 +275,63 @@ def _sorted_map(df: DataFrame, make, ddl: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def _bands(o: np.ndarray, left: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, band, first and last distance from run start to anchor) of each band of runs that a context has."""
+    right = np.diff(o) - left
+    n = p.reach // p.band + 1
+    ctx, band = np.repeat(np.arange(len(left)), n), np.tile(np.arange(n), len(left))
+    first = np.maximum(band * p.band, p.length - right[ctx])
+    last = np.minimum(np.minimum(band * p.band + p.band - 1, p.reach), left[ctx])
+    ok = first <= last
+    return ctx[ok], band[ok], first[ok], last[ok]
+
+
+def _band_rows(p: Params):
+    """Of each context and band: a hash of the bytes that all runs of the band have, and of all bytes that its runs reach."""
+
+    def make():
+        def fn(batch: pa.RecordBatch):
+            buf, offs = K.text_buffers(batch.column(5))
+            left = batch.column(4).to_numpy().astype(np.int64)
+            for i, j, b, o in K.blocks(buf, offs):
+                ctx, band, first, last = _bands(o, left[i:j], p)
+                roll = K.Rolling(b)
+                anchor = o[ctx] + left[i:j][ctx]
+                lo, hi = anchor - band * p.band, anchor - np.minimum(band * p.band + p.band - 1, p.reach) + p.length
+                flo, fhi = anchor - last, anchor - first + p.length
+                shape = K.mix((first * 4096 + last).astype(np.uint64))
+                rows, take = batch.slice(i, j - i), pa.array(ctx)
+                yield [rows.column(0).take(take), band.astype(np.int32), roll.ranges(lo, hi, 0), roll.ranges(lo, hi, 1)] + [
+                    roll.ranges(flo, fhi, 0) ^ shape, roll.ranges(flo, fhi, 1), rows.column(1).take(take), rows.column(2).take(take), rows.column(3).take(take),
+                    (-last).astype(np.int32), (p.length - first).astype(np.int32),
+                ]
+
+        return fn
+
+    return make, "ah long, band int, k1 long, k2 long, f1 long, f2 long, c1 long, c2 long, n long, lo int, hi int"
+
+
 def _runs(p: Params):
-    """Every run of a context: (ah, c1, c2, n, lo, w1, w2)."""
+    """Every run of the wanted bands of a context: (ah, c1, c2, n, lo, w1, w2), n being the band's occurrences."""
 
     def make():
         def fn(batch: pa.RecordBatch):
             buf, offs = K.text_buffers(batch.column(5))
-            left = batch.column(4).to_numpy()
-            for i, j, b, o in K.blocks(buf, offs, K.BLOCK // 8):
-                per = np.maximum(np.diff(o) - p.length + 1, 0)
-                ctx = np.repeat(np.arange(j - i), per)
-                s = o[ctx] + np.arange(len(ctx)) - np.repeat(np.cumsum(per) - per, per)
+            left, wanted = batch.column(4).to_numpy().astype(np.int64), [dict(x) for x in batch.column(6).to_pylist()]
+            for i, j, b, o in K.blocks(buf, offs):
+                ctx, band, first, last = _bands(o, left[i:j], p)
+                times = np.array([wanted[i + c].get(k, 0) for c, k in zip(ctx.tolist(), band.tolist(), strict=True)], np.int64)
+                ok = times > 0
+                ctx, first, last, times = ctx[ok], first[ok], last[ok], times[ok]
+                per = last - first + 1
+                row = np.repeat(np.arange(len(ctx)), per)
+                dist = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+                c = ctx[row]
+                s = o[c] + left[i:j][c] - dist
                 roll = K.Rolling(b)
-                rows = batch.slice(i, j - i)
-                take = pa.array(ctx)
-                yield [rows.column(k).take(take) for k in range(4)] + [
-                    (s - o[ctx] - left[i:j][ctx]).astype(np.int32), roll.ranges(s, s + p.length, 0), roll.ranges(s, s + p.length, 1)
+                rows, take = batch.slice(i, j - i), pa.array(c)
+                yield [rows.column(k).take(take) for k in range(3)] + [
+                    times[row], (-dist).astype(np.int32), roll.ranges(s, s + p.length, 0), roll.ranges(s, s + p.length, 1)
                 ]
 
         return fn
@@ -298,6 +339,29 @@ def _runs(p: Params):
     return make, "ah long, c1 long, c2 long, n long, lo int, w1 long, w2 long"
 
 
+def by_counting(contexts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
+    """(ah, c1, c2, spans) of contexts that occur once, by counts of runs. contexts: ah, c1, c2, n, l, body.
+
+    Runs are taken in bands of neighbouring starts. Contexts that agree in all bytes that a band reaches are one row, which
+    settles the inside of a passage; single runs are counted only of bands whose common bytes differ around them."""
+    bands = scratch.keep(map_arrow(contexts, *_band_rows(p)), "bands")
+    full = bands.groupBy("ah", "band", "k1", "k2", "f1", "f2").agg(F.sum("n").alias("n"), F.min(F.struct("c1", "c2")).alias("rep"))
+    full = scratch.keep(full, "bands")
+    keys = full.groupBy("ah", "band", "k1", "k2").agg(F.count("*").alias("d")).filter("d > 1").toDF("kah", "kband", "kk1", "kk2", "d")
+    on = (F.col("ah") == F.col("kah")) & (F.col("band") == F.col("kband")) & (F.col("k1") == F.col("kk1")) & (F.col("k2") == F.col("kk2"))
+    differ = full.join(keys, on, "left_semi").groupBy("ah", "rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "n"))).alias("bands"))
+    differ = differ.select(F.col("ah").alias("rah"), F.col("rep.c1").alias("r1"), F.col("rep.c2").alias("r2"), "bands")
+    look = contexts.join(differ, (F.col("ah") == F.col("rah")) & (F.col("c1") == F.col("r1")) & (F.col("c2") == F.col("r2"))).drop("rah", "r1", "r2")
+    runs = map_arrow(look, *_runs(p))
+    same = runs.groupBy("ah", "lo", "w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").toDF("vah", "vlo", "v1", "v2", "k")
+    on = (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")) & (F.col("ah") == F.col("vah")) & (F.col("lo") == F.col("vlo"))
+    single = runs.filter("n = 1").join(same, on, "left_semi").select("ah", "c1", "c2", "lo", (F.col("lo") + p.length).alias("hi"))
+    often = full.filter("n > 1").select(F.col("ah").alias("wah"), F.col("band").alias("wband"), F.col("f1").alias("w1"), F.col("f2").alias("w2"))
+    on = (F.col("ah") == F.col("wah")) & (F.col("band") == F.col("wband")) & (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2"))
+    whole = bands.filter("n = 1").join(often, on, "left_semi").select("ah", "c1", "c2", "lo", "hi")
+    return single.unionByName(whole).groupBy("ah", "c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+
+
 def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """(t1, t2, spans): by text hash, the byte spans to remove (not merged)."""
     spark = docs.sparkSession
@@ -321,18 +385,15 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     holders = spark.sparkContext.broadcast(Bitmap(wanted, "t1"))
     texts = map_arrow(rows, _texts(holders, kind, True), f"id {kind}, text string, t1 long, t2 long")
     on = [F.col("a.t1") == F.col("b.t1"), F.col("a.t2") == F.col("b.t2"), F.col("a.id").eqNullSafe(F.col("b.id"))]
-    fetched = texts.alias("a").join(wanted.alias("b"), on[0] & on[1] & on[2]).select("a.text", "b.wanted", "b.t1", "b.t2", "b.id")
+    fetched = texts.alias("a").join(wanted.alias("b"), on[0] & on[1] & on[2]).select("b.t1", "b.t2", "b.id", "a.text", "b.wanted")
+    fetched = fetched.dropDuplicates(["t1", "t2", "id"])  # of repeated rows, one
     split = lambda hot: F.filter("wanted", lambda x: (x["m"] > p.max_contexts) == F.lit(hot))
     make, ddl = _contexts(p)
     pick = lambda hot: map_arrow(fetched.select("text", split(hot).alias("w")).filter(F.size("w") > 0), make, ddl)
 
     usual = pick(False).repartition(F.col("ah")).sortWithinPartitions("ah", "c1", "c2")
     found = _sorted_map(usual, _by_suffix_array(p), _SPANS)
-    runs_make, runs_ddl = _runs(p)
-    runs = map_arrow(pick(True), runs_make, runs_ddl).distinct()  # of a repeated row: once
-    same = runs.groupBy("ah", "lo", "w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").toDF("vah", "vlo", "v1", "v2", "k")
-    hot = runs.filter("n = 1").join(same, (F.col("w1") == F.col("v1")) & (F.col("w2") == F.col("v2")) & (F.col("ah") == F.col("vah")) & (F.col("lo") == F.col("vlo")), "left_semi")
-    hot = hot.groupBy("ah", "c1", "c2").agg(F.collect_list(F.struct(F.col("lo"), (F.col("lo") + p.length).alias("hi"))).alias("spans"))
+    hot = by_counting(scratch.keep(pick(True), "hot"), p, scratch)
     whole = contexts.filter("n > 1").select("ah", "c1", "c2", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
     marked = scratch.keep(found.unionByName(hot).unionByName(whole), "marked").toDF("mah", "m1", "m2", "spans")
 
