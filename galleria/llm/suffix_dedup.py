@@ -46,8 +46,8 @@ class Params:
     length: int = 400
     gram: int = 100
     symbol: int = 25
-    max_contexts: int = 1000  #: of one anchor in a block
-    block_contexts: int = 4000  #: in a block
+    max_contexts: int = 500  #: of one anchor in a block
+    block_contexts: int = 1000  #: in a block, but for the last anchor's
     band: int = 50  #: neighbouring run starts that are counted together
 
     @property
