@@ -74,6 +74,10 @@ def text_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return roll.ranges(offs[:-1], offs[1:], 0), roll.ranges(offs[:-1], offs[1:], 1)
 
 
+#: Brings the high bits of a key (of a numbered row: its partition) into its place in a bitmap.
+SPREAD = 2654435761
+
+
 class Bitmap:
     """A one-hash Bloom filter of fixed size: what it lets through is checked by an exact join after it.
 
@@ -82,9 +86,10 @@ class Bitmap:
     """
 
     def __init__(self, keys: DataFrame, column: str, bits: int = 1 << 24):
-        h = F.pmod(F.col(column), F.lit(bits))
+        mixed = F.col(column).bitwiseXOR(F.shiftright(column, 33) * F.lit(SPREAD))
         rows = (
-            keys.select(F.shiftright(h, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))").alias("b"))
+            keys.select(F.pmod(mixed, F.lit(bits)).alias("h"))
+            .select(F.shiftright("h", 6).cast("int").alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("b"))
             .groupBy("w")
             .agg(F.bit_or("b").alias("b"))
         )
@@ -94,5 +99,6 @@ class Bitmap:
 
     def may_hold(self, keys: np.ndarray) -> np.ndarray:
         """Of signed 64-bit keys, those that may be in the set."""
-        at = np.mod(keys.view(np.int64), np.int64(self.bits))
+        keys = keys.view(np.int64)
+        at = np.mod(keys ^ ((keys >> 33) * SPREAD), np.int64(self.bits))
         return (self.words[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1

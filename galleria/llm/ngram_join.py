@@ -3,19 +3,20 @@
 
 1. Sets. A document's shingles are 64-bit hashes; documents with equal sets are one class (128-bit hash of the set), so
    copies are never compared.
-2. First prefixes. Under any one order of shingles, two similar sets share a shingle among the first
-   n - ceil(t n) + 1 of each. With hash order these prefixes are counted; classes none of whose prefix shingles stands in
-   another class have no partner and are out. The counts also say which shingles are frequent.
-3. Token-combination prefixes. The classes left are ordered by (frequency class, hash), rare shingles first. Sets of at
-   most `pair_size` shingles extend the prefix by one: similar ones share at least two shingles in it, so it is enough to
-   index rare shingles singly and frequent ones in pairs. Larger sets index their prefix singly; sets near the border do
-   both, so no pair of sizes is missed. A frequent shingle reaches a large set's prefix only if nine tenths of the set are
-   at least as frequent.
-4. Verification in rounds. Index entries with two or more classes are buckets. In a round each bucket compares its members
+2. Frequencies. The first n - ceil(t n) + 1 shingles of every document by hash are counted: an even sample of each
+   document's shingles, over all documents. Shingles that it holds often are frequent, by powers of two.
+3. Token-combination prefixes. Shingles are ordered by (frequency class, hash), rare ones first. Two similar sets of n and
+   more shingles differ in at most D = (1 - t) / t * n shingles. In their merged order a run of k shared shingles without a
+   strange one between starts, so, within the first k D + 2 k - 1 shingles of both. It is enough to index each k
+   neighbouring shingles of the prefix extended to that length as one combination. Rare shingles fill the prefixes of
+   large sets: k = 2. Frequent ones reach the prefixes of sets of at most `pair_size` shingles, which use k = 3, and sets
+   too small for that use single shingles. Sets whose partners may use another k index by both, so nothing is missed.
+   (Single rare shingles for all sets were tried first: seven of ten documents then had a candidate.)
+4. Verification in rounds. Index entries with two or more classes are buckets; only sets in a bucket are read again and kept. In a round each bucket compares its members
    with one pivot, links are verified on whole sets, and components are merged; members already in one component are never
    compared again, and a tested pivot leaves its bucket. So a bucket of thousands of near copies costs a few comparisons
-   per member and not all pairs. Once few pairs across components are left (at most `blast` times the number of sets),
-   they are verified at once; until then the rounds go on. Nothing is dropped, capped or sampled.
+   per member and not all pairs. After two rounds each bucket takes `pivots` pivots a round, until no bucket has members of
+   two components. Nothing is dropped, capped or sampled.
 
 The frequency table is broadcast: at most `max_frequent` entries, the threshold being raised to keep that; any table gives
 an exact order and result. Bitmaps are of fixed size (see common.Bitmap).
@@ -28,10 +29,11 @@ ignored; an empty table gives an empty result. Shingles are compared as 64-bit h
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleria.operators.graph import connected_components
@@ -48,8 +50,8 @@ class Params:
     pair_size: int = 128
     max_frequent: int = 1 << 18
     frequent_from: int = 8  #: prefix occurrences that make a shingle frequent, at least
-    blast: int = 8
-    max_rounds_before_blast: int = 2
+    single_pivot_rounds: int = 2
+    pivots: int = 64  #: of a bucket in each later round
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +73,9 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def set_hashes(toks: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set (sums of mixed shingles)."""
-    sums1 = np.concatenate([[0], np.cumsum(K.mix(toks ^ np.uint64(0xA5A5A5A55A5A5A5A)), dtype=np.uint64)]).astype(np.uint64)
-    sums2 = np.concatenate([[0], np.cumsum(K.mix(toks * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)]).astype(np.uint64)
+    sums1, sums2 = np.zeros(len(toks) + 1, np.uint64), np.zeros(len(toks) + 1, np.uint64)
+    np.cumsum(K.mix(toks ^ np.uint64(0xA5A5A5A55A5A5A5A)), out=sums1[1:])
+    np.cumsum(K.mix(toks * np.uint64(0x9E3779B97F4A7C15)), out=sums2[1:])
     ends = np.cumsum(n)
     return K.mix(sums1[ends] - sums1[ends - n] + n.astype(np.uint64)), K.mix(sums2[ends] - sums2[ends - n])
 
@@ -87,19 +90,19 @@ def _firsts(values: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
     return values[np.repeat(base - (np.cumsum(p) - p), p) + np.arange(int(p.sum()))]
 
 
-def _scan(p: Params, kind: str):
+def _prefixes(p: Params):
+    """The hash-order prefix of each text."""
+
     def make():
         def fn(batch: pa.RecordBatch):
-            buf, offs = K.text_buffers(batch.column(1))
-            for i, j, b, o in K.blocks(buf, offs):
+            buf, offs = K.text_buffers(batch.column(0))
+            for _, _, b, o in K.blocks(buf, offs):
                 toks, n = shingle_sets(b, o, p.words)
-                k1, k2 = set_hashes(toks, n)
-                pre = prefix_sizes(n, p.percent)
-                yield [batch.column(0).slice(i, j - i), n, k1, k2, K.list_column(K.signed(_firsts(toks, n, pre)), pre, pa.int64())]
+                yield [_firsts(toks, n, prefix_sizes(n, p.percent))]
 
         return fn
 
-    return make, f"id {kind}, n long, k1 long, k2 long, pre array<long>"
+    return make, "tok long"
 
 
 @dataclass
@@ -133,54 +136,103 @@ def frequent_table(counted: DataFrame, p: Params) -> Frequent:
     return Frequent(toks[order], got["power"].to_numpy().astype(np.int64)[order])
 
 
+def differ_most(n: int, percent: int) -> int:
+    """Shingles in one of two sets only, at most, if one of them has n."""
+    return (100 - percent) * n // percent
+
+
+def combination(n: int, p: Params) -> int:
+    """Shingles in a combination for sets of n: the largest k whose prefix the set can fill."""
+    d = differ_most(n, p.percent)
+    for k in (3, 2) if n <= p.pair_size else (2,):
+        if k * d + 2 * k - 1 <= n:
+            return k
+    return 1
+
+
+@lru_cache(maxsize=100_000)
+def combinations_of(n: int, p: Params) -> tuple[int, ...]:
+    """The combination sizes of all sets that may be similar to one of n."""
+    lo, hi = -(-p.percent * n // 100), 100 * n // p.percent
+    if lo > p.pair_size and p.percent >= 75:
+        return (2,)
+    return tuple(sorted({combination(m, p) for m in range(lo, hi + 1)}))
+
+
 def index_keys(toks: np.ndarray, classes: np.ndarray, p: Params) -> np.ndarray:
-    """Index entries of one set: hashes of single shingles and of pairs."""
+    """Index entries of one set: hashes of combinations of neighbouring shingles in the prefix."""
     n = len(toks)
-    need = -(-p.percent * n // 100)
-    order = np.lexsort((toks, classes))
-    first = n - need + 1
-    singles = toks[order[:first]]
-    if n > p.pair_size or need < 2:
-        return K.mix(singles)
-    ext = order[: min(n, first + 1)]
-    t, often = toks[ext], classes[ext] > 0
-    rare, freq = t[~often], t[often]
-    out = [rare]
-    if len(freq) > 1:
-        a, b = np.triu_indices(len(freq), 1)
-        pairs = K.mix(freq[a]) + np.uint64(3) * K.mix(freq[b])
-        out.append(pairs ^ np.uint64(0x1234567))
-    if n * 100 >= p.pair_size * p.percent:  # a larger set may be similar: it indexes single shingles only
-        out.append(singles)
-    return np.unique(K.mix(np.concatenate(out)))
-
-
-def _sets(p: Params, keep, frequent):
-    """Sets and index entries of rows that represent a class still in question. Rows: (hash of id, text)."""
+    d = differ_most(n, p.percent)
+    if d == 0:
+        return toks[:0]  # only equal sets are similar, and those are one class
+    ordered = K.mix(toks[np.lexsort((toks, classes))])
+    out = []
+    for k in combinations_of(n, p):
+        first = ordered[: min(n, k * d + 2 * k - 1 if k > 1 else d + 1)]
+        if len(first) >= k:
+            out.append(K.ngrams(first, k, family=1))
+    return np.unique(np.concatenate(out)) if out else toks[:0]
+
+
+def _scan(p: Params, kind: str, frequent):
+    """Of each text: size and hash of its set, and its index entries."""
 
     def make():
-        bits, freq = keep.value, frequent.value
+        freq = frequent.value
 
         def fn(batch: pa.RecordBatch):
             buf, offs = K.text_buffers(batch.column(1))
-            ids = batch.column(0).to_numpy()
             for i, j, b, o in K.blocks(buf, offs):
                 toks, n = shingle_sets(b, o, p.words)
                 k1, k2 = set_hashes(toks, n)
-                pick = np.flatnonzero(bits.may_hold(ids[i:j] ^ K.signed(k1)) & (n > 0))
-                if not len(pick):
-                    continue
+                classes = freq.of(toks)
                 ends = np.cumsum(n)
-                sets = [toks[ends[d] - n[d] : ends[d]] for d in pick]
-                keys = [index_keys(s, freq.of(s), p) for s in sets]
-                yield [
-                    k1[pick], k2[pick], n[pick], K.list_column(K.signed(np.concatenate(sets)), n[pick], pa.int64()),
-                    K.list_column(K.signed(np.concatenate(keys)), np.array([len(x) for x in keys]), pa.int64()),
-                ]
+                keys = [index_keys(toks[e - m : e], classes[e - m : e], p) if m else toks[:0] for e, m in zip(ends.tolist(), n.tolist(), strict=True)]
+                yield [batch.column(0).slice(i, j - i), n, k1, k2, K.list_column(K.signed(np.concatenate(keys)), np.array([len(x) for x in keys]), pa.int64())]
+
+        return fn
+
+    return make, f"id {kind}, n long, k1 long, k2 long, ikeys array<long>"
+
+
+def _met(bitmap):
+    """Index entries that may be in a bucket, of rows (n, k1, k2, ikeys)."""
+
+    def make():
+        bits = bitmap.value
+
+        def fn(batch: pa.RecordBatch):
+            col = batch.column(3)
+            keys, offs = col.flatten().to_numpy(), col.offsets.to_numpy()
+            hit = np.flatnonzero(bits.may_hold(keys))
+            row = pa.array(np.searchsorted(offs - offs[0], hit, "right") - 1)
+            if len(hit):
+                yield [keys[hit], *(batch.column(k).take(row) for k in range(3))]
 
         return fn
 
-    return make, "k1 long, k2 long, n long, toks array<long>, ikeys array<long>"
+    return make, "ikey long, n long, k1 long, k2 long"
+
+
+def _sets(p: Params, keep):
+    """Sets of rows that represent a class still in question. Rows: (hash of id, text)."""
+
+    def make():
+        bits = keep.value
+
+        def fn(batch: pa.RecordBatch):
+            buf, offs = K.text_buffers(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for i, j, b, o in K.blocks(buf, offs):
+                toks, n = shingle_sets(b, o, p.words)
+                k1, k2 = set_hashes(toks, n)
+                pick = bits.may_hold(ids[i:j] ^ K.signed(k1)) & (n > 0)
+                if pick.any():
+                    yield [k1[pick], k2[pick], n[pick], K.list_column(K.signed(toks[np.repeat(pick, n)]), n[pick], pa.int64())]
+
+        return fn
+
+    return make, "k1 long, k2 long, n long, toks array<long>"
 
 
 def _similar(p: Params):
@@ -188,14 +240,31 @@ def _similar(p: Params):
     return common * 100 >= (F.col("na") + F.col("nb") - common) * p.percent
 
 
+def _needed(bitmap):
+    def make():
+        bits = bitmap.value
+
+        def fn(batch: pa.RecordBatch):
+            rows = batch.filter(pa.array(bits.may_hold(batch.column(0).to_numpy())))
+            if rows.num_rows:
+                yield rows.columns
+
+        return fn
+
+    return make
+
+
 def verify(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+    """The pairs (a, b) whose sets are similar. Only sets of the pairs are shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    bits = sets.sparkSession.sparkContext.broadcast(Bitmap(ends, "cid"))
+    sets = map_arrow(sets, _needed(bits), sets.schema)
     a = sets.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     b = sets.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     return pairs.join(b, "b").join(a, "a").filter(_similar(p)).select("a", "b")
 
 
-def link_components(buckets: DataFrame, sets: DataFrame, n_sets: int, p: Params, scratch: Scratch) -> DataFrame:
+def link_components(buckets: DataFrame, sets: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     """(cid, label) for sets with a link. buckets: (ikey, cid, n)."""
     fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * p.percent)
     spark = sets.sparkSession
@@ -206,23 +275,16 @@ def link_components(buckets: DataFrame, sets: DataFrame, n_sets: int, p: Params,
     while True:
         b = open_.join(labels.withColumnRenamed("cid", "lc"), F.col("cid") == F.col("lc"), "left").select("ikey", "cid", "n", F.coalesce("label", "cid").alias("c"))
         b = scratch.keep(b, "members")
-        state = b.groupBy("ikey").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("s"), F.min(F.struct(F.xxhash64("cid", F.lit(rounds)).alias("h"), "cid", "c", "n")).alias("pv"))
-        mixed = scratch.keep(state.filter("c0 < c1"), "mixed")
-        if mixed.isEmpty():
+        mixed = b.groupBy("ikey").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("ikey")
+        members = scratch.keep(b.join(mixed, "ikey").withColumn("h", F.xxhash64("cid", F.lit(rounds))), "mixed")
+        scratch.drop(b)
+        if members.isEmpty():
             break
-        members = b.join(mixed.select("ikey", "s", "pv"), "ikey")
-        blast = False
-        if rounds >= p.max_rounds_before_blast:
-            per = members.groupBy("ikey", "c").agg(F.count("*").alias("m")).groupBy("ikey").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-            left = per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-            blast = left <= p.blast * n_sets + 10_000
-        if blast:
-            x, y = members.select("ikey", F.col("cid").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")), members.select("ikey", F.col("cid").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-            pairs = x.join(y, "ikey").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb"))).select("a", "b")
-        else:
-            pairs = members.filter((F.col("cid") != F.col("pv.cid")) & (F.col("c") != F.col("pv.c")) & fits(F.col("n"), F.col("pv.n")))
-            pairs = pairs.select(F.least("pv.cid", "cid").alias("a"), F.greatest("pv.cid", "cid").alias("b"))
-        pairs = pairs.distinct()
+        first = Window.partitionBy("ikey").orderBy("h", "cid")
+        pivots = members.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= (1 if rounds < p.single_pivot_rounds else p.pivots))
+        pivots = scratch.keep(pivots.select(F.col("ikey").alias("pk"), F.col("cid").alias("pc"), F.col("c").alias("pl"), F.col("n").alias("pn")), "pivots")
+        pairs = members.join(pivots, F.col("ikey") == F.col("pk")).filter((F.col("c") != F.col("pl")) & fits(F.col("n"), F.col("pn")))
+        pairs = pairs.select(F.least("pc", "cid").alias("a"), F.greatest("pc", "cid").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.keep(pairs, "pairs")
@@ -231,9 +293,7 @@ def link_components(buckets: DataFrame, sets: DataFrame, n_sets: int, p: Params,
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             labels = connected_components(links, "a", "b", scratch).toDF("cid", "label")
-        if blast:
-            break
-        open_ = members.filter(F.col("cid") != F.col("pv.cid")).select("ikey", "cid", "n")
+        open_ = members.join(pivots, (F.col("ikey") == F.col("pk")) & (F.col("cid") == F.col("pc")), "left_anti").select("ikey", "cid", "n")
         rounds += 1
     return labels
 
@@ -245,45 +305,39 @@ def join(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_
     sc, scratch = spark.sparkContext, Scratch(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    scanned = scratch.keep(map_arrow(rows, *_scan(p, kind)), "prefixes")
-    classes = scanned.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("pre").alias("pre"))
-    classes = scratch.keep(classes, "classes")
-    counted = classes.select(F.explode("pre").alias("tok")).groupBy("tok").agg(F.count("*").alias("k")).filter("k > 1")
-    counted = scratch.keep(counted, "counts")
-    shared = sc.broadcast(Bitmap(counted, "tok", 1 << 26))
-    frequent = sc.broadcast(frequent_table(counted, p))
-
-    def questioned():
-        bits = shared.value
-
-        def fn(batch: pa.RecordBatch):
-            col = batch.column(3)
-            toks, offs = col.flatten().to_numpy(), col.offsets.to_numpy()
-            hit = np.concatenate([[0], np.cumsum(bits.may_hold(toks))])
-            offs = offs - offs[0]
-            rows = batch.filter(pa.array(hit[offs[1:]] > hit[offs[:-1]]))
-            if rows.num_rows:
-                yield rows.columns[:3]
-
-        return fn
-
-    asked = map_arrow(classes, questioned, f"k1 long, k2 long, rep {kind}").withColumn("key", F.xxhash64("rep").bitwiseXOR(F.col("k1")))
+    counted = map_arrow(rows.select("text"), *_prefixes(p)).groupBy("tok").agg(F.count("*").alias("k")).filter(F.col("k") >= p.frequent_from)
+    frequent = sc.broadcast(frequent_table(scratch.keep(counted, "frequent"), p))
+    scanned = scratch.keep(map_arrow(rows, *_scan(p, kind, frequent)), "entries")
+    classes = scratch.keep(scanned.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
+
+    # Buckets: entries that two different sets have.
+    met = scanned.select(F.explode("ikeys").alias("ikey"), "k1").groupBy("ikey").agg(F.min("k1").alias("x"), F.max("k1").alias("y")).filter("x < y")
+    met = scratch.keep(met.select("ikey"), "met")
+    shared = sc.broadcast(Bitmap(met, "ikey", 1 << 26))
+    entries = map_arrow(scanned.select("n", "k1", "k2", "ikeys"), *_met(shared)).distinct()
+    entries = scratch.keep(entries.join(met.withColumnRenamed("ikey", "mk"), F.col("ikey") == F.col("mk"), "left_semi"), "members")
+    slim = scratch.keep(scanned.select("id", "n", "k1", "k2"), "documents")
+    scratch.drop(scanned, met)  # the index entries of all documents are needed no more
+    asked = entries.select(F.col("k1").alias("a1"), F.col("k2").alias("a2")).distinct()
+    asked = classes.join(asked, (F.col("k1") == F.col("a1")) & (F.col("k2") == F.col("a2")), "left_semi").withColumn("key", F.xxhash64("rep").bitwiseXOR(F.col("k1")))
     keep = sc.broadcast(Bitmap(asked, "key"))
-    sets = map_arrow(rows.select(F.xxhash64("id"), "text"), *_sets(p, keep, frequent))
-    sets = sets.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("toks").alias("toks"), F.first("ikeys").alias("ikeys"))
+    sets = map_arrow(rows.select(F.xxhash64("id"), "text"), *_sets(p, keep))
+    sets = sets.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("toks").alias("toks"))
     sets = scratch.keep(sets.withColumn("cid", F.monotonically_increasing_id()), "sets")
 
-    entries = sets.select(F.explode("ikeys").alias("ikey"), "cid", "n")
-    sizes = entries.groupBy("ikey").agg(F.count("*").alias("s"), F.sum(F.xxhash64("cid").cast("decimal(20,0)")).alias("sig")).filter("s > 1")
+    numbered = sets.select("cid", F.col("k1").alias("s1"), F.col("k2").alias("s2"))
+    members = scratch.keep(entries.join(numbered, (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))).select("ikey", "cid", "n"), "numbered")
+    scratch.drop(entries)
+    sizes = members.groupBy("ikey").agg(F.count("*").alias("s"), F.bit_xor(F.xxhash64("cid")).alias("sig")).filter("s > 1")
     alike = sizes.groupBy("s", "sig").agg(F.min("ikey").alias("bk"))  # buckets of the same members: one of them
-    buckets = scratch.keep(entries.join(alike.select("bk"), F.col("ikey") == F.col("bk"), "left_semi"), "buckets")
-    labels = link_components(buckets, sets.select("cid", "n", "toks"), sets.count(), p, scratch)
+    buckets = scratch.keep(members.join(alike.select("bk"), F.col("ikey") == F.col("bk"), "left_semi"), "buckets")
+    labels = link_components(buckets, sets.select("cid", "n", "toks"), p, scratch)
 
     named = sets.select("cid", "k1", "k2").join(labels, "cid").join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
     least = named.groupBy("label").agg(F.min("rep").alias("component"))
     far = named.join(least, "label").select(F.col("k1").alias("f1"), F.col("k2").alias("f2"), "component")
     each = classes.select("k1", "k2", "rep").join(far, (F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2")), "left").select(F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.coalesce("component", "rep").alias("component"))
-    out = scanned.select("id", "n", "k1", "k2").join(scratch.keep(each, "named"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & (F.col("n") > 0), "left")
+    out = slim.join(scratch.keep(each, "named"), (F.col("k1") == F.col("m1")) & (F.col("k2") == F.col("m2")) & (F.col("n") > 0), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
