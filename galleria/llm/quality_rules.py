@@ -4,14 +4,19 @@ Method: every line is normalised (ASCII lower case, digit runs as one 0, white s
 each host (`source`) and line hash the distinct documents are counted; lines above the limit are removed, and a document
 of which too little is left is rejected.
 
-Copies are not evidence of boilerplate. Documents are counted by text, so exact copies count once. Near copies are told
-apart by a sketch of what else they hold (the smallest hash of their other lines): a line is over the limit only where
-more than `max_docs_per_host` texts hold it and those texts have more than half as many sketches as there are texts. Otherwise
-one group of near copies would strip itself, and nothing of it would be left for a later stage to keep one of.
+Copies are not evidence of boilerplate. Documents are counted by text, so exact copies count once, and near copies count
+once as well: a line is over the limit where the texts of a host that hold it are of more than `max_docs_per_host` classes.
+Otherwise one group of near copies would strip itself, and nothing of it would be left for a later stage to keep one of.
+Lines that no more than the limit's number of texts hold are the rest of a text; each has a sketch (its smallest hashes of
+three words in a row). A line of the rest is new if hardly any of its sketch is in the rest of another text of the host.
+* A text whose new lines have at least 5 % of its words is a class of its own, whatever else it shares.
+* Else, where the rest has at least half of its words, its class is the smallest hash that it shares with another rest.
+* Else its class is its least common line. Near copies agree in it, but for those few in which just that line is edited.
 
 Scale: one Arrow pass over the texts writes a row per document (counts, line hashes) as a scratch table; lines are
 aggregated map-side by (host, line, text) and then by (host, line), so that a line or host which a third of all rows
-hold is a single partial row per task. Flagged lines return by a sort-merge join which AQE may split.
+hold is a single partial row per task. Lines over the limit return by a sort-merge join which AQE may split. Only texts
+that hold such a line are given classes, by sums over their lines and over the hashes of their sketches.
 
 Defined results: null text = no words, failed base rules, not kept; null source is a host of its own; repeated rows get
 equal verdicts; extra columns are ignored; an empty table gives an empty result.
@@ -44,6 +49,8 @@ class Rules:
     max_repeat_percent: int = 20
     max_docs_per_host: int = 20  #: distinct texts of one host that may hold a line
     min_left_percent: int = 20  #: words that must be left when flagged lines are gone
+    sketch: int = 5  #: hashes of a line
+    min_new_percent: int = 5  #: words in new lines that make a text a class of its own
 
 
 def _repeat_words(h: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
@@ -101,19 +108,26 @@ def line_hashes(lines: list[bytes]) -> np.ndarray:
     return K.Rolling(buf, (0,)).ranges(offs[:-1], offs[1:])
 
 
-def other_line(lines: np.ndarray, per: np.ndarray) -> np.ndarray:
-    """For each line of a text the smallest hash of the text's other lines (0: there is none)."""
-    out = np.zeros(len(lines), np.uint64)
-    doc = np.repeat(np.arange(len(per)), per)
-    order = np.lexsort((lines, doc))
-    at = np.cumsum(per) - per
-    has, two = per > 0, per > 1
-    least, second = np.zeros(len(per), np.uint64), np.zeros(len(per), np.uint64)
-    least[has] = lines[order[at[has]]]
-    second[two] = lines[order[at[two] + 1]]
-    more = two[doc]
-    out[more] = np.where(lines[more] == least[doc[more]], second[doc[more]], least[doc[more]])
-    return out
+def line_sketches(lines: list[bytes], size: int, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(the `size` smallest hashes of k words in a row of each line, or of a shorter line as a whole; how many each has)."""
+    if not lines:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    offs = np.zeros(len(lines) + 1, np.int64)
+    np.cumsum([len(x) for x in lines], out=offs[1:])
+    buf = np.frombuffer(b"".join(lines), np.uint8)
+    w = K.Words(buf, offs, K.NOT_SPACE)
+    at, of = K.gram_rows(w.first, w.counts, k)
+    short = np.flatnonzero(w.counts < k)
+    h = np.concatenate([K.ngrams(w.hashes(), k)[at], K.Rolling(buf, (0,)).ranges(offs[short], offs[short + 1])])
+    h, of = K.mix(h), np.concatenate([of, short])
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+    h, of = h[new], of[new]
+    per = np.bincount(of, minlength=len(lines))
+    pick = np.arange(len(h)) - np.repeat(np.cumsum(per) - per, per) < size
+    return h[pick], np.minimum(per, size)
 
 
 def _scan(rules: Rules):
@@ -134,13 +148,13 @@ def _scan(rules: Rules):
                     words += lw
                     per[d] = len(ln)
                 lines = line_hashes(names)
-                other = other_line(lines, per)
+                sketch, many = line_sketches(names, rules.sketch)
                 t1, t2 = text_hashes(b, o)
                 yield [
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), t1, t2, w.counts,
                     sums[o[1:]] - sums[o[:-1]], syms[o[1:]] - syms[o[:-1]], dups, repeat,
                     K.list_column(K.signed(lines), per, pa.int64()), K.list_column(np.array(words, np.int64), per, pa.int64()),
-                    K.list_column(K.signed(other), per, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), K.list_column(K.signed(sketch), many, pa.int64())),
                 ]
 
         return fn
@@ -150,7 +164,7 @@ def _scan(rules: Rules):
 
 _SCAN = (
     "id {id}, host string, t1 long, t2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, line array<long>, line_words array<long>, other array<long>"
+    "n_repeat_words long, line array<long>, line_words array<long>, sketch array<array<long>>"
 )
 
 
@@ -161,26 +175,56 @@ def scan(docs: DataFrame, rules: Rules, id_col: str = "doc_id", text_col: str =
     return map_arrow(rows, _scan(rules), _SCAN.format(id=kind))
 
 
-def flagged_lines(scanned: DataFrame, rules: Rules) -> DataFrame:
-    """(host, line) of lines that more documents of a host hold than the limit allows."""
-    each = scanned.select("host", "t1", "t2", F.explode(F.arrays_zip("line", "other")).alias("x")).select("host", "t1", "t2", F.col("x.line").alias("line"), F.col("x.other").alias("sketch"))
-    texts = each.groupBy("host", "line", "sketch", "t1", "t2").agg(F.lit(1).alias("one"))
-    sketches = texts.groupBy("host", "line", "sketch").agg(F.count("*").alias("texts"))
-    counted = sketches.groupBy("host", "line").agg(F.sum("texts").alias("texts"), F.count("*").alias("sketches"))
-    return counted.filter((F.col("texts") > rules.max_docs_per_host) & (F.col("sketches") * 2 > F.col("texts"))).select("host", "line")
+def _lines(scanned: DataFrame, *columns: str) -> DataFrame:
+    each = scanned.select("host", "t1", "t2", F.explode(F.arrays_zip(*columns)).alias("x"))
+    return each.select("host", "t1", "t2", *[F.col(f"x.{c}").alias(c) for c in columns])
+
+
+def _of_lines(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
+    other = lines.withColumnRenamed("host", "fh").withColumnRenamed("line", "fl")
+    return rows.join(other, (F.col("line") == F.col("fl")) & F.col("host").eqNullSafe(F.col("fh")), how).drop("fh", "fl")
+
+
+#: A host (which may be null) as part of a key.
+HOST_KEY = "xxhash64(host IS NULL, host) AS hk"
+TEXT = ["hk", "t1", "t2"]
 
 
-def verdicts(scanned: DataFrame, rules: Rules) -> DataFrame:
+def common_lines(scanned: DataFrame, rules: Rules) -> DataFrame:
+    """(host, line, texts) of lines that more texts of a host hold than the limit allows."""
+    texts = _lines(scanned, "line").groupBy("host", "line", "t1", "t2").agg(F.lit(1).alias("one"))
+    return texts.groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > rules.max_docs_per_host)
+
+
+def classes(scanned: DataFrame, held: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
+    """The class of each text that holds common lines; held: (host, t1, t2, line, words, texts) of those lines."""
+    marks = held.groupBy(F.expr(HOST_KEY), "t1", "t2").agg(F.collect_list("line").alias("common"), F.sum("words").alias("common_words"), F.min(F.struct("texts", "line")).alias("least"))
+    texts = scanned.select(F.expr(HOST_KEY), "t1", "t2", "line", "line_words", "sketch").dropDuplicates(TEXT)
+    rest = F.filter(F.arrays_zip("line", "line_words", "sketch"), lambda x: ~F.array_contains("common", x["line"]))
+    rows = scratch.keep(texts.join(marks, TEXT).select(*TEXT, "common_words", F.col("least.line").alias("least"), rest.alias("rest")), "rest")
+    parts = rows.select(*TEXT, F.explode("rest").alias("x")).select(*TEXT, F.col("x.line").alias("line"), F.col("x.line_words").alias("words"), F.explode("x.sketch").alias("hash"))
+    seen = parts.groupBy("hk", "hash").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo <> hi")
+    shared = parts.join(seen.select("hk", "hash", F.lit(True).alias("shared")), ["hk", "hash"], "left")
+    lines = shared.groupBy(*TEXT, "line").agg(F.max("words").alias("words"), F.count("*").alias("n"), F.count("shared").alias("n_shared"), F.min(F.when(F.col("shared"), F.col("hash"))).alias("hash"))
+    found = lines.groupBy(*TEXT).agg(F.sum("words").alias("rest_words"), F.sum(F.when(F.col("n_shared") * 5 <= F.col("n"), F.col("words")).otherwise(0)).alias("new_words"), F.min("hash").alias("hash"))
+    is_new = F.col("new_words") * 100 >= (F.col("common_words") + F.col("rest_words")) * rules.min_new_percent
+    kind = F.when(is_new, F.xxhash64("t1", "t2")).when((F.col("rest_words") >= F.col("common_words")) & F.col("hash").isNotNull(), F.col("hash")).otherwise(F.col("least"))
+    return rows.drop("rest").join(found, TEXT, "left").select(*TEXT, kind.alias("class"))
+
+
+def flagged_lines(scanned: DataFrame, held: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
+    """(host, line) of lines whose texts are of more classes than the limit allows."""
+    each = held.select("*", F.expr(HOST_KEY)).join(classes(scanned, held, rules, scratch), TEXT).groupBy("host", "line", "class").agg(F.lit(1).alias("one"))
+    return each.groupBy("host", "line").agg(F.count("*").alias("classes")).filter(F.col("classes") > rules.max_docs_per_host).select("host", "line")
+
+
+def verdicts(scanned: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
     """Per (host, text) that holds flagged lines: their hashes and their words."""
-    flags = flagged_lines(scanned, rules)
-    each = scanned.select("host", "t1", "t2", F.explode(F.arrays_zip("line", "line_words")).alias("x")).select(
-        "host", "t1", "t2", F.col("x.line").alias("line"), F.col("x.line_words").alias("words")
-    )
-    hit = each.join(flags.withColumnRenamed("host", "fh").withColumnRenamed("line", "fl"), (F.col("line") == F.col("fl")) & F.col("host").eqNullSafe(F.col("fh")), "left_semi")
-    return (
-        hit.groupBy("host", "t1", "t2", "line").agg(F.max("words").alias("words"))
-        .groupBy("host", "t1", "t2").agg(F.sum("words").alias("flagged_words"), F.collect_list("line").alias("flagged"))
-    )
+    common = scratch.keep(common_lines(scanned, rules), "common")
+    hit = _of_lines(_lines(scanned, "line", "line_words"), common, "inner")
+    held = scratch.keep(hit.groupBy("host", "t1", "t2", "line").agg(F.max("line_words").alias("words"), F.max("texts").alias("texts")), "held")
+    flags = scratch.keep(flagged_lines(scanned, held, rules, scratch), "flags")
+    return _of_lines(held, flags, "left_semi").groupBy("host", "t1", "t2").agg(F.sum("words").alias("flagged_words"), F.collect_list("line").alias("flagged"))
 
 
 def judge(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -188,8 +232,8 @@ def judge(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", t
     rules = rules or Rules()
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.keep(scan(docs, rules, id_col, text_col, host_col), "lines")
-    marks = verdicts(scanned, rules).select(F.col("host").alias("mh"), F.col("t1").alias("m1"), F.col("t2").alias("m2"), "flagged_words", "flagged")
-    flat = scanned.drop("line", "line_words", "other")
+    marks = verdicts(scanned, rules, scratch).select(F.col("host").alias("mh"), F.col("t1").alias("m1"), F.col("t2").alias("m2"), "flagged_words", "flagged")
+    flat = scanned.drop("line", "line_words", "sketch")
     rows = flat.join(marks, (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")) & F.col("host").eqNullSafe(F.col("mh")), "left").drop("mh", "m1", "m2")
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     left = F.col("n_words") - F.coalesce("flagged_words", F.lit(0))

@@ -205,6 +205,35 @@ def test_boilerplate_lines(spark):
     assert set(out) == {k for k in kept if kept[k]} and line not in out[0] and line in out[300] and out[200] == data[60][1]
 
 
+def test_several_boilerplate_lines(spark):
+    r = random.Random(2)
+    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    data, lines, near = [], {}, {}
+    for shared, own in ((5, 1), (3, 1), (5, 3), (10, 2)):  # different texts that hold the same lines of a host
+        host = f"{shared}+{own}"
+        lines[host] = [prose(12) for _ in range(shared)]
+        for _ in range(60):
+            data.append((len(data), "\n".join([*lines[host], *[prose(12) for _ in range(own)]]), host))
+    line = lines["both"] = [prose(12)]
+    base = [prose(12) for _ in range(9)] + line
+    for k in range(60):  # near copies with edited words, and other texts that share just one of their lines
+        words = [x.split() for x in base]
+        words[k % 9][k % 12] = "edit" + prose(1)
+        near[len(data)] = True
+        data.append((len(data), "\n".join(" ".join(w) for w in words), "both"))
+        data.append((len(data), prose(40) + "\n" + line[0], "both" if k < 30 else "few"))
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = {x["doc_id"]: x["text"] for x in quality_rules.clean(df).collect()}
+    kept = {x["id"]: x["kept"] for x in quality_rules.judge(df).collect()}
+    want, drop = {}, {h: set(x) for h, x in lines.items()} | {"few": set(line)}
+    for k, t, h in data:
+        left = [x for x in t.split("\n") if x not in drop[h]]
+        if sum(len(x.split()) for x in left) * 5 >= len(t.split()):
+            want[k] = "\n".join(left)
+    assert out == want and set(want) == {k for k in kept if kept[k]} and near.keys() <= set(want)
+    assert not any(kept[k] for k, _, h in data if h in ("5+1", "10+2"))
+
+
 def test_url_filter(spark):
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"), ("block", "a.example.net/en/x/")]
     hosts = ["net", "example.net", "WWW.Example.net", "xnet", "a.b.example.com", "com", "q.org", "a.example.net", ".net", "net.", "", "example.net:80"]
