@@ -49,6 +49,7 @@ class Params:
     max_contexts: int = 500  #: of one anchor in a block
     block_contexts: int = 1000  #: in a block, but for the last anchor's
     band: int = 50  #: neighbouring run starts that are counted together
+    min_words: int = 0  #: whole words of a repeated passage that clean() cuts out; shorter ones stay
 
     @property
     def reach(self) -> int:
@@ -214,7 +215,7 @@ def _covers(ctx: np.ndarray, start: np.ndarray, lefts: list[int], length: int) -
     for c, s in zip(ctx[order].tolist(), (start[order]).tolist(), strict=True):
         lo = s - lefts[c]
         spans = out.setdefault(c, [])
-        if spans and lo <= spans[-1][1]:
+        if spans and lo <= spans[-1][1] - length + 1:  # the next start, so of one passage
             spans[-1] = (spans[-1][0], max(spans[-1][1], lo + length))
         else:
             spans.append((lo, lo + length))
@@ -404,16 +405,33 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     return scratch.keep(each.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
 
-def merge(found: list[dict] | None) -> list[tuple[int, int]]:
+def merge(found: list[dict] | None, overlap: int = 0) -> list[tuple[int, int]]:
+    """Spans put together where they have at least `overlap` bytes in common."""
     out: list[list[int]] = []
     for lo, hi in sorted((x["lo"], x["hi"]) for x in found or []):
-        if out and lo <= out[-1][1]:
+        if out and lo <= out[-1][1] - overlap:
             out[-1][1] = max(out[-1][1], hi)
         else:
             out.append([lo, hi])
     return [(a, b) for a, b in out]
 
 
+def whole_words(raw: bytes, a: int, b: int) -> int:
+    """Words that lie in raw[a:b] as a whole."""
+    part = raw[a:b]
+    cut = int(a > 0 and not raw[a - 1 : a].isspace() and not part[:1].isspace())
+    return len(part.split()) - cut - int(b < len(raw) and not part[-1:].isspace() and not raw[b : b + 1].isspace())
+
+
+def passages(raw: bytes, found: list[dict] | None, p: Params) -> list[tuple[int, int]]:
+    """Spans to cut out: merged runs, of passages of at least `min_words` words.
+
+    Runs of one passage start at each byte, so neighbours have all but one byte in common."""
+    if p.min_words:
+        found = [{"lo": a, "hi": b} for a, b in merge(found, p.length - 1) if whole_words(raw, a, b) >= p.min_words]
+    return merge(found)
+
+
 def marked_rows(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
     """docs and gl_spans; only texts that may have spans go through the join."""
     spark = docs.sparkSession
@@ -484,9 +502,11 @@ def clean(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text
             texts, found = batch.column(at).to_pylist(), batch.column(n).to_pylist()
             out = []
             for t, s in zip(texts, found, strict=True):
+                raw = t.encode() if s else b""
+                s = passages(raw, s, p)
                 if s:
-                    raw, parts, last = t.encode(), [], 0
-                    for a, b in merge(s):
+                    parts, last = [], 0
+                    for a, b in s:
                         parts.append(raw[last:a].decode("utf-8", "ignore"))
                         last = b
                     t = "".join([*parts, raw[last:].decode("utf-8", "ignore")])

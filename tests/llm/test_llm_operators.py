@@ -333,3 +333,25 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert all(clean <= set(s) and all(s[k] == texts[k] for k in clean) for s in seen)
     assert set(seen[0]) == set(range(15)) and set(seen[1]) == set(range(12)) | {14}
     assert item not in seen[3][14] and set(df.select("doc_id").distinct().toPandas()["doc_id"]) == set(seen[3])
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passages = {n: prose(n) for n in (30, 49, 51, 53, 57, 60)} | {52: " ".join(r.choice("abcdefghij") for _ in range(52))}
+    texts = [f"{prose(90)} Q{k} {p} {k}Z {prose(90)}" for p in passages.values() for k in range(2)]
+    both = [prose(90) + " Q3. " + passages[30] + " " + passages[49] + " Z3. " + prose(90)]  # neighbours that are too short each
+    rows = [(k, t, "en", "s", len(t)) for k, t in enumerate(texts + both)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        df = stage(spark, df, "")
+    got = {x["doc_id"]: (x["text"], x["n_chars"]) for x in df.collect()}
+    assert set(got) == set(range(len(rows))) and all(n == len(t) for t, n in got.values())
+    for k, n in enumerate(passages):
+        for i in (2 * k, 2 * k + 1):
+            want = texts[i] if n <= 50 else texts[i].replace(passages[n], "")
+            assert "".join(got[i][0].split()) == "".join(want.split()), n
+    assert got[len(texts)][0] == both[0]
