@@ -20,12 +20,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", s
     one = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     both = scratch.keep(one.union(one.select("b", "a")).distinct(), "edges")
     labels = scratch.keep(both.groupBy(F.col("a").alias("vertex")).agg(F.min("b").alias("m")).select("vertex", F.least("vertex", "m").alias("label")), "labels")
+    before = labels
     while True:
         near = both.join(labels.select(F.col("vertex").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, F.col("vertex") == F.col("a")).select("vertex", F.col("label").alias("old"), F.least("label", "m").alias("new"))
         up = step.select(F.col("vertex").alias("v2"), F.col("new").alias("up"))
         after = step.join(up, F.col("new") == F.col("v2"), "left").select("vertex", "old", F.least("new", F.coalesce("up", "new")).alias("label"))
         after = scratch.keep(after, "labels")
-        labels = after.select("vertex", "label")
+        scratch.drop(before)
+        before, labels = after, after.select("vertex", "label")
         if after.filter("old <> label").isEmpty():
+            scratch.drop(both)
             return labels
