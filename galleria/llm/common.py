@@ -49,6 +49,49 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
+def map_sorted(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[list]]], ddl: str | T.StructType) -> DataFrame:
+    """mapInArrow where make() returns a function from all batches of a partition, in order, to lists of columns."""
+    tune(df.sparkSession)
+    schema = schema_of(ddl)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in make()(batches):
+            yield pa.RecordBatch.from_arrays([as_column(c, k) for c, k in zip(cols, arrow.types, strict=True)], names=arrow.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def split_rows(docs: DataFrame, text_col: str, bits, id_col: str | None = None) -> tuple[DataFrame, DataFrame, str, str]:
+    """(rows that may be in a broadcast bitmap, with their 128-bit text hash in two columns; the other rows; those columns).
+
+    The key is the first half of the text hash, XOR a hash of the id if there is one. No row is shuffled."""
+    t1, t2 = fresh(docs, "gl_t1"), fresh(docs, "gl_t2")
+    n, at = len(docs.columns), docs.columns.index(text_col)
+    rows = docs.select("*", F.xxhash64(id_col).alias(fresh(docs, "gl_id"))) if id_col else docs
+
+    def texts(inside: bool) -> DataFrame:
+        def make():
+            known = bits.value
+
+            def fn(batch: pa.RecordBatch):
+                buf, offs = K.text_buffers(batch.column(at))
+                for i, j, block, o in K.blocks(buf, offs):
+                    h1, h2 = text_hashes(block, o)
+                    key = K.signed(h1) ^ batch.column(n).slice(i, j - i).to_numpy() if id_col else h1
+                    pick = known.may_hold(key) == inside
+                    if pick.any():
+                        cols = [batch.column(k).slice(i, j - i).filter(pa.array(pick)) for k in range(n)]
+                        yield [*cols, h1[pick], h2[pick]] if inside else cols
+
+            return fn
+
+        more = [T.StructField(t1, T.LongType()), T.StructField(t2, T.LongType())] if inside else []
+        return map_arrow(rows, make, T.StructType([*docs.schema.fields, *more]))
+
+    return texts(True), texts(False), t1, t2
+
+
 def as_column(c, kind: pa.DataType) -> pa.Array:
     if isinstance(c, pa.ChunkedArray):
         c = c.combine_chunks()

@@ -94,16 +94,37 @@ def test_anchors_cover_every_run(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.sets(st.integers(1, 400), min_size=1, max_size=120), st.integers(0, 12), st.integers(0, 12), st.sampled_from([80, 90]), st.randoms())
-def test_similar_sets_share_an_index_entry(base, drop, add, percent, rnd):
-    p = ngram_join.Params(percent=percent, pair_size=60)
+@given(st.sets(st.integers(1, 400), min_size=1, max_size=120), st.integers(0, 12), st.integers(0, 12), st.sampled_from([80, 90]), st.sampled_from([0, 5, 9]), st.randoms())
+def test_similar_sets_share_an_index_entry(base, drop, add, percent, top, rnd):
+    p = ngram_join.Params(percent=percent)
     a = sorted(base)
     b = sorted((set(a) - set(rnd.sample(a, min(drop, len(a) - 1)))) | {1000 + k for k in range(add)})
     if len(set(a) & set(b)) * 100 < percent * len(set(a) | set(b)) or a == b:
         return
-    classes = lambda x: np.array([v % 3 for v in x], np.int64)
-    ka, kb = (set(ngram_join.index_keys(np.array(x, np.uint64), classes(x), p).tolist()) for x in (a, b))
-    assert ka & kb
+    powers = lambda x: np.array([(0, 6, 10)[v * mult % 7 % 3] for v in x], np.int64)
+    for mult in (0, 1, 3):
+        ka, kb = (set(ngram_join.index_keys(np.array(x, np.uint64), powers(x) if mult < 3 else powers(x) * 0 + top, p).tolist()) for x in (a, b))
+        assert ka & kb
+    assert ngram_join.sketch_distance(*(ngram_join.sketch(np.array(x, np.uint64)) for x in (a, b))) <= len(set(a) ^ set(b))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(1, 12), min_size=1, max_size=10), min_size=1, max_size=12), st.sampled_from([60, 80]))
+def test_solve(sets, percent):
+    """Components of a block whose sets all share a bucket."""
+    n = np.array([len(x) for x in sets], np.int64)
+    k, ones = len(sets), np.ones(len(sets), np.int64)
+    links = ngram_join.solve(n, np.array([t for x in sets for t in sorted(x)]), ones, ones, np.arange(k), ones * 0, percent)
+    assert len(links) < k and all(len(sets[i] & sets[j]) * 100 >= percent * len(sets[i] | sets[j]) for i, j in links)
+
+    def groups(pairs):
+        of = list(range(k))
+        for i, j in pairs:
+            of = [of[i] if x == of[j] else x for x in of]
+        return {frozenset(i for i in range(k) if of[i] == g) for g in set(of)}
+
+    every = [(i, j) for i in range(k) for j in range(i) if len(sets[i] & sets[j]) * 100 >= percent * len(sets[i] | sets[j])]
+    assert groups(links) == groups(every)
 
 
 def test_line_normal_form():

@@ -54,8 +54,11 @@ def multiset(df, *columns):
     return Counter(tuple(r[c] for c in columns) for r in df.collect())
 
 
-@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
-def test_ngram_join(docs, rows, k, percent):
+TIGHT = {"frequent": 1, "very_frequent": 2, "small_bucket": 2, "block_sets": 3, "pivots": 2}
+
+
+@pytest.mark.parametrize("k,percent,params", [(3, 90, {}), (5, 80, {}), (3, 90, TIGHT), (1, 60, TIGHT)])
+def test_ngram_join(docs, rows, k, percent, params):
     def shingles(t):
         w = (t or "").encode().lower().split()
         return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
@@ -73,10 +76,21 @@ def test_ngram_join(docs, rows, k, percent):
         if r[0] is not None:
             ids[g].append(r[0])
     want = Counter((r[0], len(s), r[0] if not s else min(ids[g], default=None)) for r, s, g in zip(rows, sets, group))
-    got = ngram_join.join(docs, ngram_join.Params(words=k, percent=percent))
+    got = ngram_join.join(docs, ngram_join.Params(words=k, percent=percent, **params))
     assert multiset(got, "doc_id", "n_shingles", "component_id") == want
 
 
+def test_keep_one_judges_rows(spark):
+    r = random.Random(5)
+    a, b, c = (" ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(3))
+    near = a.replace(a.split()[30], "edit")
+    rows = [(3, b, "x"), (7, a, "x"), (7, b, "x"), (8, near, "x"), (9, c, "x"), (9, c, "x"), (9, c.upper(), "x"), (None, a, "x"), (5, "", "x"), (6, None, "x"), (5, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gl_mi string").repartition(3)
+    got = Counter((x["doc_id"], x["text"]) for x in ngram_join.keep_one(df).collect())
+    one = next(iter({(9, c), (9, c.upper())} & set(got)))
+    assert got == Counter([(3, b), (7, a), one, (None, a), (5, ""), (5, ""), (6, None)])
+
+
 def removed(rows, n):
     raw = [(r[1] or "").encode() for r in rows]
     c = Counter(x[i : i + n] for x in raw for i in range(len(x) - n + 1))
