@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,8 +17,8 @@ from galleria.session import ship
 
 from . import kernels as K
 
-#: Rows of an Arrow batch: with texts of megabytes a batch of Spark's default 10,000 rows would not fit a Python worker.
-BATCH_ROWS = 1024
+#: Rows and bytes of an Arrow batch at most (a single row may be larger): Spark's own 10,000 rows of texts would not fit a worker.
+BATCH_ROWS, BATCH_BYTES = 1024, 4 << 20
 
 BatchFn = Callable[[pa.RecordBatch], Iterator[dict]]
 
@@ -25,6 +27,14 @@ def tune(spark: SparkSession) -> None:
     ship(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again, and what one operator needed is not the next one's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def schema_of(ddl: str | T.StructType) -> T.StructType:
@@ -45,6 +55,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
                 continue
             for cols in fn(batch):
                 yield pa.RecordBatch.from_arrays([as_column(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -58,6 +69,7 @@ def map_sorted(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols in make()(batches):
             yield pa.RecordBatch.from_arrays([as_column(c, k) for c, k in zip(cols, arrow.types, strict=True)], names=arrow.names)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

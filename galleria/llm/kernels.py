@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one call of a kernel works on; a longer single text is one call of its own.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE1 = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -30,7 +30,7 @@ def powers(family: int, n: int, inverse: bool = False) -> np.ndarray:
         base = BASES[family]
         if inverse:
             base = pow(base, -1, 1 << 64)
-        size = max(n, BLOCK + (1 << 16))
+        size = max(n, BLOCK + (1 << 14))
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)

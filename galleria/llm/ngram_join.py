@@ -228,13 +228,16 @@ def index_keys(toks: np.ndarray, powers: np.ndarray, p: Params) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def _index(p: Params, frequent):
-    """(cid, n, keys, sketch) of sets (cid, n, toks)."""
+def _index(p: Params, frequent, live):
+    """(cid, n, keys) of the sets (cid, n, toks) that may be in a bitmap."""
 
     def make():
-        freq = frequent.value
+        freq, bits = frequent.value, live.value
 
         def fn(batch: pa.RecordBatch):
+            batch = batch.filter(pa.array(bits.may_hold(batch.column(0).to_numpy())))
+            if not batch.num_rows:
+                return
             col = batch.column(2)
             flat, offs = col.flatten().to_numpy().view(np.uint64), col.offsets.to_numpy()
             offs = offs - offs[0]
@@ -468,8 +471,8 @@ def small_bucket_links(held: DataFrame, work: DataFrame, p: Params, scratch: Scr
     return near.join(sets.toDF("a", "na", "ta"), "a").join(sets.toDF("b", "nb", "tb"), "b").filter(similar).select("a", "b")
 
 
-def _live_sets(rows: DataFrame, scanned: DataFrame, classes: DataFrame, p: Params, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The sets that may have a similar one (cid, k1, k2, n, toks), and the counts (tok, k) of their frequent shingles."""
+def _live_sets(rows: DataFrame, scanned: DataFrame, classes: DataFrame, p: Params, scratch: Scratch) -> tuple:
+    """Sets (cid, k1, k2, n, toks), a bitmap of those that may have a similar one, and counts (tok, k) of frequent shingles."""
     sc = rows.sparkSession.sparkContext
     lack = F.col("n") - F.expr(f"({p.percent} * n + 99) div 100")
     possible = F.col("n") * (100 - p.percent) >= p.percent
@@ -485,7 +488,7 @@ def _live_sets(rows: DataFrame, scanned: DataFrame, classes: DataFrame, p: Param
     counted = scratch.keep(counted.select("k", F.when(F.col("k") > 1, F.col("tok")).alias("tok"), F.when(F.col("k") == 1, F.col("c")).alias("c")), "counts")
     lone = counted.filter("k = 1").groupBy("c").agg(F.count("*").alias("u"))
     live = sets.select("cid", "n").filter(possible).join(lone, F.col("cid") == F.col("c"), "left").filter(F.coalesce("u", F.lit(0)) <= lack)
-    return kept_rows(sets, sc.broadcast(Bitmap(live, "cid")), "cid"), counted.filter("k > 1").select("tok", "k")
+    return sets, sc.broadcast(Bitmap(live, "cid")), counted.filter("k > 1").select("tok", "k")
 
 
 @dataclass
@@ -506,10 +509,10 @@ def _join(docs: DataFrame, p: Params, id_col: str, text_col: str) -> Joined:
     scanned = scratch.keep(map_arrow(rows, *_scan(p, kind)), "scanned")
     classes = scratch.keep(scanned.filter("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
     slim = scratch.keep(scanned.drop("sample"), "documents")
-    sets, frequent = _live_sets(rows, scanned, classes, p, scratch)
+    sets, live, frequent = _live_sets(rows, scanned, classes, p, scratch)
     scratch.drop(scanned)
     table = sc.broadcast(frequent_table(frequent, p))
-    index = scratch.keep(map_arrow(sets.select("cid", "n", "toks"), *_index(p, table)), "index")
+    index = scratch.keep(map_arrow(sets.select("cid", "n", "toks"), *_index(p, table, live)), "index")
 
     entry = index.select("cid", "n", F.size("keys").alias("of"), F.explode("keys").alias("key"))
     buckets = scratch.keep(entry.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("head")).filter("m > 1"), "buckets")
@@ -523,12 +526,13 @@ def _join(docs: DataFrame, p: Params, id_col: str, text_col: str) -> Joined:
     parts = F.ceil(F.greatest(F.col("sets") / p.block_sets, F.col("tokens") / p.block_tokens)).alias("parts")
     of = cluster.join(size.select(F.col("cluster").alias("c"), "sets", parts), F.col("cluster") == F.col("c")).drop("c")
     keys = held.groupBy(F.col("cid").alias("h")).agg(F.collect_list("key").alias("keys"))
-    work = sets.join(keys, F.col("cid") == F.col("h")).join(of, F.col("cid") == F.col("v"), "left")
+    met = sc.broadcast(Bitmap(held.select("cid").distinct(), "cid"))
+    work = kept_rows(sets, met, "cid").join(keys, F.col("cid") == F.col("h")).join(of, F.col("cid") == F.col("v"), "left")
     work = scratch.keep(work.select("cid", "k1", "k2", "n", "toks", "keys", "cluster", "parts", "sets"), "work")
     links = cluster_links(work.filter("cluster IS NOT NULL").drop("k1", "k2"), p, scratch)
     own = held.join(cluster, F.col("cid") == F.col("v"), "left").select("key", "cid", "n", "m", F.coalesce("cluster", "cid").alias("c"))
     links.append(scratch.keep(small_bucket_links(own, work, p, scratch), "links"))
-    scratch.drop(held)
+    scratch.drop(held, sets)
 
     labels = _labels(links, scratch)
     named = work.select("cid", "k1", "k2").join(labels, F.col("cid") == F.col("v")).select("label", "k1", "k2")
