@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,8 +126,10 @@ def fresh(df: DataFrame, stem: str) -> str:
 
 def text_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each text of a block, as two columns of 64."""
-    roll = K.Rolling(buf)
-    return roll.ranges(offs[:-1], offs[1:], 0), roll.ranges(offs[:-1], offs[1:], 1)
+    data, at = memoryview(np.ascontiguousarray(buf)), offs.tolist()
+    raw = b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))
+    both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 #: Brings the high bits of a key (of a numbered row: its partition) into its place in a bitmap.

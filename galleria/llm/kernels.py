@@ -137,17 +137,6 @@ class Words:
         v *= powers(0, int(lens.max()))[pos]
         return mix(np.add.reduceat(v, at) + lens.astype(np.uint64))
 
-    def head_hashes(self, n: int) -> np.ndarray:
-        """Hash of each word's first n bytes (shorter words: of the whole word)."""
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        h = np.zeros(len(self.starts), np.uint64)
-        p, lens = powers(0, n), self.ends - self.starts
-        for k in range(n):
-            has = lens > k
-            h[has] += BYTE1[self.buf[self.starts[has] + k]] * p[k]
-        return mix(h + np.uint64(n) * np.uint64(0x51ED270B27B4F3CF))
-
 
 _ODD = [(0xA0761D6478BD642F * (2 * k + 1) + 2 * k) & M64 | 1 for k in range(64)]
 
@@ -176,14 +165,17 @@ def gram_rows(first: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 class Rolling:
-    """Hashes of any byte range of a block: two 64-bit families by prefix sums."""
+    """Hashes of any range of a block of bytes, or of 64-bit values: two 64-bit families by prefix sums."""
 
     def __init__(self, buf: np.ndarray, families: tuple[int, ...] = (0, 1)):
         n = len(buf)
         self.sums, self.inv = {}, {}
         for f in families:
             s = np.zeros(n + 1, np.uint64)
-            v = (BYTE1 if f == 0 else BYTE2)[buf]
+            if buf.dtype == np.uint8:
+                v = (BYTE1 if f == 0 else BYTE2)[buf]
+            else:
+                v = mix(buf ^ np.uint64(BASES[f]))
             v *= powers(f, n + 1)[:n]
             np.cumsum(v, out=s[1:])
             self.sums[f], self.inv[f] = s, powers(f, n + 1, inverse=True)

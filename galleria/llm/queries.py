@@ -54,7 +54,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+    """Besides the columns by bytes, the words of each text in repeated passages of over 50 words, which may have less than 400 bytes."""
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"), passages=suffix_dedup.PASSAGES)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Suffix-array dedup: remove every byte covered by a `length`-byte string that also starts anywhere else.
+"""Suffix-array dedup: remove every unit covered by a string of `length` units that also starts anywhere else.
+
+Units are bytes, or words (`words=True`): runs of other than ASCII white space, as 64-bit hashes. In what follows bytes are
+named.
 
 1. Anchors. In each run of `length` bytes one `gram`-byte gram has the smallest hash (the leftmost of equals): its anchor.
    Equal runs have equal anchors at equal offsets, so a run can repeat only where its anchor's hash does. A text has about
@@ -8,8 +11,8 @@
 3. Anchors with at least two different contexts: one representative of each context is fetched and the contexts of whole
    anchor groups are put together in blocks of bounded size. Contexts are cut, from their anchor on, into aligned symbols
    of `symbol` bytes; the suffix array (see suffix_array.py) of a block's symbols and its common-prefix array show which
-   symbol runs long enough for a `length`-byte run are repeated. An exact check of the bytes around those, at each byte
-   offset, decides.
+   symbol runs long enough for a `length`-byte run are repeated. Around those, at each byte offset, runs are compared by
+   their 128-bit hashes, which decides.
 4. Anchors with more than `max_contexts` different contexts (a passage in a great share of all documents) would not fit a
    block. Their runs are counted by 128-bit hashes in distributed aggregations, which is exact as well: bands of
    neighbouring runs first, and single runs where contexts of a band differ.
@@ -37,7 +40,7 @@ from pyspark.sql import types as T
 from galleria.session import Scratch
 
 from . import kernels as K
-from .common import Bitmap, fresh, map_arrow, text_hashes
+from .common import Bitmap, fresh, map_arrow, map_sorted, split_rows, text_hashes
 from .suffix_array import lcp_array, suffix_array
 
 
@@ -45,11 +48,11 @@ from .suffix_array import lcp_array, suffix_array
 class Params:
     length: int = 400
     gram: int = 100
-    symbol: int = 25
+    symbol: int = 80
     max_contexts: int = 500  #: of one anchor in a block
     block_contexts: int = 1000  #: in a block, but for the last anchor's
     band: int = 50  #: neighbouring run starts that are counted together
-    min_words: int = 0  #: whole words of a repeated passage that clean() cuts out; shorter ones stay
+    words: bool = False  #: units are words
 
     @property
     def reach(self) -> int:
@@ -57,6 +60,24 @@ class Params:
         return self.length - self.gram
 
 
+#: Runs of 51 words and more: passages of over 50 words.
+PASSAGES = Params(length=51, gram=13, symbol=10, band=7, words=True)
+
+
+def units(buf: np.ndarray, offs: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(units of a block of texts, where each text's begin)."""
+    if not p.words:
+        return buf, offs
+    w = K.Words(buf, offs, K.NOT_SPACE)
+    return w.hashes(), w.first
+
+
+def body_units(col: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """(units of a column of contexts, where each begins)."""
+    buf, offs = K.text_buffers(col)
+    return (np.frombuffer(buf.tobytes(), np.uint64), offs // 8) if p.words else (buf, offs)
+
+
 def anchors(roll: K.Rolling, offs: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """(positions in the block, gram hashes) of every run's anchor, ascending."""
     g = roll.grams(p.gram)
@@ -85,14 +106,15 @@ def _scan(p: Params, kind: str):
     def make():
         def fn(batch: pa.RecordBatch):
             buf, offs = K.text_buffers(batch.column(1))
-            for i, j, b, o in K.blocks(buf, offs):
-                roll = K.Rolling(b)
+            for i, j, b, bo in K.blocks(buf, offs):
+                u, o = units(b, bo, p)
+                roll = K.Rolling(u)
                 at, h = anchors(roll, o, p)
                 if not len(at):
                     continue
                 doc = np.searchsorted(o, at, "right") - 1
                 lo, hi = np.maximum(o[doc], at - p.reach), np.minimum(o[doc + 1], at + p.length)
-                t1, t2 = text_hashes(b, o)
+                t1, t2 = text_hashes(b, bo)
                 yield [
                     batch.column(0).slice(i, j - i).take(pa.array(doc)), t1[doc], t2[doc], at - o[doc], h,
                     roll.ranges(lo, hi, 0) ^ (at - lo).astype(np.uint64), roll.ranges(lo, hi, 1), (at - lo).astype(np.int32), (hi - at).astype(np.int32),
@@ -144,14 +166,17 @@ def _contexts(p: Params):
 
     def make():
         def fn(batch: pa.RecordBatch):
-            texts, wanted = batch.column(0), batch.column(1)
-            for k in range(batch.num_rows):
-                raw = texts[k].as_py().encode()
-                w = wanted[k].as_py()
-                yield [
-                    [x["ah"] for x in w], [x["c1"] for x in w], [x["c2"] for x in w], [x["n"] for x in w], [x["l"] for x in w],
-                    pa.array([raw[max(0, x["pos"] - p.reach) : x["pos"] + p.length] for x in w], pa.binary()),
-                ]
+            wanted = batch.column(1)
+            buf, offs = K.text_buffers(batch.column(0))
+            for i, j, b, bo in K.blocks(buf, offs):
+                u, o = units(b, bo, p)
+                part = wanted.slice(i, j - i)
+                x, per = part.flatten(), np.diff(part.offsets.to_numpy())
+                row = np.repeat(np.arange(j - i), per)
+                at = o[row] + x.field("pos").to_numpy()
+                lo, hi = np.maximum(o[row], at - p.reach), np.minimum(o[row + 1], at + p.length)
+                bodies = [u[a:c].tobytes() for a, c in zip(lo.tolist(), hi.tolist(), strict=True)]
+                yield [*(x.field(c) for c in ("ah", "c1", "c2", "n", "l")), pa.array(bodies, pa.binary())]
 
         return fn
 
@@ -163,8 +188,8 @@ def repeated_starts(bodies: list[bytes], lefts: list[int], groups: list[int], p:
 
     A run in a text lies in the contexts of several anchors; counted within its anchor's group it is met once."""
     q = p.symbol
-    buf = np.frombuffer(b"".join(bodies), np.uint8)
-    size = np.array([len(x) for x in bodies], np.int64)
+    buf = np.frombuffer(b"".join(bodies), np.uint64 if p.words else np.uint8)
+    size = np.array([len(x) for x in bodies], np.int64) // buf.itemsize
     base = np.cumsum(size) - size
     left = np.array(lefts, np.int64)
     before, after = left // q, (size - left) // q
@@ -260,22 +285,6 @@ def _by_suffix_array(p: Params):
     return make
 
 
-def _sorted_map(df: DataFrame, make, ddl: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    from .common import as_column, schema_of, tune
-
-    tune(df.sparkSession)
-    schema = schema_of(ddl)
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        for cols in make()(batches):
-            yield pa.RecordBatch.from_arrays([as_column(c, k) for c, k in zip(cols, arrow.types, strict=True)], names=arrow.names)
-
-    return df.mapInArrow(run, schema)
-
-
 def _bands(o: np.ndarray, left: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(context, band, first and last distance from run start to anchor) of each band of runs that a context has."""
     right = np.diff(o) - left
@@ -292,9 +301,9 @@ def _band_rows(p: Params):
 
     def make():
         def fn(batch: pa.RecordBatch):
-            buf, offs = K.text_buffers(batch.column(5))
+            u, offs = body_units(batch.column(5), p)
             left = batch.column(4).to_numpy().astype(np.int64)
-            for i, j, b, o in K.blocks(buf, offs):
+            for i, j, b, o in K.blocks(u, offs, K.BLOCK // u.itemsize):
                 ctx, band, first, last = _bands(o, left[i:j], p)
                 roll = K.Rolling(b)
                 anchor = o[ctx] + left[i:j][ctx]
@@ -317,9 +326,9 @@ def _runs(p: Params):
 
     def make():
         def fn(batch: pa.RecordBatch):
-            buf, offs = K.text_buffers(batch.column(5))
+            u, offs = body_units(batch.column(5), p)
             left, wanted = batch.column(4).to_numpy().astype(np.int64), [dict(x) for x in batch.column(6).to_pylist()]
-            for i, j, b, o in K.blocks(buf, offs):
+            for i, j, b, o in K.blocks(u, offs, K.BLOCK // u.itemsize):
                 ctx, band, first, last = _bands(o, left[i:j], p)
                 times = np.array([wanted[i + c].get(k, 0) for c, k in zip(ctx.tolist(), band.tolist(), strict=True)], np.int64)
                 ok = times > 0
@@ -393,85 +402,63 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     pick = lambda hot: map_arrow(fetched.select("text", split(hot).alias("w")).filter(F.size("w") > 0), make, ddl)
 
     usual = pick(False).repartition(F.col("ah")).sortWithinPartitions("ah", "c1", "c2")
-    found = _sorted_map(usual, _by_suffix_array(p), _SPANS)
-    hot = by_counting(scratch.keep(pick(True), "hot"), p, scratch)
+    found = map_sorted(usual, _by_suffix_array(p), _SPANS)
+    hot_ones = scratch.keep(pick(True), "hot")
+    hot = by_counting(hot_ones, p, scratch)
     whole = contexts.filter("n > 1").select("ah", "c1", "c2", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
-    marked = scratch.keep(found.unionByName(hot).unionByName(whole), "marked").toDF("mah", "m1", "m2", "spans")
+    marks = scratch.keep(found.unionByName(hot).unionByName(whole), "marked")
+    scratch.drop(contexts, wanted, hot_ones)
+    marked = marks.toDF("mah", "m1", "m2", "spans")
 
     held = some.select("ah", "c1", "c2", "t1", "t2", "pos", "l", "r").distinct()
     hits = held.join(marked, (F.col("ah") == F.col("mah")) & (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")))
     all_of_it = F.array(F.struct((-F.col("l")).alias("lo"), F.col("r").alias("hi")))
     each = hits.select("t1", "t2", F.transform(F.coalesce("spans", all_of_it), lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"), (F.col("pos") + x["hi"]).alias("hi"))).alias("spans"))
-    return scratch.keep(each.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    out = scratch.keep(each.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    scratch.drop(seen, marks)
+    return out
 
 
-def merge(found: list[dict] | None, overlap: int = 0) -> list[tuple[int, int]]:
-    """Spans put together where they have at least `overlap` bytes in common."""
+def merge(found: list[dict] | None) -> list[tuple[int, int]]:
+    """Spans put together where they meet or overlap."""
     out: list[list[int]] = []
     for lo, hi in sorted((x["lo"], x["hi"]) for x in found or []):
-        if out and lo <= out[-1][1] - overlap:
+        if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
             out.append([lo, hi])
     return [(a, b) for a, b in out]
 
 
-def whole_words(raw: bytes, a: int, b: int) -> int:
-    """Words that lie in raw[a:b] as a whole."""
-    part = raw[a:b]
-    cut = int(a > 0 and not raw[a - 1 : a].isspace() and not part[:1].isspace())
-    return len(part.split()) - cut - int(b < len(raw) and not part[-1:].isspace() and not raw[b : b + 1].isspace())
-
+def marked_rows(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """docs and found's columns after t1 and t2, by the hash of the text; only texts that may have any go through the join."""
+    yes, no, t1, t2 = split_rows(docs, text_col, docs.sparkSession.sparkContext.broadcast(Bitmap(found, "t1")))
+    own = [fresh(yes, f"gl_{c}") for c in found.columns]
+    yes = yes.join(found.toDF(*own), (F.col(t1) == F.col(own[0])) & (F.col(t2) == F.col(own[1])), "left").select(*docs.columns, *own[2:])
+    return yes.unionByName(no.withColumns({c: F.lit(None).cast(yes.schema[c].dataType) for c in own[2:]}))
 
-def passages(raw: bytes, found: list[dict] | None, p: Params) -> list[tuple[int, int]]:
-    """Spans to cut out: merged runs, of passages of at least `min_words` words.
-
-    Runs of one passage start at each byte, so neighbours have all but one byte in common."""
-    if p.min_words:
-        found = [{"lo": a, "hi": b} for a, b in merge(found, p.length - 1) if whole_words(raw, a, b) >= p.min_words]
-    return merge(found)
-
-
-def marked_rows(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
-    """docs and gl_spans; only texts that may have spans go through the join."""
-    spark = docs.sparkSession
-    found = spans(docs, p, Scratch(spark), id_col, text_col)
-    bits = spark.sparkContext.broadcast(Bitmap(found, "t1"))
-    k1, k2 = fresh(docs, "gl_t1"), fresh(docs, "gl_t2")
-    at = docs.columns.index(text_col)
 
-    def texts(inside: bool):
-        def make():
-            b = bits.value
+def removed(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text", passages: Params | None = None) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans, and n_passage_words: a row per row of docs.
 
-            def fn(batch: pa.RecordBatch):
-                buf, offs = K.text_buffers(batch.column(at))
-                for i, j, block, o in K.blocks(buf, offs):
-                    t1, t2 = text_hashes(block, o)
-                    pick = b.may_hold(t1) == inside
-                    if pick.any():
-                        yield [*batch.slice(i, j - i).filter(pa.array(pick)).columns, t1[pick], t2[pick]]
-
-            return fn
-
-        return map_arrow(docs, make, T.StructType([*docs.schema.fields, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType())]))
-
-    marks = found.select(F.col("t1").alias("gl_m1"), F.col("t2").alias("gl_m2"), F.col("spans").alias("gl_spans"))
-    yes = texts(True).join(marks, (F.col(k1) == F.col("gl_m1")) & (F.col(k2) == F.col("gl_m2")), "left").drop(k1, k2, "gl_m1", "gl_m2")
-    no = texts(False).drop(k1, k2).withColumn("gl_spans", F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>"))
-    return yes.withColumn("gl_spans", F.col("gl_spans").cast("array<struct<lo:bigint,hi:bigint>>")).unionByName(no)
-
-
-def removed(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans: a row per row of docs."""
+    Units are bytes. passages: units are words; n_passage_words counts those in repeated runs of so many (else it is null)."""
     p = p or Params()
+    if p.words or passages and not passages.words:
+        raise ValueError("removed() takes bytes away and counts words")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = marked_rows(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), p, id_col, text_col)
+    scratch = Scratch(docs.sparkSession)
+    found = spans(docs, p, scratch, id_col, text_col)
+    if passages:
+        more = spans(docs, passages, scratch, id_col, text_col).withColumnRenamed("spans", "runs")
+        found = scratch.keep(found.join(more, ["t1", "t2"], "full"), "found")
+    else:
+        found = found.withColumn("runs", F.col("spans"))
+    rows = marked_rows(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), found, text_col)
 
     def make():
         def fn(batch: pa.RecordBatch):
             buf, offs = K.text_buffers(batch.column(1))
-            data, o = buf.tobytes(), offs.tolist()
+            data, o = memoryview(buf), offs.tolist()
             n_removed, n_spans, sha, kept = [], [], [], []
             for k, s in enumerate(batch.column(2).to_pylist()):
                 raw, last, h, gone = data[o[k] : o[k + 1]], 0, hashlib.sha256(), 0
@@ -485,15 +472,27 @@ def removed(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", te
                 n_spans.append(len(m))
                 sha.append(h.hexdigest())
                 kept.append([{"start": a, "end": b} for a, b in m])
-            yield [batch.column(0), np.diff(offs), n_removed, n_spans, sha, kept]
+            words = [sum(b - a for a, b in merge(s)) for s in batch.column(3).to_pylist()] if passages else [None] * batch.num_rows
+            yield [batch.column(0), np.diff(offs), n_removed, n_spans, sha, kept, words]
 
         return fn
 
-    return map_arrow(rows, make, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>")
+    return map_arrow(
+        rows, make, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, n_passage_words long"
+    )
+
+
+def in_bytes(raw: bytes, found: list[tuple[int, int]], p: Params) -> list[tuple[int, int]]:
+    if not p.words:
+        return found
+    w = K.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), K.NOT_SPACE)
+    return [(int(w.starts[a]), int(w.ends[b - 1])) for a, b in found]
 
 
 def clean(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs without the repeated bytes; a character that a span cuts goes whole, and documents with nothing left go."""
+    """docs without the repeated units; a character that a span cuts goes whole, and documents with nothing left go.
+
+    The white space around a passage of words stays."""
     p = p or Params()
     at, n = docs.columns.index(text_col), len(docs.columns)
 
@@ -502,11 +501,9 @@ def clean(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text
             texts, found = batch.column(at).to_pylist(), batch.column(n).to_pylist()
             out = []
             for t, s in zip(texts, found, strict=True):
-                raw = t.encode() if s else b""
-                s = passages(raw, s, p)
                 if s:
-                    parts, last = [], 0
-                    for a, b in s:
+                    raw, parts, last = t.encode(), [], 0
+                    for a, b in in_bytes(raw, merge(s), p):
                         parts.append(raw[last:a].decode("utf-8", "ignore"))
                         last = b
                     t = "".join([*parts, raw[last:].decode("utf-8", "ignore")])
@@ -519,5 +516,5 @@ def clean(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text
 
         return fn
 
-    out = map_arrow(marked_rows(docs, p, id_col, text_col), make, docs.schema)
+    out = map_arrow(marked_rows(docs, spans(docs, p, Scratch(docs.sparkSession), id_col, text_col), text_col), make, docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
