@@ -16,9 +16,6 @@ from galleria.session import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Passages of over 50 words: 51 words of one byte and 50 spaces are 101 bytes, so no such passage is shorter.
-REPEATS = suffix_dedup.Params(length=101, gram=25, symbol=6, min_words=51)
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs)
@@ -29,7 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.clean(docs, REPEATS)
+    return suffix_dedup.clean(docs, suffix_dedup.PASSAGES)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
