@@ -10,13 +10,14 @@ Otherwise one group of near copies would strip itself, and nothing of it would b
 Lines that no more than the limit's number of texts hold are the rest of a text; each has a sketch (its smallest hashes of
 three words in a row). A line of the rest is new if hardly any of its sketch is in the rest of another text of the host.
 * A text whose new lines have at least 5 % of its words is a class of its own, whatever else it shares.
-* Else, where the rest has at least half of its words, its class is the smallest hash that it shares with another rest.
+* Else, where the rest has at least half of its words, its class is the smallest hash of its rest.
 * Else its class is its least common line. Near copies agree in it, but for those few in which just that line is edited.
 
 Scale: one Arrow pass over the texts writes a row per document (counts, line hashes) as a scratch table; lines are
 aggregated map-side by (host, line, text) and then by (host, line), so that a line or host which a third of all rows
 hold is a single partial row per task. Lines over the limit return by a sort-merge join which AQE may split. Only texts
-that hold such a line are given classes, by sums over their lines and over the hashes of their sketches.
+that hold such a line are read again for sketches and given classes, by counts of their hashes. clean() moves only texts
+that lose lines or go as a whole; all others pass by.
 
 Defined results: null text = no words, failed base rules, not kept; null source is a host of its own; repeated rows get
 equal verdicts; extra columns are ignored; an empty table gives an empty result.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from galleria.session import Scratch
 
 from . import kernels as K
-from .common import map_arrow, text_hashes
+from .common import Bitmap, fresh, map_arrow, split_rows, text_hashes
 
 SYMBOLS = K.byte_class(b"#*$%&|<>")
 CONTINUATION = (np.arange(256) & 0xC0) == 0x80
@@ -148,13 +149,11 @@ def _scan(rules: Rules):
                     words += lw
                     per[d] = len(ln)
                 lines = line_hashes(names)
-                sketch, many = line_sketches(names, rules.sketch)
                 t1, t2 = text_hashes(b, o)
                 yield [
                     batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), t1, t2, w.counts,
                     sums[o[1:]] - sums[o[:-1]], syms[o[1:]] - syms[o[:-1]], dups, repeat,
                     K.list_column(K.signed(lines), per, pa.int64()), K.list_column(np.array(words, np.int64), per, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), K.list_column(K.signed(sketch), many, pa.int64())),
                 ]
 
         return fn
@@ -164,7 +163,7 @@ def _scan(rules: Rules):
 
 _SCAN = (
     "id {id}, host string, t1 long, t2 long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, line array<long>, line_words array<long>, sketch array<array<long>>"
+    "n_repeat_words long, line array<long>, line_words array<long>"
 )
 
 
@@ -187,7 +186,7 @@ def _of_lines(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
 
 #: A host (which may be null) as part of a key.
 HOST_KEY = "xxhash64(host IS NULL, host) AS hk"
-TEXT = ["hk", "t1", "t2"]
+TEXT, TID = ["hk", "t1", "t2"], "xxhash64(hk, t1, t2) AS tid"
 
 
 def common_lines(scanned: DataFrame, rules: Rules) -> DataFrame:
@@ -196,34 +195,74 @@ def common_lines(scanned: DataFrame, rules: Rules) -> DataFrame:
     return texts.groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > rules.max_docs_per_host)
 
 
-def classes(scanned: DataFrame, held: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
-    """The class of each text that holds common lines; held: (host, t1, t2, line, words, texts) of those lines."""
+def _sketches(rules: Rules, some):
+    """Lines and their sketches of texts that may be in a bitmap. Rows: (hash of the host, text)."""
+
+    def make():
+        bits = some.value
+
+        def fn(batch: pa.RecordBatch):
+            buf, offs = K.text_buffers(batch.column(1))
+            for i, j, b, o in K.blocks(buf, offs):
+                t1, t2 = text_hashes(b, o)
+                pick = np.flatnonzero(bits.may_hold(t1))
+                if not len(pick):
+                    continue
+                data, names, words, per = b.tobytes(), [], [], []
+                for d in pick.tolist():
+                    ln, lw, _ = _line_rows(data[o[d] : o[d + 1]])
+                    names += ln
+                    words += lw
+                    per.append(len(ln))
+                sketch, many = line_sketches(names, rules.sketch)
+                per = np.array(per, np.int64)
+                yield [
+                    batch.column(0).slice(i, j - i).take(pa.array(pick)), t1[pick], t2[pick],
+                    K.list_column(K.signed(line_hashes(names)), per, pa.int64()), K.list_column(np.array(words, np.int64), per, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), K.list_column(K.signed(sketch), many, pa.int64())),
+                ]
+
+        return fn
+
+    return make, "hk long, t1 long, t2 long, line array<long>, words array<long>, sketch array<array<long>>"
+
+
+def classes(rows: DataFrame, held: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
+    """(tid, class) of each text that holds common lines. rows: host, text; held: (host, t1, t2, line, words, texts) of those lines."""
+    some = rows.sparkSession.sparkContext.broadcast(Bitmap(held.select("t1").distinct(), "t1", 1 << 22))
     marks = held.groupBy(F.expr(HOST_KEY), "t1", "t2").agg(F.collect_list("line").alias("common"), F.sum("words").alias("common_words"), F.min(F.struct("texts", "line")).alias("least"))
-    texts = scanned.select(F.expr(HOST_KEY), "t1", "t2", "line", "line_words", "sketch").dropDuplicates(TEXT)
-    rest = F.filter(F.arrays_zip("line", "line_words", "sketch"), lambda x: ~F.array_contains("common", x["line"]))
-    rows = scratch.keep(texts.join(marks, TEXT).select(*TEXT, "common_words", F.col("least.line").alias("least"), rest.alias("rest")), "rest")
-    parts = rows.select(*TEXT, F.explode("rest").alias("x")).select(*TEXT, F.col("x.line").alias("line"), F.col("x.line_words").alias("words"), F.explode("x.sketch").alias("hash"))
-    seen = parts.groupBy("hk", "hash").agg(F.min("t1").alias("lo"), F.max("t1").alias("hi")).filter("lo <> hi")
-    shared = parts.join(seen.select("hk", "hash", F.lit(True).alias("shared")), ["hk", "hash"], "left")
-    lines = shared.groupBy(*TEXT, "line").agg(F.max("words").alias("words"), F.count("*").alias("n"), F.count("shared").alias("n_shared"), F.min(F.when(F.col("shared"), F.col("hash"))).alias("hash"))
-    found = lines.groupBy(*TEXT).agg(F.sum("words").alias("rest_words"), F.sum(F.when(F.col("n_shared") * 5 <= F.col("n"), F.col("words")).otherwise(0)).alias("new_words"), F.min("hash").alias("hash"))
+    texts = map_arrow(rows.select(F.expr(HOST_KEY), "text"), *_sketches(rules, some)).dropDuplicates(TEXT)
+    lines = F.filter(F.arrays_zip("line", "words", "sketch"), lambda x: ~F.array_contains("common", x["line"]))
+    rest = texts.join(marks, TEXT).select("hk", F.expr(TID), "common_words", F.col("least.line").alias("least"), F.transform(lines, lambda x: F.struct(x["words"].alias("words"), x["sketch"].alias("sketch"))).alias("rest"))
+    rest = scratch.keep(rest, "rest")
+    each = rest.select("hk", "tid", F.posexplode("rest").alias("pos", "x"))
+    parts = each.select("hk", F.struct("tid", "pos", F.col("x.words").cast("int").alias("words"), F.size("x.sketch").alias("n")).alias("of"), F.explode("x.sketch").alias("hash"))
+    lone = parts.groupBy(F.xxhash64("hk", "hash").alias("key")).agg(F.min("of").alias("of"), F.max("of.tid").alias("hi")).filter(F.col("of.tid") == F.col("hi")).select("of.*")
+    new = lone.groupBy("tid", "pos").agg(F.count("*").alias("lone"), F.first("words").alias("words"), F.first("n").alias("n")).filter("(n - lone) * 5 <= n")
+    new = new.groupBy(F.col("tid").alias("nt")).agg(F.sum("words").alias("new_words"))
+    flat = rest.select("tid", "common_words", "least", F.aggregate("rest", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("rest_words"), F.array_min(F.flatten("rest.sketch")).alias("hash"))
+    flat = flat.join(new, F.col("tid") == F.col("nt"), "left")
     is_new = F.col("new_words") * 100 >= (F.col("common_words") + F.col("rest_words")) * rules.min_new_percent
-    kind = F.when(is_new, F.xxhash64("t1", "t2")).when((F.col("rest_words") >= F.col("common_words")) & F.col("hash").isNotNull(), F.col("hash")).otherwise(F.col("least"))
-    return rows.drop("rest").join(found, TEXT, "left").select(*TEXT, kind.alias("class"))
+    kind = F.when(is_new, F.col("tid")).when((F.col("rest_words") >= F.col("common_words")) & F.col("hash").isNotNull(), F.col("hash")).otherwise(F.col("least"))
+    out = scratch.keep(flat.select("tid", kind.alias("class")), "classes")
+    scratch.drop(rest)
+    return out
 
 
-def flagged_lines(scanned: DataFrame, held: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
+def flagged_lines(rows: DataFrame, held: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
     """(host, line) of lines whose texts are of more classes than the limit allows."""
-    each = held.select("*", F.expr(HOST_KEY)).join(classes(scanned, held, rules, scratch), TEXT).groupBy("host", "line", "class").agg(F.lit(1).alias("one"))
+    named = classes(rows, held, rules, scratch).withColumnRenamed("tid", "ct")
+    each = held.select("host", "line", F.expr(HOST_KEY), "t1", "t2").select("host", "line", F.expr(TID))
+    each = each.join(named, F.col("tid") == F.col("ct")).groupBy("host", "line", "class").agg(F.lit(1).alias("one"))
     return each.groupBy("host", "line").agg(F.count("*").alias("classes")).filter(F.col("classes") > rules.max_docs_per_host).select("host", "line")
 
 
-def verdicts(scanned: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
+def verdicts(scanned: DataFrame, rows: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
     """Per (host, text) that holds flagged lines: their hashes and their words."""
     common = scratch.keep(common_lines(scanned, rules), "common")
     hit = _of_lines(_lines(scanned, "line", "line_words"), common, "inner")
     held = scratch.keep(hit.groupBy("host", "t1", "t2", "line").agg(F.max("line_words").alias("words"), F.max("texts").alias("texts")), "held")
-    flags = scratch.keep(flagged_lines(scanned, held, rules, scratch), "flags")
+    flags = scratch.keep(flagged_lines(rows, held, rules, scratch), "flags")
     return _of_lines(held, flags, "left_semi").groupBy("host", "t1", "t2").agg(F.sum("words").alias("flagged_words"), F.collect_list("line").alias("flagged"))
 
 
@@ -232,8 +271,9 @@ def judge(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", t
     rules = rules or Rules()
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.keep(scan(docs, rules, id_col, text_col, host_col), "lines")
-    marks = verdicts(scanned, rules, scratch).select(F.col("host").alias("mh"), F.col("t1").alias("m1"), F.col("t2").alias("m2"), "flagged_words", "flagged")
-    flat = scanned.drop("line", "line_words", "sketch")
+    rows = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    marks = verdicts(scanned, rows, rules, scratch).select(F.col("host").alias("mh"), F.col("t1").alias("m1"), F.col("t2").alias("m2"), "flagged_words", "flagged")
+    flat = scanned.drop("line", "line_words")
     rows = flat.join(marks, (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")) & F.col("host").eqNullSafe(F.col("mh")), "left").drop("mh", "m1", "m2")
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     left = F.col("n_words") - F.coalesce("flagged_words", F.lit(0))
@@ -265,41 +305,13 @@ def _strip(batch_text: int, batch_flags: int):
 def clean(docs: DataFrame, rules: Rules | None = None, text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
     """docs without rejected documents and without flagged lines; same columns."""
     rules = rules or Rules()
-    spark = docs.sparkSession
-    from .common import fresh
-
-    scratch = Scratch(spark)
-    keyed = with_text_hash(docs, text_col)
-    k1, k2 = keyed.columns[-2:]
-    judged = scratch.keep(judge(docs, rules, text_col=text_col, host_col=host_col), "judged")
-    marks = (
-        judged.filter(~F.col("kept") | F.col("flagged").isNotNull()).groupBy("host", "t1", "t2")
-        .agg(F.first("flagged").alias("flagged"), F.first("kept").alias("kept"))
-    )
-    fl, kp = fresh(docs, "gl_flagged"), fresh(docs, "gl_kept")
-    marks = marks.select(F.col("host").alias("gl_mh"), F.col("t1").alias("gl_m1"), F.col("t2").alias("gl_m2"), F.col("flagged").alias(fl), F.col("kept").alias(kp))
-    on = (F.col(k1) == F.col("gl_m1")) & (F.col(k2) == F.col("gl_m2")) & F.col(host_col).cast("string").eqNullSafe(F.col("gl_mh"))
-    rows = keyed.join(marks, on, "left").filter(F.coalesce(F.col(kp), F.lit(True))).select(*docs.columns, fl)
-    out = map_arrow(rows, _strip(docs.columns.index(text_col), len(docs.columns)), docs.schema)
+    scratch = Scratch(docs.sparkSession)
+    judged = judge(docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), rules, "id", "text", "host")
+    marks = judged.filter(~F.col("kept") | F.col("flagged").isNotNull()).groupBy("host", "t1", "t2").agg(F.first("flagged").alias("flagged"), F.first("kept").alias("kept"))
+    marks = scratch.keep(marks, "marks")
+    yes, no, t1, t2 = split_rows(docs, text_col, docs.sparkSession.sparkContext.broadcast(Bitmap(marks, "t1")))
+    mh, m1, m2, flagged, kept = (fresh(yes, f"gl_{c}") for c in marks.columns)
+    on = (F.col(t1) == F.col(m1)) & (F.col(t2) == F.col(m2)) & F.col(host_col).cast("string").eqNullSafe(F.col(mh))
+    yes = yes.join(marks.toDF(mh, m1, m2, flagged, kept), on, "left").filter(F.coalesce(F.col(kept), F.lit(True))).select(*docs.columns, flagged)
+    out = map_arrow(yes, _strip(docs.columns.index(text_col), len(docs.columns)), docs.schema).unionByName(no)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
-
-
-def with_text_hash(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs and two columns, the 128-bit hash of the text as scan() gives it (null: as the empty text)."""
-    from pyspark.sql import types as T
-
-    from .common import fresh
-
-    k1, k2 = fresh(docs, "gl_t1"), fresh(docs, "gl_t2")
-    at = docs.columns.index(text_col)
-
-    def make():
-        def fn(batch: pa.RecordBatch):
-            buf, offs = K.text_buffers(batch.column(at))
-            for i, j, b, o in K.blocks(buf, offs):
-                yield [c.slice(i, j - i) for c in batch.columns] + [*text_hashes(b, o)]
-
-        return fn
-
-    schema = T.StructType([*docs.schema.fields, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType())])
-    return map_arrow(docs, make, schema)
