@@ -47,7 +47,7 @@ from .suffix_array import lcp_array, suffix_array
 @dataclass(frozen=True)
 class Params:
     length: int = 400
-    gram: int = 100
+    gram: int = 50
     symbol: int = 80
     max_contexts: int = 500  #: of one anchor in a block
     block_contexts: int = 1000  #: in a block, but for the last anchor's
@@ -61,7 +61,7 @@ class Params:
 
 
 #: Runs of 51 words and more: passages of over 50 words.
-PASSAGES = Params(length=51, gram=13, symbol=10, band=7, words=True)
+PASSAGES = Params(length=51, gram=8, symbol=10, band=7, words=True)
 
 
 def units(buf: np.ndarray, offs: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +162,7 @@ def _texts(bitmap, kind: str, inside: bool):
 
 
 def _contexts(p: Params):
-    """Bytes of the wanted contexts of a text: (ah, c1, c2, n, l, bytes) from rows (text, list of wanted)."""
+    """Units of the wanted contexts of a text: (ah, c1, c2, n, l, units, m) from rows (text, list of wanted)."""
 
     def make():
         def fn(batch: pa.RecordBatch):
@@ -176,14 +176,14 @@ def _contexts(p: Params):
                 at = o[row] + x.field("pos").to_numpy()
                 lo, hi = np.maximum(o[row], at - p.reach), np.minimum(o[row + 1], at + p.length)
                 bodies = [u[a:c].tobytes() for a, c in zip(lo.tolist(), hi.tolist(), strict=True)]
-                yield [*(x.field(c) for c in ("ah", "c1", "c2", "n", "l")), pa.array(bodies, pa.binary())]
+                yield [*(x.field(c) for c in ("ah", "c1", "c2", "n", "l")), pa.array(bodies, pa.binary()), x.field("m")]
 
         return fn
 
-    return make, "ah long, c1 long, c2 long, n long, l int, body binary"
+    return make, "ah long, c1 long, c2 long, n long, l int, body binary, m long"
 
 
-def repeated_starts(bodies: list[bytes], lefts: list[int], groups: list[int], p: Params) -> tuple[np.ndarray, np.ndarray]:
+def repeated_starts(bodies: list[bytes], lefts: list[int] | np.ndarray, groups: list[int], p: Params) -> tuple[np.ndarray, np.ndarray]:
     """(context, start) of every `length`-byte run that two contexts of one group hold at the same place from their anchor.
 
     A run in a text lies in the contexts of several anchors; counted within its anchor's group it is met once."""
@@ -225,7 +225,7 @@ def repeated_starts(bodies: list[bytes], lefts: list[int], groups: list[int], p:
     rel = s - base[c] - left[c]
     h1 = roll.ranges(s, s + p.length, 0) ^ K.mix(np.array(groups, np.int64).view(np.uint64)[c] + rel.astype(np.uint64))
     h2 = roll.ranges(s, s + p.length, 1)
-    order = np.lexsort((h2, h1))
+    order = np.argsort(h1)  # runs of equal h1 and unlike h2 would have to lie mixed for a miss: 64 bits, and no wrong match
     same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
     hit = np.zeros(len(s), bool)
     hit[order[1:][same]] = True
@@ -233,18 +233,15 @@ def repeated_starts(bodies: list[bytes], lefts: list[int], groups: list[int], p:
     return c[hit], s[hit] - base[c[hit]]
 
 
-def _covers(ctx: np.ndarray, start: np.ndarray, lefts: list[int], length: int) -> dict[int, list[tuple[int, int]]]:
-    """By context, the merged byte spans of runs, relative to the anchor."""
-    out: dict[int, list[tuple[int, int]]] = {}
+def _covers(ctx: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, first, end) of the spans of runs, neighbouring starts together, by context."""
     order = np.lexsort((start, ctx))
-    for c, s in zip(ctx[order].tolist(), (start[order]).tolist(), strict=True):
-        lo = s - lefts[c]
-        spans = out.setdefault(c, [])
-        if spans and lo <= spans[-1][1] - length + 1:  # the next start, so of one passage
-            spans[-1] = (spans[-1][0], max(spans[-1][1], lo + length))
-        else:
-            spans.append((lo, lo + length))
-    return out
+    c, s = ctx[order], start[order]
+    new = np.ones(len(c), bool)
+    new[1:] = (c[1:] != c[:-1]) | (s[1:] > s[:-1] + 1)
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], len(c)) - 1
+    return c[at], s[at], s[last] + length
 
 
 _SPANS = "ah long, c1 long, c2 long, spans array<struct<lo:int,hi:int>>"
@@ -257,12 +254,16 @@ def _by_suffix_array(p: Params):
         rows: list[tuple] = []
 
         def solve(part: list[tuple]):
-            ctx, start = repeated_starts([x[5] for x in part], [x[4] for x in part], [x[0] for x in part], p)
-            found = _covers(ctx, start, [x[4] for x in part], p.length)
-            found = {c: s for c, s in found.items() if part[c][3] == 1}
-            if found:
-                return [[part[c][k] for c in found] for k in range(3)] + [[[{"lo": lo, "hi": hi} for lo, hi in s] for s in found.values()]]
-            return None
+            lefts = np.array([x[4] for x in part], np.int64)
+            ctx, start = repeated_starts([x[5] for x in part], lefts, [x[0] for x in part], p)
+            asked = np.array([x[3] == 1 for x in part])[ctx]
+            c, lo, hi = _covers(ctx[asked], start[asked] - lefts[ctx[asked]], p.length)
+            if not len(c):
+                return None
+            which, per = np.unique(c, return_counts=True)
+            both = pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["lo", "hi"])
+            ends = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
+            return [[part[i][k] for i in which.tolist()] for k in range(3)] + [pa.ListArray.from_arrays(ends, both)]
 
         def run(batches):
             for batch in batches:
@@ -380,16 +381,17 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     seen = scratch.keep(map_arrow(rows, *_scan(p, kind)), "anchors")
     repeated = seen.groupBy("ah").agg(F.count("*").alias("k")).filter("k > 1")
     bitmap = spark.sparkContext.broadcast(Bitmap(repeated, "ah", 1 << 26))
-    some = map_arrow(seen, _keep_rows(bitmap, seen.columns.index("ah")), seen.schema)
+    some = scratch.keep(map_arrow(seen, _keep_rows(bitmap, seen.columns.index("ah")), seen.schema), "repeated")
+    scratch.drop(seen)
     contexts = some.groupBy("ah", "c1", "c2").agg(
-        F.count("*").alias("n"), F.min(F.struct("id", "t1", "t2", "pos")).alias("at"), F.first("l").alias("l")
+        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "t1", "t2", "pos", "l")]  # of one row
     )
     contexts = scratch.keep(contexts, "contexts")
     per_anchor = contexts.groupBy("ah").agg(F.count("*").alias("m")).filter("m > 1").withColumnRenamed("ah", "mah")
     mixed = contexts.join(per_anchor, F.col("ah") == F.col("mah")).drop("mah")
 
     # One text row fetches the representatives that lie in it.
-    wanted = mixed.select("at.*", F.struct("ah", "c1", "c2", "n", "l", F.col("at.pos").alias("pos"), "m").alias("x"))
+    wanted = mixed.select("id", "t1", "t2", F.struct("ah", "c1", "c2", "n", "l", "pos", "m").alias("x"))
     wanted = wanted.groupBy("id", "t1", "t2").agg(F.collect_list("x").alias("wanted"))
     wanted = scratch.keep(wanted, "wanted")
     holders = spark.sparkContext.broadcast(Bitmap(wanted, "t1"))
@@ -397,17 +399,13 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     on = [F.col("a.t1") == F.col("b.t1"), F.col("a.t2") == F.col("b.t2"), F.col("a.id").eqNullSafe(F.col("b.id"))]
     fetched = texts.alias("a").join(wanted.alias("b"), on[0] & on[1] & on[2]).select("b.t1", "b.t2", "b.id", "a.text", "b.wanted")
     fetched = fetched.dropDuplicates(["t1", "t2", "id"])  # of repeated rows, one
-    split = lambda hot: F.filter("wanted", lambda x: (x["m"] > p.max_contexts) == F.lit(hot))
-    make, ddl = _contexts(p)
-    pick = lambda hot: map_arrow(fetched.select("text", split(hot).alias("w")).filter(F.size("w") > 0), make, ddl)
-
-    usual = pick(False).repartition(F.col("ah")).sortWithinPartitions("ah", "c1", "c2")
+    bodies = scratch.keep(map_arrow(fetched.select("text", "wanted"), *_contexts(p)), "bodies")
+    usual = bodies.filter(F.col("m") <= p.max_contexts).drop("m").repartition(F.col("ah")).sortWithinPartitions("ah", "c1", "c2")
     found = map_sorted(usual, _by_suffix_array(p), _SPANS)
-    hot_ones = scratch.keep(pick(True), "hot")
-    hot = by_counting(hot_ones, p, scratch)
+    hot = by_counting(bodies.filter(F.col("m") > p.max_contexts).drop("m"), p, scratch)
     whole = contexts.filter("n > 1").select("ah", "c1", "c2", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
     marks = scratch.keep(found.unionByName(hot).unionByName(whole), "marked")
-    scratch.drop(contexts, wanted, hot_ones)
+    scratch.drop(contexts, wanted, bodies)
     marked = marks.toDF("mah", "m1", "m2", "spans")
 
     held = some.select("ah", "c1", "c2", "t1", "t2", "pos", "l", "r").distinct()
@@ -415,7 +413,7 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     all_of_it = F.array(F.struct((-F.col("l")).alias("lo"), F.col("r").alias("hi")))
     each = hits.select("t1", "t2", F.transform(F.coalesce("spans", all_of_it), lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"), (F.col("pos") + x["hi"]).alias("hi"))).alias("spans"))
     out = scratch.keep(each.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    scratch.drop(seen, marks)
+    scratch.drop(some, marks)
     return out
 
 
@@ -453,33 +451,50 @@ def removed(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", te
         found = scratch.keep(found.join(more, ["t1", "t2"], "full"), "found")
     else:
         found = found.withColumn("runs", F.col("spans"))
-    rows = marked_rows(docs.select(id_col, F.col(text_col).cast("string").alias(text_col)), found, text_col)
+    rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
+    bits = docs.sparkSession.sparkContext.broadcast(Bitmap(found, "t1"))
+    yes, _, t1, t2 = split_rows(rows, text_col, bits)
+    own = [fresh(yes, f"gl_{c}") for c in found.columns]
+    yes = yes.join(found.toDF(*own), (F.col(t1) == F.col(own[0])) & (F.col(t2) == F.col(own[1])), "left").select(id_col, text_col, *own[2:])
+
+    def report(ids: pa.Array, buf: np.ndarray, offs: np.ndarray, cut: list, runs: list) -> list:
+        data, o = memoryview(np.ascontiguousarray(buf)), offs.tolist()
+        n_removed, n_spans, sha, kept = [], [], [], []
+        for k, s in enumerate(cut):
+            raw, last, h, gone = data[o[k] : o[k + 1]], 0, hashlib.sha256(), 0
+            m = merge(s)
+            for a, b in m:
+                h.update(raw[last:a])
+                last = b
+                gone += b - a
+            h.update(raw[last:])
+            n_removed.append(gone)
+            n_spans.append(len(m))
+            sha.append(h.hexdigest())
+            kept.append([{"start": a, "end": b} for a, b in m])
+        words = [sum(b - a for a, b in merge(s)) if passages else None for s in runs]
+        return [ids, np.diff(offs), n_removed, n_spans, sha, kept, words]
+
+    def marked():
+        def fn(batch: pa.RecordBatch):
+            yield report(batch.column(0), *K.text_buffers(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+
+        return fn
+
+    def others():
+        known = bits.value
 
-    def make():
         def fn(batch: pa.RecordBatch):
             buf, offs = K.text_buffers(batch.column(1))
-            data, o = memoryview(buf), offs.tolist()
-            n_removed, n_spans, sha, kept = [], [], [], []
-            for k, s in enumerate(batch.column(2).to_pylist()):
-                raw, last, h, gone = data[o[k] : o[k + 1]], 0, hashlib.sha256(), 0
-                m = merge(s)
-                for a, b in m:
-                    h.update(raw[last:a])
-                    last = b
-                    gone += b - a
-                h.update(raw[last:])
-                n_removed.append(gone)
-                n_spans.append(len(m))
-                sha.append(h.hexdigest())
-                kept.append([{"start": a, "end": b} for a, b in m])
-            words = [sum(b - a for a, b in merge(s)) for s in batch.column(3).to_pylist()] if passages else [None] * batch.num_rows
-            yield [batch.column(0), np.diff(offs), n_removed, n_spans, sha, kept, words]
+            rest = pa.array(~known.may_hold(text_hashes(buf, offs)[0]))
+            rows = batch.filter(rest)
+            if rows.num_rows:
+                yield report(rows.column(0), *K.text_buffers(rows.column(1)), [None] * rows.num_rows, [None] * rows.num_rows)
 
         return fn
 
-    return map_arrow(
-        rows, make, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, n_passage_words long"
-    )
+    ddl = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, n_passage_words long"
+    return map_arrow(yes, marked, ddl).unionByName(map_arrow(rows, others, ddl))
 
 
 def in_bytes(raw: bytes, found: list[tuple[int, int]], p: Params) -> list[tuple[int, int]]:
