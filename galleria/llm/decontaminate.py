@@ -4,9 +4,10 @@ Benchmark texts are normalised (ASCII lower case; words are runs of digits, ASCI
 and cut into windows of `n` words; a shorter item is one window. Executors look every window of a document up by hash and
 verify each hit by its words. A document word inside any verified hit is contaminated; spans or documents can be removed.
 
-Scale: map-only over the documents. The window table is broadcast only under a checked bound (`max_broadcast` windows);
-beyond it, it is cut into slices that each stay under it, every slice is scanned, and a document's hits are merged, which
-is the same result for more passes. Hot passages cost their occurrences only.
+Scale: map-only over the documents. The window table is broadcast in slices of at most `max_broadcast` bytes of windows
+(one window more at most). A benchmark of more than one slice is scanned slice by slice: each pass is written, adds its hits
+to those of the passes before it, and its broadcast is destroyed before the next slice is read, so the driver and a worker
+hold one slice at a time. The result is the same for more passes. Hot passages cost their occurrences only.
 
 Defined results: null or empty text has no words and no hits; null items have no windows; equal windows of several items
 count for each; repeated rows are judged each; extra columns are ignored; an empty benchmark marks nothing.
@@ -14,20 +15,24 @@ count for each; repeated rows are judged each; extra columns are ignored; an emp
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galleria.session import Scratch
+
 from . import kernels as K
-from .common import map_arrow
+from .common import fresh, map_arrow
 
-WINDOW, MAX_BROADCAST = 10, 4_000_000
+#: Words of a window; bytes of the windows of a slice, each with its words and items (in a worker's memory some five times that).
+WINDOW, MAX_BROADCAST = 10, 16 << 20
 
 
 @dataclass
@@ -48,23 +53,21 @@ def normal_words(text: str | None) -> list[bytes]:
     return np.where(K.ALNUM[low], low, 0x20).astype(np.uint8).tobytes().split()
 
 
-def slices(benchmark: DataFrame, n: int = WINDOW, item_col: str = "item_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> list[Windows]:
-    """The benchmark's windows in tables of at most max_broadcast windows. The items are read in turn, one partition of
-    them at a time, so the driver holds one table and a partition of items."""
-    out, have = [], defaultdict(set)
-    total = 0
+def slices(benchmark: DataFrame, n: int = WINDOW, item_col: str = "item_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> Iterator[Windows]:
+    """The benchmark's windows in tables of at most max_broadcast bytes, one after the other. The items are read in turn, one
+    partition of them at a time."""
+    have, total, any_ = defaultdict(set), 0, False
     for row in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
         if row["t"] is None or row["i"] is None:
             continue
         for key in _windows_of(normal_words(row["t"]), n):
-            total += key not in have
+            total += len(row["i"]) + (0 if key in have else len(key[1]))
             have[key].add(row["i"])
-        if total >= max_broadcast:
-            out.append(_table(have))
-            have, total = defaultdict(set), 0
-    if have or not out:
-        out.append(_table(have))
-    return out
+            if total >= max_broadcast:
+                yield _table(have)
+                have, total, any_ = defaultdict(set), 0, True
+    if have or not any_:
+        yield _table(have)
 
 
 def _table(have: dict[tuple[int, bytes], set[str]]) -> Windows:
@@ -126,58 +129,69 @@ def _spans(covered: np.ndarray, w: K.Words, offs: np.ndarray) -> tuple[np.ndarra
     return w.starts[s] - offs[doc[s]], w.ends[e] - offs[doc[s]], np.bincount(doc[s], minlength=len(w.counts))
 
 
-_FOUND = [
-    T.StructField("gl_n_words", T.LongType()), T.StructField("gl_n_hit", T.LongType()), T.StructField("gl_items", T.ArrayType(T.StringType())),
-    T.StructField("gl_from", T.ArrayType(T.LongType())), T.StructField("gl_to", T.ArrayType(T.LongType())),
-]
+_KINDS = [T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
+
 
+def _scan(docs: DataFrame, windows: Windows, text_at: int, names: list[str], more: bool) -> tuple[DataFrame, Broadcast]:
+    """docs and the columns `names`: words, hit words, items (ids as strings), first and last bytes of the hit spans.
 
-def scan(docs: DataFrame, windows: list[Windows], text_col: str = "text") -> DataFrame:
-    """docs and gl_n_words, gl_n_hit, gl_items (ids as strings), gl_from and gl_to (bytes of the hit spans)."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(x) for x in windows]
-    at = docs.columns.index(text_col)
+    more: docs has them already as its last columns, and the slice's hits are added."""
+    shared = docs.sparkSession.sparkContext.broadcast(windows)
+    n = len(docs.columns) - len(names) * more
 
     def make():
-        tables = [x.value for x in shared]
+        table = shared.value
 
         def fn(batch: pa.RecordBatch):
-            buf, offs = K.text_buffers(batch.column(at))
+            buf, offs = K.text_buffers(batch.column(text_at))
             for i, j, b, o in K.blocks(buf, offs):
                 low = K.LOWER[b]
                 w = K.Words(low, o, K.ALNUM)
-                covered, items = _hits(low, w, tables[0])
-                for more in tables[1:]:
-                    c, its = _hits(low, w, more)
-                    covered |= c
-                    for x, y in zip(items, its, strict=True):
-                        x |= y
+                covered, items = _hits(low, w, table)
+                if more:
+                    old = [batch.column(n + k).slice(i, j - i) for k in (2, 3, 4)]
+                    for x, y in zip(items, old[0].to_pylist(), strict=True):
+                        x.update(y)
+                    base = np.repeat(o[:-1], np.diff(old[1].offsets.to_numpy()))
+                    marks = np.zeros(len(b) + 1, np.int64)
+                    np.add.at(marks, base + old[1].flatten().to_numpy(), 1)
+                    np.add.at(marks, base + old[2].flatten().to_numpy(), -1)
+                    covered |= np.cumsum(marks)[w.starts] > 0
                 sums = np.concatenate([[0], np.cumsum(covered)])
                 s, e, per = _spans(covered, w, o)
-                names = [sorted(x) for x in items]
-                yield [c.slice(i, j - i) for c in batch.columns] + [
-                    w.counts, sums[w.first[1:]] - sums[w.first[:-1]], pa.array(names, pa.list_(pa.string())),
+                yield [c.slice(i, j - i) for c in batch.columns[:n]] + [
+                    w.counts, sums[w.first[1:]] - sums[w.first[:-1]], pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                     K.list_column(s, per, pa.int64()), K.list_column(e, per, pa.int64()),
                 ]
 
         return fn
 
-    return map_arrow(docs, make, T.StructType([*docs.schema.fields, *_FOUND]))
+    fields = docs.schema.fields[:n] + [T.StructField(c, k) for c, k in zip(names, _KINDS, strict=True)]
+    return map_arrow(docs, make, T.StructType(fields)), shared
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """id, n_words, n_hit, items, spans (bytes of the hit runs) and contaminated: a row per row of docs."""
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("gl_text"))
-    found = scan(rows, slices(benchmark, n, max_broadcast=max_broadcast), "gl_text")
-    spans = F.arrays_zip(F.col("gl_from").alias("start"), F.col("gl_to").alias("end"))
-    return found.select(
-        id_col, F.col("gl_n_words").alias("n_words"), F.col("gl_n_hit").alias("n_hit"), F.col("gl_items").alias("items"),
-        spans.alias("spans"), (F.col("gl_n_hit") > 0).alias("contaminated"),
-    )
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, list[str]]:
+    """(docs and five columns of what was found, as of _scan; their names)."""
+    names, at = [], docs.columns.index(text_col)
+    for c in ("gl_n_words", "gl_n_hit", "gl_items", "gl_from", "gl_to"):
+        names.append(fresh(docs, c))
+    scratch, found, before = Scratch(docs.sparkSession), None, None
+    for windows in slices(benchmark, n, max_broadcast=max_broadcast):
+        if before is not None:
+            kept = scratch.keep(found, "found")
+            before.destroy()
+            found, before = _scan(kept, windows, at, names, True)
+        else:
+            found, before = _scan(docs, windows, at, names, False)
+    return found, names
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """id, n_words, n_hit, items, spans (bytes of the hit runs) and contaminated: a row per row of docs."""
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("gl_text" if id_col != "gl_text" else "gl_text_1"))
+    found, (words, hit, items, lo, hi) = scan(rows, benchmark, n, rows.columns[1], max_broadcast)
+    spans = F.arrays_zip(F.col(lo).alias("start"), F.col(hi).alias("end"))
+    return found.select(id_col, F.col(words).alias("n_words"), F.col(hit).alias("n_hit"), F.col(items).alias("items"), spans.alias("spans"), (F.col(hit) > 0).alias("contaminated"))
 
 
 def _cut(text_at: int, n_cols: int, max_share: float):
@@ -205,8 +219,8 @@ def _cut(text_at: int, n_cols: int, max_share: float):
     return make
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", chars_col: str | None = "n_chars", max_share: float = 0.5) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", chars_col: str | None = "n_chars", max_share: float = 0.5, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with hit spans cut out; documents of which more than max_share of the words are hit are dropped."""
-    found = scan(docs, slices(benchmark, n), text_col)
+    found, _ = scan(docs, benchmark, n, text_col, max_broadcast)
     out = map_arrow(found, _cut(docs.columns.index(text_col), len(docs.columns), max_share), docs.schema)
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out
