@@ -3,14 +3,17 @@
 Words are runs of letters and digits in lower case, shingles are five of them. A template of s shingles belongs to the
 window class W, the smallest power of two of at least 2 s (and 4); texts are read in windows of W shingles every W / 2, so
 an occurrence of the template lies in one window as a whole. If a window holds 80 % of the template's shingles, their
-Jaccard similarity is at least 0.8 s / (W + 0.2 s) > 0.19. With 40 bands of one minimum each the window misses the
-template's bands with a probability below 0.81^40 = 0.0002. Every retrieved pair is verified by its exact containment.
+Jaccard similarity is at least 0.8 s / (W + 0.2 s) > 0.19. With 40 bands of one minimum each, each under a hash function of
+its own, the window misses the template's bands with a probability of some 0.81^40 = 0.0002. Every retrieved pair is
+verified by its exact containment.
 
 Native: DataFrame functions only, no Python on the executors. A text that shares no shingle with any template cannot hold
-80 % of one, so such texts leave before windows are built (an array test against the template shingles; map-only).
+80 % of one, so such texts leave before windows are built.
 
-Scale: templates are a broadcast table under a checked bound (`max_template_shingles`); the texts are not shuffled, and
-matches are aggregated by (document, template). Long texts become many windows, and copies cost their own windows only.
+Scale: up to `FEW_SHINGLES` shingles of templates are a literal of that test and their bands a broadcast table; the texts are
+not shuffled, and matches are aggregated by (document, template). A larger template table is joined: the texts' shingles
+with the templates' to find the documents that share one, and bands by their keys, with no broadcast hint. Long texts become
+many windows, and copies cost their own windows only.
 
 Defined results: null, empty or shorter texts match nothing; rows with equal ids are one document; extra columns are
 ignored; an empty table gives no matches.
@@ -46,7 +49,7 @@ TEMPLATES: list[tuple[str, str, str]] = [
 ]
 
 WORDS, BANDS, CONTAINED = 5, 40, 0.8
-MAX_TEMPLATE_SHINGLES = 100_000
+FEW_SHINGLES = 10_000
 
 
 def template_table(spark: SparkSession, rows: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -62,8 +65,8 @@ def shingles(column: str) -> str:
 
 
 def _minima(window: str) -> str:
-    """SQL of the array of band keys of an array of shingles: the minimum under each band's permutation (XOR by a constant)."""
-    return f"transform(sequence(0, {BANDS - 1}), b -> array_min(transform({window}, x -> x ^ xxhash64(b, 77))))"
+    """SQL of the array of band keys of an array of shingles: the minimum of each band's own hash of them."""
+    return f"transform(sequence(0, {BANDS - 1}), b -> array_min(transform({window}, x -> xxhash64(x, b))))"
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -72,16 +75,20 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, id_col: str = "doc
     templates = templates if templates is not None else template_table(spark)
     t = templates.select("template_id", "license", F.expr(f"array_distinct({shingles('template')})").alias("ts")).filter(F.size("ts") > 0)
     size = t.agg(F.coalesce(F.sum(F.size("ts")), F.lit(0))).first()[0]
-    if size > MAX_TEMPLATE_SHINGLES:
-        raise ValueError(f"templates have {size} shingles; scan them in turns of at most {MAX_TEMPLATE_SHINGLES}")
+    few = size <= FEW_SHINGLES
     t = t.withColumn("w", F.expr("cast(greatest(4, pow(2, ceil(log2(2 * size(ts))))) as int)"))
-    bands = F.broadcast(t.select("template_id", "license", "ts", "w", F.posexplode(F.expr(_minima("ts")))).withColumnsRenamed({"pos": "t_band", "col": "t_key"}))
+    bands = t.select("template_id", "license", "ts", "w", F.posexplode(F.expr(_minima("ts")))).withColumnsRenamed({"pos": "t_band", "col": "t_key"})
+    bands = F.broadcast(bands) if few else bands
     sizes = [r["w"] for r in t.select("w").distinct().collect()]
-    known = F.broadcast(t.agg(F.array_distinct(F.flatten(F.collect_list("ts"))).alias("known")))
+    known = t.select(F.explode("ts").alias("known")).distinct()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     read = rows.select("id", F.expr(shingles("text")).alias("sh"))
-    read = read.join(known, F.arrays_overlap("sh", "known")).drop("known")
+    if few:
+        read = read.filter(F.arrays_overlap("sh", F.array(*[F.lit(r["known"]) for r in known.collect()]).cast("array<bigint>")))
+    else:
+        some = read.select(F.col("id").alias("known_id"), F.explode("sh").alias("s")).join(known, F.col("s") == F.col("known")).select("known_id").distinct()
+        read = read.join(some, F.col("id").eqNullSafe(F.col("known_id")), "left_semi")
     classes = F.array(*[F.lit(int(s)) for s in sizes]) if sizes else F.array().cast("array<int>")
     windows = read.select("id", "sh", F.explode(classes).alias("win")).selectExpr(
         "id", "win", "explode(transform(sequence(0, greatest(0, size(sh) - 1), div(win, 2)), s -> struct(s AS at, array_distinct(slice(sh, s + 1, win)) AS ws))) AS x".replace("div(win, 2)", "cast(win / 2 as int)")
