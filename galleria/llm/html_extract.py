@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_arrow
+from .common import fresh, map_arrow
 
 # Elements by their part in a page, and words that name boilerplate in class, id and role.
 BLOCK_ELEMENTS = frozenset(
@@ -98,7 +98,7 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with what pass one needs to know of each."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, inside boilerplate, inside an article element
+    stack: list[tuple[str, bool, bool, int]] = []  # element; inside boilerplate; inside an article element; links around
     parts: list[str] = []
     linked = links = 0
     boiler = article = False
@@ -156,9 +156,9 @@ def blocks_of(page: str) -> list[Block]:
                     if stack[k][0] == "p":
                         del stack[k:]
                         break
-            up = stack[-1] if stack else ("", False, False)
+            up = stack[-1] if stack else ("", False, False, 0)
             if not (attrs.endswith("/") and name not in BLOCK_ELEMENTS):
-                stack.append((name, up[1] or _marks_boilerplate(name, attrs), up[2] or name in ("article", "main")))
+                stack.append((name, up[1] or _marks_boilerplate(name, attrs), up[2] or name in ("article", "main"), up[3] + (name == "a")))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -166,11 +166,11 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if name not in BLOCK_ELEMENTS and stack[k][0] in BLOCK_ELEMENTS:  # an inline end tag does not close blocks
                     break
-        now = stack[-1] if stack else ("", False, False)
+        now = stack[-1] if stack else ("", False, False, 0)
         if (now[1], now[2]) != (boiler, article):
             flush()
             boiler, article = now[1], now[2]
-        links = sum(1 for x in stack if x[0] == "a") if name == "a" or links else 0
+        links = stack[-1][3] if stack else 0
     flush()
     return out
 
@@ -222,7 +222,7 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
-    """pages without the html column, and the main text of each."""
+    """pages without the html column, and the main text of each in a last column (named afresh if pages has out_col)."""
     at = pages.columns.index(html_col)
     keep = [k for k in range(len(pages.columns)) if k != at]
     kind = pages.schema[html_col].dataType
@@ -237,5 +237,5 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
 
         return fn
 
-    schema = T.StructType([*(pages.schema.fields[k] for k in keep), T.StructField(out_col, T.StringType())])
+    schema = T.StructType([*(pages.schema.fields[k] for k in keep), T.StructField(fresh(pages, out_col), T.StringType())])
     return map_arrow(pages, make, schema)

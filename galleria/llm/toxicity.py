@@ -10,7 +10,7 @@
 3. Classifier. A logistic regression over the features is trained on the posterior labels and scores every document.
 
 Fitting reads a bounded sample of labelled rows: at most `max_toxic` toxic and `max_other` other ones, chosen by a hash of
-the id, and returns counts of at most `max_candidates` features and the sample's votes to the driver. Scoring is map-only
+the id, and returns to the driver the counts of features that at least `min_support` toxic rows of it hold, and its votes. Scoring is map-only
 over whole texts; its model is a broadcast of at most `features` weights.
 
 Defined results: null or empty text has no features and gets the score of the bias; rows with label null are not used;
@@ -43,7 +43,6 @@ HEADS = (4, 5, 6, 7, 8, 9, 10)
 class Params:
     max_toxic: int = 4_000
     max_other: int = 12_000
-    max_candidates: int = 20_000
     features: int = 512
     min_support: int = 5  #: toxic rows that hold a mined feature
     max_false_share: float = 0.1  #: of the rows that hold it, those not toxic
@@ -91,7 +90,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, p: Params, id_col: str,
     toxic = rows.filter("y = 1").orderBy("h", "lid").limit(p.max_toxic)
     other = rows.filter("y = 0").orderBy("h", "lid").limit(p.max_other)
     picked = F.broadcast(toxic.unionByName(other).select("lid", "y"))
-    return docs.join(picked, F.col(id_col) == F.col("lid")).select("y", F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).alias("did"), F.col(text_col).cast("string").alias("text")).join(picked, F.col("did") == F.col("lid")).select("y", "text")
 
 
 def text_features(w: K.Words, only: np.ndarray | None, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None, id_col: str
     counts = "h long, dense boolean, k long, t long"
     sum_up = lambda df: df.groupBy("h", "dense").agg(F.sum("k").alias("k"), F.sum("t").alias("t"))
     toxic = sum_up(map_arrow(sample.filter("y = 1"), _count(None, p), counts)).filter(~F.col("dense") & (F.col("t") >= p.min_support))
-    cand = toxic.orderBy(F.col("t").desc(), "h").limit(p.max_candidates).select("h").toArrow()["h"].to_numpy().view(np.uint64)
+    cand = toxic.select("h").toArrow()["h"].to_numpy().view(np.uint64)
     lex = np.unique(lexicon_hashes())
     got = sum_up(map_arrow(sample, _count(np.union1d(cand, lex), p), counts)).toArrow()
     h, dense, k, t = got["h"].to_numpy().view(np.uint64), got["dense"].to_numpy(zero_copy_only=False), got["k"].to_numpy(), got["t"].to_numpy()

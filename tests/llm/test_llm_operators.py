@@ -281,11 +281,68 @@ def test_license_scan(spark, docs):
     mit = dict((t, x) for t, _, x in license_scan.TEMPLATES)["mit-permission"]
     cut = " ".join(w for k, w in enumerate(mit.split()) if k % 60 != 30)
     data = [(1, f"{filler} Released under the MIT License. {filler}"), (2, filler + " " + cut), (3, " ".join(mit.split()[:20])), (4, filler), (5, None), (6, "Released under the MIT"), (6, "released UNDER the mit, license")]
-    got = multiset(license_scan.scan(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "template_id")
-    assert got == {(1, "mit-short"): 1, (2, "mit-permission"): 1, (6, "mit-short"): 1}
+    few, license_scan.FEW_SHINGLES = license_scan.FEW_SHINGLES, license_scan.FEW_SHINGLES
+    for bound in (few, 0):
+        license_scan.FEW_SHINGLES = bound
+        got = multiset(license_scan.scan(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "template_id")
+        assert got == {(1, "mit-short"): 1, (2, "mit-permission"): 1, (6, "mit-short"): 1}
+    license_scan.FEW_SHINGLES = few
     assert license_scan.scan(docs).isEmpty()
 
 
+def test_license_scan_equals_brute_force(spark):
+    """All texts with a containment of at least 0.8 in a window of the template's class, with random edits about the limit."""
+    r = random.Random(11)
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    data, want = [], set()
+    for k in range(300):
+        name, _, text = license_scan.TEMPLATES[r.randrange(len(license_scan.TEMPLATES))]
+        w = words(text)
+        for _ in range(r.randint(0, max(1, len(w) // 25))):
+            w[r.randrange(len(w))] = f"edit{k}"
+        filler = [f"f{r.randint(0, 9999)}" for _ in range(r.randint(0, 120))]
+        data.append((k, " ".join(filler + w + filler)))
+    for k, t in data:
+        doc = grams(words(t))
+        for name, _, text in license_scan.TEMPLATES:
+            ts = set(grams(words(text)))
+            win = 4
+            while win < 2 * len(ts):
+                win *= 2
+            if ts and max((len(ts & set(doc[i : i + win])) for i in range(0, max(1, len(doc)), win // 2)), default=0) >= 0.8 * len(ts):
+                want.add((k, name))
+    got = set(multiset(license_scan.scan(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "template_id"))
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 100
+
+
+def test_clashing_columns(spark):
+    """Columns with the names that operators use inside pass by."""
+    r = random.Random(12)
+    prose = lambda n: " ".join(r.choice(WORDS) + str(r.randint(0, 999)) for _ in range(n))
+    same, item = prose(120), prose(12)
+    names = "t1 t2 k1 k2 id y n html_text gl_id gl_t1 gl_t2 gl_spans gl_m1 gl_m2 gl_mi gl_stays gl_items gl_n_hit gl_from gl_to gl_flagged gl_kept gl_host gl_mh host rep v label".split()
+    texts = [same, same + " more", prose(60) + " " + item, prose(60), "", None]
+    rows = [(k, t, "s", len(t or ""), *[f"c{k}"] * len(names)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for out, ids in (
+        (quality_rules.clean(df), {0, 1, 2, 3}),
+        (ngram_join.keep_one(df), {0, 2, 3, 4, 5}),
+        (suffix_dedup.clean(df), {1, 2, 3, 4, 5}),
+        (suffix_dedup.clean(df, suffix_dedup.PASSAGES), {1, 2, 3, 4, 5}),
+        (decontaminate.remove(df, bench), {0, 1, 2, 3, 4, 5}),
+        (decontaminate.remove(df, bench, max_broadcast=3), {0, 1, 2, 3, 4, 5}),
+    ):
+        got = out.collect()
+        assert out.columns == df.columns and {x["doc_id"] for x in got} == ids and all(x[c] == f"c{x['doc_id']}" for x in got for c in names)
+        assert all(x["n_chars"] == len(x["text"]) for x in got if x["text"] is not None)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(6)], "doc_id long, toxic int")
+    assert toxicity.score(df, toxicity.fit(df, labels)).count() == 6
+    page = spark.createDataFrame([(1, "<p>x</p>", "old")], "page_id long, html string, text string")
+    assert html_extract.extract(page).columns == ["page_id", "text", "text_1"]
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     prose = lambda n: [f"v{r.randint(0, 3000)}" for _ in range(n)]
