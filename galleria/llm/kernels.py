@@ -184,6 +184,12 @@ class Rolling:
         s = self.sums[family]
         return mix((s[b] - s[a]) * self.inv[family][a] + (b - a).astype(np.uint64))
 
+    def plain_grams(self, k: int, family: int = 0) -> np.ndarray:
+        """Hashes of k units from every place on, without the finishing step."""
+        s = self.sums[family]
+        n = len(s) - k
+        return (s[k:] - s[:n]) * self.inv[family][:n] if n > 0 else np.zeros(0, np.uint64)
+
     def grams(self, k: int, family: int = 0) -> np.ndarray:
         s = self.sums[family]
         n = len(s) - k

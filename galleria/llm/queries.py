@@ -54,7 +54,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Besides the columns by bytes, the words of each text in repeated passages of over 50 words, which may have less than 400 bytes."""
+    """Besides the columns by bytes: repeats, true also for repeated passages of over 50 words that have less than 400 bytes."""
     return suffix_dedup.removed(table(spark, sf_dir, "documents"), passages=suffix_dedup.PASSAGES)
 
 

@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,7 +81,7 @@ def body_units(col: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(roll: K.Rolling, offs: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """(positions in the block, gram hashes) of every run's anchor, ascending."""
-    g = roll.grams(p.gram)
+    g = roll.plain_grams(p.gram)
     w = p.reach + 1
     n = len(g)
     if n < w:
@@ -98,18 +99,42 @@ def anchors(roll: K.Rolling, offs: np.ndarray, p: Params) -> tuple[np.ndarray, n
     np.add.at(inside, lo[ok], 1)
     np.add.at(inside, hi[ok], -1)
     valid = np.cumsum(inside)[: len(least)] > 0
-    at = np.unique((least[valid] & np.uint64((1 << bits) - 1)).astype(np.int64))
-    return at, g[at]
+    at = (least[valid] & np.uint64((1 << bits) - 1)).astype(np.int64)  # ascending, as the runs are
+    at = at[np.flatnonzero(np.diff(at, prepend=-1))]
+    return at, K.mix(g[at])
 
 
-def _scan(p: Params, kind: str):
+def _anchor_lists(p: Params):
+    """Of each text: its hash and the hashes of its anchors."""
+
     def make():
+        def fn(batch: pa.RecordBatch):
+            buf, offs = K.text_buffers(batch.column(0))
+            for _, _, b, bo in K.blocks(buf, offs):
+                u, o = units(b, bo, p)
+                at, h = anchors(K.Rolling(u, (0,)), o, p)
+                yield [*text_hashes(b, bo), K.list_column(K.signed(h), np.diff(np.searchsorted(at, o)), pa.int64())]
+
+        return fn
+
+    return make, "t1 long, t2 long, ahs array<long>"
+
+
+def _scan(p: Params, kind: str, asked=None):
+    """Anchors of each text with the hashes of their contexts; asked: only those whose hash may be in a bitmap."""
+
+    def make():
+        bits = asked.value if asked else None
+
         def fn(batch: pa.RecordBatch):
             buf, offs = K.text_buffers(batch.column(1))
             for i, j, b, bo in K.blocks(buf, offs):
                 u, o = units(b, bo, p)
                 roll = K.Rolling(u)
                 at, h = anchors(roll, o, p)
+                if bits is not None:
+                    pick = bits.may_hold(h)
+                    at, h = at[pick], h[pick]
                 if not len(at):
                     continue
                 doc = np.searchsorted(o, at, "right") - 1
@@ -373,15 +398,25 @@ def by_counting(contexts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     return single.unionByName(whole).groupBy("ah", "c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
-def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
-    """(t1, t2, spans): by text hash, the byte spans to remove (not merged)."""
+def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: str, done: DataFrame | None = None) -> DataFrame:
+    """(t1, t2, spans): by text hash, the spans to remove (not merged).
+
+    done: (t1, t2) of texts that are not asked about; others are compared with them, but they may come without spans."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    seen = scratch.keep(map_arrow(rows, *_scan(p, kind)), "anchors")
-    repeated = seen.groupBy("ah").agg(F.count("*").alias("k")).filter("k > 1")
-    bitmap = spark.sparkContext.broadcast(Bitmap(repeated, "ah", 1 << 26))
-    some = scratch.keep(map_arrow(seen, _keep_rows(bitmap, seen.columns.index("ah")), seen.schema), "repeated")
+    if done is None:
+        seen = scratch.keep(map_arrow(rows, *_scan(p, kind)), "anchors")
+        repeated = seen.groupBy("ah").agg(F.count("*").alias("k")).filter("k > 1")
+        bitmap = spark.sparkContext.broadcast(Bitmap(repeated, "ah", 1 << 26))
+        some = scratch.keep(map_arrow(seen, _keep_rows(bitmap, seen.columns.index("ah")), seen.schema), "repeated")
+    else:
+        seen = scratch.keep(map_arrow(rows.select("text"), *_anchor_lists(p)), "anchors")
+        asked = seen.join(done.select(F.col("t1").alias("d1"), F.col("t2").alias("d2")), (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")), "left_anti")
+        repeated = seen.select(F.explode("ahs").alias("ah")).groupBy("ah").agg(F.count("*").alias("k")).filter("k > 1")
+        repeated = repeated.join(asked.select(F.explode("ahs").alias("ah")).distinct(), "ah", "left_semi")
+        bitmap = spark.sparkContext.broadcast(Bitmap(repeated, "ah", 1 << 26))
+        some = scratch.keep(map_arrow(rows, *_scan(p, kind, bitmap)), "repeated")
     scratch.drop(seen)
     contexts = some.groupBy("ah", "c1", "c2").agg(
         F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "t1", "t2", "pos", "l")]  # of one row
@@ -417,15 +452,28 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     return out
 
 
-def merge(found: list[dict] | None) -> list[tuple[int, int]]:
-    """Spans put together where they meet or overlap."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((x["lo"], x["hi"]) for x in found or []):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def merge(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, end) of each row's spans, put together where they meet or overlap. col: lists of (lo, hi), or nulls."""
+    both = col.flatten()
+    row = np.repeat(np.arange(len(col)), np.nan_to_num(pc.list_value_length(col).to_numpy(zero_copy_only=False)).astype(np.int64))
+    lo, hi = (both.field(c).to_numpy().astype(np.int64) for c in ("lo", "hi"))
+    if not len(row):
+        return row, lo, hi
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    step = int(hi.max()) + 2  # rows one after the other, with a gap
+    top = np.maximum.accumulate(hi + row * step)
+    new = np.ones(len(row), bool)
+    new[1:] = lo[1:] + row[1:] * step > top[:-1]
+    at = np.flatnonzero(new)
+    return row[at], lo[at], (top - row * step)[np.append(at[1:], len(row)) - 1]
+
+
+def by_row(found: tuple[np.ndarray, np.ndarray, np.ndarray], rows: int) -> list[list[tuple[int, int]]]:
+    row, lo, hi = found
+    ends = np.searchsorted(row, np.arange(rows + 1)).tolist()
+    pairs = list(zip(lo.tolist(), hi.tolist(), strict=True))
+    return [pairs[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def marked_rows(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
@@ -437,63 +485,63 @@ def marked_rows(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
 
 
 def removed(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text", passages: Params | None = None) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans, and n_passage_words: a row per row of docs.
+    """id, n_bytes, n_removed, n_spans, kept_sha256, the removed spans, and repeats: a row per row of docs.
 
-    Units are bytes. passages: units are words; n_passage_words counts those in repeated runs of so many (else it is null)."""
+    Units are bytes. passages: units are words; repeats tells whether a text has bytes to remove or, if that is given, holds a
+    repeated run of so many words."""
     p = p or Params()
     if p.words or passages and not passages.words:
-        raise ValueError("removed() takes bytes away and counts words")
+        raise ValueError("removed() takes bytes away and looks for words")
     kind = docs.schema[id_col].dataType.simpleString()
     scratch = Scratch(docs.sparkSession)
     found = spans(docs, p, scratch, id_col, text_col)
     if passages:
-        more = spans(docs, passages, scratch, id_col, text_col).withColumnRenamed("spans", "runs")
+        more = spans(docs, passages, scratch, id_col, text_col, found).select("t1", "t2", F.lit(True).alias("runs"))
         found = scratch.keep(found.join(more, ["t1", "t2"], "full"), "found")
     else:
-        found = found.withColumn("runs", F.col("spans"))
+        found = found.withColumn("runs", F.lit(False))
     rows = docs.select(id_col, F.col(text_col).cast("string").alias(text_col))
     bits = docs.sparkSession.sparkContext.broadcast(Bitmap(found, "t1"))
     yes, _, t1, t2 = split_rows(rows, text_col, bits)
     own = [fresh(yes, f"gl_{c}") for c in found.columns]
     yes = yes.join(found.toDF(*own), (F.col(t1) == F.col(own[0])) & (F.col(t2) == F.col(own[1])), "left").select(id_col, text_col, *own[2:])
 
-    def report(ids: pa.Array, buf: np.ndarray, offs: np.ndarray, cut: list, runs: list) -> list:
+    def report(ids: pa.Array, buf: np.ndarray, offs: np.ndarray, cut: tuple, runs: np.ndarray) -> list:
         data, o = memoryview(np.ascontiguousarray(buf)), offs.tolist()
-        n_removed, n_spans, sha, kept = [], [], [], []
-        for k, s in enumerate(cut):
-            raw, last, h, gone = data[o[k] : o[k + 1]], 0, hashlib.sha256(), 0
-            m = merge(s)
-            for a, b in m:
+        sha = []
+        for k, spans_ in enumerate(by_row(cut, len(ids))):
+            raw, last, h = data[o[k] : o[k + 1]], 0, hashlib.sha256()
+            for a, b in spans_:
                 h.update(raw[last:a])
                 last = b
-                gone += b - a
             h.update(raw[last:])
-            n_removed.append(gone)
-            n_spans.append(len(m))
             sha.append(h.hexdigest())
-            kept.append([{"start": a, "end": b} for a, b in m])
-        words = [sum(b - a for a, b in merge(s)) if passages else None for s in runs]
-        return [ids, np.diff(offs), n_removed, n_spans, sha, kept, words]
+        row, lo, hi = cut
+        per = np.bincount(row, minlength=len(ids))
+        gone = np.bincount(row, hi - lo, minlength=len(ids)).astype(np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
+        kept = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["start", "end"]))
+        return [ids, np.diff(offs), gone, per, sha, kept, runs | (gone > 0)]
 
     def marked():
         def fn(batch: pa.RecordBatch):
-            yield report(batch.column(0), *K.text_buffers(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield report(batch.column(0), *K.text_buffers(batch.column(1)), merge(batch.column(2)), np.array(batch.column(3).fill_null(False)))
 
         return fn
 
     def others():
         known = bits.value
+        none = (np.zeros(0, np.int64),) * 3
 
         def fn(batch: pa.RecordBatch):
             buf, offs = K.text_buffers(batch.column(1))
-            rest = pa.array(~known.may_hold(text_hashes(buf, offs)[0]))
-            rows = batch.filter(rest)
+            rows = batch.filter(pa.array(~known.may_hold(text_hashes(buf, offs)[0])))
             if rows.num_rows:
-                yield report(rows.column(0), *K.text_buffers(rows.column(1)), [None] * rows.num_rows, [None] * rows.num_rows)
+                yield report(rows.column(0), *K.text_buffers(rows.column(1)), none, np.zeros(rows.num_rows, bool))
 
         return fn
 
-    ddl = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, n_passage_words long"
+    ddl = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, repeats boolean"
     return map_arrow(yes, marked, ddl).unionByName(map_arrow(rows, others, ddl))
 
 
@@ -513,12 +561,12 @@ def clean(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text
 
     def make():
         def fn(batch: pa.RecordBatch):
-            texts, found = batch.column(at).to_pylist(), batch.column(n).to_pylist()
+            texts, found = batch.column(at).to_pylist(), by_row(merge(batch.column(n)), batch.num_rows)
             out = []
             for t, s in zip(texts, found, strict=True):
                 if s:
                     raw, parts, last = t.encode(), [], 0
-                    for a, b in in_bytes(raw, merge(s), p):
+                    for a, b in in_bytes(raw, s, p):
                         parts.append(raw[last:a].decode("utf-8", "ignore"))
                         last = b
                     t = "".join([*parts, raw[last:].decode("utf-8", "ignore")])

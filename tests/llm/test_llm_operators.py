@@ -113,6 +113,17 @@ def test_suffix_dedup(docs, rows, params):
     assert multiset(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(rows, p.length)
 
 
+def test_repeats_by_bytes_or_words(docs, rows):
+    """Texts with a 400-byte string or 51 words that start anywhere else too."""
+    raw = [(r[1] or "").encode() for r in rows]
+    by = Counter(x[i : i + 400] for x in raw for i in range(len(x) - 399))
+    words = [x.split() for x in raw]
+    runs = Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    want = Counter((r[0], any(by[x[i : i + 400]] > 1 for i in range(len(x) - 399)) or any(runs[tuple(w[i : i + 51])] > 1 for i in range(len(w) - 50))) for r, x, w in zip(rows, raw, words))
+    assert multiset(suffix_dedup.removed(docs, passages=suffix_dedup.PASSAGES), "doc_id", "repeats") == want
+    assert len({x for _, x in want}) == 2
+
+
 def test_suffix_dedup_keeps_characters_whole(spark):
     a = "é" * 300
     df = spark.createDataFrame([(1, "x" + a, "s"), (2, "yz" + a, "s"), (3, "clean", "s")], "doc_id long, text string, source string")
