@@ -137,7 +137,7 @@ def load_images(images: DataFrame, subjects: DataFrame, removed: DataFrame | Non
 def positions(images: DataFrame) -> DataFrame:
     """Number of each image in the stable order (order, image_id), from 0: by subject counts first, then inside each subject."""
     n = images.groupBy("order", "subject").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("order").rowsBetween(Window.unboundedPreceding, -1)  # a row per subject
+    before = Window.partitionBy(F.lit(0)).orderBy("order", "subject").rowsBetween(Window.unboundedPreceding, -1)  # a row per subject
     start = n.select(F.col("subject").alias("ps"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("subject").orderBy("image_id")
     return images.join(F.broadcast(start), F.col("subject") == F.col("ps")).withColumn("pos", F.col("start") + F.row_number().over(inside) - 1).drop("ps", "start")

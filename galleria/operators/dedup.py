@@ -32,25 +32,33 @@ def tile_pairs(a: DataFrame, b: DataFrame | None, key_a: str, tiles: int) -> Dat
     return left.join(right, ["i", "j"]).select("x", "y")
 
 
-def bands_of(h: Column, distance: int) -> Column:
-    """distance + 1 bit bands of a hash: two hashes within the distance agree in at least one."""
-    n = distance + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")).alias("bits")) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def bands_of(hashes: DataFrame, distance: int) -> list[int]:
+    """Masks of distance + 1 bands of the bits of `h`: two hashes within the distance agree in at least one.
+
+    Any dealing of bits to bands is exact; they are dealt in turn by how evenly they are set, so that each band selects."""
+    shares = hashes.agg(*[F.avg(F.getbit("h", F.lit(k)).cast("double")).alias(f"b{k}") for k in range(64)]).first()
+    order = sorted(range(64), key=lambda k: abs((shares[k] if shares[k] is not None else 0.5) - 0.5))
+    masks = [sum(1 << k for k in order[i :: distance + 1]) for i in range(distance + 1)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def hamming_pairs(a: DataFrame, distance: int, b: DataFrame | None = None, tiles: int = 8) -> DataFrame:
     """(id_a, id_b, dist) of 64-bit hashes within a Hamming distance; inputs (id, h). One table: id_a < id_b.
 
-    Small distances join on equal bands (exact by the pigeonhole principle); where bands would be under 8 bits they select
-    too little, and the pairs are tiled."""
+    Small distances join on equal bands (exact by the pigeonhole principle), each pair in the first band that it agrees in;
+    where bands would be under 8 bits they select too little, and the pairs are tiled."""
     if 64 // (distance + 1) >= 8:
-        left = a.select(F.col("id").alias("id_a"), F.col("h").alias("ha"), F.explode(bands_of(F.col("h"), distance)).alias("k"))
+        masks = bands_of(a, distance)
+        bands = lambda h: F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(h).bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])).alias("k")
+        left = a.select(F.col("id").alias("id_a"), F.col("h").alias("ha")).select("*", bands("ha"))
         other = a if b is None else b
-        right = other.select(F.col("id").alias("id_b"), F.col("h").alias("hb"), F.explode(bands_of(F.col("h"), distance)).alias("k"))
+        right = other.select(F.col("id").alias("id_b"), F.col("h").alias("hb")).select("*", bands("hb"))
         met = left.join(right, "k")
         met = met.filter("id_a < id_b") if b is None else met
-        return met.select("id_a", "id_b", X.hamming64(F.col("ha"), F.col("hb")).alias("dist")).filter(F.col("dist") <= distance).distinct()
+        differ = F.col("ha").bitwiseXOR(F.col("hb"))
+        first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
+        met = met.filter((F.bit_count(differ) <= distance) & (first == F.col("k.band")))
+        return met.select("id_a", "id_b", X.hamming64(F.col("ha"), F.col("hb")).alias("dist"))
     pairs = tile_pairs(a.select("id", "h"), None if b is None else b.select("id", "h"), "id", tiles)
     return pairs.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), X.hamming64(F.col("x.h"), F.col("y.h")).alias("dist")).filter(F.col("dist") <= distance)
 

@@ -113,15 +113,15 @@ def remove(old: DataFrame, match: dict) -> tuple[DataFrame, int]:
 
 
 def should_skip(stored: DataFrame, planned: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
-    """planned with `skip`: whether the stored row of the keys has the same facts: text exactly, numbers within a relative
-    1e-12 (as text where either is no number)."""
+    """planned with `skip`: whether the stored row of the keys has the same facts: text exactly, numbers within 1e-12 of
+    the larger of them and 1 (as text where either is no number)."""
     s = stored.select(*[F.col(k).cast("string").alias(f"k_{k}") for k in keys], *[F.col(f).cast("string").alias(f"s_{f}") for f in facts])
 
     def same(f: str) -> Column:
         a, b = F.col(f"s_{f}"), F.col(f).cast("string")
         numeric = isinstance(planned.schema[f].dataType, T.NumericType)
         x, y = F.expr(f"try_cast(`s_{f}` AS double)"), F.expr(f"try_cast(`{f}` AS double)")
-        close = F.abs(x - y) <= F.greatest(F.abs(x), F.abs(y)) * 1e-12
+        close = F.abs(x - y) <= F.greatest(F.lit(1.0), F.abs(x), F.abs(y)) * 1e-12
         return F.when(x.isNotNull() & y.isNotNull(), close).otherwise(a == b) if numeric else a == b
 
     on = reduce(lambda x, y: x & y, [F.col(f"k_{k}").eqNullSafe(F.col(k).cast("string")) for k in keys])

@@ -38,7 +38,7 @@ def similarities(probes: DataFrame, gallery: DataFrame, exclude_self: bool = Fal
 
     n = lambda d: d.select("id", "cls", X.l2_normalize(F.col("v")).alias("f"))
     g, p = n(gallery), n(probes)
-    cells = gallery.count() * 64
+    cells = gallery.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()[0]
     if cells <= MAX_BROADCAST_CELLS:
         g = g.select(F.col("id").alias("gid"), F.col("cls").alias("gallery_cls"), F.col("f").alias("gf"))
         out = p.crossJoin(F.broadcast(g)).select(F.col("id").alias("probe"), F.col("cls").alias("y"), "gallery_cls", "gid", X.dot(F.col("f"), F.col("gf")).alias("sim"))

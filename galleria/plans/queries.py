@@ -91,7 +91,7 @@ def near_dup_hamming_pairs(spark, sf):
 def hamming_pairs_banded(spark, sf):
     """Small distances over order totals as hashes: the banded join."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") * 100).cast("long").alias("h"))
-    return dedup.hamming_pairs(o.filter("id % 8 = 1"), 2).select("id_a", "id_b", F.col("dist").cast("int").alias("dist"))
+    return dedup.hamming_pairs(o, 2).select("id_a", "id_b", F.col("dist").cast("int").alias("dist"))
 
 
 @query
@@ -183,8 +183,8 @@ def review_consolidation(spark, sf):
 @query
 def review_applied(spark, sf):
     e = table(spark, sf, "events")
-    rev = e.filter("event_id < 400").select(F.col("event_id").alias("id"), F.col("event_type").alias("reason"), F.when(F.col("event_id") % 3 == 0, " Yes ").when(F.col("event_id") % 5 == 0, "x").otherwise("no").alias("remove"))
-    earlier = e.filter("event_id % 6 = 0 AND event_id < 600").select(F.col("event_id").alias("id"), F.lit("earlier").alias("reason"))
+    rev = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("reason"), F.when(F.col("event_id") % 3 == 0, " Yes ").when(F.col("event_id") % 5 == 0, "x").otherwise("no").alias("remove"))
+    earlier = e.filter("event_id % 6 = 0").select(F.col("event_id").alias("id"), F.lit("earlier").alias("reason"))
     return dedup.apply_review(rev, earlier, e.select(F.col("event_id").alias("id")))
 
 
@@ -530,7 +530,7 @@ def mean_cmc(spark, sf):
 
 @query
 def loo_identification(spark, sf):
-    v = vecs(spark, sf).select("id", F.col("subject").alias("cls"), "v").filter("id < 400")
+    v = vecs(spark, sf).select("id", F.col("subject").alias("cls"), "v")
     s = vector.leave_one_out(v).withColumn("sim", F.round("sim", 9))
     return rounded(metrics.rank_summary(metrics.identification_ranks(metrics.identity_scores(s)), 10, (1, 5)))
 
@@ -554,7 +554,7 @@ def pair_scores(spark, sf):
 
 @query
 def verification_eer_tar(spark, sf):
-    v = vecs(spark, sf).filter("id < 300")
+    v = vecs(spark, sf)
     n = v.select("id", "subject", X.l2_normalize(F.col("v")).alias("f"))
     p = dedup.tile_pairs(n, None, "id", 4).select((F.col("x.subject") == F.col("y.subject")).alias("same"), F.round(X.dot(F.col("x.f"), F.col("y.f")), 6).alias("score"))
     p = Scratch(spark).keep(p, "scores")
@@ -592,7 +592,7 @@ def top_models(spark, sf):
 
 @query
 def best_epochs(spark, sf):
-    log = table(spark, sf, "lineitem").filter("l_orderkey % 4 = 1").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("epoch")).agg(F.max("l_quantity").alias("val"))
+    log = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("epoch")).agg(F.max("l_quantity").alias("val"))
     return summary.first_best_epoch(log, "val", 2)
 
 

@@ -151,13 +151,17 @@ class ResultStore:
             raise
 
     def _put(self, df: DataFrame) -> None:
-        """Write beside, then move: a reader sees the old table or the new one."""
+        """Write beside, then move the old table away and the new one in: there is a whole table at every moment, but for one
+        between the two moves in which none has the name."""
         tmp = f"{self.path}.tmp"
         df.write.mode("overwrite").parquet(tmp)
         p = self.spark._jvm.org.apache.hadoop.fs.Path
         fs = p(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(p(self.path), True)
-        fs.rename(p(tmp), p(self.path))
+        old = p(f"{self.path}.old")
+        fs.delete(old, True)
+        if fs.exists(p(self.path)) and not fs.rename(p(self.path), old) or not fs.rename(p(tmp), p(self.path)):
+            raise OSError(f"{tmp} could not be moved to {self.path}")
+        fs.delete(old, True)
         self.spark.catalog.refreshByPath(self.path)
 
     def upsert(self, new: DataFrame) -> None:
@@ -188,8 +192,10 @@ class ResultStore:
             return None
         from galleria.functions.expr import sel
 
-        rows = old.filter(sel(**match)).limit(2).collect()
-        return rows[-1] if rows else None
+        from pyspark.sql import functions as F
+
+        rows = old.filter(sel(**match)).select(F.struct(*old.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+        return rows.agg(F.max_by("row", "at").alias("row")).first()["row"]
 
     def should_skip(self, planned: DataFrame, facts: list[str], overwrite: bool = False) -> DataFrame:
         old = self.load()
