@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +74,11 @@ def cosine_pairs_within_groups(vectors: DataFrame, least: float) -> DataFrame:
     return a.join(b, "subject").filter("id_a < id_b").select("id_a", "id_b", X.dot(F.col("fa"), F.col("fb")).alias("cos")).filter(F.col("cos") >= least)
 
 
+def union_pairs(*parts: DataFrame) -> DataFrame:
+    """(id_a, id_b) of several searches, each pair once."""
+    return reduce(lambda a, b: a.unionByName(b), [p.select("id_a", "id_b") for p in parts]).distinct()
+
+
 def cross_cosine_pairs(a: DataFrame, b: DataFrame, least: float, tiles: int = 8) -> DataFrame:
     """(id_a, id_b, cos) over two sets of (id, v), tiled."""
     n = lambda d: d.select("id", X.l2_normalize(F.col("v")).alias("f"))
@@ -143,11 +152,10 @@ def subject_overlap(pairs: DataFrame, a: DataFrame, b: DataFrame, least: int) ->
     return named.groupBy("subject_a", "subject_b").agg(F.countDistinct("id_a").alias("n_matched")).filter(F.col("n_matched") >= least)
 
 
-def centroids(vectors: DataFrame) -> DataFrame:
-    """(subject, c): mean of normalised vectors (id, subject, v), element by element, combined map-side."""
-    cells = vectors.select("subject", F.posexplode(X.l2_normalize(F.col("v"))).alias("k", "x"))
-    means = cells.groupBy("subject", "k").agg(F.avg("x").alias("m"))
-    return means.groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda s: s["m"]).alias("c"))
+def centroids(vectors: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(subject, c): mean of normalised vectors (subject, v); whole vectors are summed map-side, none is taken apart."""
+    rows = vectors.filter("v IS NOT NULL").select(*by, "subject", array_to_vector(X.l2_normalize(F.col("v"))).alias("f"))
+    return rows.groupBy(*by, "subject").agg(Summarizer.mean(F.col("f")).alias("m")).select(*by, "subject", vector_to_array("m").alias("c"))
 
 
 def outlier_scores(vectors: DataFrame) -> DataFrame:

@@ -1,30 +1,42 @@
 """Evaluation metrics over long-form tables. Percentages are times 100.
 
 Scores are rows (probe, cls, score); labels are (probe, y). Ranking windows are partitioned by probe, so the tables may be
-of any length; counts of classes and clusters are combined map-side.
+of any length; counts of classes and clusters are combined map-side. With `by`, the columns of a run (model, shot, episode),
+a measure has one row for each run, all of them in one plan.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+By = tuple[str, ...]
+
+#: Most cells of a matrix of clusters x classes that one assignment takes (8 bytes each).
+MAX_ASSIGNMENT = 16_000_000
 
 
 def pct(c: Column) -> Column:
     return c * 100.0
 
 
-def ranked(scores: DataFrame) -> DataFrame:
+def beside(a: DataFrame, b: DataFrame, by: By = ()) -> DataFrame:
+    """Two tables of one row a run side by side."""
+    return a.join(b, list(by)) if by else a.crossJoin(b)
+
+
+def ranked(scores: DataFrame, by: By = ()) -> DataFrame:
     """Place of each class among a probe's scores; of equals the lower class is first."""
-    w = Window.partitionBy("probe").orderBy(F.col("score").desc(), F.col("cls"))
+    w = Window.partitionBy(*by, "probe").orderBy(F.col("score").desc(), F.col("cls"))
     return scores.withColumn("place", F.row_number().over(w))
 
 
-def predictions(scores: DataFrame) -> DataFrame:
+def predictions(scores: DataFrame, by: By = ()) -> DataFrame:
     """(probe, pred): the class of the highest score."""
-    return ranked(scores).filter("place = 1").select("probe", F.col("cls").alias("pred"))
+    return ranked(scores, by).filter("place = 1").select(*by, "probe", F.col("cls").alias("pred"))
 
 
 def top_lists(scores: DataFrame, k: int = 5) -> DataFrame:
@@ -40,58 +52,62 @@ def topk_correct(scores: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return labels.join(own, "probe", "left").select("probe", "y", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-def class_counts(pairs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def class_counts(pairs: DataFrame, labels: DataFrame | None = None, by: By = ()) -> DataFrame:
     """(cls, tp, fp, fn, support) over labels present in y (or given); pairs: (y, pred)."""
-    c = pairs.groupBy("y", "pred").agg(F.count("*").alias("n"))
-    true = c.groupBy(F.col("y").alias("cls")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
-    said = c.groupBy(F.col("pred").alias("pc")).agg(F.sum("n").alias("said"))
-    base = true if labels is None else labels.join(true, "cls", "left")
+    c = pairs.groupBy(*by, "y", "pred").agg(F.count("*").alias("n"))
+    true = c.groupBy(*by, F.col("y").alias("cls")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
+    said = c.groupBy(*by, F.col("pred").alias("cls")).agg(F.sum("n").alias("said"))
+    base = true
+    if labels is not None:
+        base = (c.select(*by).distinct().crossJoin(labels) if by else labels).join(true, [*by, "cls"], "left")
     z = lambda x: F.coalesce(x, F.lit(0)).cast("long")
-    out = base.join(said, F.col("cls") == F.col("pc"), "left")
-    return out.select("cls", z(F.col("tp")).alias("tp"), (z(F.col("said")) - z(F.col("tp"))).alias("fp"), (z(F.col("support")) - z(F.col("tp"))).alias("fn"), z(F.col("support")).alias("support"))
+    out = base.join(said, [*by, "cls"], "left")
+    return out.select(*by, "cls", z(F.col("tp")).alias("tp"), (z(F.col("said")) - z(F.col("tp"))).alias("fp"), (z(F.col("support")) - z(F.col("tp"))).alias("fn"), z(F.col("support")).alias("support"))
 
 
 def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def prf_per_class(counts: DataFrame) -> DataFrame:
+def prf_per_class(counts: DataFrame, by: By = ()) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return counts.select("cls", "support", pct(ratio(tp, tp + fp)).alias("precision"), pct(ratio(tp, tp + fn)).alias("recall"), pct(ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"))
+    return counts.select(*by, "cls", "support", pct(ratio(tp, tp + fp)).alias("precision"), pct(ratio(tp, tp + fn)).alias("recall"), pct(ratio(2 * tp, 2 * tp + fp + fn)).alias("f1"))
 
 
-def prf(counts: DataFrame) -> DataFrame:
+def prf(counts: DataFrame, by: By = ()) -> DataFrame:
     """One row: macro and support-weighted precision, recall and F1; zero divisions are 0."""
-    per = prf_per_class(counts)
+    per = prf_per_class(counts, by)
     cols = []
     for m in ("precision", "recall", "f1"):
         cols.append(F.avg(m).alias(f"macro_{m}"))
         cols.append((F.sum(F.col(m) * F.col("support")) / F.when(F.sum("support") > 0, F.sum("support"))).alias(f"weighted_{m}"))
-    return per.agg(*cols)
+    return per.groupBy(*by).agg(*cols)
 
 
-def identity_metrics(scores: DataFrame, labels: DataFrame) -> DataFrame:
+def identity_metrics(scores: DataFrame, labels: DataFrame, by: By = ()) -> DataFrame:
     """One row: top1, top1_subject_mean, top5, top10, and macro / weighted precision, recall, F1 over the true classes."""
-    own = ranked(scores).join(labels, "probe").filter(F.col("cls") == F.col("y")).select("probe", "place")
-    hits = labels.join(own, "probe", "left")
+    on = [*by, "probe"]
+    placed = ranked(scores, by).join(labels, on)
+    hits = labels.join(placed.filter(F.col("cls") == F.col("y")).select(*on, "place"), on, "left")
     share = lambda k: pct(F.avg(F.when(F.col("place") <= k, 1.0).otherwise(0.0)))
-    per = hits.groupBy("y").agg(share(1).alias("s"))
-    p = predictions(scores).join(labels, "probe").select("y", "pred")
-    return hits.agg(share(1).alias("top1"), share(5).alias("top5"), share(10).alias("top10")).crossJoin(per.agg(F.avg("s").alias("top1_subject_mean"))).crossJoin(prf(class_counts(p)))
+    per = hits.groupBy(*by, "y").agg(share(1).alias("s")).groupBy(*by).agg(F.avg("s").alias("top1_subject_mean"))
+    p = placed.filter("place = 1").select(*by, "y", F.col("cls").alias("pred"))
+    top = hits.groupBy(*by).agg(share(1).alias("top1"), share(5).alias("top5"), share(10).alias("top10"))
+    return beside(beside(top, per, by), prf(class_counts(p, by=by), by), by)
 
 
-def roc_auc(rows: DataFrame) -> DataFrame:
+def roc_auc(rows: DataFrame, by: By = ()) -> DataFrame:
     """One row auc (percent, null for a single class) of (y, p): by counts of distinct scores, ties counted half.
 
     Rows are aggregated by score first; running counts go over score ranges in two levels, so no task holds all scores."""
-    s = rows.groupBy("p").agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b"))
-    s = running(s, "p", {"b": "less"})
+    s = rows.groupBy(*by, "p").agg(F.sum((F.col("y") == 1).cast("long")).alias("a"), F.sum((F.col("y") != 1).cast("long")).alias("b"))
+    s = running(s, "p", {"b": "less"}, by=by)
     u = F.sum(F.col("a") * (F.col("less") + F.col("b") / 2.0))
     n1, n0 = F.sum("a"), F.sum("b")
-    return s.agg(F.when((n1 > 0) & (n0 > 0), pct(u / (n1 * n0))).alias("auc"))
+    return s.groupBy(*by).agg(F.when((n1 > 0) & (n0 > 0), pct(u / (n1 * n0))).alias("auc"))
 
 
-def running(rows: DataFrame, order: str, sums: dict[str, str], buckets: int = 64) -> DataFrame:
+def running(rows: DataFrame, order: str, sums: dict[str, str], buckets: int = 64, by: By = ()) -> DataFrame:
     """Sums of the rows before each (by an ordered double column), in two levels: ranges by quantiles, then inside each.
 
     Range bounds come from approximate quantiles; sums are exact whatever they are."""
@@ -102,50 +118,50 @@ def running(rows: DataFrame, order: str, sums: dict[str, str], buckets: int = 64
     else:
         bucket = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda n, c: n + F.when(F.col(order) > c, 1).otherwise(0))
     tagged = rows.withColumn("gl_bucket", bucket)
-    totals = tagged.groupBy("gl_bucket").agg(*[F.sum(c).alias(f"gl_{c}") for c in sums])
-    over = Window.partitionBy(F.lit(0)).orderBy("gl_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
-    before = totals.select(F.col("gl_bucket").alias("gl_k"), *[F.coalesce(F.sum(f"gl_{c}").over(over), F.lit(0)).alias(f"gl_{c}") for c in sums])
-    inner = Window.partitionBy("gl_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = tagged.join(F.broadcast(before), F.col("gl_bucket") == F.col("gl_k"))
+    totals = tagged.groupBy(*by, "gl_bucket").agg(*[F.sum(c).alias(f"gl_{c}") for c in sums])
+    over = Window.partitionBy(*(by or [F.lit(0)])).orderBy("gl_bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
+    before = totals.select(*by, "gl_bucket", *[F.coalesce(F.sum(f"gl_{c}").over(over), F.lit(0)).alias(f"gl_{c}") for c in sums])
+    inner = Window.partitionBy(*by, "gl_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = tagged.join(before, [*by, "gl_bucket"])  # a row per run and bucket, so mostly broadcast
     for c, name in sums.items():
         out = out.withColumn(name, F.coalesce(F.sum(c).over(inner), F.lit(0)) + F.col(f"gl_{c}"))
-    return out.drop("gl_bucket", "gl_k", *[f"gl_{c}" for c in sums])
+    return out.drop("gl_bucket", *[f"gl_{c}" for c in sums])
 
 
-def binary_counts(rows: DataFrame) -> DataFrame:
+def binary_counts(rows: DataFrame, by: By = ()) -> DataFrame:
     y, p = F.col("y") == 1, F.col("pred") == 1
-    return rows.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
+    return rows.groupBy(*by).agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"), F.count_if(~y & ~p).alias("tn"))
 
 
-def mcc(c: DataFrame) -> DataFrame:
+def mcc(c: DataFrame, by: By = ()) -> DataFrame:
     """One row mcc (percent): 0 where the denominator is 0, null for a single true class."""
     tp, fp, fn, tn = (F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn"))
     den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
     value = F.when(den > 0, pct((tp * tn - fp * fn) / den)).otherwise(F.lit(0.0))
-    return c.select(F.when((tp + fn > 0) & (tn + fp > 0), value).alias("mcc"))
+    return c.select(*by, F.when((tp + fn > 0) & (tn + fp > 0), value).alias("mcc"))
 
 
-def majority_vote(rows: DataFrame) -> DataFrame:
+def majority_vote(rows: DataFrame, by: By = ()) -> DataFrame:
     """(subject, y, vote) of (subject, y, pred): 1, 0, or -1 for a tie."""
-    v = rows.groupBy("subject").agg(F.min("y").alias("y"), F.avg("pred").alias("v"))
-    return v.select("subject", "y", F.when(F.col("v") > 0.5, 1).when(F.col("v") < 0.5, 0).otherwise(-1).alias("vote"))
+    v = rows.groupBy(*by, "subject").agg(F.min("y").alias("y"), F.avg("pred").alias("v"))
+    return v.select(*by, "subject", "y", F.when(F.col("v") > 0.5, 1).when(F.col("v") < 0.5, 0).otherwise(-1).alias("vote"))
 
 
-def gender_metrics(rows: DataFrame, threshold: float = 0.5, names: tuple[str, str] = ("male", "female")) -> DataFrame:
+def gender_metrics(rows: DataFrame, threshold: float = 0.5, names: tuple[str, str] = ("male", "female"), by: By = ()) -> DataFrame:
     """One row over (subject, y, p): acc, bal_acc, auc, mcc, per-class and macro / weighted P, R, F1, acc_subject."""
     d = rows.withColumn("pred", (F.col("p") >= threshold).cast("int"))
-    c = binary_counts(d)
+    c = binary_counts(d, by)
     tp, fp, fn, tn = (F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn"))
     both = (tp + fn > 0) & (tn + fp > 0)
     base = c.select(
-        pct((tp + tn) / (tp + tn + fp + fn)).alias("acc"), F.when(both, pct((tp / (tp + fn) + tn / (tn + fp)) / 2)).alias("bal_acc"),
+        *by, pct((tp + tn) / (tp + tn + fp + fn)).alias("acc"), F.when(both, pct((tp / (tp + fn) + tn / (tn + fp)) / 2)).alias("bal_acc"),
         pct(ratio(tn, tn + fn)).alias(f"precision_{names[0]}"), pct(ratio(tn, tn + fp)).alias(f"recall_{names[0]}"), pct(ratio(2 * tn, 2 * tn + fn + fp)).alias(f"f1_{names[0]}"),
         pct(ratio(tp, tp + fp)).alias(f"precision_{names[1]}"), pct(ratio(tp, tp + fn)).alias(f"recall_{names[1]}"), pct(ratio(2 * tp, 2 * tp + fp + fn)).alias(f"f1_{names[1]}"),
     )
     two = rows.sparkSession.createDataFrame([(0,), (1,)], "cls int")
-    wide = prf(class_counts(d.select(F.col("y").cast("int").alias("y"), "pred"), two))
-    votes = majority_vote(d).agg(pct(F.avg((F.col("y") == F.col("vote")).cast("double"))).alias("acc_subject"))
-    return base.crossJoin(roc_auc(d.select("y", "p"))).crossJoin(mcc(c)).crossJoin(wide).crossJoin(votes)
+    wide = prf(class_counts(d.select(*by, F.col("y").cast("int").alias("y"), "pred"), two, by), by)
+    votes = majority_vote(d, by).groupBy(*by).agg(pct(F.avg((F.col("y") == F.col("vote")).cast("double"))).alias("acc_subject"))
+    return reduce(lambda a, b: beside(a, b, by), [base, roc_auc(d.select(*by, "y", "p"), by), mcc(c, by), wide, votes])
 
 
 # Clustering
@@ -221,9 +237,13 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
 
 
 def hungarian(cont: DataFrame) -> DataFrame:
-    """(cluster, y): the one-to-one mapping with the most agreeing rows. The contingency (clusters x classes) goes to the driver."""
-    rows = cont.collect()
+    """(cluster, y): the one-to-one mapping with the most agreeing rows. The contingency goes to the driver as a matrix of
+    clusters x classes, for which more than MAX_ASSIGNMENT cells are an error; the assignment itself is cubic in its side."""
     spark = cont.sparkSession
+    side = cont.agg(F.countDistinct("cluster").alias("a"), F.countDistinct("y").alias("b")).first()
+    if side["a"] * side["b"] > MAX_ASSIGNMENT:
+        raise ValueError(f"{side['a']} clusters x {side['b']} classes are too many for one assignment")
+    rows = cont.collect()
     cs, ys = sorted({r["cluster"] for r in rows}), sorted({r["y"] for r in rows})
     ci, yi = {c: k for k, c in enumerate(cs)}, {y: k for k, y in enumerate(ys)}
     w = np.zeros((len(cs), len(ys)))
@@ -236,7 +256,7 @@ def hungarian(cont: DataFrame) -> DataFrame:
 def clustering_metrics(rows: DataFrame) -> DataFrame:
     """One row over (y, cluster): acc after the best mapping, agreement measures, P / R / F1 (an unmapped cluster is class -1)."""
     cont = contingency(rows)
-    mapped = rows.join(F.broadcast(hungarian(cont).withColumnRenamed("y", "m")), "cluster", "left").select("y", F.coalesce("m", F.lit(-1)).alias("pred"))
+    mapped = rows.join(hungarian(cont).withColumnRenamed("y", "m"), "cluster", "left").select("y", F.coalesce("m", F.lit(-1)).alias("pred"))
     acc = mapped.agg(pct(F.avg((F.col("y") == F.col("pred")).cast("double"))).alias("acc"))
     return acc.crossJoin(cluster_agreement(cont)).crossJoin(prf(class_counts(mapped)))
 
@@ -244,35 +264,38 @@ def clustering_metrics(rows: DataFrame) -> DataFrame:
 # Identification
 
 
-def identity_scores(sims: DataFrame) -> DataFrame:
+def identity_scores(sims: DataFrame, by: By = ()) -> DataFrame:
     """(probe, y, cls, score): the best similarity of each identity; sims: (probe, y, gallery_cls, sim)."""
-    return sims.groupBy("probe", "y", F.col("gallery_cls").alias("cls")).agg(F.max("sim").alias("score"))
+    return sims.groupBy(*by, "probe", "y", F.col("gallery_cls").alias("cls")).agg(F.max("sim").alias("score"))
 
 
-def identification_ranks(best: DataFrame) -> DataFrame:
+def identification_ranks(best: DataFrame, by: By = ()) -> DataFrame:
     """(probe, y, rank, pred): rank = 1 + identities strictly above the true one; pred = true at rank 1, else the best."""
-    w = Window.partitionBy("probe")
-    own = F.max(F.when(F.col("cls") == F.col("y"), F.col("score"))).over(w)
+    own = F.max(F.when(F.col("cls") == F.col("y"), F.col("score"))).over(Window.partitionBy(*by, "probe"))
     t = best.withColumn("own", own)
-    r = t.groupBy("probe", "y").agg(F.count_if(F.col("score") > F.col("own")).alias("above"), F.max(F.struct(F.col("score"), (-F.col("cls")).alias("c"))).alias("top"), F.max("own").alias("own"))
+    r = t.groupBy(*by, "probe", "y").agg(F.count_if(F.col("score") > F.col("own")).alias("above"), F.max(F.struct(F.col("score"), (-F.col("cls")).alias("c"))).alias("top"), F.max("own").alias("own"))
     rank = F.col("above") + 1
-    return r.filter("own IS NOT NULL").select("probe", "y", rank.alias("rank"), F.when(rank == 1, F.col("y")).otherwise(-F.col("top.c")).alias("pred"))
+    return r.filter("own IS NOT NULL").select(*by, "probe", "y", rank.alias("rank"), F.when(rank == 1, F.col("y")).otherwise(-F.col("top.c")).alias("pred"))
 
 
-def cmc(ranks: DataFrame, n_ids: int) -> DataFrame:
-    """(rank, cmc) for 1..n_ids, by counts per rank."""
-    per = ranks.groupBy("rank").agg(F.count("*").alias("n"))
-    steps = ranks.sparkSession.range(1, n_ids + 1).select(F.col("id").alias("k"))
-    got = steps.join(F.broadcast(per), F.col("rank") <= F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s"))
-    return got.crossJoin(F.broadcast(ranks.agg(F.count("*").alias("t")))).select(F.col("k").alias("rank"), pct(F.col("s") / F.col("t")).alias("cmc"))
+def cmc(ranks: DataFrame, n_ids: int, by: By = ()) -> DataFrame:
+    """(rank, cmc) for 1..n_ids: a running sum over counts of ranks, one row for each rank and run."""
+    per = ranks.groupBy(*by, F.col("rank").cast("long").alias("rank")).agg(F.count("*").alias("n"))
+    steps = ranks.sparkSession.range(1, n_ids + 1).select(F.col("id").alias("rank"))
+    grid = per.select(*by).distinct().crossJoin(steps) if by else steps
+    run = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = run.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    got = per.join(grid, [*by, "rank"], "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    got = got.select(*by, "rank", F.sum("n").over(upto).alias("s"), F.sum("n").over(run).alias("t"))
+    return got.filter(F.col("rank") <= n_ids).select(*by, "rank", pct(F.col("s") / F.when(F.col("t") > 0, F.col("t"))).alias("cmc"))
 
 
-def rank_summary(ranks: DataFrame, n_ids: int, at: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+def rank_summary(ranks: DataFrame, n_ids: int, at: tuple[int, ...] = (1, 5, 10), by: By = ()) -> DataFrame:
     """One row: rank@k, aucmc (closed form of the mean CMC), mrr, P / R / F1 over identities with probes, n_probe."""
     r = F.col("rank")
     cols = [pct(F.avg((r <= k).cast("double"))).alias(f"rank{k}") for k in at]
     cols += [pct(F.avg((n_ids - r + 1) / F.lit(float(n_ids)))).alias("aucmc"), pct(F.avg(1.0 / r)).alias("mrr"), F.count("*").alias("n_probe")]
-    return ranks.agg(*cols).crossJoin(prf(class_counts(ranks.select("y", "pred"))))
+    return beside(ranks.groupBy(*by).agg(*cols), prf(class_counts(ranks.select(*by, "y", "pred"), by=by), by), by)
 
 
 # Verification

@@ -8,51 +8,55 @@ from pyspark.sql import functions as F
 from galleria.functions import expr as X
 
 from .dedup import centroids
+from .metrics import By
 
 #: Most cells (rows x dimensions) of a gallery or prototype table that is broadcast; larger ones are joined in tiles.
 MAX_BROADCAST_CELLS = 20_000_000
 
 
-def prototypes(support: DataFrame) -> DataFrame:
+def meet(many: DataFrame, few: DataFrame, key: str, cells: int, by: By = ()) -> DataFrame:
+    """Each row of `many` with each row of `few` of the same run. A `few` of at most MAX_BROADCAST_CELLS goes to all tasks; a
+    larger one is cut by `key` into slices of that size and `many` by rows into as many, and each pair of slices is a join key."""
+    if cells <= MAX_BROADCAST_CELLS:
+        return many.join(F.broadcast(few), list(by)) if by else many.crossJoin(F.broadcast(few))
+    n = int(cells // MAX_BROADCAST_CELLS) + 1
+    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = many.withColumn("gl_i", F.pmod(F.xxhash64("probe"), F.lit(n)).cast("int")).withColumn("gl_j", every)
+    right = few.withColumn("gl_j", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn("gl_i", every)
+    return left.join(right, [*by, "gl_i", "gl_j"]).drop("gl_i", "gl_j")
+
+
+def cells_of(vectors: DataFrame, column: str) -> int:
+    return vectors.agg(F.coalesce(F.sum(F.size(column).cast("long")), F.lit(0))).first()[0]
+
+
+def prototypes(support: DataFrame, by: By = ()) -> DataFrame:
     """(cls, c): the normalised mean of normalised support vectors (cls, v)."""
-    c = centroids(support.select(F.col("cls").alias("subject"), "v"))
-    return c.select(F.col("subject").alias("cls"), X.l2_normalize(F.col("c")).alias("c"))
+    c = centroids(support.select(*by, F.col("cls").alias("subject"), "v"), by)
+    return c.select(*by, F.col("subject").alias("cls"), X.l2_normalize(F.col("c")).alias("c"))
 
 
-def prototype_scores(support: DataFrame, queries: DataFrame) -> DataFrame:
+def prototype_scores(support: DataFrame, queries: DataFrame, by: By = ()) -> DataFrame:
     """(probe, cls, score): cosine of every query (probe, v) with every class prototype."""
-    p = prototypes(support)
-    q = queries.select("probe", X.l2_normalize(F.col("v")).alias("f"))
-    cells = p.agg(F.coalesce(F.sum(F.size("c")), F.lit(0))).first()[0]
-    if cells <= MAX_BROADCAST_CELLS:
-        return q.crossJoin(F.broadcast(p)).select("probe", "cls", X.dot(F.col("f"), F.col("c")).alias("score"))
-    tiles = int(cells // MAX_BROADCAST_CELLS) + 1
-    parts = p.withColumn("tile", F.pmod(F.xxhash64("cls"), F.lit(tiles)).cast("int"))
-    spread = q.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
-    return spread.join(parts, "tile").select("probe", "cls", X.dot(F.col("f"), F.col("c")).alias("score"))
+    p = prototypes(support, by)
+    q = queries.select(*by, "probe", X.l2_normalize(F.col("v")).alias("f"))
+    return meet(q, p, "cls", cells_of(p, "c"), by).select(*by, "probe", "cls", X.dot(F.col("f"), F.col("c")).alias("score"))
 
 
-def similarities(probes: DataFrame, gallery: DataFrame, exclude_self: bool = False) -> DataFrame:
+def similarities(probes: DataFrame, gallery: DataFrame, exclude_self: bool = False, by: By = ()) -> DataFrame:
     """(probe, y, gallery_cls, sim) of (id, cls, v) tables; leave-one-out if exclude_self."""
-    from .dedup import tile_pairs
-
-    n = lambda d: d.select("id", "cls", X.l2_normalize(F.col("v")).alias("f"))
-    g, p = n(gallery), n(probes)
-    cells = gallery.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0))).first()[0]
-    if cells <= MAX_BROADCAST_CELLS:
-        g = g.select(F.col("id").alias("gid"), F.col("cls").alias("gallery_cls"), F.col("f").alias("gf"))
-        out = p.crossJoin(F.broadcast(g)).select(F.col("id").alias("probe"), F.col("cls").alias("y"), "gallery_cls", "gid", X.dot(F.col("f"), F.col("gf")).alias("sim"))
-    else:
-        pairs = tile_pairs(p, g, "id", 1 + int(cells // MAX_BROADCAST_CELLS))
-        out = pairs.select(F.col("x.id").alias("probe"), F.col("x.cls").alias("y"), F.col("y.cls").alias("gallery_cls"), F.col("y.id").alias("gid"), X.dot(F.col("x.f"), F.col("y.f")).alias("sim"))
+    f = X.l2_normalize(F.col("v"))
+    g = gallery.select(*by, F.col("id").alias("gid"), F.col("cls").alias("gallery_cls"), f.alias("gf"))
+    p = probes.select(*by, F.col("id").alias("probe"), F.col("cls").alias("y"), f.alias("f"))
+    out = meet(p, g, "gid", cells_of(gallery, "v"), by)
     out = out.filter("probe <> gid") if exclude_self else out
-    return out.drop("gid")
+    return out.select(*by, "probe", "y", "gallery_cls", X.dot(F.col("f"), F.col("gf")).alias("sim"))
 
 
-def leave_one_out(vectors: DataFrame) -> DataFrame:
+def leave_one_out(vectors: DataFrame, by: By = ()) -> DataFrame:
     """Similarities of each vector to all others; vectors of a class of one are only distractors."""
-    n = F.count("*").over(Window.partitionBy("cls"))
-    return similarities(vectors.withColumn("n", n).filter("n > 1").drop("n"), vectors, exclude_self=True)
+    n = F.count("*").over(Window.partitionBy(*by, "cls"))
+    return similarities(vectors.withColumn("n", n).filter("n > 1").drop("n"), vectors, exclude_self=True, by=by)
 
 
 def genuine_pairs(vectors: DataFrame, cap: int | None = None, seed: int = 0) -> DataFrame:
@@ -62,11 +66,21 @@ def genuine_pairs(vectors: DataFrame, cap: int | None = None, seed: int = 0) ->
     return p if cap is None else p.orderBy(X.hashed(seed, "id_a", "id_b"), "id_a", "id_b").limit(cap)
 
 
+def numbered(rows: DataFrame, order: str, out: str, ranges: int = 64) -> DataFrame:
+    """Numbers from 0 in the order of a numeric column without ties: inside ranges, from where the ranges before it end."""
+    cuts = rows.select(F.percentile_approx(order, [k / ranges for k in range(1, ranges)], 1000).alias("q")).first()["q"] or []
+    cut = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    tagged = rows.withColumn("gl_r", cut)
+    upto = Window.partitionBy(F.lit(0)).orderBy("gl_r").rowsBetween(Window.unboundedPreceding, -1)  # at most `ranges` rows
+    start = tagged.groupBy("gl_r").agg(F.count("*").alias("n")).select("gl_r", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("gl_s"))
+    inside = F.row_number().over(Window.partitionBy("gl_r").orderBy(order)) - 1
+    return tagged.withColumn("gl_k", inside).join(start, "gl_r").withColumn(out, F.col("gl_s") + F.col("gl_k")).drop("gl_r", "gl_s", "gl_k")
+
+
 def impostor_pairs(vectors: DataFrame, n: int, seed: int) -> DataFrame:
     """(draw, id_a, id_b): 3 n draws with replacement by hash over positions, those of different classes, the first n."""
-    w = Window.partitionBy(F.lit(0)).orderBy("id")  # positions for the draw
-    pos = vectors.select("id", "cls", (F.row_number().over(w) - 1).alias("pos"))
     total = vectors.count()
+    pos = numbered(vectors.select("id", "cls"), "id", "pos")
     at = lambda s: F.pmod(F.conv(F.substring(X.hashed(seed, F.lit(s), "draw"), 1, 12), 16, 10).cast("long"), F.lit(total))
     draws = vectors.sparkSession.range(3 * n).select(F.col("id").alias("draw")).select("draw", at("a").alias("pa"), at("b").alias("pb"))
     got = draws.join(pos.toDF("id_a", "ca", "pa"), "pa").join(pos.toDF("id_b", "cb", "pb"), "pb").filter("pa <> pb AND ca <> cb")
@@ -86,11 +100,16 @@ def kmeans(vectors: DataFrame, k: int, seed: int, max_iter: int = 300, id_col: s
 
     rows = vectors.select(id_col, array_to_vector(X.l2_normalize(F.col("v"))).alias("features")).cache()
     n = rows.count()
+    if not 1 < k <= n:
+        rows.unpersist()
     if not 1 <= k <= n:
         raise ValueError(f"k must lie in 1..{n}")
     if k == 1:
         return rows.select(id_col, F.lit(0).alias("cluster"))
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, initSteps=2).fit(rows)
+    try:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, initSteps=2).fit(rows)
+    finally:
+        rows.unpersist()
     return model.transform(rows).select(id_col, F.col("prediction").alias("cluster"))
 
 
@@ -116,6 +135,8 @@ def linear_probe(support: DataFrame, val: DataFrame, queries: DataFrame, grid: t
         acc = model.transform(held).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
         if best is None or acc > best[0] + 1e-12:
             best = (acc, c, model)
+    train.unpersist()
+    held.unpersist()
     back = F.array(*[F.lit(c) for c in classes])
     scored = best[2].transform(rows(queries, "probe")).select("probe", F.posexplode(vector_to_array("probability")).alias("k", "score"))
     return scored.select("probe", F.element_at(back, F.col("k") + 1).alias("cls"), "score"), best[1]
