@@ -64,6 +64,11 @@ def is_yes(c: Column) -> Column:
     return F.lower(F.trim(c)).isin(*YES)
 
 
+def gender_label(c: Column, female: str = "F") -> Column:
+    """1 for the female label, 0 for any other and for null."""
+    return F.coalesce((c.cast("string") == female).cast("int"), F.lit(0))
+
+
 def sel(**conditions) -> Column:
     """All columns equal these values, compared as text."""
     return reduce(lambda a, b: a & b, [F.col(k).cast("string") == F.lit(str(v)) for k, v in conditions.items()], F.lit(True))

@@ -86,7 +86,7 @@ def problems(images: DataFrame) -> DataFrame:
 def dataset_statistics(images: DataFrame, subjects: DataFrame, edges: list[float], digits: int = 4) -> DataFrame:
     """One row: subjects, images, both by gender, sizes per subject, quantiles of side and aspect, side bins, tiny."""
     ok = images.filter("status = 'ok'")
-    named = ok.join(F.broadcast(subjects.select("subject", "gender")), "subject")
+    named = ok.join(subjects.select("subject", "gender"), "subject")
     male, female = F.col("gender") == "M", F.col("gender") == "F"
     s = subjects.agg(F.count("*").alias("n_subjects"), F.count_if(male).alias("subjects_m"), F.count_if(female).alias("subjects_f"))
     i = named.agg(F.count("*").alias("n_images"), F.count_if(male).alias("images_m"), F.count_if(female).alias("images_f"), F.count_if("tiny").alias("tiny"))
@@ -122,7 +122,7 @@ def load_images(images: DataFrame, subjects: DataFrame, removed: DataFrame | Non
     out = images.filter("status = 'ok'")
     if removed is not None:
         out = out.join(removed.select("image_id"), "image_id", "left_anti")
-    out = out.join(F.broadcast(subjects.select("subject", "order", "gender")), "subject", "left")
+    out = out.join(subjects.select("subject", "order", "gender"), "subject", "left")
     if check:
         require_empty(out.filter("gender IS NULL"), "images of unknown subjects", "image_id")
     if groups is None:
@@ -140,7 +140,7 @@ def positions(images: DataFrame) -> DataFrame:
     before = Window.partitionBy(F.lit(0)).orderBy("order", "subject").rowsBetween(Window.unboundedPreceding, -1)  # a row per subject
     start = n.select(F.col("subject").alias("ps"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("subject").orderBy("image_id")
-    return images.join(F.broadcast(start), F.col("subject") == F.col("ps")).withColumn("pos", F.col("start") + F.row_number().over(inside) - 1).drop("ps", "start")
+    return images.join(start, F.col("subject") == F.col("ps")).withColumn("pos", F.col("start") + F.row_number().over(inside) - 1).drop("ps", "start")
 
 
 def stale_split(split: DataFrame, images: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def encode_labels(df: DataFrame, column: str, out: str = "label") -> DataFrame:
     """Dense numbers of the values in natural order."""
     names = df.select(F.col(column).alias("gl_v")).distinct()
     w = Window.partitionBy(F.lit(0)).orderBy(X.natural_key(F.col("gl_v").cast("string")), "gl_v")  # a row per distinct value
-    return df.join(F.broadcast(names.withColumn(out, (F.row_number().over(w) - 1).cast("long"))), F.col(column) == F.col("gl_v")).drop("gl_v")
+    return df.join(names.withColumn(out, (F.row_number().over(w) - 1).cast("long")), F.col(column) == F.col("gl_v")).drop("gl_v")
 
 
 def first_seen_codes(df: DataFrame, column: str, position: str, out: str = "code") -> DataFrame:

@@ -84,16 +84,24 @@ def prf(counts: DataFrame, by: By = ()) -> DataFrame:
     return per.groupBy(*by).agg(*cols)
 
 
-def identity_metrics(scores: DataFrame, labels: DataFrame, by: By = ()) -> DataFrame:
-    """One row: top1, top1_subject_mean, top5, top10, and macro / weighted precision, recall, F1 over the true classes."""
+def outcomes(scores: DataFrame, labels: DataFrame, by: By = ()) -> DataFrame:
+    """(probe, y, place, pred): the place of the true class (null if it has no score) and the class of the highest score."""
     on = [*by, "probe"]
-    placed = ranked(scores, by).join(labels, on)
-    hits = labels.join(placed.filter(F.col("cls") == F.col("y")).select(*on, "place"), on, "left")
+    of = labels.join(ranked(scores, by), on, "left").groupBy(*on, "y")
+    return of.agg(F.max(F.when(F.col("cls") == F.col("y"), F.col("place"))).alias("place"), F.max(F.when(F.col("place") == 1, F.col("cls"))).alias("pred"))
+
+
+def outcome_measures(hits: DataFrame, by: By = ()) -> DataFrame:
+    """One row: top1, top1_subject_mean, top5, top10, and macro / weighted precision, recall, F1 over the true classes."""
     share = lambda k: pct(F.avg(F.when(F.col("place") <= k, 1.0).otherwise(0.0)))
     per = hits.groupBy(*by, "y").agg(share(1).alias("s")).groupBy(*by).agg(F.avg("s").alias("top1_subject_mean"))
-    p = placed.filter("place = 1").select(*by, "y", F.col("cls").alias("pred"))
     top = hits.groupBy(*by).agg(share(1).alias("top1"), share(5).alias("top5"), share(10).alias("top10"))
-    return beside(beside(top, per, by), prf(class_counts(p, by=by), by), by)
+    said = hits.filter("pred IS NOT NULL").select(*by, "y", "pred")
+    return beside(beside(top, per, by), prf(class_counts(said, by=by), by), by)
+
+
+def identity_metrics(scores: DataFrame, labels: DataFrame, by: By = ()) -> DataFrame:
+    return outcome_measures(outcomes(scores, labels, by), by)
 
 
 def roc_auc(rows: DataFrame, by: By = ()) -> DataFrame:
@@ -301,17 +309,20 @@ def rank_summary(ranks: DataFrame, n_ids: int, at: tuple[int, ...] = (1, 5, 10),
 # Verification
 
 
-def verification(genuine: DataFrame, impostor: DataFrame, far: float = 0.01) -> DataFrame:
+def verification(genuine: DataFrame, impostor: DataFrame, far: float = 0.01, by: By = ()) -> DataFrame:
     """One row eer, tar_at_far (percent) of (score) tables: thresholds are the scores and one above all; null if a side is empty."""
-    s = genuine.select("score", F.lit(1).alias("g"), F.lit(0).alias("i")).unionByName(impostor.select("score", F.lit(0).alias("g"), F.lit(1).alias("i")))
-    d = s.groupBy(F.col("score").cast("double").alias("score")).agg(F.sum("g").alias("g"), F.sum("i").alias("i"))
-    top = d.agg(F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("i"))
-    curve = running(d.unionByName(top), "score", {"g": "gb", "i": "ib"})
-    total = d.agg(F.sum("g").alias("ng"), F.sum("i").alias("ni"))
-    c = curve.crossJoin(F.broadcast(total)).filter("ng > 0 AND ni > 0").select("score", (F.col("gb") / F.col("ng")).alias("frr"), ((F.col("ni") - F.col("ib")) / F.col("ni")).alias("far"))
-    best = F.min(F.struct(F.abs(F.col("frr") - F.col("far")).alias("d"), F.col("score"), ((F.col("frr") + F.col("far")) / 2).alias("e")))
-    return c.agg(best.alias("b"), F.max(F.when(F.col("far") <= far, 1 - F.col("frr"))).alias("t")).select(
-        pct(F.col("b.e")).alias("eer"), F.when(F.col("b").isNotNull(), pct(F.coalesce("t", F.lit(0.0)))).alias("tar_at_far")
+    side = lambda d, g, i: d.select(*by, F.col("score").cast("double").alias("score"), F.lit(g).alias("g"), F.lit(i).alias("i"))
+    d = side(genuine, 1, 0).unionByName(side(impostor, 0, 1)).groupBy(*by, "score").agg(F.sum("g").alias("g"), F.sum("i").alias("i"))
+    total = d.groupBy(*by).agg(F.sum("g").alias("ng"), F.sum("i").alias("ni"))
+    top = total.select(*by, F.lit(float("inf")).alias("score"), F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("i"))
+    curve = running(d.unionByName(top), "score", {"g": "gb", "i": "ib"}, by=by)
+    c = beside(curve, F.broadcast(total), by)  # a row a run
+    some = (F.col("ng") > 0) & (F.col("ni") > 0)
+    frr, fa = F.when(some, F.col("gb") / F.col("ng")), F.when(some, (F.col("ni") - F.col("ib")) / F.col("ni"))
+    c = c.select(*by, "score", frr.alias("frr"), fa.alias("far"))
+    met = F.when(F.col("frr").isNotNull(), F.struct(F.abs(F.col("frr") - F.col("far")).alias("d"), F.col("score"), ((F.col("frr") + F.col("far")) / 2).alias("e")))
+    return c.groupBy(*by).agg(F.min(met).alias("b"), F.max(F.when(F.col("far") <= far, 1 - F.col("frr"))).alias("t")).select(
+        *by, pct(F.col("b.e")).alias("eer"), F.when(F.col("b").isNotNull(), pct(F.coalesce("t", F.lit(0.0)))).alias("tar_at_far")
     )
 
 

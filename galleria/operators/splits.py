@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from galleria.functions import expr as X
 
+from .catalog import encode_labels, require_empty
+
 
 def folds(subjects: DataFrame, n: int, seed: int) -> DataFrame:
     """(subject, gender, fold): by gender in hash order, dealt in turn from a start that the seed gives."""
@@ -43,13 +45,33 @@ def novel_split(subjects: DataFrame, share: float, seed: int) -> DataFrame:
     return subjects.select("subject", "gender", F.when(rn <= novel, "novel").otherwise("train").alias("role"))
 
 
-def frames_by_split(images: DataFrame) -> DataFrame:
-    return images.filter("split <> 'excluded'")
+def load_folds(folds: DataFrame, images: DataFrame, n: int) -> DataFrame:
+    """A stored (subject, fold), checked: each subject once, folds in 0..n-1, and all subjects of the images."""
+    bad = folds.groupBy("subject").agg(F.count("*").alias("c"), F.min("fold").alias("a"), F.max("fold").alias("b"))
+    require_empty(bad.filter((F.col("c") > 1) | F.col("a").isNull() | (F.col("a") < 0) | (F.col("b") >= n)), "subjects with more than one fold or a wrong one", "subject")
+    require_empty(images.select("subject").distinct().join(folds, "subject", "left_anti"), "the folds are stale, subjects without one", "subject")
+    return folds
+
+
+def load_roles(roles: DataFrame, images: DataFrame) -> DataFrame:
+    """A stored (subject, role), checked: each subject once, novel or train, and all subjects of the images."""
+    bad = roles.groupBy("subject").agg(F.count("*").alias("c"), F.bool_and(F.coalesce(F.col("role").isin("novel", "train"), F.lit(False))).alias("ok"))
+    require_empty(bad.filter("c > 1 OR NOT ok"), "subjects with more than one role or a wrong one", "subject")
+    require_empty(images.select("subject").distinct().join(roles, "subject", "left_anti"), "the roles are stale, subjects without one", "subject")
+    return roles
+
+
+def frames_by_split(images: DataFrame, task: str | None = None) -> DataFrame:
+    """Images of the three parts; with a task their label: subjects numbered in natural order, or gender (1 is female)."""
+    kept = images.filter("split IN ('train', 'val', 'test')")
+    if task is None:
+        return kept
+    return encode_labels(kept, "subject") if task == "identity" else kept.withColumn("label", X.gender_label(F.col("gender")))
 
 
 def frames_by_fold(images: DataFrame, assigned: DataFrame, k: int, n: int) -> DataFrame:
     """images with a role from their subject's fold; a subject without a fold is an error."""
-    out = images.join(F.broadcast(assigned.select("subject", "fold")), "subject", "left")
+    out = images.join(assigned.select("subject", "fold"), "subject", "left")
     missing = out.filter("fold IS NULL").select("subject").limit(1).collect()
     if missing:
         raise ValueError(f"subject without a fold: {missing[0][0]}")
@@ -58,7 +80,7 @@ def frames_by_fold(images: DataFrame, assigned: DataFrame, k: int, n: int) -> Da
 
 def frames_for_novel(images: DataFrame, roles: DataFrame) -> DataFrame:
     """Images of the train subjects: their train and test parts train, val validates."""
-    known = images.join(F.broadcast(roles.filter("role = 'train'").select("subject")), "subject", "left_semi").filter("split <> 'excluded'")
+    known = images.join(roles.filter("role = 'train'").select("subject"), "subject", "left_semi").filter("split <> 'excluded'")
     return known.withColumn("role", F.when(F.col("split") == "val", "val").otherwise("train"))
 
 
@@ -168,6 +190,8 @@ def exact_split(images: DataFrame, n_train: int, n_val: int, n_test: int, seed:
     Exactly n_train and n_val images per subject, the rest is test; groups stay whole unless no subset of them fits, which is
     warned of. Subjects with fewer than n_train + n_val + n_test images are excluded. An original split with these counts is
     kept. Each subject is one grouped-map call; a subject's images are bounded by the catalogue."""
+    if n_test < 1:
+        raise ValueError("each subject needs a test image")
     least = n_train + n_val + n_test
     schema = "image_id string, subject string, `group` string, split string, warning string"
 
@@ -181,8 +205,8 @@ def exact_split(images: DataFrame, n_train: int, n_val: int, n_test: int, seed:
             return out.assign(split=pdf["orig_split"].to_numpy())
         key = lambda g: hashlib.md5(f"{seed}|{subject}|{g}".encode()).hexdigest()
         groups = sorted(((g, sorted(x)) for g, x in out.groupby("group")["image_id"]), key=lambda x: key(x[0]))
-        val, groups, cut1 = take(groups, n_val)
-        train, groups, cut2 = take(groups, n_train)
+        train, groups, cut1 = take(groups, n_train)
+        val, groups, cut2 = take(groups, n_val)
         split = {**dict.fromkeys(val, "val"), **dict.fromkeys(train, "train")}
         out["split"] = out["image_id"].map(split).fillna("test")
         if cut1 or cut2:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galleria.functions.expr import sel
+
 from .metrics import ci95, mean_std
 
 # Columns of a result row that are not metrics.
@@ -106,6 +108,11 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(have, on, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def select_rows(df: DataFrame, **conditions) -> DataFrame:
+    """The rows where all columns equal these values as text; none where a column is unknown."""
+    return df.filter(sel(**conditions) if set(conditions) <= set(df.columns) else F.lit(False))
+
+
 def remove(old: DataFrame, match: dict) -> tuple[DataFrame, int]:
     """(rows left, rows removed) where all columns of `match` are equal as text."""
     hit = reduce(lambda a, b: a & b, [F.col(k).cast("string") == F.lit(str(v)) for k, v in match.items()])
@@ -115,7 +122,8 @@ def remove(old: DataFrame, match: dict) -> tuple[DataFrame, int]:
 def should_skip(stored: DataFrame, planned: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
     """planned with `skip`: whether the stored row of the keys has the same facts: text exactly, numbers within 1e-12 of
     the larger of them and 1 (as text where either is no number)."""
-    s = stored.select(*[F.col(k).cast("string").alias(f"k_{k}") for k in keys], *[F.col(f).cast("string").alias(f"s_{f}") for f in facts])
+    s = stored.select(*[F.col(k).cast("string").alias(f"k_{k}") for k in keys], F.struct(*[F.col(f).cast("string").alias(f"s_{f}") for f in facts]).alias("row"), F.monotonically_increasing_id().alias("at"))
+    s = s.groupBy(*[f"k_{k}" for k in keys]).agg(F.max_by("row", "at").alias("row")).select(*[f"k_{k}" for k in keys], F.lit(True).alias("gl_stored"), "row.*")  # the last of equal keys
 
     def same(f: str) -> Column:
         a, b = F.col(f"s_{f}"), F.col(f).cast("string")
@@ -126,7 +134,7 @@ def should_skip(stored: DataFrame, planned: DataFrame, keys: list[str], facts: l
 
     on = reduce(lambda x, y: x & y, [F.col(f"k_{k}").eqNullSafe(F.col(k).cast("string")) for k in keys])
     ok = reduce(lambda x, y: x & y, [F.coalesce(same(f), F.lit(False)) for f in facts], F.lit(True))
-    return planned.join(s, on, "left").select(*planned.columns, (F.col(f"k_{keys[0]}").isNotNull() & ok).alias("skip"))
+    return planned.join(s, on, "left").select(*planned.columns, (F.col("gl_stored").isNotNull() & ok).alias("skip"))
 
 
 def fingerprint(df: DataFrame, columns: list[str], out: str = "fingerprint") -> DataFrame:

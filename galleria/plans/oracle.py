@@ -239,3 +239,121 @@ def _t95() -> str:
 
 _summary = ORACLE["summary_mean_std_ci"].replace("* (SELECT q FROM t95 WHERE df = count(*) FILTER (status <> 'diverged') - 1)", "* any_value(q)")
 ORACLE["summary_mean_std_ci"] = _summary.replace("FROM runs GROUP BY model, task", "FROM runs JOIN (SELECT model, task, count(*) FILTER (status <> 'diverged') - 1 AS df FROM runs GROUP BY ALL) k USING (model, task) LEFT JOIN t95 ON t95.df = k.df GROUP BY model, task").replace("WITH ", f"WITH {_t95()}, ", 1)
+
+
+# Whole experiments: every draw in one statement, grouped by the columns of the run.
+
+
+def _on(by: str, a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{c.strip()} = {b}.{c.strip()}" for c in by.split(","))
+
+
+def _draw(tag: str, shots: str, n_val: int, draws: int, seed: int, where: str = "true") -> str:
+    return f"""im AS (SELECT vec_id AS image_id, label AS subject, vec_id // 3 AS grp FROM embeddings WHERE {where}),
+runs AS (SELECT CAST(shot AS INTEGER) AS shot, CAST(draw AS INTEGER) AS draw FROM (VALUES {shots}) s(shot), range({draws}) t(draw)),
+d1 AS (SELECT *, md5('{seed}|{tag}|' || shot || '|' || draw || '|' || image_id) AS h FROM im, runs),
+d2 AS (SELECT *, row_number() OVER (PARTITION BY shot, draw, subject, grp ORDER BY h, image_id) > 1 AS again FROM d1),
+d3 AS (SELECT *, row_number() OVER (PARTITION BY shot, draw, subject ORDER BY again, h, image_id) AS pick FROM d2),
+d4 AS (SELECT *, bool_or(pick <= shot + {n_val}) OVER (PARTITION BY shot, draw, subject, grp) AS hit FROM d3),
+drawn AS (SELECT shot, draw, image_id, subject, CASE WHEN pick <= shot THEN 'support' WHEN pick <= shot + {n_val} THEN 'val' ELSE 'test' END AS role FROM d4 WHERE pick <= shot + {n_val} OR NOT hit)"""
+
+
+def _centres(by: str, source: str) -> str:
+    """cen: a class's mean of normalised vectors in each run, of rows (by, cls, f)."""
+    return f"""cell AS (SELECT {by}, cls, unnest(f) AS x, generate_subscripts(f, 1) AS k FROM {source}), mean AS (SELECT {by}, cls, k, avg(x) AS m FROM cell GROUP BY ALL),
+cen AS (SELECT {by}, cls, list(m ORDER BY k) AS c FROM mean GROUP BY {by}, cls)"""
+
+
+def _prf(by: str) -> str:
+    """prf over pred (by, y, pred)."""
+    return f"""cnt AS (SELECT {by}, cls, count(*) FILTER (y = cls AND pred = cls) AS tp, count(*) FILTER (y <> cls AND pred = cls) AS fp, count(*) FILTER (y = cls AND pred <> cls) AS fn
+FROM pred JOIN (SELECT DISTINCT {by}, y AS cls FROM pred) USING ({by}) GROUP BY ALL),
+prf AS (SELECT {by}, tp + fn AS support, CASE WHEN tp + fp > 0 THEN 100.0 * tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN 100.0 * tp / (tp + fn) ELSE 0 END AS r,
+CASE WHEN 2 * tp + fp + fn > 0 THEN 200.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f FROM cnt)"""
+
+
+def _ranks(by: str) -> str:
+    """ranks and pred over best (by, probe, y, cls, score)."""
+    b = ", ".join(f"b.{c.strip()}" for c in by.split(","))
+    return f"""ranks AS (SELECT {b}, b.probe, b.y, 1 + count(*) FILTER (b.score > o.score) AS rank, arg_max(b.cls, (b.score, -b.cls)) AS top FROM best b
+JOIN best o ON {_on(by, "o", "b")} AND o.probe = b.probe AND o.cls = o.y GROUP BY {b}, b.probe, b.y), pred AS (SELECT {by}, probe, y, rank, CASE WHEN rank = 1 THEN y ELSE top END AS pred FROM ranks)"""
+
+
+def _rank_rows(by: str, n: str, at: tuple[int, ...] = (1, 5, 10)) -> str:
+    cols = ", ".join(f"round(100 * avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END), 6) AS rank{k}" for k in at)
+    return f"""SELECT * FROM (SELECT {by}, {cols}, round(100 * avg(({n} - rank + 1) / CAST({n} AS DOUBLE)), 6) AS aucmc, round(100 * avg(1.0 / rank), 6) AS mrr, count(*) AS n_probe FROM ranks GROUP BY {by})
+JOIN (SELECT {by}, {PRF_COLS} FROM prf GROUP BY {by}) USING ({by})"""
+
+
+BOTH = "vv AS (SELECT 'frozen' AS variant, id, subject, f FROM n UNION ALL SELECT 'finetuned', id, subject, list_transform(e[1:32], lambda x: x / sqrt(list_dot_product(e[1:32], e[1:32]))) FROM v)"
+PEOPLE = "subj AS (SELECT DISTINCT label AS subject, CASE WHEN label % 2 = 1 THEN 'F' ELSE 'M' END AS gender FROM embeddings)"
+PEOPLE_FOLDS = FOLDS.replace(SUBJECTS, PEOPLE)
+NOVEL = PEOPLE + """, ro AS (SELECT subject FROM subj QUALIFY row_number() OVER (PARTITION BY gender ORDER BY md5('42|' || subject), subject)
+<= greatest(1, least(count(*) OVER (PARTITION BY gender) - 1, round_even(count(*) OVER (PARTITION BY gender) * 0.3::DOUBLE, 0))))"""
+RUN = "shot, draw"
+_GALLERY = with_(VEC, _draw("gallery", "(1)", 0, 3, 11)) + f""", best AS (SELECT p.shot, p.draw, p.image_id AS probe, p.subject AS y, g.subject AS cls, max(round(list_dot_product(a.f, b.f), 9)) AS score
+FROM drawn p JOIN drawn g ON p.shot = g.shot AND p.draw = g.draw AND p.role = 'test' AND g.role = 'support' JOIN n a ON a.id = p.image_id JOIN n b ON b.id = g.image_id GROUP BY ALL), {_ranks(RUN)}, {_prf(RUN)} """
+_RESULTS = """m(k) AS (SELECT * FROM range(8)), models AS (SELECT CAST(k AS INTEGER) AS ord, CAST(k AS VARCHAR) AS key, 'Model ' || k AS name, 'F' || (k % 3) AS family, k % 2 = 0 AS basic, k % 4 = 1 AS square FROM m),
+res AS (SELECT CAST(user_id % 7 AS VARCHAR) AS model, [1, 5, 10][event_id % 3 + 1] AS shot, ['S1', 'S2'][event_id % 2 + 1] AS split, ['stretch', 'letterbox', 'nonsquare'][event_id % 3 + 1] AS mode, event_id % 2 AS rate, 'F' || (user_id % 4) AS family, value FROM events)"""
+
+
+def _text(v: str, spread: str = "stddev_samp({v})", more: str = "''") -> str:
+    s = spread.format(v=v)
+    return f"CASE WHEN count({v}) = 0 THEN '–' WHEN count({v}) = 1 THEN format('{{:.2f}}', avg({v})) || {more} ELSE format('{{:.2f}} ± {{:.2f}}', avg({v}), {s}) || {more} END"
+
+
+def _shot_texts() -> str:
+    q = "s AS (SELECT model, shot, count(value) AS c, avg(value) AS a, stddev_samp(value) AS sd FROM res GROUP BY ALL), t AS (SELECT s.model, s.shot, CASE WHEN c = 1 THEN format('{:.2f}', a) ELSE format('{:.2f} ± {:.2f}', a, q * sd / sqrt(c)) END AS x FROM s LEFT JOIN t95 ON df = c - 1 WHERE c > 0)"
+    cols = ", ".join(f"coalesce(max(x) FILTER (shot = {k}), '–') AS shot{k}" for k in (1, 5, 10))
+    return with_(_t95(), _RESULTS, q) + f"SELECT ord, models.family, name, {cols} FROM models LEFT JOIN t ON t.model = models.key GROUP BY ord, models.family, name"
+
+
+ORACLE |= {
+    "store_replace": with_(OLD_NEW) + "SELECT key, part, round(value, 6) AS value, NULL AS note FROM old WHERE part <> 'O' UNION ALL SELECT key, part, round(value, 6), note FROM new WHERE part = 'O'",
+    "fewshot_identity": with_(VEC, _draw("identity", "(1), (5)", 2, 2, 11), "sup AS (SELECT shot, draw, drawn.subject AS cls, f FROM drawn JOIN n ON n.id = image_id WHERE role = 'support')", _centres(RUN, "sup")) + f""",
+scores AS (SELECT d.shot, d.draw, d.image_id AS probe, d.subject AS y, cls, round(list_dot_product(f, c) / sqrt(list_dot_product(c, c)), 9) AS score FROM drawn d JOIN n ON n.id = d.image_id JOIN cen ON {_on(RUN, "cen", "d")} WHERE role = 'test'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY shot, draw, probe ORDER BY score DESC, cls) AS place FROM scores), pred AS (SELECT shot, draw, probe, y, cls AS pred FROM placed WHERE place = 1), {_prf(RUN)},
+own AS (SELECT * FROM placed WHERE cls = y) SELECT * FROM (SELECT shot, draw, round(100 * avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(100 * avg(CASE WHEN place <= 5 THEN 1.0 ELSE 0 END), 6) AS top5,
+round(100 * avg(CASE WHEN place <= 10 THEN 1.0 ELSE 0 END), 6) AS top10 FROM own GROUP BY ALL) JOIN (SELECT shot, draw, round(avg(s), 6) AS top1_subject_mean FROM (SELECT shot, draw, y, 100 * avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0 END) AS s
+FROM own GROUP BY ALL) GROUP BY shot, draw) USING (shot, draw) JOIN (SELECT shot, draw, {PRF_COLS} FROM prf GROUP BY shot, draw) USING (shot, draw)""",
+    "single_gallery": _GALLERY + f"SELECT * EXCLUDE (shot) FROM ({_rank_rows(RUN, '(SELECT count(DISTINCT subject) FROM im)')})",
+    "single_gallery_cmc": _GALLERY + """SELECT k AS rank, round(avg(c), 6) AS cmc FROM (SELECT k, draw, 100 * avg(CASE WHEN rank <= k THEN 1.0 ELSE 0 END) AS c FROM ranks, range(1, (SELECT count(DISTINCT subject) FROM im) + 1) t(k) GROUP BY ALL) GROUP BY k""",
+    "fewshot_gender": with_(VEC, PEOPLE_FOLDS) + f""", runs AS (SELECT CAST(shot AS INTEGER) AS shot, CAST(draw AS INTEGER) AS draw FROM (VALUES (1), (3)) s(shot), range(2) t(draw)),
+placed AS (SELECT CAST(k AS INTEGER) AS fold, CASE WHEN folds.fold = k THEN 'test' WHEN folds.fold = (k + 1) % 5 THEN 'val' ELSE 'train' END AS role, n.id AS image_id, n.subject, n.subject % 2 AS g, f FROM n JOIN folds ON folds.subject = n.subject, range(5) t(k)),
+dr AS (SELECT p.*, shot, draw, md5('42|gender|' || fold || '|' || shot || '|' || draw || '|' || image_id) AS h, md5('42|gender|' || fold || '|' || shot || '|' || draw || '|' || subject) AS s FROM placed p, runs WHERE role = 'train'),
+one AS (SELECT * FROM dr QUALIFY row_number() OVER (PARTITION BY fold, shot, draw, subject ORDER BY h, image_id) = 1),
+sup AS (SELECT fold, shot, draw, g AS cls, f FROM one QUALIFY row_number() OVER (PARTITION BY fold, shot, draw, g ORDER BY s, subject) <= shot), {_centres("fold, shot, draw", "sup")},
+bin AS (SELECT fold, shot, draw, image_id, subject, g AS y, round((sum(CASE WHEN cls = 1 THEN 1 ELSE -1 END * list_dot_product(f, c) / sqrt(list_dot_product(c, c))) + 1) / 2, 9) AS p FROM placed JOIN cen USING (fold) WHERE role = 'test' GROUP BY ALL),
+rk AS (SELECT *, rank() OVER (PARTITION BY fold, shot, draw ORDER BY p) + (count(*) OVER (PARTITION BY fold, shot, draw, p) - 1) / 2.0 AS r, CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS pred FROM bin),
+b AS (SELECT fold, shot, draw, CAST(count(*) FILTER (y = 1 AND pred = 1) AS DOUBLE) AS tp, CAST(count(*) FILTER (y = 0 AND pred = 1) AS DOUBLE) AS fp, CAST(count(*) FILTER (y = 1 AND pred = 0) AS DOUBLE) AS fn,
+CAST(count(*) FILTER (y = 0 AND pred = 0) AS DOUBLE) AS tn, sum(r) FILTER (y = 1) AS s1, count(*) FILTER (y = 1) AS n1, count(*) FILTER (y = 0) AS n0 FROM rk GROUP BY ALL),
+vote AS (SELECT fold, shot, draw, round(100 * avg(CASE WHEN (a > 0.5 AND y = 1) OR (a < 0.5 AND y = 0) THEN 1.0 ELSE 0 END), 6) AS acc_subject FROM (SELECT fold, shot, draw, subject, y, avg(pred) AS a FROM rk GROUP BY ALL) GROUP BY fold, shot, draw)
+SELECT fold, shot, draw, round(100 * (tp + tn) / (n0 + n1), 6) AS acc, round(50 * (tp / n1 + tn / n0), 6) AS bal_acc, round(100.0 * (s1 - n1 * (n1 + 1) / 2.0) / (n1 * n0), 6) AS auc,
+round(coalesce({MCC.replace("sqrt(", "nullif(sqrt(")}, 0), 0), 6) AS mcc, acc_subject, round(50 * (2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fn + fp)), 6) AS macro_f1 FROM b JOIN vote USING (fold, shot, draw)""",
+    "new_identity": with_(VEC, BOTH, NOVEL, _draw("new", "(1), (3)", 0, 2, 11, "label IN (SELECT subject FROM ro)")) + f""", best AS (SELECT a.variant, p.shot, p.draw, p.image_id AS probe, p.subject AS y, g.subject AS cls,
+max(round(list_dot_product(a.f, b.f), 9)) AS score FROM drawn p JOIN drawn g ON p.shot = g.shot AND p.draw = g.draw AND p.role = 'test' AND g.role = 'support' JOIN vv a ON a.id = p.image_id JOIN vv b ON b.id = g.image_id AND a.variant = b.variant GROUP BY ALL),
+{_ranks("variant, shot, draw")}, {_prf("variant, shot, draw")} {_rank_rows("variant, shot, draw", "(SELECT count(*) FROM ro)")}""",
+    "new_identity_verification": with_(VEC, BOTH, NOVEL, DRAWS.format(m=900, n=300).replace("AS pos FROM embeddings)", "AS pos FROM embeddings WHERE label IN (SELECT subject FROM ro))")) + """,
+pr AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, true AS same FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.label IN (SELECT subject FROM ro) AND a.vec_id // 3 <> b.vec_id // 3 UNION ALL SELECT id_a, id_b, false FROM imp),
+p AS (SELECT a.variant, same, round(list_dot_product(a.f, b.f), 6) AS score FROM pr JOIN vv a ON a.id = id_a JOIN vv b ON b.id = id_b AND a.variant = b.variant),
+d AS (SELECT variant, score, count(*) FILTER (same) AS g, count(*) FILTER (NOT same) AS i FROM p GROUP BY ALL UNION ALL SELECT DISTINCT variant, 'inf'::DOUBLE, 0, 0 FROM p),
+c AS (SELECT variant, score, coalesce(sum(g) OVER w, 0) / CAST(sum(g) OVER a AS DOUBLE) AS frr, (sum(i) OVER a - coalesce(sum(i) OVER w, 0)) / CAST(sum(i) OVER a AS DOUBLE) AS far, CAST(sum(g) OVER a AS BIGINT) AS n_genuine, CAST(sum(i) OVER a AS BIGINT) AS n_impostor FROM d
+WINDOW w AS (PARTITION BY variant ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY variant))
+SELECT variant, round(100 * arg_min((frr + far) / 2, (abs(frr - far), score)), 6) AS eer, round(100 * coalesce(max(1 - frr) FILTER (far <= 0.01), 0), 6) AS tar_at_far, max(n_genuine) AS n_genuine, max(n_impostor) AS n_impostor FROM c GROUP BY variant""",
+    "cross_dataset": with_(VEC, BOTH) + f""", best AS (SELECT p.variant, p.id AS probe, p.subject AS y, g.subject AS cls, max(round(list_dot_product(p.f, g.f), 9)) AS score FROM vv p JOIN vv g ON p.variant = g.variant AND p.id <> g.id
+WHERE p.subject <> 3 AND g.subject <> 3 GROUP BY ALL), {_ranks("variant")}, {_prf("variant")} {_rank_rows("variant", "(SELECT count(DISTINCT label) FROM embeddings WHERE label <> 3)", (1, 5))}""",
+    "overlap_union": with_(VEC, HAM) + """, n2 AS (SELECT n.*, s.b FROM n JOIN s USING (id)) SELECT a.subject AS subject_a, c.subject AS subject_b, count(DISTINCT a.id) AS n_matched FROM n2 a, n2 c WHERE a.id % 2 = 0 AND c.id % 2 = 1
+AND (list_dot_product(a.f, c.f) >= 0.3 OR list_sum(list_transform(list_zip(a.b, c.b), lambda p: abs(p[1] - p[2]))) <= 18) GROUP BY ALL HAVING count(DISTINCT a.id) >= 3""",
+    "duplicate_search": with_(COS, HAM, """pr AS (SELECT id_a, id_b FROM cosp UNION SELECT id_a, id_b FROM hamp JOIN part a ON a.p_partkey - 1 = id_a JOIN part b ON b.p_partkey - 1 = id_b WHERE least(a.p_size, b.p_size) >= 24
+UNION SELECT id, id_b FROM (SELECT id, lead(id) OVER (PARTITION BY md5(subject || '|' || id // 97) ORDER BY id) AS id_b FROM v) WHERE id_b IS NOT NULL)""", """inside AS (SELECT id_a, id_b FROM pr JOIN v a ON a.id = id_a JOIN v b ON b.id = id_b WHERE a.subject = b.subject)""",
+"sym AS (SELECT id_a AS a, id_b AS b FROM inside UNION SELECT id_b, id_a FROM inside)", "reach(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, sym.b FROM reach r JOIN sym ON r.b = sym.a)", "g AS (SELECT a, min(b) AS grp FROM reach GROUP BY a)", recursive=True) + """SELECT count(*) AS n_groups,
+count(*) FILTER (n > 1) AS n_groups_gt1, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_in_groups_gt1, max(n) AS largest_group FROM (SELECT grp, count(*) AS n FROM g GROUP BY grp)""",
+    "split_frames": with_(ITEMS) + "SELECT image_id, split, dense_rank() OVER (ORDER BY subject) - 1 AS label FROM items WHERE image_id % 23 <> 4",
+    "fold_frames": with_(ITEMS, PEOPLE_FOLDS) + "SELECT image_id, CASE WHEN fold = 2 THEN 'test' WHEN fold = 3 THEN 'val' ELSE 'train' END AS role, CAST(items.gender = 'F' AS INTEGER) AS label FROM items JOIN folds USING (subject)",
+    "table_supervised": with_(_RESULTS) + f"SELECT ord, models.family, name, {_text('value', more=chr(39) + ' (n=' + chr(39) + ' || count(value) || ' + chr(39) + '/100000)' + chr(39))} AS top1, '–' AS absent FROM models LEFT JOIN res ON model = key GROUP BY ord, models.family, name",
+    "table_fewshot": _shot_texts(),
+    "table_gap": with_(_RESULTS) + """SELECT ord, CASE WHEN d IS NULL THEN '–' ELSE format('{:+.2f}', d) END AS gap FROM models LEFT JOIN (SELECT model, avg(value) FILTER (split = 'S1') - avg(value) FILTER (split = 'S2') AS d FROM res GROUP BY model) ON model = key""",
+    "table_rates": with_(_RESULTS) + f"""SELECT min(ord) AS ord, models.family, CASE WHEN models.family = 'F1' THEN '0.003 (fixed)' ELSE coalesce(any_value(best), '–') END AS chosen, coalesce(any_value(t), '– / – / –') AS values
+FROM models LEFT JOIN (SELECT family, concat_ws(' / ', {_text("CASE WHEN rate = 0 THEN value END")}, {_text("CASE WHEN rate = 1 THEN value END")}, '–') AS t, CASE WHEN arg_min(rate, (-value, -rate)) = 0 THEN '0.1' ELSE '0.01' END AS best FROM res GROUP BY family) q ON q.family = models.family GROUP BY models.family""",
+    "table_preprocessing": with_(_RESULTS) + "SELECT ord, name, " + ", ".join((f"CASE WHEN square THEN '(not applicable)' ELSE {_text(v)} END" if k == "nonsquare" else _text(v)) + f" AS {k}" for k in ("stretch", "letterbox", "nonsquare") for v in [f"CASE WHEN mode = '{k}' THEN value END"]) + " FROM models JOIN res ON model = key GROUP BY ord, name, square",
+}

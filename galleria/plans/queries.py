@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galleria.functions import expr as X
-from galleria.operators import catalog, dedup, metrics, splits, summary, vector
+from galleria.operators import catalog, dedup, experiments, metrics, reports, splits, summary, vector
 from galleria.session import Scratch
+from galleria.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -497,8 +498,8 @@ def linear_probe(spark, sf):
 def _sims(spark, sf):
     v = vecs(spark, sf).select("id", F.col("subject").alias("cls"), "v")
     first = v.groupBy("cls").agg(F.min("id").alias("gid"))
-    g = v.join(F.broadcast(first.select("gid")), F.col("id") == F.col("gid"), "left_semi")
-    p = v.join(F.broadcast(first.select("gid")), F.col("id") == F.col("gid"), "left_anti")
+    g = v.join(first.select("gid"), F.col("id") == F.col("gid"), "left_semi")
+    p = v.join(first.select("gid"), F.col("id") == F.col("gid"), "left_anti")
     return vector.similarities(p, g).withColumn("sim", F.round("sim", 9))
 
 
@@ -660,3 +661,165 @@ def fmt_plus_minus(spark, sf):
 def yes_answers(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.element_at(F.array(*[F.lit(x) for x in (" Yes", "no", "X", "có", "", "TRUE ", "0")]), (F.col("event_id") % 7 + 1).cast("int")).alias("a"))
     return e.select("event_id", X.is_yes(F.col("a")).alias("yes"))
+
+
+@query
+def store_replace(spark, sf):
+    """All rows of one model give way to new ones."""
+    old = _old_new(spark, sf)[0]
+    left, _ = summary.remove(old, {"part": "O"})
+    return rounded(left.unionByName(_old_new(spark, sf)[1].filter("part = 'O'"), allowMissingColumns=True))
+
+
+# Whole experiments
+
+
+VARIANTS = {"frozen": 64, "finetuned": 32}
+
+
+def _images(spark, sf):
+    """image_id, subject, group, gender_label; a group is three images in a row."""
+    e = table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("image_id"), F.col("label").alias("subject"), F.floor(F.col("vec_id") / 3).cast("long").alias("group"), X.gender_label(F.when(F.col("label") % 2 == 1, "F").otherwise("M")).alias("gender_label"))
+
+
+def _features(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("embedding").alias("v"))
+
+
+def _variants(spark, sf):
+    """Two sets of features: whole vectors, and their first half."""
+    f = _features(spark, sf)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), F.slice("v", 1, n).alias("v")) for k, n in VARIANTS.items()])).alias("x")
+    return f.select("image_id", each).select("image_id", "x.variant", "x.v")
+
+
+def _people(spark, sf):
+    return items(spark, sf).select("subject", "gender").distinct()
+
+
+@query
+def fewshot_identity(spark, sf):
+    return rounded(experiments.fewshot_identity(_images(spark, sf), _features(spark, sf), (1, 5), 2, 2, 11, Scratch(spark)).drop("classifier"))
+
+
+@query
+def fewshot_linear(spark, sf):
+    out = experiments.fewshot_identity(_images(spark, sf), _features(spark, sf), (5,), 2, 1, 11, Scratch(spark), linear_draws=1)
+    return rounded(out.filter("classifier = 'lp'"))
+
+
+@query
+def single_gallery(spark, sf):
+    return rounded(experiments.single_gallery(_images(spark, sf), _features(spark, sf), 3, 11, Scratch(spark))[0])
+
+
+@query
+def single_gallery_cmc(spark, sf):
+    return rounded(experiments.single_gallery(_images(spark, sf), _features(spark, sf), 3, 11, Scratch(spark))[1])
+
+
+@query
+def fewshot_gender(spark, sf):
+    folds = splits.folds(_people(spark, sf), 5, 42)
+    out = experiments.fewshot_gender(_images(spark, sf), _features(spark, sf), folds, 5, (1, 3), 2, 42, Scratch(spark))
+    return rounded(out.select("fold", "shot", "draw", "acc", "bal_acc", "auc", "mcc", "acc_subject", "macro_f1"))
+
+
+@query
+def unsupervised_runs(spark, sf):
+    im = _images(spark, sf)
+    tasks = {"gender": im.select("image_id", F.col("gender_label").alias("y")), "identity": im.select("image_id", F.col("subject").alias("y"))}
+    return rounded(experiments.unsupervised(_features(spark, sf), tasks, 1, 42, Scratch(spark)))
+
+
+@query
+def new_identity(spark, sf):
+    roles = splits.novel_split(_people(spark, sf), 0.3, 42)
+    return rounded(experiments.new_identity(_images(spark, sf), _variants(spark, sf), roles, (1, 3), 2, 11, Scratch(spark)))
+
+
+@query
+def new_identity_verification(spark, sf):
+    roles = splits.novel_split(_people(spark, sf), 0.3, 42)
+    return rounded(experiments.new_identity_verification(_images(spark, sf), _variants(spark, sf), roles, 300, 21, Scratch(spark)))
+
+
+@query
+def cross_dataset(spark, sf):
+    """The other set is the same images; subject 3 stands for those that overlap."""
+    overlap = _images(spark, sf).filter("subject = 3").select("subject")
+    return rounded(experiments.cross_dataset(_images(spark, sf), _variants(spark, sf), overlap, Scratch(spark)))
+
+
+@query
+def overlap_union(spark, sf):
+    """Subjects of two sets that share images by hash or by cosine."""
+    v, h = vecs(spark, sf), hashes(spark, sf)
+    even, odd = F.col("id") % 2 == 0, F.col("id") % 2 == 1
+    pairs = dedup.union_pairs(dedup.hamming_pairs(h.filter(even), DIST, h.filter(odd)), dedup.cross_cosine_pairs(v.filter(even), v.filter(odd), 0.3))
+    s = v.select("id", "subject")
+    return dedup.subject_overlap(pairs, s, s, 3)
+
+
+@query
+def duplicate_search(spark, sf):
+    """The whole search: pairs by hash or cosine, small images left out of the hash search, identical files, groups, statistics."""
+    v, scratch = vecs(spark, sf), Scratch(spark)
+    sizes = table(spark, sf, "part").select((F.col("p_partkey") - 1).alias("id"), F.col("p_size").alias("min_side"))
+    same = dedup.identical_file_pairs(v.select("id", F.md5(F.concat_ws("|", F.col("subject"), F.floor(F.col("id") / 97))).alias("digest")))
+    pairs = dedup.merge_pairs(dedup.drop_small(ham_pairs(spark, sf), sizes, 24), cos_pairs(spark, sf), same, "or")
+    return dedup.group_stats(dedup.duplicate_groups(v, scratch.keep(pairs, "pairs"), scratch))
+
+
+@query
+def split_frames(spark, sf):
+    im = items(spark, sf).withColumn("split", F.when(F.col("image_id") % 23 == 4, "excluded").otherwise(F.col("split")))
+    return splits.frames_by_split(im, "identity").select("image_id", "split", "label")
+
+
+@query
+def fold_frames(spark, sf):
+    folds = splits.load_folds(splits.folds(_people(spark, sf), 5, 42), items(spark, sf), 5)
+    return splits.frames_by_fold(items(spark, sf), folds, 2, 5).select("image_id", "role", X.gender_label(F.col("gender")).alias("label"))
+
+
+# Result tables
+
+
+def _models(spark):
+    rows = [{"key": str(k), "name": f"Model {k}", "family": f"F{k % 3}", "basic": k % 2 == 0, "square_only": k % 4 == 1} for k in range(8)]
+    return tables.registry(spark, rows)
+
+
+def _results(spark, sf):
+    e = table(spark, sf, "events")
+    pick = lambda c, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col(c) % len(v) + 1).cast("int"))
+    return e.select((F.col("user_id") % 7).cast("string").alias("model"), pick("event_id", 1, 5, 10).alias("shot"), pick("event_id", "S1", "S2").alias("split"), pick("event_id", "stretch", "letterbox", "nonsquare").alias("mode"), pick("event_id", 0.1, 0.01).alias("lr"), F.concat(F.lit("F"), (F.col("user_id") % 4).cast("string")).alias("family"), (F.col("value") + 0.0).alias("test_top1"))
+
+
+@query
+def table_supervised(spark, sf):
+    cells = [reports.Cell("top1", "test_top1", expected=100_000), reports.Cell("absent", "test_top5")]
+    return reports.result_table(_models(spark), _results(spark, sf), cells)
+
+
+@query
+def table_fewshot(spark, sf):
+    cells = [reports.Cell(f"shot{k}", "test_top1", {"shot": k}, interval=True) for k in (1, 5, 10)]
+    return reports.result_table(_models(spark), _results(spark, sf), cells)
+
+
+@query
+def table_gap(spark, sf):
+    return reports.gap(_models(spark), _results(spark, sf), "test_top1", {"split": "S1"}, {"split": "S2"}, "gap")
+
+
+@query
+def table_rates(spark, sf):
+    return reports.rate_table(_models(spark), _results(spark, sf), [0.1, 0.01, 0.001], {"F1": 0.003}, "test_top1")
+
+
+@query
+def table_preprocessing(spark, sf):
+    return reports.preprocessing_table(_models(spark), _results(spark, sf))

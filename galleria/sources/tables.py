@@ -190,11 +190,7 @@ class ResultStore:
         old = self.load()
         if old is None:
             return None
-        from galleria.functions.expr import sel
-
-        from pyspark.sql import functions as F
-
-        rows = old.filter(sel(**match)).select(F.struct(*old.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
+        rows = summary.select_rows(old, **match).select(F.struct(*old.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
         return rows.agg(F.max_by("row", "at").alias("row")).first()["row"]
 
     def should_skip(self, planned: DataFrame, facts: list[str], overwrite: bool = False) -> DataFrame:
