@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from galleria.session import Scratch
+
 from . import kernels as K
 from . import tokens
 from .common import map_arrow
@@ -51,6 +53,8 @@ def histogram(docs: DataFrame, text_col: str = "text", tokenizer: str | None = N
 def suffix_sums(hist: DataFrame) -> DataFrame:
     """n_tokens, n_docs, and for the limit L = n_tokens: docs_over and tokens_over (longer documents and their tokens),
     total_docs, total_tokens, truncated_tokens (each document cut at L) and share_within (documents of at most L)."""
+    # Both levels of sums read the histogram, so it is written once: a row per distinct length.
+    hist = Scratch(hist.sparkSession).keep(hist, "histogram")
     h = hist.withColumn("block", F.floor(F.col("n_tokens") / LENGTH_BLOCK)).withColumn("mass", F.col("n_tokens") * F.col("n_docs"))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("mass").alias("bm"))
     every = Window.partitionBy(F.lit(0))
