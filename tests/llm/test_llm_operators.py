@@ -437,3 +437,131 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
             want = texts[i] if n <= 50 else texts[i].replace(passages[n], "")
             assert "".join(got[i][0].split()) == "".join(want.split()), n
     assert got[len(texts)][0] == both[0]
+
+
+def quality_by_force(rows, limit=20):
+    """Rows that pass the rules, without lines that over `limit` texts of a host hold (all texts here are unlike each other)."""
+    normal = lambda x: b" ".join(re.sub(rb"[0-9]+", b"0", x.lower()).split())
+    held = defaultdict(set)
+    for _, t, host in rows:
+        for line in (t or "").encode().split(b"\n"):
+            if line.split():
+                held[host, normal(line)].add(t)
+    out = []
+    for i, t, host in rows:
+        w = (t or "").encode().split()
+        grams = Counter(tuple(w[x : x + 5]) for x in range(len(w) - 4))
+        again = {y for x in range(len(w) - 4) if grams[tuple(w[x : x + 5])] > 1 for y in range(x, x + 5)}
+        if len(w) < 10 or 100 * len(again) > 20 * len(w):
+            continue
+        left = [x for x in t.encode().split(b"\n") if not x.split() or len(held[host, normal(x)]) <= limit]
+        n = sum(len(x.split()) for x in left)
+        if n >= 10 and n * 100 >= len(w) * 20:
+            out.append((i, b"\n".join(left).decode(), host))
+    return out
+
+
+def near_by_force(rows, k=5, percent=80):
+    """The row of the smallest id of each component."""
+    sets = []
+    for _, t, _ in rows:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[x : x + k]) for x in range(len(w) - k + 1)} or {tuple(w)})
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {}
+    for r, g in sorted(zip(rows, group), key=lambda x: x[0][0]):
+        least.setdefault(g, r)
+    return list(least.values())
+
+
+def cut(text, marked, words):
+    """text without its marked words; a run goes with what is between its words."""
+    raw, out, last = text.encode(), [], 0
+    k = 0
+    while k < len(words):
+        if marked[k]:
+            first = k
+            while k + 1 < len(words) and marked[k + 1]:
+                k += 1
+            out.append(raw[last : words[first].start()])
+            last = words[k].end()
+        k += 1
+    return b"".join([*out, raw[last:]]).decode()
+
+
+def passages_by_force(rows, n=51):
+    at = [list(re.finditer(rb"[^\x20\x09-\x0D]+", t.encode())) for _, t, _ in rows]
+    runs = Counter(tuple(m.group() for m in w[x : x + n]) for w in at for x in range(len(w) - n + 1))
+    out = []
+    for (i, t, host), w in zip(rows, at):
+        hit = [False] * len(w)
+        for x in range(len(w) - n + 1):
+            if runs[tuple(m.group() for m in w[x : x + n])] > 1:
+                hit[x : x + n] = [True] * n
+        left = cut(t, hit, w)
+        if left.strip() or not any(hit):
+            out.append((i, left, host))
+    return out
+
+
+def benchmark_by_force(rows, bench):
+    find = lambda t: list(re.finditer(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower()))
+    items = [[m.group() for m in find(t)] for _, t in bench]
+    out = []
+    for i, t, host in rows:
+        w = find(t)
+        hit = [False] * len(w)
+        for item in items:
+            n = min(10, len(item))
+            known = {tuple(item[x : x + n]) for x in range(len(item) - n + 1)} if item else set()
+            for x in range(len(w) - n + 1):
+                if tuple(m.group() for m in w[x : x + n]) in known:
+                    hit[x : x + n] = [True] * n
+        if sum(hit) <= len(w) / 2:
+            out.append((i, cut(t, hit, w), host))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every row of run() on documents with boilerplate, copies, repeated passages, benchmark passages and broken rows."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    banner, item, short = prose(14) + " 2024", prose(24), prose(6)
+    passages = [prose(n) for n in (50, 51, 58, 90)]
+    texts = [prose(r.randint(40, 120)) + "\n" + banner.replace("2024", str(2000 + k)) for k in range(30)]  # boilerplate
+    texts += [prose(2) + "\n" + banner]  # hardly anything else
+    texts += [f"{prose(40)} {p}\n{prose(20)}" for p in passages for _ in range(3)]
+    texts += [passages[3], f"{prose(8)}\n{passages[2]} {passages[3]} {prose(3)}"]
+    near = texts[2].split(" ")
+    near[10] = "Edited"
+    texts += [" ".join(near), texts[3], texts[3].upper(), texts[31]]
+    texts += [f"{prose(60)} ({item.upper()}), {prose(30)}", f"{prose(5)} {item}", f"{prose(30)} {short}. {prose(30)}", f"{prose(20)} {item[: len(item) // 2]} {prose(50)}"]
+    texts += [prose(9000), "", "   \n ", None, prose(8), prose(6) + " one two three four five six" * 9]
+    rows = [(k, t, "host") for k, t in enumerate(texts)]
+    bench = [(1, item), (2, short), (3, None), (4, "")]
+    table = [(k, t, "en", s, len(t or "")) for k, t, s in rows]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    steps = [rows]
+    for step in (quality_by_force, near_by_force, passages_by_force, lambda x: benchmark_by_force(x, bench)):
+        steps.append(step(steps[-1]))
+    assert [len(x) for x in steps] == sorted((len(x) for x in steps), reverse=True) and len({tuple(x) for x in steps}) == 5
+    tok = tokens.encoder(tokens.default_tokenizer()).tokenizer
+    want, size = Counter(), packing.SEQUENCE
+    for i, t, _ in steps[-1]:
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        for s in range(0, len(ids), size):
+            want[i, s, len(x := ids[s : s + size]), zlib.crc32(struct.pack(f"<{len(x)}I", *x)), len(ids)] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert multiset(got, "doc_id", "start", "length", "ids_crc32", "doc_tokens") == want
+    seq = defaultdict(list)
+    for x in got.collect():
+        seq[x["sequence_id"]].append((x["offset"], x["length"]))
+    assert all([o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= size for p in seq.values())
