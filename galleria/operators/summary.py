@@ -35,7 +35,7 @@ def summarise(runs: DataFrame, keys: list[str], metrics: list[str], confidence:
     group = ["model", *keys]
     ok = F.col("status") != "diverged" if "status" in runs.columns else F.lit(True)
     aggs: list[Column] = [F.count_if(F.coalesce(ok, F.lit(True))).alias("n_runs"), F.count_if(~F.coalesce(ok, F.lit(True))).alias("n_diverged")]
-    if "lr" in runs.columns:
+    if "lr" in runs.columns and "lr" not in keys:
         aggs.append(F.array_join(F.transform(F.array_sort(F.collect_set("lr")), lambda x: x.cast("string")), " ").alias("lr"))
     for m in metrics:
         mean, std, n = mean_std(F.when(F.coalesce(ok, F.lit(True)), F.expr(f"try_cast(`{m}` AS double)")))

@@ -34,7 +34,8 @@ def parse_paths(files: DataFrame, root: str) -> DataFrame:
 
 
 def image_size(raw: bytes) -> tuple[int, int, bool] | None:
-    """(width, height, whether the file ends early) of PNG, GIF, BMP and JPEG headers; EXIF turns are applied. None: unreadable."""
+    """(width, height, whether the file ends early) of PNG, GIF, BMP, WEBP, TIFF and JPEG headers; EXIF turns are applied. None:
+    unreadable. Whether a TIFF ends early is not told by its header."""
     if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
         w, h = struct.unpack(">II", raw[16:24])
         return w, h, b"IEND" not in raw[-16:]
@@ -44,6 +45,13 @@ def image_size(raw: bytes) -> tuple[int, int, bool] | None:
     if raw[:2] == b"BM" and len(raw) >= 26:
         w, h = struct.unpack("<ii", raw[18:26])
         return w, abs(h), len(raw) < struct.unpack("<I", raw[2:6])[0]
+    if raw[:4] == b"RIFF" and raw[8:12] == b"WEBP":
+        return webp_size(raw)
+    if raw[:4] in (b"II*\0", b"MM\0*"):
+        tags = tiff_tags(raw)
+        if 256 not in tags or 257 not in tags:
+            return None
+        return (tags[257], tags[256], False) if 5 <= tags.get(274, 1) <= 8 else (tags[256], tags[257], False)
     if raw[:2] != b"\xff\xd8":
         return None
     at, turned = 2, False
@@ -64,19 +72,48 @@ def image_size(raw: bytes) -> tuple[int, int, bool] | None:
     return None
 
 
-def exif_turns(tiff: bytes) -> bool:
-    """Whether the EXIF orientation swaps width and height (5 to 8)."""
+def webp_size(raw: bytes) -> tuple[int, int, bool] | None:
+    """Size of the first chunk of a WEBP: lossy, lossless or extended; an EXIF chunk may turn the last."""
+    kind, cut = raw[12:16], len(raw) < 8 + int.from_bytes(raw[4:8], "little")
+    le = lambda a, b: int.from_bytes(raw[a:b], "little")
+    if kind == b"VP8 " and len(raw) >= 30 and raw[23:26] == b"\x9d\x01\x2a":
+        return le(26, 28) & 0x3FFF, le(28, 30) & 0x3FFF, cut
+    if kind == b"VP8L" and len(raw) >= 25 and raw[20] == 0x2F:
+        bits = le(21, 25)
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1, cut
+    if kind != b"VP8X" or len(raw) < 30:
+        return None
+    w, h, at = le(24, 27) + 1, le(27, 30) + 1, 30
+    while at + 8 <= len(raw):
+        size = le(at + 4, at + 8)
+        if raw[at : at + 4] == b"EXIF":
+            body = raw[at + 8 : at + 8 + size]
+            return (h, w, cut) if exif_turns(body.removeprefix(b"Exif\0\0")) else (w, h, cut)
+        at += 8 + size + size % 2
+    return w, h, cut
+
+
+def tiff_tags(tiff: bytes) -> dict[int, int]:
+    """The first value of each short or long tag of the first directory."""
     if len(tiff) < 14:
-        return False
-    order = "<" if tiff[:2] == b"II" else ">"
+        return {}
+    order, out = "<" if tiff[:2] == b"II" else ">", {}
     at = struct.unpack(order + "I", tiff[4:8])[0]
     if at + 2 > len(tiff):
-        return False
+        return {}
     for k in range(struct.unpack(order + "H", tiff[at : at + 2])[0]):
-        tag = tiff[at + 2 + 12 * k : at + 14 + 12 * k]
-        if len(tag) == 12 and struct.unpack(order + "H", tag[:2])[0] == 0x0112:
-            return 5 <= struct.unpack(order + "H", tag[8:10])[0] <= 8
-    return False
+        entry = tiff[at + 2 + 12 * k : at + 14 + 12 * k]
+        if len(entry) < 12:
+            break
+        tag, kind = struct.unpack(order + "HH", entry[:4])
+        if kind in (3, 4):
+            out[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), entry[8 : 10 if kind == 3 else 12])[0]
+    return out
+
+
+def exif_turns(tiff: bytes) -> bool:
+    """Whether the EXIF orientation swaps width and height (5 to 8)."""
+    return 5 <= tiff_tags(tiff).get(0x0112, 1) <= 8
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

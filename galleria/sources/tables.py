@@ -136,6 +136,43 @@ def write_tables(tables: dict[str, DataFrame], out: str) -> None:
     write_text(f"{out}/all_tables.md", "\n".join(whole))
 
 
+# The file of each experiment's summary, its keys besides the model, and whether it has 95 % intervals.
+SUMMARIES = {
+    "E0": ("E0_preprocessing", ["mode"], False),
+    "lr_sweep": ("LR_sweep", ["lr"], False),
+    "E1": ("E1_identity_supervised", ["split"], False),
+    "E2": ("E2_gender_supervised", ["split"], False),
+    "E3": ("E3_identity_fewshot", ["classifier", "shot"], True),
+    "E3b": ("E3b_single_gallery", [], True),
+    "E4": ("E4_gender_fewshot", ["classifier", "shot"], True),
+    "E56": ("E5_E6_unsupervised", ["task"], False),
+    "E7": ("E7_new_identity_retrieval", ["variant", "shot"], True),
+    "E7_verification": ("E7_new_identity_verification", ["variant"], False),
+    "E8": ("E8_cross_dataset", ["dataset", "variant"], False),
+    "resolution": ("resolution_analysis", ["bin"], False),
+    "S3_training": ("S3_training", [], False),
+}
+
+
+def write_summaries(runs: dict[str, DataFrame], models: DataFrame, out: str) -> list[str]:
+    """A CSV folder per experiment that has runs, with means and deviations per model and keys, and a README that lists them.
+    A summary whose experiment has no runs any more is removed. Returns the names written."""
+    spark, listing = models.sparkSession, []
+    for name, (file, keys, interval) in SUMMARIES.items():
+        df, path = runs.get(name), f"{out}/{file}.csv"
+        if df is None or df.isEmpty():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            continue
+        keys = [k for k in keys if k in df.columns]
+        table = summary.summarise(df, keys, summary.metric_columns(df, keys), interval, models)
+        write_csv(table.coalesce(1), path)
+        listing.append((file, ", ".join(["model", *keys]), table.count()))
+    lines = ["# Results", "", "Means (`_mean`), sample deviations (`_std`) and half 95 % intervals (`_ci95`) over `n_runs` runs that did not diverge.", "", "| File | One row per | Rows |", "|---|---|---|"]
+    write_text(f"{out}/README.md", "\n".join([*lines, *[f"| `{f}.csv` | {k} | {n} |" for f, k, n in listing]]) + "\n")
+    return [f for f, _, _ in listing]
+
+
 class ResultStore:
     """A keyed parquet table that is rewritten on change. Keys are compared as text; columns may be added at any time."""
 

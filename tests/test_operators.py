@@ -185,6 +185,41 @@ def test_forced_split_cuts_one_group(spark):
     assert split_counts(out) == {"train": 45, "val": 15, "test": 40, "excluded": 0} and out["warning"].notna().all()
 
 
+def test_stored_folds_and_roles_are_checked(spark):
+    images = spark.createDataFrame([("i1", "a"), ("i2", "b")], "image_id string, subject string")
+    good = spark.createDataFrame([("a", 0), ("b", 2)], "subject string, fold int")
+    assert splits.load_folds(good, images, 3).count() == 2
+    for bad in ([("a", 0)], [("a", 0), ("b", 3)], [("a", 0), ("b", 1), ("b", 1)], [("a", 0), ("b", None)]):
+        with pytest.raises(ValueError):
+            splits.load_folds(spark.createDataFrame(bad, "subject string, fold int"), images, 3)
+    roles = lambda rows: spark.createDataFrame(rows, "subject string, role string")
+    assert splits.load_roles(roles([("a", "novel"), ("b", "train"), ("c", "train")]), images).count() == 3
+    for bad in ([("a", "novel")], [("a", "novel"), ("b", "test")], [("a", "novel"), ("b", None)]):
+        with pytest.raises(ValueError):
+            splits.load_roles(roles(bad), images)
+
+
+def test_sliced_meetings_equal_broadcast_ones(spark, monkeypatch):
+    from galleria.operators import vector
+
+    r = random.Random(8)
+    v = spark.createDataFrame([(d, k, k % 4, [r.gauss(0, 1) for _ in range(6)]) for d in range(2) for k in range(30)], "draw int, id long, cls long, v array<double>")
+    q = v.select("draw", F.col("id").alias("probe"), "v")
+    plans = lambda: (vector.prototype_scores(v, q, ("draw",)), vector.similarities(v, v, True, ("draw",)), vector.similarities(v.filter("draw = 0"), v.filter("draw = 0")))
+    key = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in df.collect())
+    whole = [key(p) for p in plans()]
+    monkeypatch.setattr(vector, "MAX_BROADCAST_CELLS", 20)
+    assert [key(p) for p in plans()] == whole and [len(x) for x in whole] == [240, 1740, 900]
+
+
+def test_numbered_rows(spark):
+    from galleria.operators import vector
+
+    ids = random.Random(2).sample(range(10**9), 500)
+    got = vector.numbered(spark.createDataFrame([(k,) for k in ids], "id long").repartition(5), "id", "pos", ranges=7).collect()
+    assert sorted((x["pos"], x["id"]) for x in got) == list(enumerate(sorted(ids)))
+
+
 def test_folds_and_novel(spark):
     s = spark.createDataFrame([(f"m{k}", "M") for k in range(30)] + [(f"f{k}", "F") for k in range(20)], "subject string, gender string")
     got = rows(splits.folds(s, 5, 1).groupBy("fold", "gender").count())

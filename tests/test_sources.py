@@ -39,6 +39,72 @@ def test_image_headers():
     assert images.image_size(jpg) == (7, 5, False)  # turned: width and height change places
 
 
+def test_webp_and_tiff_headers():
+    from galleria.sources.images import image_size
+
+    riff = lambda body: b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
+    lossy = riff(b"VP8 " + struct.pack("<I", 10) + b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 320, 200))
+    lossless = riff(b"VP8L" + struct.pack("<I", 5) + b"\x2f" + struct.pack("<I", 99 | 49 << 14) + b"\0")
+    exif = b"II*\0" + struct.pack("<IHHHIHH", 8, 1, 0x0112, 3, 1, 6, 0)
+    large = riff(b"VP8X" + struct.pack("<I", 10) + b"\0" * 4 + (639).to_bytes(3, "little") + (479).to_bytes(3, "little") + b"EXIF" + struct.pack("<I", len(exif)) + exif)
+    assert image_size(lossy) == (320, 200, False) and image_size(lossless) == (100, 50, False)
+    assert image_size(large) == (480, 640, False) and image_size(lossy[:-1] + b"") is None and image_size(large[:-2])[2]
+    for order, head in (("<", b"II*\0"), (">", b"MM\0*")):
+        tags = [(256, 3, 1, struct.pack(order + "HH", 70, 0)), (257, 4, 1, struct.pack(order + "I", 90))]
+        body = struct.pack(order + "IH", 8, len(tags)) + b"".join(struct.pack(order + "HHI", *t[:3]) + t[3] for t in tags)
+        assert image_size(head + body) == (70, 90, False)
+    assert image_size(b"II*\0" + b"\xff" * 20) is None and image_size(b"RIFF\0\0\0\0WEBPxxxx") is None
+
+
+def test_config_files(tmp_path):
+    import json
+
+    from galleria.sources.config import dump_config, load_config
+
+    inner = tmp_path / "data" / "released"
+    for s in ("a", "b"):
+        (inner / s).mkdir(parents=True)
+    (tmp_path / "c.yaml").write_text("seed: 007\nlr: 1e-3\ncode: '0012'\npaths: {root: data, out: results, none: null}\ngrid: [1e-4, 3.0e-4]\nfamilies:\n  - {key: a, basic: true}\n", encoding="utf-8")
+    c = load_config(str(tmp_path / "c.yaml"), ["seed=9", "families=[x]"], ("root",))
+    assert c.seed == 9 and c.lr == 0.001 and c.code == "0012" and c.grid == [1e-4, 3e-4] and c.families == ["x"]
+    assert c.paths.root == str(inner) and c.paths.out == str(tmp_path / "results") and c.paths.none is None
+    dump_config(c, str(tmp_path / "out" / "c.json"))
+    assert json.loads((tmp_path / "out" / "c.json").read_text()) == c and load_config(str(tmp_path / "out" / "c.json")).grid == c.grid
+
+
+def test_summaries_and_tables(spark, tmp_path):
+    from galleria.operators import reports
+    from galleria.sources import tables
+
+    models = tables.registry(spark, [{"key": "a", "name": "A", "family": "f", "basic": True}, {"key": "b", "family": "g", "square_only": True}])
+    e3 = spark.createDataFrame([("a", "proto", 1, d, 50.0 + d, 40.0) for d in range(3)] + [("b", "lp", 5, 0, 70.0, 60.0)], "model string, classifier string, shot int, draw int, top1 double, top1_subject_mean double")
+    out = str(tmp_path / "results")
+    assert tables.write_summaries({"E3": e3, "E1": e3.limit(0)}, models, out) == ["E3_identity_fewshot"]
+    got = {r["model"]: r for r in spark.read.option("header", True).csv(f"{out}/E3_identity_fewshot.csv").collect()}
+    assert got["a"]["n_runs"] == "3" and float(got["a"]["top1_mean"]) == 51 and float(got["a"]["top1_std"]) == 1 and float(got["a"]["top1_ci95"]) == 2.4841
+    assert "E3_identity_fewshot" in (tmp_path / "results" / "README.md").read_text()
+    assert tables.write_summaries({}, models, out) == [] and not (tmp_path / "results" / "E3_identity_fewshot.csv").exists()
+    s = {"seeds": 3, "folds": 5, "identity_shots": (1, 5), "gender_shots": (1,), "linear_shots": (1,), "proto_draws": 3, "linear_draws": 2, "gallery_runs": 2, "restarts": 2, "retrieval_shots": (1,), "retrieval_runs": 2, "datasets": ("x",), "grid": [0.1], "bins": ["[0,8)"]}
+    e8 = spark.createDataFrame([("b", "frozen", "x", 10.0, 20.0, 30.0)], "model string, variant string, dataset string, rank1 double, rank5 double, aucmc double")
+    res = spark.createDataFrame([("a", "[0,8)", 12, 33.333)], "model string, bin string, n_images int, top1 double")
+    e0 = spark.createDataFrame([("b", "stretch", 9.0)], "model string, mode string, test_top1 double")
+    all_ = {k: {r["name"]: r.asDict() for r in v.collect()} for k, v in reports.build_tables(models, {"E0": e0, "E3": e3, "E8": e8, "resolution": res}, s).items()}
+    assert all_["E3"]["A"]["Proto 1-shot"] == "51.00 ± 2.48" and all_["E3"]["A"]["LP 5-shot"] == "–" and all_["E3"]["b"]["LP 5-shot"] == "70.00 (n=1/2)"
+    assert all_["E8"].keys() == {"b"} and all_["E8"]["b"]["x rank5"] == "20.00" and all_["E8"]["b"]["variant"] == "frozen"
+    assert all_["resolution"]["A"]["[0,8)"] == "33.33" and all_["resolution"]["images"]["[0,8)"] == "12"
+    assert all_["E0"].keys() == {"b"} and all_["E0"]["b"]["stretch"] == "9.00" and all_["E0"]["b"]["nonsquare"] == "(not applicable)"
+    assert all_["E1"]["A"]["top1"] == "–" and all_["E56"]["b"]["identity ari"] == "–"
+
+
+def test_select_rows_and_last_match(spark):
+    from galleria.operators import summary
+
+    df = spark.createDataFrame([("a", 1.0, "x"), ("a", 1.0, "y")], "model string, lr double, fp string").coalesce(1)
+    assert summary.select_rows(df, model="a").count() == 2 and summary.select_rows(df, unknown="a").isEmpty()
+    planned = spark.createDataFrame([("a", 1.0, "y"), ("a", 2.0, "y")], "model string, lr double, fp string")
+    assert [r["skip"] for r in summary.should_skip(df, planned, ["model", "lr"], ["fp"]).orderBy("lr").collect()] == [True, False]
+
+
 def test_csv_nulls_and_leading_zeros(spark, tmp_path):
     p = tmp_path / "t.csv"
     p.write_text('id,name\n001,NA\n002,\n003,"a ""b"", c"\n')
