@@ -160,3 +160,9 @@ class Bitmap:
         keys = keys.view(np.int64)
         at = np.mod(keys ^ ((keys >> 33) * SPREAD), np.int64(self.bits))
         return (self.words[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """A small constant table as literals of the plan, without a Python worker; fields as in a struct ("a: string, b: int")."""
+    one = F.array(*[F.struct(*[F.lit(v) for v in r]) for r in rows]).cast(f"array<struct<{fields}>>")
+    return spark.range(0, 1, 1, 1).select(F.inline(one))

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import literal_rows
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rules that are dealt to every sorted run; a larger table is dealt by top-level label, so each run gets about as many.
@@ -92,4 +94,4 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
 def rule_table(spark, rules: list[tuple[str, str]]) -> DataFrame:
     """(verdict, "host/path") pairs as a rule table: the host ends at the first slash, which begins the path."""
     rows = [(r, r.partition("/")[0].lower(), "/" + r.partition("/")[2], v) for v, r in rules]
-    return spark.createDataFrame(rows, "rule string, host string, path string, verdict string")
+    return literal_rows(spark, rows, "rule: string, host: string, path: string, verdict: string")
