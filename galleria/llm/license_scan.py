@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import literal_rows
+
 # Short forms of public licence statements, as they stand in sources and works.
 TEMPLATES: list[tuple[str, str, str]] = [
     ("apache-2.0-short", "Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -53,7 +55,7 @@ FEW_SHINGLES = 10_000
 
 
 def template_table(spark: SparkSession, rows: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(rows or TEMPLATES, "template_id string, license string, template string")
+    return literal_rows(spark, rows or TEMPLATES, "template_id: string, license: string, template: string")
 
 
 def shingles(column: str) -> str:
