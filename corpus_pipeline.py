@@ -3,6 +3,10 @@
 Quality rules drop bad documents and boilerplate lines; the n-gram Jaccard join keeps one document of each group of near
 copies; suffix-array dedup cuts out repeated passages; decontamination cuts out benchmark passages; packing lays out token
 sequences. Each stage's output is written as Parquet and read again as the next one's documents.
+
+Defined results: documents with null, empty or short texts fail the quality rules and go; of exact copies and rows of equal ids
+and texts one row stays; extra columns pass by up to packing; a missing or empty benchmark item matches nothing; an empty table
+gives no rows. A text of any length is one block of each kernel, so a single very long one needs a worker of that size.
 """
 
 from __future__ import annotations
