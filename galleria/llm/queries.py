@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, html_extract, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from . import collocations, decontaminate, divergence, html_extract, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -69,6 +69,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
@@ -85,12 +89,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_url_filter": op10_url_filter,
+        "op12_collocations": op12_collocations,
         "op13_divergence_audit": op13_divergence_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op7_ngram_join": OP7_SQL, "op10_url_filter": OP10_SQL, "op13_divergence_audit": OP13_SQL}
+    return {"op5_decontamination": OP5_SQL, "op7_ngram_join": OP7_SQL, "op10_url_filter": OP10_SQL, "op12_collocations": OP12_SQL, "op13_divergence_audit": OP13_SQL}
 
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,3 +159,24 @@ every AS (SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS va
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM every)
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+
+OP12_SQL = rf"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({LOWER}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+g AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3), (4)) AS ks(k) WHERE len(w) >= k) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, k, w, a, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT c.lang, c.phrase, c.a, c.cut, x.f AS l, y.f AS r, (CAST(2000000 AS HUGEINT) * c.a) // (x.f + y.f) AS score
+  FROM cuts c JOIN g x ON x.lang = c.lang AND x.k = c.cut AND x.phrase = array_to_string(w[1 : c.cut], ' ')
+  JOIN g y ON y.lang = c.lang AND y.k = c.k - c.cut AND y.phrase = array_to_string(w[c.cut + 1 : c.k], ' ')),
+worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+parts AS (SELECT lang, a, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, k, w, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) AS ms(m) WHERE m < k)),
+cover AS (SELECT lang, phrase, max(a) AS most FROM parts GROUP BY ALL)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM (
+  SELECT t.lang, row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, t.a DESC, t.phrase) AS rank, t.phrase, t.a, l, r, n.n, score
+  FROM worst t JOIN n ON n.lang = t.lang LEFT JOIN cover ON cover.lang = t.lang AND cover.phrase = t.phrase WHERE cover.most IS NULL OR 100 * cover.most < 80 * t.a)
+WHERE rank <= 2000
+"""
