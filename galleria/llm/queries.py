@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, divergence, html_extract, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from . import collocations, decontaminate, divergence, html_extract, license_scan, mixing, ngram_join, packing, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -69,6 +69,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.taken(table(spark, sf_dir, "documents"), lambda names: [(5, 2, 1)[k % 3] for k in range(len(names))])
+    return mixed.withColumnRenamed("id", "doc_id")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_url_filter": op10_url_filter,
+        "op11_mixing": op11_mixing,
         "op12_collocations": op12_collocations,
         "op13_divergence_audit": op13_divergence_audit,
     }
