@@ -558,6 +558,11 @@ def join(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def near_copies(texts: DataFrame) -> DataFrame:
+    """(t1, class) of (t1, text): the smallest t1 that links reach."""
+    return join(texts, None, "t1").select("t1", F.col("component_id").alias("class"))
+
+
 def keep_one(docs: DataFrame, p: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component: of the rows with the id that names it, the one with the smallest text hash.
 

@@ -4,20 +4,14 @@ Method: every line is normalised (ASCII lower case, digit runs as one 0, white s
 each host (`source`) and line hash the distinct documents are counted; lines above the limit are removed, and a document
 of which too little is left is rejected.
 
-Copies are not evidence of boilerplate. Documents are counted by text, so exact copies count once, and near copies count
-once as well: a line is over the limit where the texts of a host that hold it are of more than `max_docs_per_host` classes.
-Otherwise one group of near copies would strip itself, and nothing of it would be left for a later stage to keep one of.
-Lines that no more than the limit's number of texts hold are the rest of a text; each has a sketch (its smallest hashes of
-three words in a row). A line of the rest is new if hardly any of its sketch is in the rest of another text of the host.
-* A text whose new lines have at least 5 % of its words is a class of its own, whatever else it shares.
-* Else, where the rest has at least half of its words, its class is the smallest hash of its rest.
-* Else its class is its least common line. Near copies agree in it, but for those few in which just that line is edited.
+A document is a text: exact copies of a host count once. The plain rule counts near copies each, so a host with more than
+`max_docs_per_host` different versions of one text loses them all. Where a later stage is to keep one of them (as in the
+corpus pipeline), give judge() and clean() `copies`, a function that names classes of near copies; then each class counts once.
 
 Scale: one Arrow pass over the texts writes a row per document (counts, line hashes) as a scratch table; lines are
 aggregated map-side by (host, line, text) and then by (host, line), so that a line or host which a third of all rows
 hold is a single partial row per task. Lines over the limit return by a sort-merge join which AQE may split. Only texts
-that hold such a line are read again for sketches and given classes, by counts of their hashes. clean() moves only texts
-that lose lines or go as a whole; all others pass by.
+that hold such a line are given to `copies`. clean() moves only texts that lose lines or go as a whole; all others pass by.
 
 Defined results: null text = no words, failed base rules, not kept; null source is a host of its own; repeated rows get
 equal verdicts; extra columns are ignored; an empty table gives an empty result.
@@ -26,6 +20,7 @@ equal verdicts; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,8 +45,6 @@ class Rules:
     max_repeat_percent: int = 20
     max_docs_per_host: int = 20  #: distinct texts of one host that may hold a line
     min_left_percent: int = 20  #: words that must be left when flagged lines are gone
-    sketch: int = 5  #: hashes of a line
-    min_new_percent: int = 5  #: words in new lines that make a text a class of its own
 
 
 def _repeat_words(h: np.ndarray, first: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
@@ -109,28 +102,6 @@ def line_hashes(lines: list[bytes]) -> np.ndarray:
     return K.Rolling(buf, (0,)).ranges(offs[:-1], offs[1:])
 
 
-def line_sketches(lines: list[bytes], size: int, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(the `size` smallest hashes of k words in a row of each line, or of a shorter line as a whole; how many each has)."""
-    if not lines:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    offs = np.zeros(len(lines) + 1, np.int64)
-    np.cumsum([len(x) for x in lines], out=offs[1:])
-    buf = np.frombuffer(b"".join(lines), np.uint8)
-    w = K.Words(buf, offs, K.NOT_SPACE)
-    at, of = K.gram_rows(w.first, w.counts, k)
-    short = np.flatnonzero(w.counts < k)
-    h = np.concatenate([K.ngrams(w.hashes(), k)[at], K.Rolling(buf, (0,)).ranges(offs[short], offs[short + 1])])
-    h, of = K.mix(h), np.concatenate([of, short])
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-    h, of = h[new], of[new]
-    per = np.bincount(of, minlength=len(lines))
-    pick = np.arange(len(h)) - np.repeat(np.cumsum(per) - per, per) < size
-    return h[pick], np.minimum(per, size)
-
-
 def _scan(rules: Rules):
     def make():
         def fn(batch: pa.RecordBatch):
@@ -184,95 +155,41 @@ def _of_lines(rows: DataFrame, lines: DataFrame, how: str) -> DataFrame:
     return rows.join(other, (F.col("line") == F.col("fl")) & F.col("host").eqNullSafe(F.col("fh")), how).drop("fh", "fl")
 
 
-#: A host (which may be null) as part of a key.
-HOST_KEY = "xxhash64(host IS NULL, host) AS hk"
-TEXT, TID = ["hk", "t1", "t2"], "xxhash64(hk, t1, t2) AS tid"
+#: Given (t1, text) of different texts: (t1, class), equal for near copies.
+Copies = Callable[[DataFrame], DataFrame]
 
 
 def common_lines(scanned: DataFrame, rules: Rules) -> DataFrame:
-    """(host, line, texts) of lines that more texts of a host hold than the limit allows."""
+    """(host, line) of lines that more texts of a host hold than the limit allows."""
     texts = _lines(scanned, "line").groupBy("host", "line", "t1", "t2").agg(F.lit(1).alias("one"))
-    return texts.groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > rules.max_docs_per_host)
-
-
-def _sketches(rules: Rules, some):
-    """Lines and their sketches of texts that may be in a bitmap. Rows: (hash of the host, text)."""
-
-    def make():
-        bits = some.value
-
-        def fn(batch: pa.RecordBatch):
-            buf, offs = K.text_buffers(batch.column(1))
-            for i, j, b, o in K.blocks(buf, offs):
-                t1, t2 = text_hashes(b, o)
-                pick = np.flatnonzero(bits.may_hold(t1))
-                if not len(pick):
-                    continue
-                data, names, words, per = b.tobytes(), [], [], []
-                for d in pick.tolist():
-                    ln, lw, _ = _line_rows(data[o[d] : o[d + 1]])
-                    names += ln
-                    words += lw
-                    per.append(len(ln))
-                sketch, many = line_sketches(names, rules.sketch)
-                per = np.array(per, np.int64)
-                yield [
-                    batch.column(0).slice(i, j - i).take(pa.array(pick)), t1[pick], t2[pick],
-                    K.list_column(K.signed(line_hashes(names)), per, pa.int64()), K.list_column(np.array(words, np.int64), per, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), K.list_column(K.signed(sketch), many, pa.int64())),
-                ]
-
-        return fn
-
-    return make, "hk long, t1 long, t2 long, line array<long>, words array<long>, sketch array<array<long>>"
+    return texts.groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > rules.max_docs_per_host).select("host", "line")
 
 
-def classes(rows: DataFrame, held: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
-    """(tid, class) of each text that holds common lines. rows: host, text; held: (host, t1, t2, line, words, texts) of those lines."""
+def common_to_classes(rows: DataFrame, held: DataFrame, copies: Copies, rules: Rules) -> DataFrame:
+    """(host, line) of lines that texts of more classes hold than the limit allows. rows: text; held: (host, t1, line)."""
     some = rows.sparkSession.sparkContext.broadcast(Bitmap(held.select("t1").distinct(), "t1", 1 << 22))
-    marks = held.groupBy(F.expr(HOST_KEY), "t1", "t2").agg(F.collect_list("line").alias("common"), F.sum("words").alias("common_words"), F.min(F.struct("texts", "line")).alias("least"))
-    texts = map_arrow(rows.select(F.expr(HOST_KEY), "text"), *_sketches(rules, some)).dropDuplicates(TEXT)
-    lines = F.filter(F.arrays_zip("line", "words", "sketch"), lambda x: ~F.array_contains("common", x["line"]))
-    rest = texts.join(marks, TEXT).select("hk", F.expr(TID), "common_words", F.col("least.line").alias("least"), F.transform(lines, lambda x: F.struct(x["words"].alias("words"), x["sketch"].alias("sketch"))).alias("rest"))
-    rest = scratch.keep(rest, "rest")
-    each = rest.select("hk", "tid", F.posexplode("rest").alias("pos", "x"))
-    parts = each.select("hk", F.struct("tid", "pos", F.col("x.words").cast("int").alias("words"), F.size("x.sketch").alias("n")).alias("of"), F.explode("x.sketch").alias("hash"))
-    lone = parts.groupBy(F.xxhash64("hk", "hash").alias("key")).agg(F.min("of").alias("of"), F.max("of.tid").alias("hi")).filter(F.col("of.tid") == F.col("hi")).select("of.*")
-    new = lone.groupBy("tid", "pos").agg(F.count("*").alias("lone"), F.first("words").alias("words"), F.first("n").alias("n")).filter("(n - lone) * 5 <= n")
-    new = new.groupBy(F.col("tid").alias("nt")).agg(F.sum("words").alias("new_words"))
-    flat = rest.select("tid", "common_words", "least", F.aggregate("rest", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("rest_words"), F.array_min(F.flatten("rest.sketch")).alias("hash"))
-    flat = flat.join(new, F.col("tid") == F.col("nt"), "left")
-    is_new = F.col("new_words") * 100 >= (F.col("common_words") + F.col("rest_words")) * rules.min_new_percent
-    kind = F.when(is_new, F.col("tid")).when((F.col("rest_words") >= F.col("common_words")) & F.col("hash").isNotNull(), F.col("hash")).otherwise(F.col("least"))
-    out = scratch.keep(flat.select("tid", kind.alias("class")), "classes")
-    scratch.drop(rest)
-    return out
-
-
-def flagged_lines(rows: DataFrame, held: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
-    """(host, line) of lines whose texts are of more classes than the limit allows."""
-    named = classes(rows, held, rules, scratch).withColumnRenamed("tid", "ct")
-    each = held.select("host", "line", F.expr(HOST_KEY), "t1", "t2").select("host", "line", F.expr(TID))
-    each = each.join(named, F.col("tid") == F.col("ct")).groupBy("host", "line", "class").agg(F.lit(1).alias("one"))
+    texts, _, t1, _ = split_rows(rows, "text", some)
+    named = copies(texts.select(F.col(t1).alias("t1"), "text").dropDuplicates(["t1"])).toDF("ct", "class")
+    each = held.select("host", "line", "t1").join(named, F.col("t1") == F.col("ct")).groupBy("host", "line", "class").agg(F.lit(1).alias("one"))
     return each.groupBy("host", "line").agg(F.count("*").alias("classes")).filter(F.col("classes") > rules.max_docs_per_host).select("host", "line")
 
 
-def verdicts(scanned: DataFrame, rows: DataFrame, rules: Rules, scratch: Scratch) -> DataFrame:
+def verdicts(scanned: DataFrame, rows: DataFrame, rules: Rules, copies: Copies | None, scratch: Scratch) -> DataFrame:
     """Per (host, text) that holds flagged lines: their hashes and their words."""
     common = scratch.keep(common_lines(scanned, rules), "common")
-    hit = _of_lines(_lines(scanned, "line", "line_words"), common, "inner")
-    held = scratch.keep(hit.groupBy("host", "t1", "t2", "line").agg(F.max("line_words").alias("words"), F.max("texts").alias("texts")), "held")
-    flags = scratch.keep(flagged_lines(rows, held, rules, scratch), "flags")
-    return _of_lines(held, flags, "left_semi").groupBy("host", "t1", "t2").agg(F.sum("words").alias("flagged_words"), F.collect_list("line").alias("flagged"))
+    held = _of_lines(_lines(scanned, "line", "line_words"), common, "inner").groupBy("host", "t1", "t2", "line").agg(F.max("line_words").alias("words"))
+    if copies:
+        held = scratch.keep(held, "held")
+        held = _of_lines(held, scratch.keep(common_to_classes(rows, held, copies, rules), "flags"), "left_semi")
+    return held.groupBy("host", "t1", "t2").agg(F.sum("words").alias("flagged_words"), F.collect_list("line").alias("flagged"))
 
 
-def judge(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", copies: Copies | None = None) -> DataFrame:
     """id, host, text hash, counts, base_failed, words in flagged lines, their hashes, and kept: a row per row of docs."""
     rules = rules or Rules()
     scratch = Scratch(docs.sparkSession)
     scanned = scratch.keep(scan(docs, rules, id_col, text_col, host_col), "lines")
-    rows = docs.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    marks = verdicts(scanned, rows, rules, scratch).select(F.col("host").alias("mh"), F.col("t1").alias("m1"), F.col("t2").alias("m2"), "flagged_words", "flagged")
+    marks = verdicts(scanned, docs.select(F.col(text_col).cast("string").alias("text")), rules, copies, scratch).select(F.col("host").alias("mh"), F.col("t1").alias("m1"), F.col("t2").alias("m2"), "flagged_words", "flagged")
     flat = scanned.drop("line", "line_words")
     rows = flat.join(marks, (F.col("t1") == F.col("m1")) & (F.col("t2") == F.col("m2")) & F.col("host").eqNullSafe(F.col("mh")), "left").drop("mh", "m1", "m2")
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
@@ -302,11 +219,11 @@ def _strip(batch_text: int, batch_flags: int):
     return make
 
 
-def clean(docs: DataFrame, rules: Rules | None = None, text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, rules: Rules | None = None, text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", copies: Copies | None = None) -> DataFrame:
     """docs without rejected documents and without flagged lines; same columns."""
     rules = rules or Rules()
     scratch = Scratch(docs.sparkSession)
-    judged = judge(docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), rules, "id", "text", "host")
+    judged = judge(docs.select(F.lit(None).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host")), rules, "id", "text", "host", copies)
     marks = judged.filter(~F.col("kept") | F.col("flagged").isNotNull()).groupBy("host", "t1", "t2").agg(F.first("flagged").alias("flagged"), F.first("kept").alias("kept"))
     marks = scratch.keep(marks, "marks")
     yes, no, t1, t2 = split_rows(docs, text_col, docs.sparkSession.sparkContext.broadcast(Bitmap(marks, "t1")))

@@ -214,49 +214,43 @@ def test_quality_counts(docs, rows):
     assert got.filter("base_failed AND kept").isEmpty()
 
 
-def test_boilerplate_lines(spark):
-    r = random.Random(1)
-    prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
-    line = "subscribe to our letter today for more news of the day"
-    data = [(k, prose(40) + "\n" + line, "h") for k in range(30)]  # keeps its own text
-    data += [(100 + k, "go " + prose(1) + "\n" + line.upper() + "\n" + line, "h") for k in range(30)]  # nothing else
-    base = [prose(15) for _ in range(8)]
-    data += [(200 + k, "\n".join([*base[: k % 8], "edit " + prose(3), *base[k % 8 + 1 :]]), "h") for k in range(60)]  # near copies
-    data += [(300, prose(40) + "\n" + line, "other host")]
-    df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    kept = {x["id"]: x["kept"] for x in quality_rules.judge(df).collect()}
-    assert all(kept[k] for k in kept if k < 100 or k >= 200) and not any(kept[k] for k in kept if 100 <= k < 200)
-    out = {x["doc_id"]: x["text"] for x in quality_rules.clean(df).collect()}
-    assert set(out) == {k for k in kept if kept[k]} and line not in out[0] and line in out[300] and out[200] == data[60][1]
-
-
-def test_several_boilerplate_lines(spark):
+def hosts_with_boilerplate():
+    """Hosts with 1 to 30 lines that most of their texts hold, and texts whose own words are 0 to 50 % of all; copies and near copies."""
     r = random.Random(2)
     prose = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
-    data, lines, near = [], {}, {}
-    for shared, own in ((5, 1), (3, 1), (5, 3), (10, 2)):  # different texts that hold the same lines of a host
-        host = f"{shared}+{own}"
-        lines[host] = [prose(12) for _ in range(shared)]
-        for _ in range(60):
-            data.append((len(data), "\n".join([*lines[host], *[prose(12) for _ in range(own)]]), host))
-    line = lines["both"] = [prose(12)]
-    base = [prose(12) for _ in range(9)] + line
-    for k in range(60):  # near copies with edited words, and other texts that share just one of their lines
-        words = [x.split() for x in base]
-        words[k % 9][k % 12] = "edit" + prose(1)
-        near[len(data)] = True
-        data.append((len(data), "\n".join(" ".join(w) for w in words), "both"))
-        data.append((len(data), prose(40) + "\n" + line[0], "both" if k < 30 else "few"))
-    df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    out = {x["doc_id"]: x["text"] for x in quality_rules.clean(df).collect()}
-    kept = {x["id"]: x["kept"] for x in quality_rules.judge(df).collect()}
-    want, drop = {}, {h: set(x) for h, x in lines.items()} | {"few": set(line)}
-    for k, t, h in data:
-        left = [x for x in t.split("\n") if x not in drop[h]]
-        if sum(len(x.split()) for x in left) * 5 >= len(t.split()):
-            want[k] = "\n".join(left)
-    assert out == want and set(want) == {k for k in kept if kept[k]} and near.keys() <= set(want)
-    assert not any(kept[k] for k, _, h in data if h in ("5+1", "10+2"))
+    data = []
+    for shared in (1, 2, 5, 10, 30):
+        for percent in (0, 1, 3, 5, 10, 50):
+            host, lines = f"{shared}/{percent}", [prose(12) + " 7" for _ in range(shared)]
+            for k in range(r.choice([20, 21, 22, 40])):
+                own = round(sum(len(x.split()) for x in lines) * percent / (100 - percent))
+                data.append(["\n".join([*[x.replace("7", str(k)).upper() if k % 3 else x for x in lines], prose(own)]), host])
+    for k in range(200):  # stubs of one host: boilerplate, and a line of their own
+        data.append([f"{STUB}\n{prose(4 + 3 * (k % 2))}", "stubs"])
+    base = [prose(12) for _ in range(10)]
+    for host, n in (("few near copies", 20), ("near copies", 60)):
+        for k in range(n):
+            w = [x.split() for x in base]
+            w[k % 9][k % 12] = "edit" + prose(1)
+            data += [["\n".join(" ".join(x) for x in w), host]] * (1 + k % 2)
+    data += [[prose(40) + "\n" + base[9], "near copies" if k < 30 else "few near copies"] for k in range(45)]
+    data += [[prose(40) + "\n" + base[9], None], ["", "stubs"], [None, None], [base[9], "near copies"]]
+    return [(k, t, h) for k, (t, h) in enumerate(data)]
+
+
+STUB = " ".join(f"menu{k}" for k in range(120))
+
+
+@pytest.mark.parametrize("copies", [None, ngram_join.near_copies])
+def test_quality_equals_brute_force(spark, copies):
+    rows = hosts_with_boilerplate()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {k: t for k, t, _ in quality_by_force(rows, near=copies is not None)}
+    assert {x["doc_id"]: x["text"] for x in quality_rules.clean(df, copies=copies).collect()} == want
+    assert {x["id"] for x in quality_rules.judge(df, copies=copies).collect() if x["kept"]} == set(want)
+    hosts = Counter(h for k, _, h in rows if k in want)
+    assert hosts["stubs"] == (200 if copies else 0) and hosts["few near copies"] == 45  # the stubs are alike: one of them stays later
+    assert hosts["near copies"] == (30 + 90 if copies else 30)
 
 
 def test_url_filter(spark):
@@ -439,14 +433,16 @@ def test_pipeline_cuts_passages_of_over_50_words(spark):
     assert got[len(texts)][0] == both[0]
 
 
-def quality_by_force(rows, limit=20):
-    """Rows that pass the rules, without lines that over `limit` texts of a host hold (all texts here are unlike each other)."""
+def quality_by_force(rows, limit=20, near=False):
+    """Rows that pass the rules, without lines that over `limit` texts of a host hold; near: texts that are alike count once."""
     normal = lambda x: b" ".join(re.sub(rb"[0-9]+", b"0", x.lower()).split())
     held = defaultdict(set)
+    texts = sorted({t or "" for _, t, _ in rows})
+    kind = dict(zip(texts, near_groups(texts) if near else texts))
     for _, t, host in rows:
         for line in (t or "").encode().split(b"\n"):
             if line.split():
-                held[host, normal(line)].add(t)
+                held[host, normal(line)].add(kind[t or ""])
     out = []
     for i, t, host in rows:
         w = (t or "").encode().split()
@@ -461,19 +457,26 @@ def quality_by_force(rows, limit=20):
     return out
 
 
-def near_by_force(rows, k=5, percent=80):
-    """The row of the smallest id of each component."""
+def near_groups(texts, k=5, percent=80):
+    """A number for each text, equal for those that links join."""
     sets = []
-    for _, t, _ in rows:
+    for t in texts:
         w = t.encode().lower().split()
         sets.append({tuple(w[x : x + k]) for x in range(len(w) - k + 1)} or {tuple(w)})
-    group = list(range(len(rows)))
-    for a in range(len(rows)):
-        for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+    group, of = list(range(len(texts))), defaultdict(list)
+    for a, s in enumerate(sets):
+        for b in {b for x in s for b in of[x]}:
+            if group[a] != group[b] and 100 * len(s & sets[b]) >= percent * len(s | sets[b]):
                 group = [group[b] if g == group[a] else g for g in group]
+        for x in s:
+            of[x].append(a)
+    return group
+
+
+def near_by_force(rows):
+    """The row of the smallest id of each component."""
     least = {}
-    for r, g in sorted(zip(rows, group), key=lambda x: x[0][0]):
+    for r, g in sorted(zip(rows, near_groups([t for _, t, _ in rows])), key=lambda x: x[0][0]):
         least.setdefault(g, r)
     return list(least.values())
 
@@ -550,7 +553,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     steps = [rows]
-    for step in (quality_by_force, near_by_force, passages_by_force, lambda x: benchmark_by_force(x, bench)):
+    for step in (lambda x: quality_by_force(x, near=True), near_by_force, passages_by_force, lambda x: benchmark_by_force(x, bench)):
         steps.append(step(steps[-1]))
     assert [len(x) for x in steps] == sorted((len(x) for x in steps), reverse=True) and len({tuple(x) for x in steps}) == 5
     tok = tokens.encoder(tokens.default_tokenizer()).tokenizer
