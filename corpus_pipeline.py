@@ -22,7 +22,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.clean(docs)
+    """Near copies count once for the limit of a line: the next stage keeps one of them."""
+    return quality_rules.clean(docs, copies=ngram_join.near_copies)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
