@@ -7,7 +7,7 @@ words: an occurrence at position i goes on if the phrases at i and at i + 1 are
 lists, summed over blocks, are the exact frequencies of the next level.
 
 Scale: texts are read and cut into words once; the lists are written once, and each level is one pass over them. Frequent words
-get dense numbers; they meet the lists by a join (Spark splits a hot word's partition). Per level, tasks send a count for each
+get dense numbers; they meet the lists by a join: broadcast up to 16 MB, else shuffled, where Spark splits a hot word's partition. Per level, tasks send a count for each
 different phrase of a block, combined before the shuffle. The frequent phrases of a level reach the tasks as a filter of bits,
 16 for each phrase and at most 32 MB whatever the input: beyond some 2^28 / 16 phrases it lets more through, which costs counts
 and changes no result, as the counts decide. The best phrases per language are taken in salted shares first.
@@ -43,6 +43,8 @@ WORD = ~(ENDS | K.byte_class(b" \t"))
 HELD = 12 << 20
 #: Bits of a filter: for each phrase, and at least and at most in all (as powers of two).
 BITS_EACH, BITS_LEAST, BITS_MOST = 16, 12, 28
+#: Frequent words of up to so many bytes are broadcast to the lists; of more, lists and words are shuffled.
+BROADCAST_BYTES = 16 << 20
 #: Shares in which the best phrases of a language are looked for first.
 SALTS = 64
 
@@ -132,7 +134,9 @@ def numbered(scratch: Scratch, words: DataFrame) -> DataFrame:
 
 def blocks(lists: DataFrame, words: DataFrame) -> DataFrame:
     """block, ids, sizes, positions: the lists of a block's frequent words in one row."""
-    found = lists.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "id", "n", "positions")
+    names = words.select("lang", "word", "id")
+    small = names.select(F.coalesce(F.sum(F.octet_length("word") + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    found = lists.join(F.broadcast(names) if small else names, ["lang", "word"]).select("block", "id", "n", "positions")
     dealt = found.repartition("block").sortWithinPartitions("block", "id")
 
     def make():

@@ -135,6 +135,7 @@ def test_collocations(docs, rows, given, held, monkeypatch):
 
 
 def test_a_full_filter_changes_no_phrase(docs, rows, monkeypatch):
+    monkeypatch.setattr(collocations, "BROADCAST_BYTES", 0)
     monkeypatch.setattr(collocations, "BITS_LEAST", 6)
     monkeypatch.setattr(collocations, "BITS_MOST", 6)
     p = collocations.Params(min_count=2)
