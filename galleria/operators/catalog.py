@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +40,71 @@ def group_size_stats(df: DataFrame, key: str) -> DataFrame:
 QUANTILES = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
 
 
+#: Ranges that a pass cuts each kept range into, and values of a range that are few enough to be sorted.
+CUTS, FEW = 64, 4096
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int], cuts: int = CUTS, few: int = FEW) -> dict[int, float]:
+    """The values at these places (from 0) of the sorted column, which has no nulls, by refining ranges.
+
+    Each pass counts the values in ranges, cut by approximate quantiles so that they halve and halve again whatever the
+    distribution, and keeps those that hold a wanted place; a range of one value, or of few, is settled. A pass is a scan with
+    partial counts: no task holds more than the counts of its ranges, and the driver gets `few` values a place at most."""
+    v = df.select(F.col(column).cast("double").alias("v"))
+    ends = v.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+    open_ = {r: (ends["a"], ends["b"], 0) for r in ranks}  # place: (from, to, both included; values below)
+    found: dict[int, float] = {}
+    while open_:
+        ranges = sorted({(a, b) for a, b, _ in open_.values()})
+        inside = [(F.col("v") >= a) & (F.col("v") <= b) for a, b in ranges]
+        qs = [k / cuts for k in range(1, cuts)]
+        got = v.agg(*[F.percentile_approx(F.when(c, F.col("v")), qs, 20 * cuts).alias(f"q{k}") for k, c in enumerate(inside)]).first()
+        parts = []
+        for k, (a, b) in enumerate(ranges):
+            edges = sorted({a, *got[f"q{k}"], b})
+            # A value of an edge is a range of its own: a value that very many rows have is settled at once.
+            place = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("v"))) * 2 + F.col("v").isin(edges).cast("int")
+            parts.append(F.when(inside[k], F.struct(F.lit(k).alias("k"), place.alias("place"))))
+        each = v.select("v", F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
+        counts = each.groupBy("p").agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).orderBy("p").collect()
+        small: list[tuple[int, float, float, int]] = []
+        for rank, (a, b, below) in list(open_.items()):
+            for r in (r for r in counts if r["p"]["k"] == ranges.index((a, b))):
+                if rank < below + r["n"]:
+                    break
+                below += r["n"]
+            if r["a"] == r["b"]:
+                found[rank] = r["a"]
+                del open_[rank]
+            elif r["n"] <= few:
+                small.append((rank, r["a"], r["b"], below))
+                del open_[rank]
+            else:
+                open_[rank] = (r["a"], r["b"], below)
+        if small:
+            wanted = sorted({(a, b) for _, a, b, _ in small})
+            near = v.filter(functools.reduce(lambda x, y: x | y, [(F.col("v") >= a) & (F.col("v") <= b) for a, b in wanted]))
+            values = [(r["v"], r["n"]) for r in near.groupBy("v").agg(F.count("*").alias("n")).orderBy("v").collect()]
+            for rank, a, b, below in small:
+                for x, n in values:
+                    if a <= x <= b:
+                        if rank < below + n:
+                            found[rank] = x
+                            break
+                        below += n
+    return found
+
+
 def describe(df: DataFrame, column: str, digits: int | None = None) -> DataFrame:
-    """One row: min, five exact quantiles (linear interpolation), max, mean. Values are counted first, so the exact
-    quantiles weigh distinct values."""
-    v = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    q = F.percentile("v", F.array(*[F.lit(p) for p in QUANTILES.values()]), F.col("n"))
-    out = v.agg(F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"))
-    cols = {"min": F.col("min"), **{k: F.col("q")[i] for i, k in enumerate(QUANTILES)}, "max": F.col("max"), "mean": F.col("mean")}
-    return out.select(*[(X.half_even(c, digits) if digits is not None else c).alias(k) for k, c in cols.items()])
+    """One row: min, five exact quantiles (linear interpolation), max, mean; of no values all null."""
+    v = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL")
+    whole = v.agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"))
+    n = whole.first()["n"]
+    at = {k: q * (n - 1) for k, q in QUANTILES.items()}
+    values = order_statistics(v, "v", sorted({f(x) for x in at.values() for f in (math.floor, math.ceil)})) if n else {}
+    between = lambda x: values[math.floor(x)] + (values[math.ceil(x)] - values[math.floor(x)]) * (x - math.floor(x))
+    cols = {"min": F.col("min"), **{k: F.lit(between(x) if n else None).cast("double") for k, x in at.items()}, "max": F.col("max"), "mean": F.col("mean")}
+    return whole.select(*[(X.half_even(c, digits) if digits is not None else c).alias(k) for k, c in cols.items()])
 
 
 def bin_labels(edges: list[float]) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -12,66 +13,51 @@ from pyspark.sql import functions as F
 from galleria.functions import expr as X
 from galleria.session import Scratch
 
+from . import tiles
 from .graph import connected_components
+from .hamming import hamming_pairs  # noqa: F401
 
 
-def tile_pairs(a: DataFrame, b: DataFrame | None, key_a: str, tiles: int) -> DataFrame:
-    """Both sides with a tile number such that every pair of rows meets in exactly one tile: a theta join as an equi-join.
-
-    With one table, tile (i, j) with i <= j holds the rows of blocks i and j; with two, tile (i, j) holds block i of one and
-    block j of the other. Each row goes to `tiles` tiles, each tile is one task's bounded share of the pairs, and no task
-    sees a whole side. Rows of a pair are given as struct columns x and y."""
-    block = lambda k: F.pmod(F.xxhash64(k), F.lit(tiles)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(tiles - 1))
-    if b is None:
-        rows = a.select(F.struct(*a.columns).alias("x"), block(F.col(key_a)).alias("bx"))
-        rows = rows.select("x", "bx", F.explode(every).alias("o"))
-        tile = F.struct(F.least("bx", "o").alias("i"), F.greatest("bx", "o").alias("j"))
-        left = rows.select("x", "bx", tile.alias("tile"))
-        right = left.select(F.col("x").alias("y"), F.col("bx").alias("by"), "tile")
-        meets = (F.col("bx") != F.col("by")) | (F.col("tile.i") == F.col("tile.j"))
-        return left.join(right, "tile").filter(meets & (F.col("x").getField(key_a) < F.col("y").getField(key_a))).select("x", "y")
-    left = a.select(F.struct(*a.columns).alias("x"), F.explode(every).alias("j"), block(F.col(a.columns[0])).alias("i"))
-    right = b.select(F.struct(*b.columns).alias("y"), F.explode(every).alias("i"), block(F.col(b.columns[0])).alias("j"))
-    return left.join(right, ["i", "j"]).select("x", "y")
-
-
-def bands_of(hashes: DataFrame, distance: int) -> list[int]:
-    """Masks of distance + 1 bands of the bits of `h`: two hashes within the distance agree in at least one.
-
-    Any dealing of bits to bands is exact; they are dealt in turn by how evenly they are set, so that each band selects."""
-    shares = hashes.agg(*[F.avg(F.getbit("h", F.lit(k)).cast("double")).alias(f"b{k}") for k in range(64)]).first()
-    order = sorted(range(64), key=lambda k: abs((shares[k] if shares[k] is not None else 0.5) - 0.5))
-    masks = [sum(1 << k for k in order[i :: distance + 1]) for i in range(distance + 1)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def hamming_pairs(a: DataFrame, distance: int, b: DataFrame | None = None, tiles: int = 8) -> DataFrame:
-    """(id_a, id_b, dist) of 64-bit hashes within a Hamming distance; inputs (id, h). One table: id_a < id_b.
-
-    Small distances join on equal bands (exact by the pigeonhole principle), each pair in the first band that it agrees in;
-    where bands would be under 8 bits they select too little, and the pairs are tiled."""
-    if 64 // (distance + 1) >= 8:
-        masks = bands_of(a, distance)
-        bands = lambda h: F.explode(F.array(*[F.struct(F.lit(k).alias("band"), F.col(h).bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)])).alias("k")
-        left = a.select(F.col("id").alias("id_a"), F.col("h").alias("ha")).select("*", bands("ha"))
-        other = a if b is None else b
-        right = other.select(F.col("id").alias("id_b"), F.col("h").alias("hb")).select("*", bands("hb"))
-        met = left.join(right, "k")
-        met = met.filter("id_a < id_b") if b is None else met
-        differ = F.col("ha").bitwiseXOR(F.col("hb"))
-        first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)])
-        met = met.filter((F.bit_count(differ) <= distance) & (first == F.col("k.band")))
-        return met.select("id_a", "id_b", X.hamming64(F.col("ha"), F.col("hb")).alias("dist"))
-    pairs = tile_pairs(a.select("id", "h"), None if b is None else b.select("id", "h"), "id", tiles)
-    return pairs.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), X.hamming64(F.col("x.h"), F.col("y.h")).alias("dist")).filter(F.col("dist") <= distance)
+def cosine_pairs_within_groups(vectors: DataFrame, least: float) -> DataFrame:
+    """(id_a, id_b, cos) within a subject; input (id, subject, v). A subject of any size is cut into blocks that meet in pairs."""
+    n = vectors.select("id", "subject", X.l2_normalize(F.col("v")).alias("v"))
+    return _cosine_tiles(tiles.blocks(n, Scratch(vectors.sparkSession), ("subject",)), None, least, vectors, vectors, ("subject",)).drop("subject")
 
 
-def cosine_pairs_within_groups(vectors: DataFrame, least: float) -> DataFrame:
-    """(id_a, id_b, cos) within a subject; input (id, subject, v). Vectors are normalised once, before the join."""
-    n = vectors.select("id", "subject", X.l2_normalize(F.col("v")).alias("f"))
-    a, b = n.toDF("id_a", "subject", "fa"), n.toDF("id_b", "subject", "fb")
-    return a.join(b, "subject").filter("id_a < id_b").select("id_a", "id_b", X.dot(F.col("fa"), F.col("fb")).alias("cos")).filter(F.col("cos") >= least)
+#: Vectors whose angles deal the others to rings, and bound the distance of two rings.
+PIVOTS = 4
+
+
+def with_angles(vectors: DataFrame, pivots: list[list[float]]) -> DataFrame:
+    """(id, v normalised, angle0 ...): the angles to the pivots; for a zero vector a right angle."""
+    n = vectors.select("id", X.l2_normalize(F.col("v")).alias("v"))
+    angle = lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), X.dot(F.col("v"), F.array(*[F.lit(x) for x in p])))))
+    return n.select("*", *[angle(p).alias(f"angle{k}") for k, p in enumerate(pivots)])
+
+
+def cross_cosine_pairs(a: DataFrame, b: DataFrame | None, least: float) -> DataFrame:
+    """(id_a, id_b, cos) over two sets of (id, v), or over one (id_a < id_b).
+
+    By the triangle inequality of angles, vectors within an angle of each other have angles to any pivot that differ by no
+    more: rings of angles to a pivot meet only where they can reach each other, and so do their boxes of angles to the others."""
+    scratch, other = Scratch(a.sparkSession), a if b is None else b
+    some = a.select(X.l2_normalize(F.col("v")).alias("v"), F.md5(F.col("id").cast("string")).alias("h")).orderBy("h", "v").limit(PIVOTS).collect()
+    pivots = [list(r["v"]) for r in some]
+    ring = lambda t: tiles.rings(with_angles(t, pivots), scratch, "angle0") if pivots else tiles.blocks(t.select("id", "v"), scratch)
+    reach = math.acos(max(-1.0, min(1.0, least))) + 1e-6 if least > 0 and pivots else None
+    return _cosine_tiles(ring(a), None if b is None else ring(b), least, a, other, (), reach)
+
+
+def _cosine_tiles(left: DataFrame, right: DataFrame | None, least: float, a: DataFrame, b: DataFrame, by: tuple[str, ...] = (), reach: float | None = None) -> DataFrame:
+    one = right is None
+
+    def tile(x: tiles.Block, y: tiles.Block):
+        p, q, c, _ = tiles.cosines(x.matrix(), y.matrix(), least)
+        id_a, id_b, keep = tiles.id_pairs(x, y, p, q, one)
+        yield [id_a, id_b, c[keep]]
+
+    kinds = [t.schema["id"].dataType.simpleString() for t in (a, b)]
+    return tiles.meet(left, right, tile, f"id_a {kinds[0]}, id_b {kinds[1]}, cos double", by, reach)
 
 
 def union_pairs(*parts: DataFrame) -> DataFrame:
@@ -79,13 +65,6 @@ def union_pairs(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [p.select("id_a", "id_b") for p in parts]).distinct()
 
 
-def cross_cosine_pairs(a: DataFrame, b: DataFrame, least: float, tiles: int = 8) -> DataFrame:
-    """(id_a, id_b, cos) over two sets of (id, v), tiled."""
-    n = lambda d: d.select("id", X.l2_normalize(F.col("v")).alias("f"))
-    pairs = tile_pairs(n(a), n(b), "id", tiles)
-    return pairs.select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"), X.dot(F.col("x.f"), F.col("y.f")).alias("cos")).filter(F.col("cos") >= least)
-
-
 def identical_file_pairs(files: DataFrame) -> DataFrame:
     """A chain a-b, b-c of the files of each digest in id order; input (id, digest); an empty digest is no file."""
     w = Window.partitionBy("digest").orderBy("id")

@@ -69,8 +69,8 @@ def fewshot_identity(images: DataFrame, vectors: DataFrame, shots: tuple[int, ..
 
 
 def _identified(gallery: DataFrame, probes: DataFrame, by: By, scratch: Scratch) -> DataFrame:
-    sims = vector.similarities(probes, gallery, by=by).withColumn("sim", F.round("sim", 9))
-    return scratch.keep(metrics.identification_ranks(metrics.identity_scores(sims, by), by), "ranks")
+    best = vector.identity_scores(probes, gallery, by).withColumn("score", F.round("score", 9))
+    return scratch.keep(metrics.identification_ranks(best, by), "ranks")
 
 
 def single_gallery(images: DataFrame, vectors: DataFrame, draws: int, seed: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -150,6 +150,6 @@ def cross_dataset(images: DataFrame, vectors: DataFrame, overlap: DataFrame, scr
     n = kept.agg(F.countDistinct("subject")).first()[0]
     by = ("variant",)
     v = kept.join(vectors, "image_id").select("variant", F.col("image_id").alias("id"), F.col("subject").alias("cls"), "v")
-    sims = vector.leave_one_out(v, by).withColumn("sim", F.round("sim", 9))
-    ranks = scratch.keep(metrics.identification_ranks(metrics.identity_scores(sims, by), by), "ranks")
+    best = vector.identity_scores(v, None, by).withColumn("score", F.round("score", 9))
+    ranks = scratch.keep(metrics.identification_ranks(best, by), "ranks")
     return metrics.rank_summary(ranks, n, (1, 5), by)

@@ -272,11 +272,6 @@ def clustering_metrics(rows: DataFrame) -> DataFrame:
 # Identification
 
 
-def identity_scores(sims: DataFrame, by: By = ()) -> DataFrame:
-    """(probe, y, cls, score): the best similarity of each identity; sims: (probe, y, gallery_cls, sim)."""
-    return sims.groupBy(*by, "probe", "y", F.col("gallery_cls").alias("cls")).agg(F.max("sim").alias("score"))
-
-
 def identification_ranks(best: DataFrame, by: By = ()) -> DataFrame:
     """(probe, y, rank, pred): rank = 1 + identities strictly above the true one; pred = true at rank 1, else the best."""
     own = F.max(F.when(F.col("cls") == F.col("y"), F.col("score"))).over(Window.partitionBy(*by, "probe"))

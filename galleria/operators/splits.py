@@ -140,42 +140,41 @@ def capped(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 # Exact splits that keep groups whole
 
 
-def subset_with_sum(sizes: list[int], target: int) -> list[int] | None:
-    """Positions of a subset with this sum, or None: reachable sums with the item that reached each first."""
-    reached: dict[int, int] = {0: -1}
-    for k, size in enumerate(sizes):
-        if target in reached:
-            break
-        for s in [s for s in reached if s + size <= target]:
-            reached.setdefault(s + size, k)
-    if target not in reached:
-        return None
-    out, s = [], target
-    while s:
-        k = reached[s]
-        out.append(k)
-        s -= sizes[k]
-    return out
-
-
-def best_below(sizes: list[int], target: int) -> list[int]:
-    """Positions of a subset with the largest sum of at most the target."""
-    for t in range(target, -1, -1):
-        found = subset_with_sum(sizes, t)
-        if found is not None:
-            return found
-    return []
+class Sums:
+    """The sums that subsets of some sizes reach: one bit set per prefix of the sizes, from which a subset is read back."""
+
+    def __init__(self, sizes: list[int], most: int):
+        self.sizes, window = sizes, (1 << (most + 1)) - 1
+        self.reached = [1]
+        for size in sizes:
+            self.reached.append((self.reached[-1] | self.reached[-1] << size) & window)
+
+    def largest(self) -> int:
+        """The largest sum of at most `most`."""
+        return self.reached[-1].bit_length() - 1
+
+    def subset(self, total: int) -> list[int] | None:
+        """Positions of a subset with this sum, or None: an item is taken where the sum is out of reach without it."""
+        if total < 0 or not self.reached[-1] >> total & 1:
+            return None
+        out = []
+        for k in range(len(self.sizes) - 1, -1, -1):
+            if not self.reached[k] >> total & 1:
+                out.append(k)
+                total -= self.sizes[k]
+        return out[::-1]
 
 
 def take(groups: list[tuple[str, list[str]]], n: int) -> tuple[list[str], list[tuple[str, list[str]]], bool]:
     """(n images, the groups left, whether a group had to be cut): whole groups if any subset sums to n, else the smallest
     group that suffices gives the rest."""
     sizes = [len(x) for _, x in groups]
-    pick = subset_with_sum(sizes, n)
+    sums = Sums(sizes, n)
+    pick = sums.subset(n)
     if pick is not None:
         chosen = set(pick)
         return [i for k in pick for i in groups[k][1]], [g for k, g in enumerate(groups) if k not in chosen], False
-    pick = best_below(sizes, n)
+    pick = sums.subset(sums.largest())
     chosen, short = set(pick), n - sum(sizes[k] for k in pick)
     donor = min((k for k in range(len(groups)) if k not in chosen and sizes[k] >= short), key=lambda k: (sizes[k], k))
     name, items = groups[donor]

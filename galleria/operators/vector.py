@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galleria.functions import expr as X
+from galleria.session import Scratch
 
+from . import tiles
 from .dedup import centroids
 from .metrics import By
 
@@ -43,27 +47,168 @@ def prototype_scores(support: DataFrame, queries: DataFrame, by: By = ()) -> Dat
     return meet(q, p, "cls", cells_of(p, "c"), by).select(*by, "probe", "cls", X.dot(F.col("f"), F.col("c")).alias("score"))
 
 
-def similarities(probes: DataFrame, gallery: DataFrame, exclude_self: bool = False, by: By = ()) -> DataFrame:
-    """(probe, y, gallery_cls, sim) of (id, cls, v) tables; leave-one-out if exclude_self."""
-    f = X.l2_normalize(F.col("v"))
-    g = gallery.select(*by, F.col("id").alias("gid"), F.col("cls").alias("gallery_cls"), f.alias("gf"))
-    p = probes.select(*by, F.col("id").alias("probe"), F.col("cls").alias("y"), f.alias("f"))
-    out = meet(p, g, "gid", cells_of(gallery, "v"), by)
-    out = out.filter("probe <> gid") if exclude_self else out
-    return out.select(*by, "probe", "y", "gallery_cls", X.dot(F.col("f"), F.col("gf")).alias("sim"))
-
-
-def leave_one_out(vectors: DataFrame, by: By = ()) -> DataFrame:
-    """Similarities of each vector to all others; vectors of a class of one are only distractors."""
-    n = F.count("*").over(Window.partitionBy(*by, "cls"))
-    return similarities(vectors.withColumn("n", n).filter("n > 1").drop("n"), vectors, exclude_self=True, by=by)
+def identity_scores(probes: DataFrame, gallery: DataFrame | None = None, by: By = ()) -> DataFrame:
+    """(probe, y, cls, score): the best cosine of each probe with each identity of the gallery, from (id, cls, v) tables.
+
+    Without a gallery the probes are their own, each without itself (leave-one-out); vectors of a class of one are only
+    distractors. Blocks of probes meet blocks of the gallery; a tile gives a row per probe and identity, not per pair."""
+    scratch = Scratch(probes.sparkSession)
+    table = lambda t, *more: t.select(*by, "id", "cls", X.l2_normalize(F.col("v")).alias("v"), *more)
+    if gallery is None:
+        alone = F.count("*").over(Window.partitionBy(*by, "cls")) == 1
+        left, right = tiles.blocks(table(probes, alone.alias("alone")), scratch, by), None
+    else:
+        left, right = tiles.blocks(table(probes), scratch, by), tiles.blocks(table(gallery), scratch, by)
+    own = right is None
+
+    def tile(x: tiles.Block, y: tiles.Block):
+        names, cls = np.unique(y.flat("cls"), return_inverse=True)
+        order = np.argsort(cls, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0])
+        ours, theirs = x.matrix(), y.matrix()
+        use = np.arange(len(x)) if not own else np.flatnonzero(~x.flat("alone"))
+        for i in range(0, len(use), tiles.STEP):
+            at = use[i : i + tiles.STEP]
+            s = ours[at] @ theirs.T
+            if own and x.number == y.number:
+                s[np.arange(len(at)), at] = -np.inf
+            best = np.maximum.reduceat(s[:, order], starts, axis=1)
+            p, c = np.nonzero(best > -np.inf)
+            yield [x.column("id").take(pa.array(at[p])), x.column("cls").take(pa.array(at[p])), names[c], best[p, c]]
+
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    ddl = f"probe {kind(probes, 'id')}, y {kind(probes, 'cls')}, cls {kind(probes if gallery is None else gallery, 'cls')}, score double"
+    found = tiles.meet(left, right, tile, ddl, tuple(by), every=True)
+    return found.groupBy(*by, "probe", "y", "cls").agg(F.max("score").alias("score"))
+
+
+#: Ranges of scores that a pass counts in, and scores of a range that are looked at one by one.
+RANGES, FEW = 4096, 20_000
+
+
+def _count_pairs(blocks: DataFrame, digits: int | None, cuts: list[np.ndarray], few: bool) -> list:
+    """Rows (range, or score if few; genuine; impostor) of all pairs with a score in the cuts (from the first on, below the last)."""
+
+    def tile(x: tiles.Block, y: tiles.Block):
+        a, b, ca, cb = x.matrix(), y.matrix(), x.flat("cls"), y.flat("cls")
+        place, same = np.arange(len(y))[None, :], x.number == y.number
+        for i in range(0, len(x), tiles.STEP):
+            s = a[i : i + tiles.STEP] @ b.T
+            s = s if digits is None else np.round(s, digits) + 0.0
+            own = ca[i : i + tiles.STEP, None] == cb[None, :]
+            ok = place > np.arange(i, i + len(s))[:, None] if same else np.ones(s.shape, bool)
+            v, g = s[ok], own[ok]
+            for k, cut in enumerate(cuts):
+                inside = (v >= cut[0]) & (v < cut[-1])
+                w, h = v[inside], g[inside]
+                kinds, code = np.unique(w if few else np.searchsorted(cut, w, "right") - 1, return_inverse=True)
+                n, m = (np.bincount(code, weights=z, minlength=len(kinds)).astype(np.int64) for z in (h, ~h))
+                yield [np.full(len(kinds), k), kinds.astype(np.float64), n, m]
+
+    found = tiles.meet(blocks, None, tile, "k int, at double, g long, i long")
+    return found.groupBy("k", "at").agg(F.sum("g").alias("g"), F.sum("i").alias("i")).orderBy("k", "at").collect()
+
+
+def verification_of_all_pairs(vectors: DataFrame, far: float = 0.01, digits: int | None = None) -> DataFrame:
+    """One row eer, tar_at_far (percent) over all pairs of (id, cls, v), as metrics.verification has them, without a table of pairs.
+
+    Tiles count genuine and impostor scores by ranges; only the ranges are kept in which the error rates cross and the false
+    accepts fall to the target, and these are cut anew until their scores are few. A pass returns RANGES rows at most."""
+    n = vectors.select("id", "cls", X.l2_normalize(F.col("v")).alias("v"))
+    blocks = tiles.blocks(n, Scratch(vectors.sparkSession))
+    cut = np.linspace(-1.0 - 1e-6, 1.0 + 1e-6, RANGES + 1)
+    rows = _count_pairs(blocks, digits, [cut], False)
+    genuine, impostor = sum(r["g"] for r in rows), sum(r["i"] for r in rows)
+    if not genuine or not impostor:
+        return vectors.sparkSession.createDataFrame([(None, None)], "eer double, tar_at_far double")
+    frr, accept = (lambda g: g / genuine), (lambda i: (impostor - i) / impostor)  # of the numbers of scores below a threshold
+    crossed = {"eer": lambda g, i: frr(g) >= accept(i), "tar": lambda g, i: accept(i) <= far}
+
+    def narrow(rows: list, below: tuple[int, int], test) -> tuple[float, tuple[int, int], int]:
+        """(the range after which the test first holds, counts below it, scores in it)."""
+        g, i = below
+        for r in rows:
+            if test(g + r["g"], i + r["i"]):
+                return r["at"], (g, i), r["g"] + r["i"]
+            g, i = g + r["g"], i + r["i"]
+        raise AssertionError("the test holds above all scores")
+
+    state = {}
+    for name, test in crossed.items():
+        k, below, many = narrow(rows, (0, 0), test)
+        state[name] = (cut[int(k)], cut[int(k) + 1], below, many)
+    exact: dict[str, list] = {}
+    while len(exact) < len(state):
+        open_ = [x for x in state if x not in exact]
+        few = {x: state[x][3] <= FEW or np.nextafter(state[x][0], 2) >= state[x][1] for x in open_}
+        for mode in (True, False):
+            names = [x for x in open_ if few[x] == mode]
+            if not names:
+                continue
+            cuts = [np.array(state[x][:2]) if mode else np.unique(np.linspace(*state[x][:2], RANGES + 1)) for x in names]
+            found = _count_pairs(blocks, digits, cuts, mode)
+            for k, x in enumerate(names):
+                own = [r for r in found if r["k"] == k]
+                if mode:
+                    exact[x] = own
+                else:
+                    at, below, many = narrow(own, state[x][2], crossed[x])
+                    state[x] = (cuts[k][int(at)], cuts[k][int(at) + 1], below, many)
+    # A threshold is a score; what it accepts is counted below it. After the last score of a range the next one stands.
+    steps = {}
+    for x, own in exact.items():
+        g, i = state[x][2]
+        steps[x] = [(g, i)]
+        for r in own:
+            g, i = g + r["g"], i + r["i"]
+            steps[x].append((g, i))
+    eer = min(((abs(frr(g) - accept(i)), k, (frr(g) + accept(i)) / 2) for k, (g, i) in enumerate(steps["eer"])))[2]
+    tar = next((1 - frr(g) for g, i in steps["tar"] if accept(i) <= far), 0.0)
+    return vectors.sparkSession.createDataFrame([(100.0 * eer, 100.0 * tar)], "eer double, tar_at_far double")
 
 
 def genuine_pairs(vectors: DataFrame, cap: int | None = None, seed: int = 0) -> DataFrame:
-    """(id_a, id_b) within a class, id_a < id_b; with a cap a sample in hash order."""
-    a = vectors.select("cls", F.col("id").alias("id_a"))
-    p = a.join(a.withColumnRenamed("id_a", "id_b"), "cls").filter("id_a < id_b").select("id_a", "id_b")
-    return p if cap is None else p.orderBy(X.hashed(seed, "id_a", "id_b"), "id_a", "id_b").limit(cap)
+    """(id_a, id_b) within a class, id_a < id_b; with a cap a sample of them without repeats, of which no other pair is listed.
+
+    The pairs of all classes are numbered: a class has those from the sum of n (n - 1) / 2 of the classes before it. Numbers are
+    drawn by hash, without repeats the first `cap`; a number gives its class by its range and its two members by a square root."""
+    if cap is None:
+        a = vectors.select("cls", F.col("id").alias("id_a"))
+        return a.join(a.withColumnRenamed("id_a", "id_b"), "cls").filter("id_a < id_b").select("id_a", "id_b")
+    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("id")) - 1
+    members = scratch.keep(vectors.select("cls", "id", place.cast("long").alias("place")), "members")
+    sizes = members.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").withColumn("pairs", F.expr("n * (n - 1) div 2"))
+    before = F.coalesce(F.sum("pairs").over(Window.partitionBy(F.lit(0)).orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per class
+    ranges = scratch.keep(sizes.withColumn("first", before), "classes")
+    total = ranges.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    if total <= cap:
+        return genuine_pairs(vectors)
+    # Ranges of numbers: a class lies in those that it overlaps, so numbers find their class by an equi-join.
+    width = -(-total // NUMBER_RANGES)
+    spread = ranges.withColumn("range", F.explode(F.expr(f"sequence(first div {width}, (first + pairs - 1) div {width})")))
+    numbers = _drawn_numbers(spark, total, cap, seed).withColumn("range", F.expr(f"number div {width}"))
+    drawn = numbers.join(spread, "range").filter("number >= first AND number < first + pairs")
+    place_of = F.expr("number - first")
+    high = F.floor((1 + F.sqrt(1.0 + 8.0 * place_of)) / 2).cast("long")  # the larger place j has the numbers from j (j - 1) / 2 on
+    drawn = drawn.withColumn("k", place_of).withColumn("j", high)
+    fix = F.when(F.expr("j * (j - 1) div 2 > k"), F.col("j") - 1).when(F.expr("(j + 1) * j div 2 <= k"), F.col("j") + 1).otherwise(F.col("j"))
+    drawn = drawn.withColumn("j", fix).withColumn("i", F.expr("k - j * (j - 1) div 2")).select("cls", "i", "j")
+    one = lambda side, out: members.select("cls", F.col("place").alias(side), F.col("id").alias(out))
+    return drawn.join(one("i", "id_a"), ["cls", "i"]).join(one("j", "id_b"), ["cls", "j"]).select("id_a", "id_b")
+
+
+#: Ranges of pair numbers in which classes are looked up.
+NUMBER_RANGES = 4096
+
+
+def _drawn_numbers(spark, total: int, cap: int, seed: int) -> DataFrame:
+    """cap different numbers below total (which is larger): draws by hash, repeats left out, the first of the rest."""
+    if total <= 4 * cap:
+        return spark.range(total).select(F.col("id").alias("number")).orderBy(X.hashed(seed, "number"), "number").limit(cap)
+    draw = F.pmod(F.conv(F.substring(X.hashed(seed, F.lit("genuine"), "draw"), 1, 15), 16, 10).cast("long"), F.lit(total))
+    draws = spark.range(4 * cap + 64).select(F.col("id").alias("draw")).select("draw", draw.alias("number"))
+    return draws.groupBy("number").agg(F.min("draw").alias("draw")).orderBy("draw").limit(cap).select("number")
 
 
 def numbered(rows: DataFrame, order: str, out: str, ranges: int = 64) -> DataFrame:

@@ -83,6 +83,18 @@ ORACLE: dict[str, str] = {
     "near_dup_hamming_pairs": with_(HAM) + "SELECT * FROM hamp",
     "hamming_pairs_banded": """WITH h AS (SELECT o_orderkey AS id, CAST(trunc(o_totalprice * 100) AS BIGINT) AS h FROM orders)
 SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS dist FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 2""",
+    "hamming_pairs_probed": """WITH h AS (SELECT o_orderkey AS id, xor(CAST('0x' || substr(md5(CAST(o_custkey AS VARCHAR)), 1, 16) AS UBIGINT), CAST(o_orderkey % 65536 AS UBIGINT) << (o_custkey % 48)::UBIGINT) AS h FROM orders)
+SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS dist FROM h a JOIN h b ON a.id < b.id WHERE bit_count(xor(a.h, b.h)) <= 10""",
+    "close_cosine_pairs": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+UNION ALL SELECT vec_id + 10000000, list_transform(embedding, lambda x, i: CAST(CAST(CAST(x AS DOUBLE) + CASE WHEN i % 5 = 1 THEN vec_id % 10 * 0.02 ELSE 0.0 END AS FLOAT) AS DOUBLE)) FROM embeddings),
+n AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS f FROM v)
+SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.f, b.f), 6) AS cos FROM n a, n b WHERE a.id < b.id AND list_dot_product(a.f, b.f) >= 0.9""",
+    "genuine_sample": """WITH m AS (SELECT vec_id AS id, label AS cls, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place FROM embeddings),
+r AS (SELECT cls, p, coalesce(sum(p) OVER (ORDER BY cls ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM (SELECT cls, count(*) * (count(*) - 1) // 2 AS p FROM m GROUP BY cls)),
+d AS (SELECT draw, CAST('0x' || substr(md5('33|genuine|' || draw), 1, 15) AS BIGINT) % (SELECT sum(p) FROM r) AS number FROM range(4064) t(draw)),
+u AS (SELECT number FROM (SELECT number, min(draw) AS draw FROM d GROUP BY number) ORDER BY draw LIMIT 1000),
+k AS (SELECT cls, CAST(number - first AS BIGINT) AS k FROM u JOIN r ON number >= first AND number < first + p)
+SELECT a.id AS id_a, b.id AS id_b FROM k JOIN m b USING (cls) JOIN m a USING (cls) WHERE b.place * (b.place - 1) // 2 <= k AND k < b.place * (b.place + 1) // 2 AND a.place = k - b.place * (b.place - 1) // 2""",
     "hamming_pairs_cross": with_(HAM.split(",\nhamp")[0]) + """SELECT x.id AS id_a, y.id AS id_b, CAST(list_sum(list_transform(list_zip(x.b, y.b), lambda p: abs(p[1] - p[2]))) AS INTEGER) AS dist
 FROM s x, s y WHERE x.id % 2 = 0 AND y.id % 2 = 1 AND list_sum(list_transform(list_zip(x.b, y.b), lambda p: abs(p[1] - p[2]))) <= 18""",
     "cross_cosine_pairs": with_(VEC) + "SELECT a.id AS id_a, b.id AS id_b, round(list_dot_product(a.f, b.f), 6) AS cos FROM n a, n b WHERE a.id % 2 = 0 AND b.id % 2 = 1 AND list_dot_product(a.f, b.f) >= 0.4",

@@ -95,6 +95,23 @@ def hamming_pairs_banded(spark, sf):
     return dedup.hamming_pairs(o, 2).select("id_a", "id_b", F.col("dist").cast("int").alias("dist"))
 
 
+@query
+def hamming_pairs_probed(spark, sf):
+    """Distance 10 over orders: a customer's orders share a hash but for some bits of the order's number."""
+    base = F.conv(F.substring(F.md5(F.col("o_custkey").cast("string")), 1, 16), 16, -10).cast("long")
+    own = F.expr("shiftleft(o_orderkey % 65536, cast(o_custkey % 48 as int))")
+    h = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), base.bitwiseXOR(own).alias("h"))
+    return dedup.hamming_pairs(h, 10, probed=True).select("id_a", "id_b", F.col("dist").cast("int").alias("dist"))
+
+
+@query
+def close_cosine_pairs(spark, sf):
+    """Vectors and a moved copy of each: pairs of at least 0.9, found by rings of angles."""
+    v = vecs(spark, sf).select("id", "v")
+    near = v.select((F.col("id") + 10_000_000).alias("id"), F.transform("v", lambda x, k: (x + F.when(k % 5 == 0, F.col("id") % 10 * 0.02).otherwise(0.0)).cast("float")).alias("v"))
+    return dedup.cross_cosine_pairs(v.unionByName(near), None, 0.9).select("id_a", "id_b", r6("cos", "cos"))
+
+
 @query
 def hamming_pairs_cross(spark, sf):
     h = hashes(spark, sf)
@@ -495,16 +512,16 @@ def linear_probe(spark, sf):
     return metrics.predictions(vector.linear_probe(_support(spark, sf), val, q, grid=(0.1, 1.0))[0])
 
 
-def _sims(spark, sf):
+def _best(spark, sf):
     v = vecs(spark, sf).select("id", F.col("subject").alias("cls"), "v")
     first = v.groupBy("cls").agg(F.min("id").alias("gid"))
     g = v.join(first.select("gid"), F.col("id") == F.col("gid"), "left_semi")
     p = v.join(first.select("gid"), F.col("id") == F.col("gid"), "left_anti")
-    return vector.similarities(p, g).withColumn("sim", F.round("sim", 9))
+    return vector.identity_scores(p, g).withColumn("score", F.round("score", 9))
 
 
 def _ranks(spark, sf):
-    return metrics.identification_ranks(metrics.identity_scores(_sims(spark, sf)))
+    return metrics.identification_ranks(_best(spark, sf))
 
 
 @query
@@ -532,8 +549,8 @@ def mean_cmc(spark, sf):
 @query
 def loo_identification(spark, sf):
     v = vecs(spark, sf).select("id", F.col("subject").alias("cls"), "v")
-    s = vector.leave_one_out(v).withColumn("sim", F.round("sim", 9))
-    return rounded(metrics.rank_summary(metrics.identification_ranks(metrics.identity_scores(s)), 10, (1, 5)))
+    s = vector.identity_scores(v).withColumn("score", F.round("score", 9))
+    return rounded(metrics.rank_summary(metrics.identification_ranks(s), 10, (1, 5)))
 
 
 @query
@@ -541,6 +558,11 @@ def genuine_pairs(spark, sf):
     return vector.genuine_pairs(vecs(spark, sf).select("id", F.col("subject").alias("cls")))
 
 
+@query
+def genuine_sample(spark, sf):
+    return vector.genuine_pairs(vecs(spark, sf).select("id", F.col("subject").alias("cls")), 1000, 33)
+
+
 @query
 def impostor_pairs(spark, sf):
     return vector.impostor_pairs(vecs(spark, sf).select("id", F.col("subject").alias("cls")), 500, 21)
@@ -555,11 +577,8 @@ def pair_scores(spark, sf):
 
 @query
 def verification_eer_tar(spark, sf):
-    v = vecs(spark, sf)
-    n = v.select("id", "subject", X.l2_normalize(F.col("v")).alias("f"))
-    p = dedup.tile_pairs(n, None, "id", 4).select((F.col("x.subject") == F.col("y.subject")).alias("same"), F.round(X.dot(F.col("x.f"), F.col("y.f")), 6).alias("score"))
-    p = Scratch(spark).keep(p, "scores")
-    return rounded(metrics.verification(p.filter("same").select("score"), p.filter("NOT same").select("score")))
+    v = vecs(spark, sf).select("id", F.col("subject").alias("cls"), "v")
+    return rounded(vector.verification_of_all_pairs(v, digits=6))
 
 
 # Summaries and the store
