@@ -3,8 +3,8 @@
 A page is read as a stream of tags and text (unclosed, misnested and raw-text elements as browsers take them) and cut
 into blocks at block-level tags. Pass one decides each block by itself: what stands in menus, headers, footers, sidebars,
 forms, notices, adverts or reader comments (by element, role or the words of class and id) is boilerplate; so is a block
-most of whose characters are links; a long block is text by its stop-word density, or by standing in the page's article
-element. Short blocks stay open. Pass two gives each open block the label of its nearest decided neighbour (of two as
+most of whose characters are links; a long block is text by its stop-word density, of which less is asked in the page's
+article element. Short blocks stay open. Pass two gives each open block the label of its nearest decided neighbour (of two as
 near, text wins if either is text); open blocks with no decided neighbour are text in an article element only.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are joined by one space in page
@@ -95,10 +95,74 @@ class Block:
         self.text, self.linked, self.boiler, self.article = text, linked, boiler, article
 
 
+#: Elements that an end tag or a new item inside them does not close, and those that a new one of their kind closes.
+HOLDERS = frozenset("ul ol dl table div section article main nav aside body blockquote".split())
+CLOSED_BY_NEXT = frozenset("p li dd dt tr td th option".split())
+
+
+class Stack:
+    """Open elements, each with what it is in: boilerplate, an article element, links around. Names, holders and block
+    elements keep their places, so the innermost of a kind is found at once; each element is put and taken once."""
+
+    def __init__(self):
+        self.items: list[tuple[str, bool, bool, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.holders: list[int] = []
+        self.blocks: list[int] = []
+
+    def top(self) -> tuple[str, bool, bool, int]:
+        return self.items[-1] if self.items else ("", False, False, 0)
+
+    def put(self, name: str, boiler: bool, article: bool, links: int) -> None:
+        k = len(self.items)
+        self.items.append((name, boiler, article, links))
+        self.places.setdefault(name, []).append(k)
+        if name in HOLDERS:
+            self.holders.append(k)
+        if name in BLOCK_ELEMENTS:
+            self.blocks.append(k)
+
+    def last(self, name: str) -> int:
+        """Place of the innermost element of this name, or -1."""
+        at = self.places.get(name)
+        return at[-1] if at else -1
+
+    def cut(self, k: int) -> None:
+        """Close the element at place k and all in it."""
+        while len(self.items) > k:
+            name = self.items.pop()[0]
+            self.places[name].pop()
+            if name in HOLDERS:
+                self.holders.pop()
+            if name in BLOCK_ELEMENTS:
+                self.blocks.pop()
+
+    def open(self, name: str, boiler: bool, article: bool, link: bool) -> None:
+        up = self.top()
+        self.put(name, up[1] or boiler, up[2] or article, up[3] + link)
+
+    def before(self, name: str) -> None:
+        """Close what a start tag closes: the element of its kind that is not outside a holder, or an open paragraph."""
+        k = self.last(name)
+        if name in CLOSED_BY_NEXT:
+            if k >= 0 and (not self.holders or k > self.holders[-1]):
+                self.cut(k)
+        elif name in BLOCK_ELEMENTS:
+            k = self.last("p")
+            if k >= len(self.items) - 4 and k >= 0:
+                self.cut(k)
+
+    def end(self, name: str) -> None:
+        """Close the innermost element of this name; an inline end tag does not close blocks."""
+        k = self.last(name)
+        if k >= 0 and (name in BLOCK_ELEMENTS or not self.blocks or k > self.blocks[-1]):
+            self.cut(k)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, with what pass one needs to know of each."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # element; inside boilerplate; inside an article element; links around
+    stack = Stack()
     parts: list[str] = []
     linked = links = 0
     boiler = article = False
@@ -144,33 +208,16 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID_ELEMENTS:
             continue
         if not closing:
-            if name == "p" or name in ("li", "dd", "dt", "tr", "td", "th", "option"):  # closed by the next of its kind
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "nav", "aside", "body", "blockquote"):
-                        break
-            elif name in BLOCK_ELEMENTS and stack and any(x[0] == "p" for x in stack[-4:]):  # a block element closes an open paragraph
-                for k in range(len(stack) - 1, max(-1, len(stack) - 5), -1):
-                    if stack[k][0] == "p":
-                        del stack[k:]
-                        break
-            up = stack[-1] if stack else ("", False, False, 0)
+            stack.before(name)
             if not (attrs.endswith("/") and name not in BLOCK_ELEMENTS):
-                stack.append((name, up[1] or _marks_boilerplate(name, attrs), up[2] or name in ("article", "main"), up[3] + (name == "a")))
+                stack.open(name, _marks_boilerplate(name, attrs), name in ("article", "main"), name == "a")
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK_ELEMENTS and stack[k][0] in BLOCK_ELEMENTS:  # an inline end tag does not close blocks
-                    break
-        now = stack[-1] if stack else ("", False, False, 0)
+            stack.end(name)
+        now = stack.top()
         if (now[1], now[2]) != (boiler, article):
             flush()
             boiler, article = now[1], now[2]
-        links = stack[-1][3] if stack else 0
+        links = now[3]
     flush()
     return out
 
@@ -187,12 +234,13 @@ def label(blocks: list[Block]) -> list[int]:
             first.append(BAD)
         elif size < SHORT:
             first.append(OPEN)
-        elif b.article:
-            first.append(GOOD)
         else:
             words = b.text.lower().split()
             stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
-            first.append(GOOD if stops >= STOPS_HIGH else OPEN if stops >= STOPS_LOW else BAD)
+            if b.article:  # what stands in the article needs fewer stop words, and without them asks its neighbours
+                first.append(GOOD if stops >= STOPS_LOW else OPEN)
+            else:
+                first.append(GOOD if stops >= STOPS_HIGH else OPEN if stops >= STOPS_LOW else BAD)
     # Decided neighbours of an article's blocks are those of the article that aren't boilerplate by element.
     decided = [k for k, x in enumerate(first) if x != OPEN and not (has_article and (not blocks[k].article or blocks[k].boiler))]
     out, d = list(first), 0

@@ -10,8 +10,9 @@
 3. Classifier. A logistic regression over the features is trained on the posterior labels and scores every document.
 
 Fitting reads a bounded sample of labelled rows: at most `max_toxic` toxic and `max_other` other ones, chosen by a hash of
-the id, and returns to the driver the counts of features that at least `min_support` toxic rows of it hold, and its votes. Scoring is map-only
-over whole texts; its model is a broadcast of at most `features` weights.
+the id, and returns to the driver the counts of features that at least `min_support` toxic rows of it hold, and its votes, one
+entry each. No feature that passes is left out; how many do is bounded by the sample. Scoring is map-only over whole texts;
+its model is a broadcast of the features and their weights.
 
 Defined results: null or empty text has no features and gets the score of the bias; rows with label null are not used;
 contradicting labels of an id count each; repeated rows are scored each; without any toxic label the built-in lexicon
@@ -43,7 +44,6 @@ HEADS = (4, 5, 6, 7, 8, 9, 10)
 class Params:
     max_toxic: int = 4_000
     max_other: int = 12_000
-    features: int = 512
     min_support: int = 5  #: toxic rows that hold a mined feature
     max_false_share: float = 0.1  #: of the rows that hold it, those not toxic
     dense_count: int = 2
@@ -177,44 +177,82 @@ def _votes(known: Features, p: Params):
     return make
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior of each row, evidence of each voter, voters it moves with). votes: rows x voters, 0 or 1."""
+@dataclass
+class Votes:
+    """Which voters each row of the sample has, as two columns sorted by row: as much memory as there are votes."""
+
+    row: np.ndarray
+    col: np.ndarray
+    rows: int
+    voters: int
+
+    def of_rows(self, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=weight[self.col], minlength=self.rows)
+
+    def of_voters(self, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, weights=weight[self.row], minlength=self.voters)
+
+    def together(self, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(voter, other voter, rows that both have) of every two voters that share rows."""
+        per = np.bincount(self.row, minlength=self.rows)
+        first = np.cumsum(per) - per
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for r in range(0, self.rows, step):
+            n, at = per[r : r + step], first[r : r + step]
+            one = np.repeat(np.arange(len(n)), n * n)
+            k = np.arange(len(one)) - np.repeat(np.cumsum(n * n) - n * n, n * n)
+            a, b = self.col[at[one] + k // n[one]].astype(np.int64), self.col[at[one] + k % n[one]]
+            new, m = np.unique((a * self.voters + b)[a < b], return_counts=True)
+            both, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            counts = np.bincount(back, weights=np.concatenate([counts, m]), minlength=len(both)).astype(np.int64)
+            keys = both
+        return keys // self.voters, keys % self.voters, counts
+
+
+def label_model(votes: Votes, given: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior of each row, evidence of each voter, voters it moves with)."""
     sure = np.log(p.label_accuracy / (1 - p.label_accuracy)) * np.where(given == 1, 1.0, -1.0)
     post = np.where(given == 1, p.label_accuracy, 1 - p.label_accuracy)
-    together = np.ones(votes.shape[1])
-    evidence = np.zeros(votes.shape[1])
+    moves = np.ones(votes.voters)
+    evidence = np.zeros(votes.voters)
+    i, j, both = votes.together()
+    held = np.bincount(votes.col, minlength=votes.voters)
     for _ in range(p.rounds):
-        pos, neg = post.sum(), (1 - post).sum()
-        a = (votes.T @ post + 0.5) / (pos + 1)
-        b = (votes.T @ (1 - post) + 0.05) / (neg + 1)
-        # What two voters share beyond their common label is correlation.
-        rest = votes - np.outer(post, a) - np.outer(1 - post, b)
-        cov = rest.T @ rest / len(votes)
-        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        corr = cov / np.outer(sd, sd)
-        together = np.maximum(1.0, np.where(corr > 0.2, corr, 0).sum(axis=1))
-        evidence = np.log(a / b) / together
-        silent = np.log((1 - a) / (1 - b)) / together
-        prior = np.log((pos + 1) / (neg + 1))
-        odds = prior + sure + votes @ evidence + (1 - votes) @ silent
+        parts = np.stack([post, 1 - post])
+        sums = np.stack([votes.of_voters(x) for x in parts])  # votes by label
+        a = (sums[0] + 0.5) / (parts[0].sum() + 1)
+        b = (sums[1] + 0.05) / (parts[1].sum() + 1)
+        # What two voters share beyond their common label is correlation; voters that share no row have none.
+        given_label, square = np.stack([a, b]), parts @ parts.T
+        lift = lambda x, y: np.einsum("ki,ki->i", sums[:, x], given_label[:, y])  # noqa: E731, B023
+        drawn = lambda x, y: np.einsum("ki,kl,li->i", given_label[:, x], square, given_label[:, y])  # noqa: E731, B023
+        every = np.arange(votes.voters)
+        sd = np.sqrt(np.maximum((held - 2 * lift(every, every) + drawn(every, every)) / votes.rows, 1e-12))
+        corr = (both - lift(i, j) - lift(j, i) + drawn(i, j)) / votes.rows / (sd[i] * sd[j])
+        corr = np.where(corr > 0.2, corr, 0)
+        moves = 1.0 + np.bincount(i, weights=corr, minlength=votes.voters) + np.bincount(j, weights=corr, minlength=votes.voters)
+        evidence = np.log(a / b) / moves
+        silent = np.log((1 - a) / (1 - b)) / moves
+        prior = np.log((parts[0].sum() + 1) / (parts[1].sum() + 1))
+        odds = prior + sure + silent.sum() + votes.of_rows(evidence - silent)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - post).max() < 1e-4:
             post = new
             break
         post = new
-    return post, evidence, together
+    return post, evidence, moves
 
 
-def logistic(x: np.ndarray, y: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
+def logistic(x: Votes, y: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     """Weights and bias of a ridge logistic regression on soft labels (Adam, full batch; sparse rows keep few weights moving)."""
-    n, m = x.shape
+    n, m = x.rows, x.voters
     w, bias = np.zeros(m + 1, np.float64), np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     w[m] = bias
     m1, m2 = np.zeros(m + 1), np.zeros(m + 1)
     for t in range(1, p.steps + 1):
-        z = x @ w[:m] + w[m]
+        z = x.of_rows(w[:m]) + w[m]
         r = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        g = np.append(x.T @ r + p.ridge * w[:m], r.sum())
+        g = np.append(x.of_voters(r) + p.ridge * w[:m], r.sum())
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= 0.1 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-9)
     return w[:m], float(w[m])
@@ -243,17 +281,16 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params | None = None, id_col: str
     built_in = np.isin(h, lex) & ~dense
     false_share = (k - t + 0.5) / (k + 1)
     ok = (built_in & (2 * t >= k)) | ((t >= p.min_support) & (false_share <= p.max_false_share))
-    worth = np.where(ok, np.log((1 - false_share) / false_share) * np.sqrt(t + 1) + 1e9 * built_in, -1)
-    best = np.lexsort((h, -worth))[: min(p.features, int(ok.sum()))]
+    best = np.flatnonzero(ok)
+    best = best[np.argsort(h[best], kind="stable")]
     if not len(best):  # nothing to learn from: the built-in lexicon alone
         return Model(Features.of(lex, np.zeros(len(lex), bool)), np.full(len(lex), 8.0), -4.0, p)
     known = Features.of(h[best], dense[best])
     rows = map_arrow(sample, _votes(known, p), "y int, f array<int>").toArrow()
     y = rows["y"].to_numpy().astype(np.float64)
-    votes = np.zeros((len(y), known.size), np.float32)
     lists = rows["f"].combine_chunks()
-    flat, offs = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    votes[np.repeat(np.arange(len(y)), np.diff(offs)), flat] = 1
+    per = np.diff(lists.offsets.to_numpy())
+    votes = Votes(np.repeat(np.arange(len(y)), per), lists.flatten().to_numpy(), len(y), known.size)
     post, _, _ = label_model(votes, y, p)
     w, bias = logistic(votes, post, p)
     return Model(known, w, bias, p)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -348,6 +349,111 @@ def test_clashing_columns(spark):
     assert html_extract.extract(page).columns == ["page_id", "text", "text_1"]
 
 
+def random_page(r):
+    """(html, blocks as (text, linked, boilerplate, article)) of a well-formed page built from a tree."""
+    out, blocks, buf, linked = [], [], [], [0]
+
+    def flush(boiler, article):
+        text = " ".join("".join(buf).split())
+        if text:
+            blocks.append((text, linked[0], boiler, article))
+        buf.clear()
+        linked[0] = 0
+
+    def words(links):
+        t = " ".join(r.choice(["the", "of", "und", "le", "que", "stone", "river", "cloud"]) for _ in range(r.choice([1, 4, 30]))) + " "
+        out.append(t)
+        buf.append(t)
+        linked[0] += len(t) if links else 0
+
+    def node(depth, boiler, article):
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            if depth > 4 or kind < 0.4:
+                words(False)
+            elif kind < 0.5:
+                out.append("<a href='x'>")
+                words(True)
+                out.append("</a>")
+            else:
+                name, attrs, bad = r.choice([("div", "", 0), ("section", "", 0), ("div", " class='side-bar ad'", 1), ("nav", "", 1), ("article", "", 0), ("ul", "", 0), ("footer", "", 1)])
+                flush(boiler, article)
+                out.append(f"<{name}{attrs}>")
+                inner = (boiler or bool(bad), article or name == "article")
+                node(depth + 1, *inner)
+                flush(*inner)
+                out.append(f"</{name}>")
+
+    node(0, False, False)
+    flush(False, False)
+    return "".join(out), blocks
+
+
+def labels_by_force(blocks):
+    """Every open block looks at all decided ones."""
+    H = html_extract
+    has = any(article and not boiler for _, _, boiler, article in blocks)
+    first = []
+    for text, linked, boiler, article in blocks:
+        words = text.lower().split()
+        stops = sum(w in H.STOP_WORDS for w in words) / len(words)
+        if boiler or has and not article or linked > H.LINKS * len(text):
+            first.append(H.BAD)
+        elif len(text) < H.SHORT or stops < (H.STOPS_LOW if article else H.STOPS_HIGH):
+            first.append(H.BAD if len(text) >= H.SHORT and not article and stops < H.STOPS_LOW else H.OPEN)
+        else:
+            first.append(H.GOOD)
+    known = [k for k, x in enumerate(first) if x != H.OPEN and (not has or blocks[k][3] and not blocks[k][2])]
+    out = []
+    for k, x in enumerate(first):
+        near = min((abs(d - k) for d in known), default=None)
+        at = [first[d] for d in known if abs(d - k) == near]
+        out.append(x if x != H.OPEN else max(at) if at else H.GOOD if blocks[k][3] else H.BAD)
+    return out
+
+
+def test_html_equals_brute_force():
+    r = random.Random(77)
+    seen = Counter()
+    for _ in range(400):
+        page, want = random_page(r)
+        got = html_extract.blocks_of(page)
+        assert [(b.text, b.linked, b.boiler, b.article) for b in got] == want
+        marks = labels_by_force(want)
+        assert html_extract.label(got) == marks
+        assert html_extract.main_text(page) == " ".join(b[0] for b, m in zip(want, marks) if m == html_extract.GOOD)
+        seen.update(marks)
+    assert min(seen.values()) > 100
+
+
+@pytest.mark.parametrize("page", ["<b>" * 30_000 + "x" + "</i>" * 30_000, "<i><div>" + "<b>" * 30_000 + "x" + "</i>" * 30_000, "<b>" * 30_000 + "<p></p>" * 15_000, "<li>" * 50_000, "<a '>" * 40_000])
+def test_html_is_linear(page):
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 1.5
+
+
+def test_html_nulls_and_repeats(spark):
+    page = "<article><p>" + "the house of the sea and the wind " * 5 + "</p></article>"
+    rows = [(1, page, "a"), (1, page, "a"), (2, None, "b"), (3, "", None), (None, "<p>", "c")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, html string, text string"))
+    assert Counter((r["page_id"], r[2]) for r in got.collect()) == Counter({(1, ("the house of the sea and the wind " * 5).strip()): 2, (2, ""): 1, (3, ""): 1, (None, ""): 1})
+
+
+def test_toxicity_keeps_all_features(spark):
+    """2,000 words each in five toxic texts only: all are kept, and each alone tells."""
+    words = [f"vile{k:04d}x" for k in range(2000)]
+    rows = [(5 * k + c, " ".join(words[(k * 50 + c * 400 + i) % 2000] for i in range(50)), 1) for c in range(5) for k in range(40)]
+    rows = [(i, t, y) for i, (_, t, y) in enumerate(rows * 2)] + [(1000 + k, " ".join(f"calm{k % 97}n{j}" for j in range(30)), 0) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    one = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
+    assert model.known.size >= 2000
+    scores = [x["score"] for x in toxicity.score(one, model).collect()]
+    calm = [x["score"] for x in toxicity.score(df.filter("toxic = 0"), model).collect()]
+    assert min(scores) > max(calm)
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     prose = lambda n: [f"v{r.randint(0, 3000)}" for _ in range(n)]
