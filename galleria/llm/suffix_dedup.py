@@ -260,6 +260,8 @@ def repeated_starts(bodies: list[bytes], lefts: list[int] | np.ndarray, groups:
 
 def _covers(ctx: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, first, end) of the spans of runs, neighbouring starts together, by context."""
+    if not len(ctx):
+        return ctx, start, start
     order = np.lexsort((start, ctx))
     c, s = ctx[order], start[order]
     new = np.ones(len(c), bool)

@@ -148,3 +148,10 @@ ARTICLE = "This is the story of a man who was in the house and it was the best o
 )
 def test_html(page, text):
     assert H.main_text(page) == text
+
+
+def test_no_runs_cover_nothing():
+    from galleria.llm import suffix_dedup
+
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in suffix_dedup._covers(none, none, 400)] == [0, 0, 0]
