@@ -119,11 +119,12 @@ def remove(old: DataFrame, match: dict) -> tuple[DataFrame, int]:
     return old.filter(~F.coalesce(hit, F.lit(False))), old.filter(hit).count()
 
 
-def should_skip(stored: DataFrame, planned: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
+def should_skip(stored: DataFrame, planned: DataFrame, keys: list[str], facts: list[str], order: list[str] | None = None) -> DataFrame:
     """planned with `skip`: whether the stored row of the keys has the same facts: text exactly, numbers within 1e-12 of
-    the larger of them and 1 (as text where either is no number)."""
-    s = stored.select(*[F.col(k).cast("string").alias(f"k_{k}") for k in keys], F.struct(*[F.col(f).cast("string").alias(f"s_{f}") for f in facts]).alias("row"), F.monotonically_increasing_id().alias("at"))
-    s = s.groupBy(*[f"k_{k}" for k in keys]).agg(F.max_by("row", "at").alias("row")).select(*[f"k_{k}" for k in keys], F.lit(True).alias("gl_stored"), "row.*")  # the last of equal keys
+    the larger of them and 1 (as text where either is no number). Of rows with equal keys the last by `order` counts; without
+    an order keys are taken to be unique, and of equal ones the largest row counts."""
+    s = stored.select(*[F.col(k).cast("string").alias(f"k_{k}") for k in keys], F.struct(*[F.col(f).cast("string").alias(f"s_{f}") for f in facts]).alias("row"), F.struct(*(order or [F.lit(0)])).alias("at"))
+    s = s.groupBy(*[f"k_{k}" for k in keys]).agg(F.max(F.struct("at", "row")).alias("x")).withColumn("row", F.col("x.row")).select(*[f"k_{k}" for k in keys], F.lit(True).alias("gl_stored"), "row.*")
 
     def same(f: str) -> Column:
         a, b = F.col(f"s_{f}"), F.col(f).cast("string")

@@ -228,6 +228,12 @@ FROM (SELECT DISTINCT model FROM runs) m CROSS JOIN bins LEFT JOIN runs r ON r.m
 UNION ALL SELECT 'a', model, 'mixed gpu_name' FROM runs WHERE event_id % 2 = 0 GROUP BY model HAVING count(DISTINCT task = 'view') > 1""",
     "grid_filter": "SELECT l_discount, count(*) AS n FROM lineitem WHERE abs(l_discount - 0.01) <= 1e-12 OR abs(l_discount - 0.03) <= 1e-12 OR abs(l_discount - 0.07) <= 1e-12 GROUP BY l_discount",
     "store_upsert": with_(OLD_NEW) + "SELECT key, part, round(value, 6) AS value, NULL AS note FROM old WHERE (key, part) NOT IN (SELECT key, part FROM new) UNION ALL SELECT key, part, round(value, 6), note FROM new",
+    "store_upsert_partial": with_(OLD_NEW) + "SELECT key, part, round(value, 6) AS value, NULL AS note FROM old WHERE (key, part) NOT IN (SELECT key, part FROM new) UNION ALL SELECT key, part, round(value, 6), note FROM new",
+    "store_get": """SELECT part, CAST(1 AS BIGINT) AS batch, key, has_first, false AS has_other FROM (SELECT o_orderstatus AS part, max(o_orderkey) FILTER (o_orderkey % 3 = 1) AS key,
+bool_or(o_orderkey % 3 = 0) AS has_first FROM orders GROUP BY o_orderstatus)""",
+    "incremental_groups": with_(HAM, "sym AS (SELECT h.id_a AS a, h.id_b AS b FROM hamp h JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE x.subject = y.subject)", recursive=True) + """, two AS (SELECT a, b FROM sym UNION SELECT b, a FROM sym),
+reach(a, b) AS (SELECT id, id FROM s UNION SELECT r.a, t.b FROM reach r JOIN two t ON r.b = t.a)
+SELECT s.id, s.subject, min(r.b) AS grp FROM s JOIN reach r ON r.a = s.id GROUP BY s.id, s.subject""",
     "store_remove": with_(OLD_NEW) + "SELECT key, part, round(value, 6) AS value FROM old WHERE part <> 'F'",
     "store_skip": with_(OLD_NEW) + """SELECT n.key, o.key IS NOT NULL AND coalesce(abs(o.value - (CASE WHEN n.key % 8 = 0 THEN n.value - 1 ELSE n.value END)) <= 1e-12 * greatest(1, abs(o.value), abs(n.value)), false) AS skip
 FROM new n LEFT JOIN old o ON o.key = n.key AND o.part = n.part""",

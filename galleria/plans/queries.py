@@ -15,6 +15,8 @@ from galleria.functions import expr as X
 from galleria.operators import catalog, dedup, experiments, metrics, reports, splits, summary, vector
 from galleria.session import Scratch
 from galleria.sources import tables
+from galleria.sources.store import ResultStore
+from galleria.streaming.incremental import DuplicateIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -684,10 +686,49 @@ def yes_answers(spark, sf):
 
 @query
 def store_replace(spark, sf):
-    """All rows of one model give way to new ones."""
-    old = _old_new(spark, sf)[0]
-    left, _ = summary.remove(old, {"part": "O"})
-    return rounded(left.unionByName(_old_new(spark, sf)[1].filter("part = 'O'"), allowMissingColumns=True))
+    """All rows of one model give way to new ones, in a store of 8 buckets."""
+    old, new = (t.withColumnRenamed("part", "model") for t in _old_new(spark, sf))
+    store = ResultStore(spark, f"{Scratch(spark).base}/replace", ["key", "model"], 8)
+    store.upsert(old)
+    store.replace_rows("O", new.filter("model = 'O'"))
+    return rounded(store.load().withColumnRenamed("model", "part"))
+
+
+@query
+def store_upsert_partial(spark, sf):
+    """Three changes of a few keys each to a store of 32 buckets: each rewrites the buckets of its keys."""
+    old, new = _old_new(spark, sf)
+    store = ResultStore(spark, f"{Scratch(spark).base}/upsert", ["key", "part"], 32)
+    store.upsert(old)
+    for part in ("F", "O", "P"):
+        store.upsert(new.filter(F.col("part") == part))
+    return rounded(store.load())
+
+
+@query
+def store_get(spark, sf):
+    """The last row of a status after three changes that each add rows of other keys."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("part"), (F.col("o_orderkey") % 3).alias("batch")).agg(F.max("o_orderkey").alias("key"))
+    store = ResultStore(spark, f"{Scratch(spark).base}/get", ["part", "batch"], 4)
+    for b in (2, 0, 1):
+        store.upsert(o.filter(F.col("batch") == b))
+    rows = [(p, r["batch"], r["key"], store.has(part=p, batch=0), store.has(part=p, batch=9)) for p in ("F", "O", "P") if (r := store.get(part=p))]
+    return spark.createDataFrame(rows, "part string, batch long, key long, has_first boolean, has_other boolean")
+
+
+@query
+def incremental_groups(spark, sf):
+    """Duplicate groups of three batches of images, one after the other; the third changes the content of some of the first."""
+    v = vecs(spark, sf)
+    items = v.select("id", F.md5(F.col("id").cast("string")).alias("digest"), "subject")
+    index = DuplicateIndex(spark, f"{Scratch(spark).base}/groups", DIST)
+    moved = F.transform("v", lambda x: -x)
+    hashed = lambda table: lambda rows: rows.join(table.select("id", X.sign_hash64(F.col("v")).alias("h")), "id")
+    old = v.withColumn("v", F.when(F.col("id") % 9 == 0, moved).otherwise(F.col("v")))
+    index.add(items.filter("id % 3 = 0").withColumn("digest", F.when(F.col("id") % 9 == 0, "old").otherwise(F.col("digest"))), hashed(old))
+    index.add(items.filter("id % 3 <> 2"), hashed(v))
+    index.add(items, hashed(v))
+    return index.groups().select("id", "subject", "grp")
 
 
 # Whole experiments

@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 
 from galleria.operators import summary
 
+from .store import ResultStore  # noqa: F401
+
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A CSV with a header under a given schema: ids stay text, only an empty field is null."""
@@ -171,67 +173,3 @@ def write_summaries(runs: dict[str, DataFrame], models: DataFrame, out: str) ->
     lines = ["# Results", "", "Means (`_mean`), sample deviations (`_std`) and half 95 % intervals (`_ci95`) over `n_runs` runs that did not diverge.", "", "| File | One row per | Rows |", "|---|---|---|"]
     write_text(f"{out}/README.md", "\n".join([*lines, *[f"| `{f}.csv` | {k} | {n} |" for f, k, n in listing]]) + "\n")
     return [f for f, _, _ in listing]
-
-
-class ResultStore:
-    """A keyed parquet table that is rewritten on change. Keys are compared as text; columns may be added at any time."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str]):
-        self.spark, self.path, self.keys = spark, path, keys
-
-    def load(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
-
-    def _put(self, df: DataFrame) -> None:
-        """Write beside, then move the old table away and the new one in: there is a whole table at every moment, but for one
-        between the two moves in which none has the name."""
-        tmp = f"{self.path}.tmp"
-        df.write.mode("overwrite").parquet(tmp)
-        p = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = p(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        old = p(f"{self.path}.old")
-        fs.delete(old, True)
-        if fs.exists(p(self.path)) and not fs.rename(p(self.path), old) or not fs.rename(p(tmp), p(self.path)):
-            raise OSError(f"{tmp} could not be moved to {self.path}")
-        fs.delete(old, True)
-        self.spark.catalog.refreshByPath(self.path)
-
-    def upsert(self, new: DataFrame) -> None:
-        summary.need_columns(new, self.keys)
-        old = self.load()
-        self._put(new if old is None else summary.upsert(old, new, self.keys))
-
-    def remove(self, **match) -> int:
-        old = self.load()
-        if old is None:
-            return 0
-        left, n = summary.remove(old, match)
-        if n:
-            self._put(left)
-        return n
-
-    def replace_rows(self, model: str, rows: DataFrame | None) -> None:
-        """All rows of a model give way to `rows`; none deletes them."""
-        old = self.load()
-        left = None if old is None else summary.remove(old, {"model": model})[0]
-        parts = [x for x in (left, rows) if x is not None]
-        if parts:
-            self._put(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True))
-
-    def get(self, **match):
-        old = self.load()
-        if old is None:
-            return None
-        rows = summary.select_rows(old, **match).select(F.struct(*old.columns).alias("row"), F.monotonically_increasing_id().alias("at"))
-        return rows.agg(F.max_by("row", "at").alias("row")).first()["row"]
-
-    def should_skip(self, planned: DataFrame, facts: list[str], overwrite: bool = False) -> DataFrame:
-        old = self.load()
-        if overwrite or old is None:
-            return planned.withColumn("skip", F.lit(False))
-        return summary.should_skip(old, planned, self.keys, facts)

@@ -1,5 +1,6 @@
 """Readers, writers, the store, settings and the stream."""
 
+import random
 import struct
 import zlib
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from galleria.functions.expr import register
 from galleria.sources import config, images, tables
-from galleria.streaming.incremental import pending, upsert_stream
+from galleria.streaming.incremental import DuplicateIndex, pending, upsert_stream
 
 
 def png(w, h):
@@ -145,6 +146,56 @@ def test_store(spark, tmp_path):
     assert [r["seed"] for r in s.load().collect()] == [7]
 
 
+def test_a_change_rewrites_its_buckets_only(spark, tmp_path):
+    path = tmp_path / "store"
+    s = tables.ResultStore(spark, str(path), ["model", "seed"], buckets=8)
+    rows = lambda data: spark.createDataFrame(data, "model string, seed int, value double")
+    files = lambda: {p.parent.name: p.name for p in path.glob("*/*.parquet")}
+    s.upsert(rows([(f"m{k}", k % 3, float(k)) for k in range(60)] + [(None, 1, 0.5)]))
+    before = files()
+    assert len(before) == 8
+    s.upsert(rows([("m5", 2, -1.0)]))
+    after = files()
+    assert sum(before[b] != after[b] for b in before) == 1 and s.get(model="m5", seed=2)["value"] == -1.0
+    s.upsert(rows([(None, 1, 0.75)]).withColumn("note", F.lit("x")))  # a new column, and a null key
+    last = files()
+    assert sum(after[b] != last[b] for b in after) == 1
+    got = {(r["model"], r["seed"]): (r["value"], r["note"]) for r in s.load().collect()}
+    assert len(got) == 61 and got[None, 1] == (0.75, "x") and got["m7", 1] == (7.0, None)
+    assert s.has(model="m7", seed="1") and not s.has(model="m7", seed=2) and not s.has(unknown=1) and s.has(note="x")
+    only = next(b for b in last if sum(1 for r in spark.read.parquet(str(path / b)).collect()) > 0)
+    held = [(r["model"], r["seed"]) for r in spark.read.parquet(str(path / only)).collect()]
+    for m, k in held:
+        if m is not None:
+            assert s.remove(model=m, seed=k) == 1
+    assert s.load().count() == 61 - sum(m is not None for m, _ in held) and (only not in files() or (None, 1) in held)
+    s.upsert(spark.createDataFrame([("m1", "text", "t")], "model string, seed string, value string"))  # types change: all is written
+    assert s.get(model="m1", seed="text")["value"] == "t" and s.get(model="m7", seed=1)["value"] == "7.0" or (("m7", 1) in held)
+
+
+def test_duplicate_index_equals_a_search_from_scratch(spark, tmp_path):
+    """Random batches with repeated, new and changed images: groups as if all had been searched at once, and few are hashed."""
+    r = random.Random(13)
+    base = [r.getrandbits(64) for _ in range(6)]
+    near = lambda: r.choice(base) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5)))
+    index, now, hashed = DuplicateIndex(spark, str(tmp_path / "index"), 4, 4), {}, 0
+    for step in range(4):
+        fresh = {k: (f"d{step}.{k}", f"s{k % 2}", near()) for k in r.sample(range(60), 25) if k not in now or r.random() < 0.3}
+        now |= fresh
+        batch = {k: now[k] for k in r.sample(sorted(now), len(now) // 2)} | fresh
+        rows = [(k, d, s, h - (1 << 64) if h >> 63 else h) for k, (d, s, h) in batch.items()]
+        table = spark.createDataFrame(rows, "id long, digest string, subject string, h long")
+        hashed += index.add(table.drop("h"), lambda rows, table=table: rows.join(table.select("id", "h"), "id"))
+        group = {k: k for k in now}
+        for a in sorted(now):
+            for b in sorted(now):
+                if a < b and now[a][1] == now[b][1] and (now[a][2] ^ now[b][2]).bit_count() <= 4 and group[a] != group[b]:
+                    x, y = sorted((group[a], group[b]))
+                    group = {k: x if g == y else g for k, g in group.items()}
+        assert {x["id"]: x["grp"] for x in index.groups().collect()} == group
+    assert hashed < 130
+
+
 def test_registry_and_reports(spark, tmp_path):
     m = tables.registry(spark, [{"key": "b", "family": "f2", "basic": True}, {"key": "a", "family": "f1"}])
     assert [r["key"] for r in tables.select_models(m, "all").collect()] == ["b", "a"]
