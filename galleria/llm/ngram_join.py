@@ -303,13 +303,13 @@ def solve(n: np.ndarray, toks: np.ndarray, keys: np.ndarray, key_n: np.ndarray,
             continue
         mine = key_local[key_off[i] : key_off[i + 1]]
         key_held[mine] = True
-        near = near[_any(key_held[_ranges(key_local, key_off, near)], key_n[near])]
+        near = np.concatenate([part[_any(key_held[_ranges(key_local, key_off, part)], key_n[part])] for part in _slices(near, key_n)])
         key_held[mine] = False
         if not len(near):
             continue
         mine = local[off[i] : off[i + 1]]
         held[mine] = True
-        common = _sums(held[_ranges(local, off, near)], n[near])
+        common = np.concatenate([_sums(held[_ranges(local, off, part)], n[part]) for part in _slices(near, n)])
         held[mine] = False
         hit = near[common * 100 >= percent * (n[near] + n[i] - common)]
         if len(hit):
@@ -317,6 +317,15 @@ def solve(n: np.ndarray, toks: np.ndarray, keys: np.ndarray, key_n: np.ndarray,
     return links
 
 
+#: Values of sets that are looked at together.
+SLICE = 1 << 19
+
+
+def _slices(rows: np.ndarray, per: np.ndarray) -> list[np.ndarray]:
+    """Runs of rows of about SLICE values in all, so that a block's temporary arrays stay small."""
+    return np.split(rows, np.flatnonzero(np.diff(np.cumsum(per[rows]) // SLICE)) + 1)
+
+
 def _ranges(values: np.ndarray, off: np.ndarray, rows: np.ndarray) -> np.ndarray:
     per = off[rows + 1] - off[rows]
     return values[np.repeat(off[rows] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))]

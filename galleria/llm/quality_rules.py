@@ -5,8 +5,8 @@ each host (`source`) and line hash the distinct documents are counted; lines abo
 of which too little is left is rejected.
 
 A document is a text: exact copies of a host count once. The plain rule counts near copies each, so a host with more than
-`max_docs_per_host` different versions of one text loses them all. Where a later stage is to keep one of them (as in the
-corpus pipeline), give judge() and clean() `copies`, a function that names classes of near copies; then each class counts once.
+`max_docs_per_host` different versions of one text loses them all. Where a later stage is to keep one of them, give judge() and
+clean() `copies`, a function that names classes of near copies (ngram_join.near_copies); then each class counts once.
 
 Scale: one Arrow pass over the texts writes a row per document (counts, line hashes) as a scratch table; lines are
 aggregated map-side by (host, line, text) and then by (host, line), so that a line or host which a third of all rows
