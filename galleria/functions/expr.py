@@ -118,6 +118,9 @@ def register(spark: SparkSession) -> None:
     for sql in (
         "l2_normalize(v ARRAY<DOUBLE>) RETURNS ARRAY<DOUBLE> RETURN transform(v, x -> x / CASE WHEN aggregate(v, 0D, (s, y) -> s + y * y) = 0 THEN 1D ELSE sqrt(aggregate(v, 0D, (s, y) -> s + y * y)) END)",
         "dot_product(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)",
+        "cosine_sim(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN dot_product(l2_normalize(a), l2_normalize(b))",
+        "sign_hash64(v ARRAY<DOUBLE>) RETURNS BIGINT RETURN aggregate(transform(slice(v, 1, 64), (x, k) -> CASE WHEN x > 0 THEN shiftleft(1L, k) ELSE 0L END), 0L, (s, x) -> s | x)",
+        "fmt_pm(mean DOUBLE, std DOUBLE, n BIGINT) RETURNS STRING RETURN CASE WHEN coalesce(n, 0) = 0 THEN '–' WHEN n > 1 THEN format_string('%.2f ± %.2f', mean, std) ELSE format_string('%.2f', mean) END",
         "hamming64(a BIGINT, b BIGINT) RETURNS INT RETURN bit_count(a ^ b)",
         "natural_key(s STRING) RETURNS STRING RETURN array_join(transform(regexp_extract_all(lower(s), '([0-9]+|[^0-9]+)', 1), p -> CASE WHEN p RLIKE '^[0-9]' THEN lpad(p, 20, '0') ELSE p END), '')",
     ):

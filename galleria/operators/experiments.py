@@ -82,8 +82,12 @@ def single_gallery(images: DataFrame, vectors: DataFrame, draws: int, seed: int,
     return metrics.rank_summary(ranks, n, by=DRAW).drop("shot"), curve
 
 
-def fewshot_gender(images: DataFrame, vectors: DataFrame, folds: DataFrame, n_folds: int, shots: tuple[int, ...], draws: int, seed: int, scratch: Scratch) -> DataFrame:
-    """(fold, shot, draw, gender measures): prototypes of `shot` subjects of each gender, one image each, from the training
+#: Validation images of a fold at most, for the choice of the linear probe's strength (a sample by hash).
+MAX_VALIDATION = 2000
+
+
+def fewshot_gender(images: DataFrame, vectors: DataFrame, folds: DataFrame, n_folds: int, shots: tuple[int, ...], draws: int, seed: int, scratch: Scratch, linear_draws: int = 0) -> DataFrame:
+    """(classifier, fold, shot, draw, gender measures): prototypes, and in the first linear_draws the linear probe, of `shot` subjects of each gender, one image each, from the training
     folds, measured on the test fold. images need gender_label (1 is female); folds: (subject, fold). A fold with too few
     subjects of one gender for a shot is left out."""
     by = ("fold", *DRAW)
@@ -103,7 +107,22 @@ def fewshot_gender(images: DataFrame, vectors: DataFrame, folds: DataFrame, n_fo
     scores = vector.prototype_scores(support, tests.select(*by, F.col("image_id").alias("probe"), "v"), by)
     p = scores.groupBy(*by, "probe").agg(F.round((F.sum(F.when(F.col("cls") == 1, F.col("score")).otherwise(-F.col("score"))) + 1) / 2, 9).alias("p"))
     truth = placed.filter("role = 'test'").select("fold", F.col("image_id").alias("probe"), "subject", F.col("gender_label").alias("y"))
-    return metrics.gender_metrics(scratch.keep(p.join(truth, ["fold", "probe"]), "gender-scores"), by=by)
+    out = metrics.gender_metrics(scratch.keep(p.join(truth, ["fold", "probe"]), "gender-scores"), by=by).withColumn("classifier", F.lit("proto"))
+    if not linear_draws:
+        return out
+    support = scratch.keep(support, "gender-support")
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(X.hashed(seed, F.lit("val"), "fold", "image_id"), "image_id"))
+    val = placed.filter("role = 'val'").withColumn("place", place).filter(F.col("place") <= MAX_VALIDATION)
+    val = scratch.keep(val.join(vectors, "image_id").select("fold", F.col("gender_label").alias("cls"), "v"), "gender-val")
+    queries = scratch.keep(placed.filter("role = 'test'").join(vectors, "image_id").select("fold", F.col("image_id").alias("probe"), "v"), "gender-tests")
+    fits = full.filter(F.col("draw") < linear_draws).orderBy(*by).collect()  # a row per fold, shot and draw: one fit each
+    for r in fits:
+        here = lambda t, keys: t.filter(reduce(lambda a, b: a & b, [F.col(k) == r[k] for k in keys])).drop(*keys)  # noqa: E731, B023
+        fitted, _ = vector.linear_probe(here(support, by), here(val, ("fold",)), here(queries, ("fold",)))
+        chance = fitted.filter("cls = 1").select("probe", F.round("score", 9).alias("p")).join(here(truth, ("fold",)), "probe")
+        row = metrics.gender_metrics(scratch.keep(chance, "gender-probe"))
+        out = out.unionByName(row.withColumns({k: F.lit(r[k]) for k in by} | {"classifier": F.lit("lp")}))
+    return out
 
 
 def unsupervised(vectors: DataFrame, tasks: dict[str, DataFrame], restarts: int, seed: int, scratch: Scratch) -> DataFrame:

@@ -10,12 +10,17 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galleria.session import Scratch, ship
+
+from .graph import connected_components
+
 By = tuple[str, ...]
 
-#: Most cells of a matrix of clusters x classes that one assignment takes (8 bytes each).
+#: Most cells of a dense matrix of clusters x classes (8 bytes each); an assignment of more is an auction over the entries.
 MAX_ASSIGNMENT = 16_000_000
 
 
@@ -244,21 +249,75 @@ def assignment(weights: np.ndarray) -> list[tuple[int, int]]:
     return [(c, r) for r, c in pairs] if flip else pairs
 
 
+def auction(row: np.ndarray, col: np.ndarray, weight: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) entries of the largest total weight, one to one, of positive integer weights given as entries: memory by
+    entries, not by rows times columns.
+
+    Rows bid for columns; epsilon falls by scaling. So that all can be matched at every epsilon, each row may also take a
+    stand-in of its own, and the mirror of the table (a stand-in for each column, which takes that column or the stand-in of a
+    row that wants it) takes what is left. With weights times (bidders + 1), an epsilon of 1 is exact."""
+    rows, ri = np.unique(row, return_inverse=True)
+    cols, ci = np.unique(col, return_inverse=True)
+    n, m = len(rows), len(cols)
+    total = n + m
+    bidder = np.concatenate([ri, np.arange(n), n + np.arange(m), n + ci])
+    thing = np.concatenate([ci, m + np.arange(n), np.arange(m), m + ri])
+    worth = np.concatenate([weight.astype(np.int64) * (total + 1), np.zeros(n + m + len(ri), np.int64)])
+    order = np.argsort(bidder, kind="stable")
+    thing, worth = thing[order], worth[order]
+    first = np.searchsorted(bidder[order], np.arange(total + 1))
+    price, eps = np.zeros(total, np.int64), max(1, int(worth.max(initial=1)) // 4)
+    while True:
+        owner, has = np.full(total, -1), np.full(total, -1)
+        todo = np.arange(total)
+        while len(todo):
+            per = first[todo + 1] - first[todo]
+            at = np.repeat(first[todo], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+            starts = np.cumsum(per) - per
+            gain = worth[at] - price[thing[at]]
+            best = np.maximum.reduceat(gain, starts)
+            top = np.flatnonzero(gain == np.repeat(best, per))
+            top = top[np.unique(np.repeat(np.arange(len(todo)), per)[top], return_index=True)[1]]  # one of each bidder's best
+            gain[top] = np.iinfo(np.int64).min
+            bid = price[thing[at[top]]] + best - np.maximum.reduceat(gain, starts) + eps
+            want = thing[at[top]]
+            rank = np.lexsort((bid, want))
+            last = np.flatnonzero(np.r_[want[rank][1:] != want[rank][:-1], True])
+            won, by = want[rank][last], todo[rank][last]
+            lost = owner[won]
+            has[lost[lost >= 0]] = -1
+            owner[won], has[by], price[won] = by, won, bid[rank][last]
+            todo = np.flatnonzero(has < 0)
+        if eps == 1:
+            return [(int(rows[i]), int(cols[has[i]])) for i in range(n) if has[i] < m]
+        eps = max(1, eps // 5)
+
+
 def hungarian(cont: DataFrame) -> DataFrame:
-    """(cluster, y): the one-to-one mapping with the most agreeing rows. The contingency goes to the driver as a matrix of
-    clusters x classes, for which more than MAX_ASSIGNMENT cells are an error; the assignment itself is cubic in its side."""
-    spark = cont.sparkSession
-    side = cont.agg(F.countDistinct("cluster").alias("a"), F.countDistinct("y").alias("b")).first()
-    if side["a"] * side["b"] > MAX_ASSIGNMENT:
-        raise ValueError(f"{side['a']} clusters x {side['b']} classes are too many for one assignment")
-    rows = cont.collect()
-    cs, ys = sorted({r["cluster"] for r in rows}), sorted({r["y"] for r in rows})
-    ci, yi = {c: k for k, c in enumerate(cs)}, {y: k for k, y in enumerate(ys)}
-    w = np.zeros((len(cs), len(ys)))
-    for r in rows:
-        w[ci[r["cluster"]], yi[r["y"]]] = r["n"]
+    """(cluster, y): the one-to-one mapping with the most agreeing rows.
+
+    Clusters and classes that no rows connect have nothing to share out: each connected component of the contingency is one
+    task's assignment, with a dense matrix up to MAX_ASSIGNMENT cells and by auction over its entries beyond."""
+    scratch, dense = Scratch(cont.sparkSession), MAX_ASSIGNMENT
+    ship(cont.sparkSession)
+    cont = scratch.keep(cont.select("cluster", "y", "n"), "contingency")
+    node = lambda c, side: F.concat(F.lit(side), F.col(c).cast("string"))
+    parts = connected_components(cont.select(node("cluster", "c").alias("a"), node("y", "y").alias("b")), "a", "b", scratch)
+    rows = cont.join(parts, node("cluster", "c") == F.col("vertex")).select("label", "cluster", "y", "n")
     schema = "cluster {}, y {}".format(*(cont.schema[k].dataType.simpleString() for k in ("cluster", "y")))
-    return spark.createDataFrame([(cs[a], ys[b]) for a, b in assignment(w)] if rows else [], schema)
+
+    def solve(t: pd.DataFrame) -> pd.DataFrame:
+        (c, cs), (y, ys) = pd.factorize(t["cluster"], sort=True), pd.factorize(t["y"], sort=True)
+        n = t["n"].to_numpy()
+        if len(cs) * len(ys) <= dense:
+            w = np.zeros((len(cs), len(ys)))
+            w[c, y] = n
+            found = assignment(w)
+        else:
+            found = auction(c, y, n)
+        return pd.DataFrame({"cluster": [cs[a] for a, _ in found], "y": [ys[b] for _, b in found]})
+
+    return rows.groupBy("label").applyInPandas(solve, schema)
 
 
 def clustering_metrics(rows: DataFrame) -> DataFrame:

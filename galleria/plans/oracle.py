@@ -229,6 +229,10 @@ UNION ALL SELECT 'a', model, 'mixed gpu_name' FROM runs WHERE event_id % 2 = 0 G
     "grid_filter": "SELECT l_discount, count(*) AS n FROM lineitem WHERE abs(l_discount - 0.01) <= 1e-12 OR abs(l_discount - 0.03) <= 1e-12 OR abs(l_discount - 0.07) <= 1e-12 GROUP BY l_discount",
     "store_upsert": with_(OLD_NEW) + "SELECT key, part, round(value, 6) AS value, NULL AS note FROM old WHERE (key, part) NOT IN (SELECT key, part FROM new) UNION ALL SELECT key, part, round(value, 6), note FROM new",
     "store_upsert_partial": with_(OLD_NEW) + "SELECT key, part, round(value, 6) AS value, NULL AS note FROM old WHERE (key, part) NOT IN (SELECT key, part FROM new) UNION ALL SELECT key, part, round(value, 6), note FROM new",
+    "sql_functions": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+h AS (SELECT *, CAST(list_sum(list_transform(range(0, 64), lambda k: CASE WHEN e[k + 1] > 0 THEN (CASE WHEN k = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << k END) ELSE 0 END)) AS BIGINT) AS hash FROM v)
+SELECT vec_id, round(list_dot_product(e, list_reverse(e)) / list_dot_product(e, e), 6) AS cos, hash, CAST(bit_count(xor(hash, vec_id)) AS INTEGER) AS dist,
+CASE WHEN vec_id % 3 = 0 THEN '–' WHEN vec_id % 3 > 1 THEN printf('%.2f ± 0.50', vec_id / 4.0) ELSE printf('%.2f', vec_id / 4.0) END AS text FROM h""",
     "store_get": """SELECT part, CAST(1 AS BIGINT) AS batch, key, has_first, false AS has_other FROM (SELECT o_orderstatus AS part, max(o_orderkey) FILTER (o_orderkey % 3 = 1) AS key,
 bool_or(o_orderkey % 3 = 0) AS has_first FROM orders GROUP BY o_orderstatus)""",
     "incremental_groups": with_(HAM, "sym AS (SELECT h.id_a AS a, h.id_b AS b FROM hamp h JOIN s x ON x.id = id_a JOIN s y ON y.id = id_b WHERE x.subject = y.subject)", recursive=True) + """, two AS (SELECT a, b FROM sym UNION SELECT b, a FROM sym),

@@ -678,6 +678,15 @@ def fmt_plus_minus(spark, sf):
     return s.select("model", X.plus_minus(F.round("m", 4), F.round("s", 4), F.col("n"), F.lit(100)).alias("text"))
 
 
+@query
+def sql_functions(spark, sf):
+    """The registered SQL functions over vectors and runs."""
+    X.register(spark)
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    out = v.select("vec_id", F.expr("cosine_sim(v, reverse(v))").alias("cos"), F.expr("sign_hash64(v)").alias("hash"), F.expr("hamming64(sign_hash64(v), vec_id)").alias("dist"), F.expr("fmt_pm(cast(vec_id AS double) / 4, 0.5D, vec_id % 3)").alias("text"))
+    return rounded(out)
+
+
 @query
 def yes_answers(spark, sf):
     e = table(spark, sf, "events").select("event_id", F.element_at(F.array(*[F.lit(x) for x in (" Yes", "no", "X", "có", "", "TRUE ", "0")]), (F.col("event_id") % 7 + 1).cast("int")).alias("a"))
@@ -786,6 +795,14 @@ def fewshot_gender(spark, sf):
     return rounded(out.select("fold", "shot", "draw", "acc", "bal_acc", "auc", "mcc", "acc_subject", "macro_f1"))
 
 
+@query
+def fewshot_gender_linear(spark, sf):
+    """The linear probe beside the prototypes: one subject of each gender."""
+    folds = splits.folds(_people(spark, sf), 3, 42)
+    out = experiments.fewshot_gender(_images(spark, sf), _features(spark, sf), folds, 3, (1,), 1, 42, Scratch(spark), linear_draws=1)
+    return rounded(out.filter("classifier = 'lp'").select("fold", "shot", "draw", "acc", "bal_acc", "auc", "mcc", "acc_subject", "macro_f1"))
+
+
 @query
 def unsupervised_runs(spark, sf):
     im = _images(spark, sf)

@@ -51,14 +51,15 @@ class DuplicateIndex:
     def add(self, items: DataFrame, hash_of: Callable[[DataFrame], DataFrame]) -> int:
         """Take in a batch (id, digest, subject), an id once. hash_of gives rows (id, ..., h) their hash. Returns how many were hashed."""
         scratch, old = Scratch(self.spark), self.hashes.load()
-        new = items.select("id", "digest", "subject") if old is None else pending(items.select("id", "digest", "subject"), old, ["id", "digest"])
-        fresh = scratch.keep(new.join(hash_of(items).select("id", "h"), "id") if old is None else hash_of(items.join(new.select("id"), "id", "left_semi")).select("id", "h").join(new, "id"), "fresh")
+        todo = items.select("id", "digest", "subject")
+        todo = todo if old is None else pending(todo, old, ["id", "digest"])
+        todo = scratch.keep(items.join(todo.select("id"), "id", "left_semi"), "todo")
+        fresh = scratch.keep(hash_of(todo).select("id", "h").join(todo.select("id", "digest", "subject"), "id"), "fresh")
         n = fresh.count()
         if not n:
             return 0
         if old is None:
-            stored = fresh.limit(0).withColumn("node", F.col("id"))
-            labels = opened = None
+            labels = opened = stored = None
         else:
             labels = self.labels.load()
             groups = labels.join(fresh.select("id"), "id", "left_semi").select("grp").distinct()

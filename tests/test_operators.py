@@ -209,13 +209,18 @@ def test_assignment_equals_brute_force():
         for _ in range(20):
             w = r.integers(0, 9, (n, m)).astype(float)
             got = sum(w[a, b] for a, b in metrics.assignment(w))
+            a, b = np.nonzero(w)
+            sold = metrics.auction(a, b, w[a, b]) if len(a) else []
+            assert sum(w[x, y] for x, y in sold) == got and len({x for x, _ in sold}) == len(sold) == len({y for _, y in sold})
             k = min(n, m)
             want = max(sum(w[a, b] for a, b in zip(p, q)) for p in itertools.combinations(range(n), k) for q in itertools.permutations(range(m), k))
             assert got == want
 
 
-def test_clustering(spark):
+@pytest.mark.parametrize("dense", [16_000_000, 0])
+def test_clustering(spark, dense, monkeypatch):
     """Accuracy after the best of all mappings, and purity, of random clusterings, also of fewer clusters than classes."""
+    monkeypatch.setattr(metrics, "MAX_ASSIGNMENT", dense)
     r = random.Random(4)
     for clusters, classes in ((4, 4), (2, 5), (5, 3), (1, 4)):
         y = [r.randrange(classes) for _ in range(40)]
@@ -464,6 +469,75 @@ def test_constraints_of_vector_operators(spark):
         vector.linear_probe(v.filter("cls = 0").select("cls", "v"), v.select("cls", "v"), v.select(F.col("id").alias("probe"), "v"))
 
 
+def logistic_by_descent(x, y, k, c):
+    """Weights and biases of the multinomial regression with c * losses + |weights|^2 / 2, by plain gradient descent."""
+    n, d = x.shape
+    w, b, want = np.zeros((d, k)), np.zeros(k), np.eye(k)[y]
+    for _ in range(60_000):
+        z = x @ w + b
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        w -= 0.5 / (c * n) * (c * x.T @ (p - want) + w)
+        b -= 0.5 / (c * n) * c * (p - want).sum(axis=0)
+    return w, b
+
+
+@pytest.mark.parametrize("classes", [2, 3])
+def test_linear_probe_equals_descent(spark, classes):
+    r = np.random.default_rng(classes)
+    centres = unit(r, classes, 5)
+    make = lambda n: [(int(k), centres[k] + r.normal(size=5) * 0.6) for k in r.integers(0, classes, n)]
+    train, val, tests = make(45), make(40), make(30)
+    norm = lambda rows: np.array([v / np.linalg.norm(v) for _, v in rows])
+    frame = lambda rows, name: spark.createDataFrame([(k if name == "cls" else i, v.tolist()) for i, (k, v) in enumerate(rows)], f"{name} long, v array<double>")
+    grid = (0.1, 1.0, 10.0)
+    fits = {c: logistic_by_descent(norm(train), np.array([k for k, _ in train]), classes, c) for c in grid}
+    right = {c: np.mean((norm(val) @ w + b).argmax(axis=1) == [k for k, _ in val]) for c, (w, b) in fits.items()}
+    best = max(grid, key=lambda c: (right[c], -c))
+    got, chosen = vector.linear_probe(frame(train, "cls"), frame(val, "cls"), frame(tests, "probe"), grid)
+    assert chosen == best
+    w, b = fits[best]
+    z = norm(tests) @ w + b
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    assert all(abs(x["score"] - p[x["probe"], x["cls"]]) < 2e-3 for x in got.collect())
+
+
+def test_kmeans_reaches_the_best_of_many_lloyds(spark):
+    r = np.random.default_rng(8)
+    centres = unit(r, 4, 6)
+    v = np.concatenate([c + r.normal(size=(25, 6)) * 0.08 for c in centres])
+    n = v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def cost(label):
+        return sum(((n[label == k] - n[label == k].mean(axis=0)) ** 2).sum() for k in set(label.tolist()))
+
+    def lloyd(seed):
+        at = n[np.random.default_rng(seed).choice(len(n), 4, replace=False)]
+        for _ in range(100):
+            label = ((n[:, None] - at[None]) ** 2).sum(axis=2).argmin(axis=1)
+            at = np.array([n[label == k].mean(axis=0) if (label == k).any() else at[k] for k in range(4)])
+        return label
+
+    least = min((lloyd(s) for s in range(20)), key=cost)
+    got = vector.kmeans(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>"), 4, 3).toPandas().sort_values("id")["cluster"].to_numpy()
+    assert cost(got) == pytest.approx(cost(least)) and len({*zip(got.tolist(), least.tolist())}) == 4
+
+
+def test_gender_linear_probe(spark):
+    """Separable genders: the probe is right where the prototypes are, on each fold."""
+    from galleria.operators import experiments
+    from galleria.session import Scratch
+
+    r = np.random.default_rng(2)
+    data = [(s * 10 + i, s, s * 10 + i, s % 2, ((1.0 if s % 2 else -1.0) * np.eye(8)[0] + r.normal(size=8) * 0.05).tolist()) for s in range(12) for i in range(4)]
+    images = spark.createDataFrame([x[:4] for x in data], "image_id long, subject long, `group` long, gender_label long")
+    vectors = spark.createDataFrame([(x[0], x[4]) for x in data], "image_id long, v array<double>")
+    folds = spark.createDataFrame([(s, s // 2 % 3) for s in range(12)], "subject long, fold int")
+    got = experiments.fewshot_gender(images, vectors, folds, 3, (1, 2), 1, 5, Scratch(spark), linear_draws=1).collect()
+    assert sorted((x["classifier"], x["fold"], x["shot"]) for x in got) == sorted((c, f, k) for c in ("lp", "proto") for f in range(3) for k in (1, 2))
+    assert all(x["acc"] == 100 and x["auc"] == 100 for x in got)
+
+
 def test_first_best_epoch(spark):
     log = spark.createDataFrame([("r", e, v) for e, v in enumerate([1.0, 3.0, 3.0, 2.0, 9.0])], "run string, epoch int, val double")
     assert tuple(summary.first_best_epoch(log, "val", 2).first()) == ("r", 1, 3)
