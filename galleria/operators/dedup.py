@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -113,6 +114,38 @@ def oversized_groups(groups: DataFrame, share: float) -> DataFrame:
     return sizes.join(subjects, "subject").filter(F.col("n") > share * F.col("n_subject")).select("subject", "grp", "n", "n_subject")
 
 
+@dataclass
+class Search:
+    """What a search for near-duplicates gives: accepted pairs and groups, groups that hold too much of their subject, leakage
+    between parts, and pairs on either side of each threshold for a look by eye."""
+
+    pairs: DataFrame
+    groups: DataFrame
+    oversized: DataFrame
+    leakage: DataFrame
+    borderline_hash: DataFrame
+    borderline_cosine: DataFrame
+
+
+def search(
+    items: DataFrame, hashes: DataFrame, vectors: DataFrame, scratch: Scratch, distance: int = 6, least: float = 0.95, rule: str = "or",
+    margin: int = 4, cosine_margin: float = 0.05, small: int = 24, share: float = 0.5, sample: int = 40, seed: int = 42,
+) -> Search:
+    """The whole search. items: (id, subject, split, min_side, digest), hashes: (id, h), vectors: (id, subject, v).
+
+    Pairs are looked for once, with a margin; what lies within the thresholds is accepted by the rule, together with identical
+    files, and the borderline samples are of all. The hash search leaves out pairs with an image smaller than `small`."""
+    hashed = scratch.keep(drop_small(hamming_pairs(hashes, distance + margin), items.select("id", "min_side"), small), "hash-pairs")
+    cosines = scratch.keep(cosine_pairs_within_groups(vectors, least - cosine_margin), "cosine-pairs")
+    near = hashed.filter(F.col("dist") <= distance), cosines.filter(F.col("cos") >= least)
+    pairs = scratch.keep(merge_pairs(*near, identical_file_pairs(items.select("id", "digest")), rule), "pairs")
+    groups = scratch.keep(duplicate_groups(items.select("id", "subject"), pairs, scratch), "groups")
+    return Search(
+        pairs, groups, oversized_groups(groups, share), leakage_report(groups.join(items.select("id", "split"), "id").select("subject", "grp", "split")),
+        borderline_sample(hashed, "dist", distance, False, sample, seed), borderline_sample(cosines, "cos", least, True, sample, seed),
+    )
+
+
 def leakage_report(items: DataFrame) -> DataFrame:
     """One row of five measures over (subject, grp, split)."""
     train = items.filter("split = 'train'").select(F.col("grp").alias("tg")).distinct()

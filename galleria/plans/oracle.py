@@ -370,6 +370,19 @@ AND (list_dot_product(a.f, c.f) >= 0.3 OR list_sum(list_transform(list_zip(a.b,
 UNION SELECT id, id_b FROM (SELECT id, lead(id) OVER (PARTITION BY md5(subject || '|' || id // 97) ORDER BY id) AS id_b FROM v) WHERE id_b IS NOT NULL)""", """inside AS (SELECT id_a, id_b FROM pr JOIN v a ON a.id = id_a JOIN v b ON b.id = id_b WHERE a.subject = b.subject)""",
 "sym AS (SELECT id_a AS a, id_b AS b FROM inside UNION SELECT id_b, id_a FROM inside)", "reach(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, sym.b FROM reach r JOIN sym ON r.b = sym.a)", "g AS (SELECT a, min(b) AS grp FROM reach GROUP BY a)", recursive=True) + """SELECT count(*) AS n_groups,
 count(*) FILTER (n > 1) AS n_groups_gt1, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_in_groups_gt1, max(n) AS largest_group FROM (SELECT grp, count(*) AS n FROM g GROUP BY grp)""",
+    "search_report": with_(COS, HAM, ITEMS, """pr AS (SELECT id_a, id_b FROM cosp UNION SELECT id_a, id_b FROM hamp JOIN part a ON a.p_partkey - 1 = id_a JOIN part b ON b.p_partkey - 1 = id_b WHERE least(a.p_size, b.p_size) >= 24
+UNION SELECT id, id_b FROM (SELECT id, lead(id) OVER (PARTITION BY md5(subject || '|' || id // 97) ORDER BY id) AS id_b FROM v) WHERE id_b IS NOT NULL)""", """inside AS (SELECT id_a, id_b FROM pr JOIN v a ON a.id = id_a JOIN v b ON b.id = id_b WHERE a.subject = b.subject)""",
+"sym AS (SELECT id_a AS a, id_b AS b FROM inside UNION SELECT id_b, id_a FROM inside)", "reach(a, b) AS (SELECT id, id FROM v UNION SELECT r.a, sym.b FROM reach r JOIN sym ON r.b = sym.a)", "g AS (SELECT a AS id, min(b) AS grp FROM reach GROUP BY a)",
+"gs AS (SELECT g.*, i.subject, i.split, grp IN (SELECT grp FROM g JOIN items ON id = image_id WHERE split = 'train') AS hit FROM g JOIN items i ON g.id = i.image_id)",
+"st AS (SELECT count(*) AS n_groups, count(*) FILTER (n > 1) AS n_groups_gt1, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS n_in_groups_gt1, max(n) AS largest_group FROM (SELECT grp, count(*) AS n FROM g GROUP BY grp))",
+"ov AS (SELECT count(*) AS n_oversized FROM (SELECT subject, count(*) AS n FROM gs GROUP BY subject, grp HAVING count(*) > 1) a JOIN (SELECT subject, count(*) AS m FROM gs GROUP BY subject) b USING (subject) WHERE n > 0.04 * m)", recursive=True) + """SELECT st.*, lk.*, ov.* FROM st, ov,
+(SELECT count(*) FILTER (split = 'test') AS n_test, count(*) FILTER (split = 'test' AND hit) AS n_test_with_train_duplicate, round(coalesce(count(*) FILTER (split = 'test' AND hit) / nullif(count(*) FILTER (split = 'test'), 0)::DOUBLE, 0.0), 6) AS test_leakage_rate,
+count(*) FILTER (split = 'val' AND hit) AS n_val_with_train_duplicate, count(DISTINCT CASE WHEN split = 'test' AND hit THEN subject END) AS subjects_affected FROM gs) lk""",
+    "search_borderline": with_(VEC, HAM.replace("<= 18", "<= 20")) + """, p AS (SELECT 'hash' AS kind, CASE WHEN dist <= 18 THEN 'accepted' ELSE 'rejected' END AS side, id_a, id_b, CAST(dist AS DOUBLE) AS value, abs(dist - 18) AS gap
+FROM hamp JOIN part a ON a.p_partkey - 1 = id_a JOIN part b ON b.p_partkey - 1 = id_b WHERE least(a.p_size, b.p_size) >= 24
+UNION ALL SELECT 'cosine', CASE WHEN c >= 0.35 THEN 'accepted' ELSE 'rejected' END, id_a, id_b, c, abs(c - 0.35) FROM (SELECT a.id AS id_a, b.id AS id_b, list_dot_product(a.f, b.f) AS c FROM n a JOIN n b ON a.subject = b.subject AND a.id < b.id) WHERE c >= 0.35 - 0.1),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, side ORDER BY gap, id_a, id_b) AS r FROM p),
+t AS (SELECT *, row_number() OVER (PARTITION BY kind, side ORDER BY md5('7|' || id_a || '|' || id_b), id_a, id_b) AS d FROM r WHERE r <= 30) SELECT kind, side, id_a, id_b, round(value, 6) AS value FROM t WHERE d <= 10""",
     "split_frames": with_(ITEMS) + "SELECT image_id, split, dense_rank() OVER (ORDER BY subject) - 1 AS label FROM items WHERE image_id % 23 <> 4",
     "fold_frames": with_(ITEMS, PEOPLE_FOLDS) + "SELECT image_id, CASE WHEN fold = 2 THEN 'test' WHEN fold = 3 THEN 'val' ELSE 'train' END AS role, CAST(items.gender = 'F' AS INTEGER) AS label FROM items JOIN folds USING (subject)",
     "table_supervised": with_(_RESULTS) + f"SELECT ord, models.family, name, {_text('value', more=chr(39) + ' (n=' + chr(39) + ' || count(value) || ' + chr(39) + '/100000)' + chr(39))} AS top1, '–' AS absent FROM models LEFT JOIN res ON model = key GROUP BY ord, models.family, name",

@@ -849,6 +849,29 @@ def duplicate_search(spark, sf):
     return dedup.group_stats(dedup.duplicate_groups(v, scratch.keep(pairs, "pairs"), scratch))
 
 
+def _search(spark, sf):
+    sizes = table(spark, sf, "part").select((F.col("p_partkey") - 1).alias("id"), F.col("p_size").alias("min_side"))
+    digest = F.md5(F.concat_ws("|", F.col("subject"), F.floor(F.col("id") / 97)))
+    im = items(spark, sf).withColumnRenamed("image_id", "id").join(sizes, "id", "left").withColumn("digest", digest)
+    return dedup.search(im, hashes(spark, sf), vecs(spark, sf), Scratch(spark), DIST, COS, "or", 2, 0.1, 24, 0.04, 20, 7)
+
+
+@query
+def search_report(spark, sf):
+    """Groups, oversized groups and leakage of the whole search in one row."""
+    found = _search(spark, sf)
+    large = found.oversized.agg(F.count("*").alias("n_oversized"))
+    return rounded(dedup.group_stats(found.groups).crossJoin(found.leakage).crossJoin(large))
+
+
+@query
+def search_borderline(spark, sf):
+    """The pairs on either side of both thresholds that the whole search gives for a look by eye."""
+    found = _search(spark, sf)
+    hashed = found.borderline_hash.select(F.lit("hash").alias("kind"), "side", "id_a", "id_b", F.col("dist").cast("double").alias("value"))
+    return rounded(hashed.unionByName(found.borderline_cosine.select(F.lit("cosine").alias("kind"), "side", "id_a", "id_b", F.col("cos").alias("value"))))
+
+
 @query
 def split_frames(spark, sf):
     im = items(spark, sf).withColumn("split", F.when(F.col("image_id") % 23 == 4, "excluded").otherwise(F.col("split")))
