@@ -52,8 +52,8 @@ def rows_of_block(spark, n: int) -> int:
     return int(min(MOST, max(LEAST, n // (2 * spark.sparkContext.defaultParallelism))))
 
 
-def blocks(rows: DataFrame, scratch: Scratch, by: tuple[str, ...] = (), box: tuple[str, ...] = ()) -> DataFrame:
-    """by, block, items (of all columns of rows, which needs an id), and least and most of the box columns, written once."""
+def blocks(rows: DataFrame, scratch: Scratch, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, block, items (of all columns of rows, which needs an id), written once."""
     spark = rows.sparkSession
     size = rows_of_block(spark, rows.count())
     # Without groups all rows are one; a constant key gets a partial count a task.
@@ -61,12 +61,12 @@ def blocks(rows: DataFrame, scratch: Scratch, by: tuple[str, ...] = (), box: tup
     placed = rows.join(parts, list(by)) if by else rows.crossJoin(F.broadcast(parts))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("id"), F.col("gl_parts")).cast("int"))
     names = [c for c in rows.columns if c not in by]
-    edges = [f(c).alias(f"{k}_{c}") for c in box for k, f in (("lo", F.min), ("hi", F.max))]
-    return scratch.keep(placed.groupBy(*by, "block").agg(F.collect_list(F.struct(*names)).alias("items"), *edges), "blocks")
+    return scratch.keep(placed.groupBy(*by, "block").agg(F.collect_list(F.struct(*names)).alias("items")), "blocks")
 
 
 def rings(rows: DataFrame, scratch: Scratch, angle: str) -> DataFrame:
-    """Like blocks() without groups, but a block is a ring: a range of the angle to the first pivot, so that far rings never meet.
+    """Like blocks() without groups, but a block is a ring: a range of the angle to the first pivot, so that far rings never meet;
+    with the least and most of each angle.
     Ranges are cut by hash where more rows than a block's share an angle."""
     spark = rows.sparkSession
     n = rows.count()
