@@ -730,7 +730,7 @@ def incremental_groups(spark, sf):
     """Duplicate groups of three batches of images, one after the other; the third changes the content of some of the first."""
     v = vecs(spark, sf)
     items = v.select("id", F.md5(F.col("id").cast("string")).alias("digest"), "subject")
-    index = DuplicateIndex(spark, f"{Scratch(spark).base}/groups", DIST)
+    index = DuplicateIndex(spark, f"{Scratch(spark).base}/groups", DIST, 4)
     moved = F.transform("v", lambda x: -x)
     hashed = lambda table: lambda rows: rows.join(table.select("id", X.sign_hash64(F.col("v")).alias("h")), "id")
     old = v.withColumn("v", F.when(F.col("id") % 9 == 0, moved).otherwise(F.col("v")))
