@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -51,53 +53,71 @@ def identity_scores(probes: DataFrame, gallery: DataFrame | None = None, by: By
     """(probe, y, cls, score): the best cosine of each probe with each identity of the gallery, from (id, cls, v) tables.
 
     Without a gallery the probes are their own, each without itself (leave-one-out); vectors of a class of one are only
-    distractors. Blocks of probes meet blocks of the gallery; a tile gives a row per probe and identity, not per pair."""
+    distractors. Blocks of probes meet blocks of the gallery; an area of
+    many blocks gives a row per probe and identity, not per pair."""
     scratch = Scratch(probes.sparkSession)
     table = lambda t, *more: t.select(*by, "id", "cls", X.l2_normalize(F.col("v")).alias("v"), *more)
     if gallery is None:
-        alone = F.count("*").over(Window.partitionBy(*by, "cls")) == 1
-        left, right = tiles.blocks(table(probes, alone.alias("alone")), scratch, by), None
+        sizes = probes.groupBy(*by, "cls").agg((F.count("*") == 1).alias("alone"))
+        left, right = tiles.blocks(table(probes.join(sizes, [*by, "cls"]), "alone"), scratch, by), None
     else:
         left, right = tiles.blocks(table(probes), scratch, by), tiles.blocks(table(gallery), scratch, by)
     own = right is None
 
-    def tile(x: tiles.Block, y: tiles.Block):
-        names, cls = np.unique(y.flat("cls"), return_inverse=True)
-        order = np.argsort(cls, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(cls[order]) != 0])
-        ours, theirs = x.matrix(), y.matrix()
-        use = np.arange(len(x)) if not own else np.flatnonzero(~x.flat("alone"))
-        for i in range(0, len(use), tiles.STEP):
-            at = use[i : i + tiles.STEP]
-            s = ours[at] @ theirs.T
-            if own and x.number == y.number:
-                s[np.arange(len(at)), at] = -np.inf
-            best = np.maximum.reduceat(s[:, order], starts, axis=1)
-            p, c = np.nonzero(best > -np.inf)
-            yield [x.column("id").take(pa.array(at[p])), x.column("cls").take(pa.array(at[p])), names[c], best[p, c]]
+    def area(xs, ys: list[tiles.Block], met):
+        names, codes = np.unique(np.concatenate([y.flat("cls") for y in ys]), return_inverse=True)
+        sides, done = [], 0
+        for y in ys:
+            code = codes[done : done + len(y)]
+            done += len(y)
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            sides.append((y.number, y.matrix()[order], np.argsort(order), starts, code[order][starts]))
+        for x in xs:
+            ours = x.matrix()
+            use = np.arange(len(x)) if not own else np.flatnonzero(~x.flat("alone"))
+            for i in range(0, len(use), tiles.STEP):
+                at = use[i : i + tiles.STEP]
+                best = np.full((len(at), len(names)), -np.inf)
+                for number, theirs, place, starts, code in sides:
+                    s = ours[at] @ theirs.T
+                    if own and x.number == number:
+                        s[np.arange(len(at)), place[at]] = -np.inf
+                    best[:, code] = np.maximum(best[:, code], np.maximum.reduceat(s, starts, axis=1))
+                p, c = np.nonzero(best > -np.inf)
+                yield [x.column("id").take(pa.array(at[p])), x.column("cls").take(pa.array(at[p])), names[c], best[p, c]]
 
     kind = lambda t, c: t.schema[c].dataType.simpleString()
     ddl = f"probe {kind(probes, 'id')}, y {kind(probes, 'cls')}, cls {kind(probes if gallery is None else gallery, 'cls')}, score double"
-    found = tiles.meet(left, right, tile, ddl, tuple(by), every=True)
+    found = tiles.meet(left, right, area, ddl, tuple(by), every=True, whole=True)
     return found.groupBy(*by, "probe", "y", "cls").agg(F.max("score").alias("score"))
 
 
 #: Ranges of scores that a pass counts in, and scores of a range that are looked at one by one.
 RANGES, FEW = 4096, 20_000
+#: Digits to which rounded scores are counted as whole numbers: a task counts 2 * 10**digits / RANGES of them for a range.
+MOST_DIGITS = 8
+
+
+def _tile_scores(x: tiles.Block, y: tiles.Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(scores, whether genuine) of the pairs of two blocks, strip by strip; each pair of a block once."""
+    a, b, ca, cb = x.matrix(), y.matrix(), x.flat("cls"), y.flat("cls")
+    place, same = np.arange(len(y))[None, :], x.number == y.number
+    for i in range(0, len(x), tiles.STEP):
+        s, own = a[i : i + tiles.STEP] @ b.T, ca[i : i + tiles.STEP, None] == cb[None, :]
+        if same:
+            ok = place > np.arange(i, i + len(s))[:, None]
+            yield s[ok], own[ok]
+        else:
+            yield s.ravel(), own.ravel()
 
 
 def _count_pairs(blocks: DataFrame, digits: int | None, cuts: list[np.ndarray], few: bool) -> list:
     """Rows (range, or score if few; genuine; impostor) of all pairs with a score in the cuts (from the first on, below the last)."""
 
     def tile(x: tiles.Block, y: tiles.Block):
-        a, b, ca, cb = x.matrix(), y.matrix(), x.flat("cls"), y.flat("cls")
-        place, same = np.arange(len(y))[None, :], x.number == y.number
-        for i in range(0, len(x), tiles.STEP):
-            s = a[i : i + tiles.STEP] @ b.T
-            s = s if digits is None else np.round(s, digits) + 0.0
-            own = ca[i : i + tiles.STEP, None] == cb[None, :]
-            ok = place > np.arange(i, i + len(s))[:, None] if same else np.ones(s.shape, bool)
-            v, g = s[ok], own[ok]
+        for v, g in _tile_scores(x, y):
+            v = v if digits is None else np.round(v, digits) + 0.0
             for k, cut in enumerate(cuts):
                 inside = (v >= cut[0]) & (v < cut[-1])
                 w, h = v[inside], g[inside]
@@ -105,19 +125,74 @@ def _count_pairs(blocks: DataFrame, digits: int | None, cuts: list[np.ndarray],
                 n, m = (np.bincount(code, weights=z, minlength=len(kinds)).astype(np.int64) for z in (h, ~h))
                 yield [np.full(len(kinds), k), kinds.astype(np.float64), n, m]
 
-    found = tiles.meet(blocks, None, tile, "k int, at double, g long, i long")
+    return _summed(tiles.meet(blocks, None, tile, "k int, at double, g long, i long"))
+
+
+def _summed(found: DataFrame) -> list:
     return found.groupBy("k", "at").agg(F.sum("g").alias("g"), F.sum("i").alias("i")).orderBy("k", "at").collect()
 
 
+def _count_rounded(blocks: DataFrame, digits: int, width: int, ranges: list[int] | None = None) -> list:
+    """Rows (k, at, genuine, impostor) of all pairs whose score is rounded to so many digits, so that scores are whole numbers:
+    counts by ranges of `width` numbers (at: the range), or of each number (at) in some ranges (k: the place of the range)."""
+    scale, zero = 10.0**digits, 10.0**digits + 0.5 + width  # scores are counted from -1 on, one range below it
+    n_ranges = int((2 * zero) // width) + 2
+
+    def area(xs, ys: list[tiles.Block], met):
+        shape = (2, n_ranges) if ranges is None else (2, len(ranges) * (width + 1))
+        counts = np.zeros(shape, np.int64)
+        for x in xs:
+            for y in ys:
+                if not met(x, y):
+                    continue
+                for v, g in _tile_scores(x, y) if ranges is None else _near_scores(x, y, [((k * width - zero) / scale, ((k + 1) * width - zero) / scale) for k in ranges]):
+                    t = v * scale + zero
+                    at = (t / width).astype(np.int32)
+                    if ranges is None:
+                        counts[1] += np.bincount(at, minlength=n_ranges)
+                        counts[0] += np.bincount(at[g], minlength=n_ranges)
+                        continue
+                    for j, k in enumerate(ranges):
+                        inside = at == k
+                        place = np.clip(t[inside].astype(np.int64) - k * width, 0, width) + j * (width + 1)
+                        counts[1] += np.bincount(place, minlength=shape[1])
+                        counts[0] += np.bincount(place[g[inside]], minlength=shape[1])
+        at = np.flatnonzero(counts[1])
+        k, number = (np.zeros(len(at), int), at) if ranges is None else np.divmod(at, width + 1)
+        yield [k, number.astype(np.float64), counts[0][at], counts[1][at] - counts[0][at]]
+
+    return _summed(tiles.meet(blocks, None, area, "k int, at double, g long, i long", whole=True))
+
+
+def _near_scores(x: tiles.Block, y: tiles.Block, spans: list[tuple[float, float]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(scores, whether genuine) of the pairs of two blocks that may lie in a span: found in single precision, computed in double."""
+    a, b, ca, cb = x.matrix(), y.matrix(), x.flat("cls"), y.flat("cls")
+    slack, b32 = tiles.single_slack(a.shape[1]), b.astype(np.float32)
+    for i in range(0, len(x), tiles.STEP):
+        s = (a[i : i + tiles.STEP].astype(np.float32) @ b32.T).ravel()
+        inside = np.zeros(len(s), bool)
+        for low, high in spans:
+            inside |= (s >= np.float32(low - slack)) & (s <= np.float32(high + slack))
+        p, q = np.divmod(np.flatnonzero(inside), len(y))
+        if x.number == y.number:
+            once = q > p + i
+            p, q = p[once], q[once]
+        for j in range(0, len(p), 1 << 16):
+            r, t = p[j : j + (1 << 16)] + i, q[j : j + (1 << 16)]
+            yield np.einsum("ij,ij->i", a[r], b[t]), ca[r] == cb[t]
+
+
 def verification_of_all_pairs(vectors: DataFrame, far: float = 0.01, digits: int | None = None) -> DataFrame:
     """One row eer, tar_at_far (percent) over all pairs of (id, cls, v), as metrics.verification has them, without a table of pairs.
 
     Tiles count genuine and impostor scores by ranges; only the ranges are kept in which the error rates cross and the false
-    accepts fall to the target, and these are cut anew until their scores are few. A pass returns RANGES rows at most."""
+    accepts fall to the target, and these are cut anew until their scores are few. A pass returns RANGES rows at most. Rounded to digits, scores are whole
+    numbers: the second pass counts each number of the ranges kept."""
     n = vectors.select("id", "cls", X.l2_normalize(F.col("v")).alias("v"))
     blocks = tiles.blocks(n, Scratch(vectors.sparkSession))
     cut = np.linspace(-1.0 - 1e-6, 1.0 + 1e-6, RANGES + 1)
-    rows = _count_pairs(blocks, digits, [cut], False)
+    width = None if digits is None or digits > MOST_DIGITS else max(1, -(-2 * 10**digits // RANGES))
+    rows = _count_pairs(blocks, digits, [cut], False) if width is None else _count_rounded(blocks, digits, width)
     genuine, impostor = sum(r["g"] for r in rows), sum(r["i"] for r in rows)
     if not genuine or not impostor:
         return vectors.sparkSession.createDataFrame([(None, None)], "eer double, tar_at_far double")
@@ -136,8 +211,11 @@ def verification_of_all_pairs(vectors: DataFrame, far: float = 0.01, digits: int
     state = {}
     for name, test in crossed.items():
         k, below, many = narrow(rows, (0, 0), test)
-        state[name] = (cut[int(k)], cut[int(k) + 1], below, many)
+        state[name] = (cut[int(k)], cut[int(k) + 1], below, many) if width is None else (int(k), None, below, many)
     exact: dict[str, list] = {}
+    if width is not None:
+        found = _count_rounded(blocks, digits, width, [state[x][0] for x in state])
+        exact = {x: [r for r in found if r["k"] == k] for k, x in enumerate(state)}
     while len(exact) < len(state):
         open_ = [x for x in state if x not in exact]
         few = {x: state[x][3] <= FEW or np.nextafter(state[x][0], 2) >= state[x][1] for x in open_}

@@ -116,6 +116,31 @@ def test_far_rings_do_not_meet(spark, monkeypatch):
     assert met and all((r["a"] < 64) == (r["b"] < 64) for r in met)
 
 
+@pytest.mark.parametrize("every", [False, True])
+def test_blocks_are_sent_once_a_strip(spark, every, monkeypatch):
+    """40 blocks: all pairs of blocks meet, and a block is in as many areas as there are strips, not in one for each block."""
+    monkeypatch.setattr(tiles, "STRIPS", 4)
+    rows_ = [(b, [{"id": b * 10 + k} for k in range(2)]) for b in range(40)]
+    blocks = spark.createDataFrame(rows_, "block int, items array<struct<id:long>>")
+
+    def area(xs, ys, met):
+        xs = list(xs)
+        yield [[len(xs) + len(ys)], [sum(met(x, y) for x in xs for y in ys)]]
+
+    got = tiles.meet(blocks, None, area, "sent long, pairs long", every=every, whole=True).toPandas()
+    assert got["pairs"].sum() == (1600 if every else 820) and got["sent"].sum() <= 2 * 40 * 4
+
+
+def test_rounded_scores_take_two_passes(spark, monkeypatch):
+    """Six digits: ranges, then the numbers of the two ranges kept."""
+    passes, meet = [], tiles.meet
+    monkeypatch.setattr(vector, "FEW", 3)
+    monkeypatch.setattr(tiles, "meet", lambda *a, **k: passes.append(1) or meet(*a, **k))
+    v = unit(np.random.default_rng(8), 60, 8)
+    df = spark.createDataFrame([(k, k % 3, x.tolist()) for k, x in enumerate(v)], "id long, cls long, v array<double>")
+    assert vector.verification_of_all_pairs(df, 0.1, 6).count() == 1 and len(passes) == 2
+
+
 def test_groups_merge_within_subjects_only(spark):
     items = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (3, "a"), (4, "b")], "id long, subject string")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (3, 4)], "id_a long, id_b long")
