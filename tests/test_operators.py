@@ -141,6 +141,35 @@ def test_rounded_scores_take_two_passes(spark, monkeypatch):
     assert vector.verification_of_all_pairs(df, 0.1, 6).count() == 1 and len(passes) == 2
 
 
+def test_matched_subjects_equal_overlap_of_pairs(spark, monkeypatch):
+    """Items and subjects that match, of areas: an item and a subject once, and the overlap that the pairs give."""
+    monkeypatch.setattr(tiles, "LEAST", 8)
+    v = unit(np.random.default_rng(11), 80, 6)
+    df = spark.createDataFrame([(k, k % 4, x.tolist()) for k, x in enumerate(v)], "id long, subject long, v array<double>")
+    df = df.withColumn("h", F.expr("id * 37 % 64"))
+    a, b, s = df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), df.select("id", "subject")
+    cosines = dedup.cross_cosine_pairs(a.select("id", "v"), b.select("id", "v"), 0.3)
+    near = dedup.hamming_pairs(a.select("id", "h"), 1, b.select("id", "h"))
+    for pairs, matched in ((cosines, dedup.matched_by_cosine(a, b, 0.3)), (near, dedup.matched_by_hash(a, b, 1))):
+        assert rows(matched.distinct()) == rows(pairs.join(s.toDF("id_b", "subject_b"), "id_b").select("id_a", "subject_b").distinct())
+        assert rows(dedup.overlap_of_matched(matched, s, 2)) == rows(dedup.subject_overlap(pairs, s, s, 2))
+
+
+def test_a_norm_is_computed_once_a_vector(spark):
+    """The element's expression holds the norm as a value; zero, empty and missing vectors stay."""
+    data = [([3.0, 4.0],), ([0.0, 0.0],), ([],), (None,)]
+    df = spark.createDataFrame(data, "v array<double>").select(X.l2_normalize(F.col("v")).alias("n"))
+    assert [r["n"] for r in df.collect()] == [[0.6, 0.8], [0.0, 0.0], [], None]
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    assert tree.lower().count("sqrt(") == 1
+
+
+def test_unknown_sizes_count_as_small(spark):
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], "id_a long, id_b long")
+    sizes = spark.createDataFrame([(0, 30), (1, 40), (2, None)], "id long, min_side int")
+    assert rows(dedup.drop_small(pairs, sizes, 24).select("id_a", "id_b")) == [(0, 1)]
+
+
 def test_groups_merge_within_subjects_only(spark):
     items = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a"), (3, "a"), (4, "b")], "id long, subject string")
     pairs = spark.createDataFrame([(0, 1), (1, 2), (3, 4)], "id_a long, id_b long")
