@@ -595,3 +595,21 @@ def test_gender_linear_probe(spark):
 def test_first_best_epoch(spark):
     log = spark.createDataFrame([("r", e, v) for e, v in enumerate([1.0, 3.0, 3.0, 2.0, 9.0])], "run string, epoch int, val double")
     assert tuple(summary.first_best_epoch(log, "val", 2).first()) == ("r", 1, 3)
+
+
+@pytest.mark.parametrize("index_rows", [7, 1000])
+def test_copies_of_a_hash_meet_once(spark, index_rows, monkeypatch):
+    """Copies are written out at the end: the index holds each hash once, in slices and parts, and equals brute force."""
+    monkeypatch.setattr(hamming, "INDEX_ROWS", index_rows)
+    monkeypatch.setattr(hamming, "PROBING", 5)
+    monkeypatch.setattr(hamming, "AT_ONCE", 50)
+    r = random.Random(2)
+    hs = [r.choice([0, 1, 3, 77, 1 << 40, r.getrandbits(20)]) for _ in range(90)]
+    held = []
+    df = spark.createDataFrame(list(enumerate(hs)), "id long, h long")
+    want = sorted((i, j, (hs[i] ^ hs[j]).bit_count()) for i, j in itertools.combinations(range(90), 2) if (hs[i] ^ hs[j]).bit_count() <= 3)
+    assert rows(dedup.hamming_pairs(df, 3, probed=True)) == sorted(want, key=repr)
+    index = hamming.Index(np.array(sorted(set(hs)), np.uint64), hamming.Band(tuple(range(20)), 1))
+    for p, q in index.met(np.array([1], np.uint64)):
+        held += q.tolist()
+    assert len(held) == len(set(held))
