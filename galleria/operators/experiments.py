@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galleria.functions import expr as X
 from galleria.session import Scratch
 
-from . import metrics, vector
+from . import metrics, tiles, vector
 from .metrics import By
 from .splits import fold_role
 
@@ -149,20 +150,42 @@ def new_identity(images: DataFrame, vectors: DataFrame, roles: DataFrame, shots:
 
 def new_identity_verification(images: DataFrame, vectors: DataFrame, roles: DataFrame, impostors: int, seed: int, scratch: Scratch, far: float = 0.01) -> DataFrame:
     """(variant, eer, tar_at_far, n_genuine, n_impostor) over pairs of the novel subjects: all genuine pairs of different groups
-    and a sample of impostors. Scores are rounded to six digits."""
+    and a sample of impostors. Scores are rounded to six digits; genuine ones are counted in tiles, so no table holds their pairs."""
     novel = images.join(roles.filter("role = 'novel'").select("subject"), "subject", "left_semi")
     ids = novel.select(F.col("image_id").alias("id"), F.col("subject").alias("cls"))
-    of_group = novel.select("image_id", "group")
-    genuine = vector.genuine_pairs(ids).join(of_group.toDF("id_a", "ga"), "id_a").join(of_group.toDF("id_b", "gb"), "id_b").filter("ga <> gb")
-    pairs = genuine.select("id_a", "id_b", F.lit(True).alias("same")).unionByName(vector.impostor_pairs(ids, impostors, seed).select("id_a", "id_b", F.lit(False).alias("same")))
-    n = vectors.select("variant", "image_id", X.l2_normalize(F.col("v")).alias("f"))
-    scored = pairs.join(n.select("variant", F.col("image_id").alias("id_a"), F.col("f").alias("fa")), "id_a").join(n.select("variant", F.col("image_id").alias("id_b"), F.col("f").alias("fb")), ["variant", "id_b"])
-    scored = scratch.keep(scored.select("variant", "same", F.round(X.dot(F.col("fa"), F.col("fb")), 6).alias("score")), "pair-scores")
-    counts = scored.groupBy("variant").agg(F.count_if("same").alias("n_genuine"), F.count_if(~F.col("same")).alias("n_impostor"))
-    side = lambda c: scored.filter(c).select("variant", "score")
+    unit = X.l2_normalize(F.col("v"))
+    own = novel.filter("group IS NOT NULL").join(vectors, "image_id")
+    blocks = tiles.blocks(own.select("variant", F.col("subject").alias("cls"), F.col("image_id").alias("id"), "group", unit.alias("v")), scratch, ("variant", "cls"))
+    genuine = tiles.meet(blocks, None, _genuine_scores, "at long, n long", ("variant", "cls"), whole=True)
+    genuine = genuine.groupBy("variant", "at").agg(F.sum("n").alias("n")).select("variant", F.lit(True).alias("same"), (F.col("at") / 1e6).alias("score"), "n")
+    pairs = vector.impostor_pairs(ids, impostors, seed).select("id_a", "id_b")
+    n = vectors.join(F.broadcast(pairs.select(F.col("id_a").alias("image_id")).union(pairs.select("id_b")).distinct()), "image_id").select("variant", "image_id", unit.alias("f"))
+    strange = pairs.join(n.select("variant", F.col("image_id").alias("id_a"), F.col("f").alias("fa")), "id_a").join(n.select("variant", F.col("image_id").alias("id_b"), F.col("f").alias("fb")), ["variant", "id_b"])
+    strange = strange.select("variant", F.lit(False).alias("same"), F.round(X.dot(F.col("fa"), F.col("fb")), 6).alias("score"), F.lit(1).cast("long").alias("n"))
+    scored = scratch.keep(genuine.unionByName(strange), "pair-scores")
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    counts = scored.groupBy("variant").agg(total(F.col("same")).alias("n_genuine"), total(~F.col("same")).alias("n_impostor"))
+    side = lambda c: scored.filter(c).select("variant", "score", "n")
     return metrics.verification(side(F.col("same")), side(~F.col("same")), far, ("variant",)).join(counts, "variant")
 
 
+def _genuine_scores(xs, ys: list[tiles.Block], met):
+    """(score in millionths, pairs) of the pairs of an area that are of different groups."""
+    counts = np.zeros(2_000_005, np.int64)
+    for x in xs:
+        for y in ys:
+            if not met(x, y):
+                continue
+            a, b, ga, gb = x.matrix(), y.matrix(), x.flat("group"), y.flat("group")
+            for i in range(0, len(x), tiles.STEP):
+                ok = ga[i : i + tiles.STEP, None] != gb[None, :]
+                if x.number == y.number:
+                    ok &= np.arange(len(y))[None, :] > np.arange(i, min(i + tiles.STEP, len(x)))[:, None]
+                counts += np.bincount(np.rint((a[i : i + tiles.STEP] @ b.T)[ok] * 1e6).astype(np.int64) + 1_000_002, minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield [at - 1_000_002, counts[at]]
+
+
 def cross_dataset(images: DataFrame, vectors: DataFrame, overlap: DataFrame, scratch: Scratch) -> DataFrame:
     """(variant, rank1, rank5, ...): leave-one-out over another set without the subjects that overlap (subject)."""
     kept = images.join(overlap.select("subject").distinct(), "subject", "left_anti")

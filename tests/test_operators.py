@@ -613,3 +613,25 @@ def test_copies_of_a_hash_meet_once(spark, index_rows, monkeypatch):
     for p, q in index.met(np.array([1], np.uint64)):
         held += q.tolist()
     assert len(held) == len(set(held))
+
+
+def test_counted_scores_equal_single_rows(spark):
+    g, i = [0.9, 0.9, 0.7, 0.2], [0.1, 0.2, 0.2, 0.8]
+    one = lambda s: spark.createDataFrame([(x,) for x in s], "score double")
+    many = lambda s: one(s).groupBy("score").agg(F.count("*").alias("n"))
+    assert rows(metrics.verification(many(g), many(i), 0.3)) == rows(metrics.verification(one(g), one(i), 0.3))
+
+
+def test_a_told_count_stays_when_all_are_there(spark):
+    from galleria.operators import reports
+
+    runs = spark.createDataFrame([(1.0,), (3.0,)], "m double")
+    text = lambda told: runs.agg(reports.cell_text(runs, reports.Cell("", "m", expected=2, told=told))).first()[0]
+    assert text(False) == "2.00 ± 1.41" and text(True) == "2.00 ± 1.41 (n=2/2)"
+
+
+def test_learning_rates_have_a_row_per_event(spark):
+    from galleria.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    assert QUERIES["learning_rates"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
