@@ -20,7 +20,8 @@ DASH = "–"
 
 @dataclass(frozen=True)
 class Cell:
-    """`label`: mean ± deviation (or half of the 95 % interval if `interval`) of `metric` over the rows where `where` holds."""
+    """`label`: mean ± deviation (or half of the 95 % interval if `interval`) of `metric` over the rows where `where` holds.
+    told: the number of values is told even if all that are expected are there."""
 
     label: str
     metric: str
@@ -28,6 +29,7 @@ class Cell:
     interval: bool = False
     expected: int | None = None
     digits: int = 2
+    told: bool = False
 
 
 def _value(runs: DataFrame, metric: str, where: dict) -> Column | None:
@@ -46,7 +48,7 @@ def cell_text(runs: DataFrame, cell: Cell) -> Column:
     spread, form = ci95(std, n) if cell.interval else std, f"%.{cell.digits}f"
     text = F.when(n > 1, F.format_string(f"{form} ± {form}", mean, spread)).otherwise(F.format_string(form, mean))
     if cell.expected:
-        text = F.when(n < cell.expected, F.concat(text, F.format_string(f" (n=%d/{cell.expected})", n))).otherwise(text)
+        text = F.when(F.lit(cell.told) | (n < cell.expected), F.concat(text, F.format_string(f" (n=%d/{cell.expected})", n))).otherwise(text)
     return F.when(n == 0, F.lit(DASH)).otherwise(text)
 
 
