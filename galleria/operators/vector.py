@@ -245,14 +245,32 @@ def verification_of_all_pairs(vectors: DataFrame, far: float = 0.01, digits: int
     return vectors.sparkSession.createDataFrame([(100.0 * eer, 100.0 * tar)], "eer double, tar_at_far double")
 
 
+#: Ids of a piece of a class at least, and pieces of a class at most: an id is sent once for each piece of its class.
+PIECE, PIECES = 1000, 16
+
+
+def _all_genuine_pairs(vectors: DataFrame) -> DataFrame:
+    """(id_a, id_b) of all pairs within a class: pieces of a class meet in pairs, each pair of pieces a join key, so that a class
+    of any size is dealt to many tasks."""
+    spark = vectors.sparkSession
+    rows = vectors.select("cls", "id")
+    sizes = rows.groupBy("cls").agg(F.least(F.lit(PIECES), F.ceil(F.count("*") / PIECE)).cast("int").alias("gl_n"))
+    cut = rows.join(sizes, "cls").withColumn("gl_k", F.pmod(F.xxhash64("id"), F.col("gl_n")).cast("int"))
+    width = max(16 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = ["cls", "i", "j"]
+    x = cut.select("cls", F.col("id").alias("x"), F.col("gl_k").alias("i"), F.explode(F.expr("sequence(gl_k, gl_n - 1)")).alias("j"))
+    y = cut.select("cls", F.col("id").alias("y"), F.col("gl_k").alias("j"), F.explode(F.expr("sequence(0, gl_k)")).alias("i"))
+    met = x.repartition(width, *keys).join(y.repartition(width, *keys), keys).filter("x < y OR (i < j AND x > y)")
+    return met.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
 def genuine_pairs(vectors: DataFrame, cap: int | None = None, seed: int = 0) -> DataFrame:
     """(id_a, id_b) within a class, id_a < id_b; with a cap a sample of them without repeats, of which no other pair is listed.
 
     The pairs of all classes are numbered: a class has those from the sum of n (n - 1) / 2 of the classes before it. Numbers are
     drawn by hash, without repeats the first `cap`; a number gives its class by its range and its two members by a square root."""
     if cap is None:
-        a = vectors.select("cls", F.col("id").alias("id_a"))
-        return a.join(a.withColumnRenamed("id_a", "id_b"), "cls").filter("id_a < id_b").select("id_a", "id_b")
+        return _all_genuine_pairs(vectors)
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     place = F.row_number().over(Window.partitionBy("cls").orderBy("id")) - 1
     members = scratch.keep(vectors.select("cls", "id", place.cast("long").alias("place")), "members")

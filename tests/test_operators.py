@@ -635,3 +635,11 @@ def test_learning_rates_have_a_row_per_event(spark):
 
     sf = "/root/testdata/sf0.001"
     assert QUERIES["learning_rates"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_pairs_of_one_class_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "PIECE", 5)
+    df = spark.createDataFrame([(k, 1) for k in range(60)] + [(99, None)], "id long, cls long")
+    pairs = vector.genuine_pairs(df)
+    assert rows(pairs) == rows(spark.createDataFrame(list(itertools.combinations(range(60), 2)), "id_a long, id_b long"))
+    assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 8
