@@ -643,3 +643,21 @@ def test_pairs_of_one_class_are_dealt_to_many_tasks(spark, monkeypatch):
     pairs = vector.genuine_pairs(df)
     assert rows(pairs) == rows(spark.createDataFrame(list(itertools.combinations(range(60), 2)), "id_a long, id_b long"))
     assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+
+@pytest.mark.parametrize("together", [1, 1000])
+def test_rows_of_a_key_look_their_neighbours_up_together(spark, together, monkeypatch):
+    """Many rows of a band's key, one key of a third of them: each pair once, in one table and over two, as brute force has them."""
+    monkeypatch.setattr(hamming, "SHARED", 0)
+    monkeypatch.setattr(hamming, "PROBING", 20)
+    monkeypatch.setattr(hamming, "TOGETHER", together)
+    monkeypatch.setattr(hamming, "COMPARED", 64)
+    r = random.Random(4)
+    hs = [r.getrandbits(16) << 16 if k % 3 == 0 else r.choice([r.getrandbits(32), 5 | r.getrandbits(6) << 20]) for k in range(240)]
+    assert all(b.shared(1) for b in hamming.plan({k: 0.5 for k in range(32)}, 4, 240, 240, True))
+    df = spark.createDataFrame(list(enumerate(hs)), "id long, h long")
+    d = lambda i, j: (hs[i] ^ hs[j]).bit_count()
+    want = [(i, j, d(i, j)) for i, j in itertools.combinations(range(240), 2) if d(i, j) <= 4]
+    assert len(want) > 50 and rows(dedup.hamming_pairs(df, 4, probed=True)) == sorted(want, key=repr)
+    cross = rows(dedup.hamming_pairs(df.filter("id % 2 = 0"), 4, df.filter("id % 2 = 1"), probed=True))
+    assert cross == sorted([(i, j, d(i, j)) for i in range(0, 240, 2) for j in range(1, 240, 2) if d(i, j) <= 4], key=repr)
