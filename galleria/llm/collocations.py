@@ -41,6 +41,8 @@ ENDS = K.byte_class(b".,;:!?\n\v\f\r")
 WORD = ~(ENDS | K.byte_class(b" \t"))
 #: Bytes of texts that a map task holds before it makes blocks of them.
 HELD = 12 << 20
+#: Positions whose phrases are counted at once.
+SEGMENT = 1 << 19
 #: Bits of a filter: for each phrase, and at least and at most in all (as powers of two).
 BITS_EACH, BITS_LEAST, BITS_MOST = 16, 12, 28
 #: Frequent words of up to so many bytes are broadcast to the lists; of more, lists and words are shuffled.
@@ -64,7 +66,7 @@ def lists_of(buf: np.ndarray, offs: np.ndarray) -> tuple[pa.Array, np.ndarray, n
     """(words, list lengths, lists one after the other) of a block of texts."""
     w = K.Words(K.LOWER[buf], offs, WORD)
     codes, words = coded(w)
-    ends = np.cumsum(ENDS[buf])[w.starts] if len(w) else np.zeros(0, np.int64)
+    ends = np.searchsorted(np.flatnonzero(ENDS[buf]), w.starts)
     doc = w.doc()
     apart = (np.diff(ends) > 0) | (np.diff(doc) > 0)
     at = np.arange(len(w), dtype=np.int64)
@@ -199,40 +201,64 @@ class Frequent:
 
 
 def extended(ids: np.ndarray, sizes: np.ndarray, positions: np.ndarray, filters: list[Frequent]) -> Iterator[list[np.ndarray]]:
-    """The lists of the phrases one word longer than the last filter's, as (keys of the words, lengths) of one block."""
+    """The lists of the phrases one word longer than the last filter's, as (keys of the words, lengths) of one block. The
+    phrases that begin in each SEGMENT positions are counted by themselves: a task holds little more than the lists."""
+    # Positions and codes of a block are below 2^31; only two codes together take 64 bits, for as long as they are sorted.
     size = int(positions.max()) + 5 if len(positions) else 5
-    word = np.full(size, -1, np.int64)
-    word[positions] = np.repeat(np.arange(len(ids)), sizes)  # at each position the word whose list has it
-    at = np.sort(positions).astype(np.int64)
+    word = np.full(size, -1, np.int32)
+    word[positions] = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)  # at each position the word whose list has it
+    at = np.sort(positions)
+    for i in range(0, len(at), SEGMENT):
+        some = at[i : i + SEGMENT + 3]  # a phrase of four words that begins in the segment has three more positions
+        low, last = some[0], at[min(i + SEGMENT, len(at)) - 1]
+        yield from _extended(word[low : some[-1] + 5], some - low, last - low, ids, filters)
+
+
+def _extended(word: np.ndarray, at: np.ndarray, last: int, ids: np.ndarray, filters: list[Frequent]) -> Iterator[list[np.ndarray]]:
+    """extended() of phrases that begin at `last` at most. word: by position; at: positions, and three after the last."""
+    size, m = len(word), len(ids)
     at = at[word[at + 1] >= 0]
-    m = len(ids)
-    pair = np.full(size, -1, np.int64)
-    pair[at] = word[at] * m + word[at + 1]
     if not filters:
-        kinds, n = np.unique(pair[at], return_counts=True)
+        at = at[at <= last]
+        kinds, n = np.unique(word[at] * np.int64(m) + word[at + 1], return_counts=True)
         yield [packed(ids[kinds // m], ids[kinds % m]), n]
         return
-    kinds, code = np.unique(pair[at], return_inverse=True)
+    kinds, code = coded_pairs(word[at], word[at + 1], m)
     keys = packed(ids[kinds // m], ids[kinds % m])
     good = filters[0](keys)
+    pair = np.full(size, -1, np.int32)
     pair[at] = np.where(good[code], code, -1)
     at = at[good[code]]
     at = at[pair[at + 1] >= 0]  # the phrases at i and at i + 1 meet
-    last = np.full(size, -1, np.int64)
-    last[at] = pair[at] * m + word[at + 2]
-    kinds, code, n = np.unique(last[at], return_inverse=True, return_counts=True)
-    two, three = keys[kinds // m], ids[kinds % m]
     if len(filters) == 1:
-        yield [two, three, n]
+        at = at[at <= last]
+        kinds, n = np.unique(pair[at] * np.int64(m) + word[at + 2], return_counts=True)
+        yield [keys[kinds // m], ids[kinds % m], n]
         return
-    good = filters[1](two, three)
-    last[at] = np.where(good[code], code, -1)
+    kinds, code = coded_pairs(pair[at], word[at + 2], m)
+    del word
+    good = filters[1](keys[kinds // m], ids[kinds % m])
+    three = np.zeros(size, bool)
     at = at[good[code]]
-    at = at[last[at + 1] >= 0]
-    kinds, n = np.unique(pair[at] * len(keys) + pair[at + 2], return_counts=True)
+    del code, kinds
+    three[at] = True
+    at = at[three[at + 1] & (at <= last)]
+    kinds, n = np.unique(pair[at] * np.int64(len(keys)) + pair[at + 2], return_counts=True)
     yield [keys[kinds // max(1, len(keys))], keys[kinds % max(1, len(keys))], n]
 
 
+def coded_pairs(a: np.ndarray, b: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(different values of a * m + b, the place of each row's value there)."""
+    both = a * np.int64(m) + b
+    order = np.argsort(both)
+    both = both[order]
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    code = np.empty(len(both), np.int32)
+    code[order] = np.cumsum(new, dtype=np.int32) - 1
+    return both[new], code
+
+
 def packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Two word numbers in 64 bits (numbers are below 2^31: frequent words only)."""
     return (a << 32) | b

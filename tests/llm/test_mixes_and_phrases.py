@@ -253,3 +253,42 @@ def test_very_long_text(spark):
     assert got == phrases_by_force(rows, p)
     taken = {r["id"]: r["taken"] for r in mixing.taken(df, by_rank).collect()}
     assert sum(taken.values()) in range(int(1.5 * (840_000 + 174)) - 2, int(1.5 * (840_000 + 174)) + 1)
+
+
+def test_a_block_of_lists_takes_few_bytes_a_word():
+    """Phrases of four words of a block: positions and codes take 32 bits."""
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    n, m = 400_000, 1000
+    words = r.integers(0, m, n)
+    order = np.argsort(words, kind="stable").astype(np.int32)
+    every = lambda *keys: np.ones(len(keys[0]), bool)
+    ids, sizes = np.arange(m), np.bincount(words, minlength=m).astype(np.int32)
+    tracemalloc.start()
+    (two, three, f) = next(iter(collocations.extended(ids, sizes, order, [every])))
+    (left, right, g) = next(iter(collocations.extended(ids, sizes, order, [every, every])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert f.sum() == n - 2 and g.sum() == n - 3
+    first = tuple(words[:4].tolist())
+    at = np.flatnonzero((left == first[0] << 32 | first[1]) & (right == first[2] << 32 | first[3]))
+    assert len(at) == 1 and g[at[0]] == sum(tuple(words[i : i + 4].tolist()) == first for i in range(n - 3))
+    assert most < 100 * n
+
+
+@pytest.mark.parametrize("segment", [1, 2, 7, 50])
+def test_phrases_over_the_ends_of_segments_count_once(segment, monkeypatch):
+    monkeypatch.setattr(collocations, "SEGMENT", segment)
+    words = np.random.default_rng(5).integers(0, 3, 60)
+    places = np.arange(60) + np.arange(60) // 13  # a position is left out between pieces
+    order = np.argsort(words, kind="stable")
+    every = lambda *keys: np.ones(len(keys[0]), bool)
+    at = dict(zip(places.tolist(), words.tolist(), strict=True))
+    for k in (2, 3, 4):
+        got, want = Counter(), Counter(tuple(at[p + j] for j in range(k)) for p in at if all(p + j in at for j in range(k)))
+        for *keys, n in collocations.extended(np.arange(3), np.bincount(words), places[order].astype(np.int32), [every] * (k - 2)):
+            for *key, f in zip(*(x.tolist() for x in keys), n.tolist(), strict=True):
+                first, rest = (key[0] >> 32, key[0] & 0xFFFFFFFF), key[1:]
+                got[first + (() if k == 2 else (rest[0],) if k == 3 else (rest[0] >> 32, rest[0] & 0xFFFFFFFF))] += f
+        assert got == want
