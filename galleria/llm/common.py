@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,18 +39,27 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def take_over(encodes: bool) -> None:
+    """A worker is used again by the tasks of other operators: those that don't encode free the tokenizer and its known pieces."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens and not encodes and tokens.held():
+        tokens.forget()
+        give_back()
+
+
 def schema_of(ddl: str | T.StructType) -> T.StructType:
     return ddl if isinstance(ddl, T.StructType) else T.StructType.fromDDL(ddl)
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[list]]], ddl: str | T.StructType) -> DataFrame:
-    """mapInArrow where make() is called once a task and returns a function from a batch to lists of columns."""
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[list]]], ddl: str | T.StructType, encodes: bool = False) -> DataFrame:
+    """mapInArrow where make() is called once a task and returns a function from a batch to lists of columns. encodes: it uses tokens.encoder()."""
     tune(df.sparkSession)
     schema = schema_of(ddl)
     arrow = to_arrow_schema(schema)
     names, kinds = arrow.names, arrow.types
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(encodes)
         fn = make()
         for batch in batches:
             if batch.num_rows == 0:
@@ -68,6 +78,7 @@ def map_sorted(df: DataFrame, make: Callable[[], Callable[[Iterator[pa.RecordBat
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over(False)
         for cols in make()(batches):
             yield pa.RecordBatch.from_arrays([as_column(c, k) for c, k in zip(cols, arrow.types, strict=True)], names=arrow.names)
         give_back()

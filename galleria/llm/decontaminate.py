@@ -16,7 +16,7 @@ count for each; repeated rows are judged each; extra columns are ignored; an emp
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +41,7 @@ class Windows:
 
     hashes: dict[int, np.ndarray]
     items: dict[int, dict[int, list[tuple[bytes, tuple[str, ...]]]]]
+    last: bool = False
 
 
 def _windows_of(word_list: list[bytes], n: int) -> set[tuple[int, bytes]]:
@@ -67,10 +68,10 @@ def slices(benchmark: DataFrame, n: int = WINDOW, item_col: str = "item_id", tex
                 yield _table(have)
                 have, total, any_ = defaultdict(set), 0, True
     if have or not any_:
-        yield _table(have)
+        yield _table(have, True)
 
 
-def _table(have: dict[tuple[int, bytes], set[str]]) -> Windows:
+def _table(have: dict[tuple[int, bytes], set[str]], last: bool = False) -> Windows:
     by: dict[int, list[tuple[bytes, tuple[str, ...]]]] = defaultdict(list)
     for (k, words), items in have.items():
         by[k].append((words, tuple(sorted(items))))
@@ -83,7 +84,7 @@ def _table(have: dict[tuple[int, bytes], set[str]]) -> Windows:
         for x, row in zip(h.tolist(), rows, strict=True):
             found[x].append(row)
         hashes[k], table[k] = np.unique(h), dict(found)
-    return Windows(hashes, table)
+    return Windows(hashes, table, last)
 
 
 def _hits(low: np.ndarray, w: K.Words, win: Windows) -> tuple[np.ndarray, list[set[str]]]:
@@ -132,10 +133,15 @@ def _spans(covered: np.ndarray, w: K.Words, offs: np.ndarray) -> tuple[np.ndarra
 _KINDS = [T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.ArrayType(T.LongType()), T.ArrayType(T.LongType())]
 
 
-def _scan(docs: DataFrame, windows: Windows, text_at: int, names: list[str], more: bool) -> tuple[DataFrame, Broadcast]:
+#: From a batch of docs and the five columns of what was found in it: columns of the result.
+Then = Callable[[pa.RecordBatch], Iterator[list]]
+
+
+def _scan(docs: DataFrame, windows: Windows, text_at: int, names: list[str], more: bool, then: tuple[Then, T.StructType] | None = None) -> tuple[DataFrame, Broadcast]:
     """docs and the columns `names`: words, hit words, items (ids as strings), first and last bytes of the hit spans.
 
-    more: docs has them already as its last columns, and the slice's hits are added."""
+    more: docs has them already as its last columns, and the slice's hits are added. then: what becomes of them in the same
+    task, and its columns, so that a task needs one worker."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)
     n = len(docs.columns) - len(names) * more
 
@@ -159,31 +165,36 @@ def _scan(docs: DataFrame, windows: Windows, text_at: int, names: list[str], mor
                     covered |= np.cumsum(marks)[w.starts] > 0
                 sums = np.concatenate([[0], np.cumsum(covered)])
                 s, e, per = _spans(covered, w, o)
-                yield [c.slice(i, j - i) for c in batch.columns[:n]] + [
+                out = [c.slice(i, j - i) for c in batch.columns[:n]] + [
                     w.counts, sums[w.first[1:]] - sums[w.first[:-1]], pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                     K.list_column(s, per, pa.int64()), K.list_column(e, per, pa.int64()),
                 ]
+                if then:
+                    yield from then[0](pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in out], names=[*batch.schema.names[:n], *names]))
+                else:
+                    yield out
 
         return fn
 
     fields = docs.schema.fields[:n] + [T.StructField(c, k) for c, k in zip(names, _KINDS, strict=True)]
-    return map_arrow(docs, make, T.StructType(fields)), shared
+    return map_arrow(docs, make, then[1] if then else T.StructType(fields)), shared
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> tuple[DataFrame, list[str]]:
-    """(docs and five columns of what was found, as of _scan; their names)."""
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", max_broadcast: int = MAX_BROADCAST, then: tuple[Then, T.StructType] | None = None) -> tuple[DataFrame, list[str]]:
+    """(docs and five columns of what was found, as of _scan, or what `then` makes of them; their names)."""
     names, at = [], docs.columns.index(text_col)
     for c in ("gl_n_words", "gl_n_hit", "gl_items", "gl_from", "gl_to"):
         names.append(fresh(docs, c))
-    scratch, found, before = Scratch(docs.sparkSession), None, None
+    scratch, found, before, last = Scratch(docs.sparkSession), None, None, False
     for windows in slices(benchmark, n, max_broadcast=max_broadcast):
+        last = windows.last
         if before is not None:
             kept = scratch.keep(found, "found")
             before.destroy()
-            found, before = _scan(kept, windows, at, names, True)
+            found, before = _scan(kept, windows, at, names, True, then if last else None)
         else:
-            found, before = _scan(docs, windows, at, names, False)
-    return found, names
+            found, before = _scan(docs, windows, at, names, False, then if last else None)
+    return (map_arrow(found, lambda: then[0], then[1]) if then and not last else found), names
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -194,33 +205,29 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, id_col: str = "
     return found.select(id_col, F.col(words).alias("n_words"), F.col(hit).alias("n_hit"), F.col(items).alias("items"), spans.alias("spans"), (F.col(hit) > 0).alias("contaminated"))
 
 
-def _cut(text_at: int, n_cols: int, max_share: float):
-    def make():
-        def fn(batch: pa.RecordBatch):
-            words, hit = batch.column(n_cols).to_numpy(), batch.column(n_cols + 1).to_numpy()
-            keep = hit <= words * max_share
-            rows = batch.filter(pa.array(keep))
-            texts, lo, hi = (rows.column(k).to_pylist() for k in (text_at, n_cols + 3, n_cols + 4))
-            out = []
-            for t, a, b in zip(texts, lo, hi, strict=True):
-                if a:
-                    raw, parts, last = t.encode(), [], 0
-                    for x, y in zip(a, b, strict=True):
-                        parts.append(raw[last:x])
-                        last = y
-                    t = b"".join([*parts, raw[last:]]).decode()
-                out.append(t)
-            cols = [rows.column(k) for k in range(n_cols)]
-            cols[text_at] = pa.array(out, pa.string())
-            yield cols
-
-        return fn
-
-    return make
+def _cut(text_at: int, n_cols: int, max_share: float) -> Then:
+    def fn(batch: pa.RecordBatch):
+        words, hit = batch.column(n_cols).to_numpy(), batch.column(n_cols + 1).to_numpy()
+        keep = hit <= words * max_share
+        rows = batch.filter(pa.array(keep))
+        texts, lo, hi = (rows.column(k).to_pylist() for k in (text_at, n_cols + 3, n_cols + 4))
+        out = []
+        for t, a, b in zip(texts, lo, hi, strict=True):
+            if a:
+                raw, parts, last = t.encode(), [], 0
+                for x, y in zip(a, b, strict=True):
+                    parts.append(raw[last:x])
+                    last = y
+                t = b"".join([*parts, raw[last:]]).decode()
+            out.append(t)
+        cols = [rows.column(k) for k in range(n_cols)]
+        cols[text_at] = pa.array(out, pa.string())
+        yield cols
+
+    return fn
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", chars_col: str | None = "n_chars", max_share: float = 0.5, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs with hit spans cut out; documents of which more than max_share of the words are hit are dropped."""
-    found, _ = scan(docs, benchmark, n, text_col, max_broadcast)
-    out = map_arrow(found, _cut(docs.columns.index(text_col), len(docs.columns), max_share), docs.schema)
+    out, _ = scan(docs, benchmark, n, text_col, max_broadcast, (_cut(docs.columns.index(text_col), len(docs.columns), max_share), docs.schema))
     return out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else out

@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         return fn
 
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(rows, make, _PIECE.format(id=kind))
+    return map_arrow(rows, make, _PIECE.format(id=kind), encodes=True)
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, sequence: int = SEQUENCE, end_id: int | None = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:

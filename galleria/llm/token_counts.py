@@ -42,7 +42,7 @@ def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = Non
 
         return fn
 
-    return map_arrow(docs.select(F.col(text_col).cast("string")), make, "n_tokens long")
+    return map_arrow(docs.select(F.col(text_col).cast("string")), make, "n_tokens long", encodes=True)
 
 
 def histogram(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, extra: int = 0) -> DataFrame:

@@ -682,3 +682,20 @@ def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_decontamination_takes_one_worker_a_task(spark):
+    """Passages are looked up and cut in one map where the benchmark is one slice; an encoder leaves the workers of other tasks."""
+    from galleria.llm import common, decontaminate, tokens
+
+    some = spark.createDataFrame([(1, "a b c d e f g h i j k", 21)], "doc_id long, text string, n_chars long")
+    items = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    for most, maps in ((1 << 20, 1), (1, 2)):
+        out = decontaminate.remove(some, items, max_share=1.0, max_broadcast=most)
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == maps
+        assert [r["text"].split() for r in out.collect()] == [["k"]]
+    kept = tokens.encoder(tokens.default_tokenizer())
+    common.take_over(True)
+    assert tokens.encoder(tokens.default_tokenizer()) is kept
+    common.take_over(False)
+    assert not tokens.held()
