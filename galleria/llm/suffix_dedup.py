@@ -445,7 +445,10 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     scratch.drop(contexts, wanted, bodies)
     marked = marks.toDF("mah", "m1", "m2", "spans")
 
-    held = some.select("ah", "c1", "c2", "t1", "t2", "pos", "l", "r").distinct()
+    # Of the places of repeated anchors only those go on whose context has spans.
+    among = spark.sparkContext.broadcast(Bitmap(marks, "c1", 1 << 25))
+    held = some.select("ah", "c1", "c2", "t1", "t2", "pos", "l", "r")
+    held = map_arrow(held, _keep_rows(among, 1), held.schema).distinct()
     hits = held.join(marked, (F.col("ah") == F.col("mah")) & (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")))
     all_of_it = F.array(F.struct((-F.col("l")).alias("lo"), F.col("r").alias("hi")))
     each = hits.select("t1", "t2", F.transform(F.coalesce("spans", all_of_it), lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"), (F.col("pos") + x["hi"]).alias("hi"))).alias("spans"))
