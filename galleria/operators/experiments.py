@@ -155,7 +155,7 @@ def new_identity_verification(images: DataFrame, vectors: DataFrame, roles: Data
     ids = novel.select(F.col("image_id").alias("id"), F.col("subject").alias("cls"))
     unit = X.l2_normalize(F.col("v"))
     own = novel.filter("group IS NOT NULL").join(vectors, "image_id")
-    blocks = tiles.blocks(own.select("variant", F.col("subject").alias("cls"), F.col("image_id").alias("id"), "group", unit.alias("v")), scratch, ("variant", "cls"))
+    blocks = tiles.blocks(own.select("variant", F.col("subject").alias("cls"), F.col("image_id").alias("id"), "group", *tiles.unit(own)), scratch, ("variant", "cls"))
     genuine = tiles.meet(blocks, None, _genuine_scores, "at long, n long", ("variant", "cls"), whole=True)
     genuine = genuine.groupBy("variant", "at").agg(F.sum("n").alias("n")).select("variant", F.lit(True).alias("same"), (F.col("at") / 1e6).alias("score"), "n")
     pairs = vector.impostor_pairs(ids, impostors, seed).select("id_a", "id_b")

@@ -56,7 +56,7 @@ def identity_scores(probes: DataFrame, gallery: DataFrame | None = None, by: By
     distractors. Blocks of probes meet blocks of the gallery; an area of
     many blocks gives a row per probe and identity, not per pair."""
     scratch = Scratch(probes.sparkSession)
-    table = lambda t, *more: tiles.spread(t).select(*by, "id", "cls", X.l2_normalize(F.col("v")).alias("v"), *more)
+    table = lambda t, *more: tiles.spread(t).select(*by, "id", "cls", *tiles.unit(t), *more)
     if gallery is None:
         sizes = probes.groupBy(*by, "cls").agg((F.count("*") == 1).alias("alone"))
         left, right = tiles.blocks(table(probes.join(sizes, [*by, "cls"]), "alone"), scratch, by), None
@@ -188,7 +188,7 @@ def verification_of_all_pairs(vectors: DataFrame, far: float = 0.01, digits: int
     Tiles count genuine and impostor scores by ranges; only the ranges are kept in which the error rates cross and the false
     accepts fall to the target, and these are cut anew until their scores are few. A pass returns RANGES rows at most. Rounded to digits, scores are whole
     numbers: the second pass counts each number of the ranges kept."""
-    n = tiles.spread(vectors).select("id", "cls", X.l2_normalize(F.col("v")).alias("v"))
+    n = tiles.spread(vectors).select("id", "cls", *tiles.unit(vectors))
     blocks = tiles.blocks(n, Scratch(vectors.sparkSession))
     cut = np.linspace(-1.0 - 1e-6, 1.0 + 1e-6, RANGES + 1)
     width = None if digits is None or digits > MOST_DIGITS else max(1, -(-2 * 10**digits // RANGES))
