@@ -335,22 +335,20 @@ def pair_scores(vectors: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int, max_iter: int = 300, id_col: str = "id") -> DataFrame:
-    """(id, cluster) by distributed Lloyd iterations on normalised vectors."""
+    """(id, cluster) by distributed Lloyd iterations on normalised vectors.
+
+    The rows are not cached here: then the fit keeps its own vectors, ready to use, where a cached table would be decoded again
+    in every iteration."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.select(id_col, array_to_vector(X.l2_normalize(F.col("v"))).alias("features")).cache()
+    rows = vectors.select(id_col, array_to_vector(X.l2_normalize(F.col("v"))).alias("features"))
     n = rows.count()
-    if not 1 < k <= n:
-        rows.unpersist()
     if not 1 <= k <= n:
         raise ValueError(f"k must lie in 1..{n}")
     if k == 1:
         return rows.select(id_col, F.lit(0).alias("cluster"))
-    try:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, initSteps=2).fit(rows)
-    finally:
-        rows.unpersist()
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, initSteps=2, solver="row").fit(rows)
     return model.transform(rows).select(id_col, F.col("prediction").alias("cluster"))
 
 
