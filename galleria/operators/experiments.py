@@ -115,15 +115,12 @@ def fewshot_gender(images: DataFrame, vectors: DataFrame, folds: DataFrame, n_fo
     place = F.row_number().over(Window.partitionBy("fold").orderBy(X.hashed(seed, F.lit("val"), "fold", "image_id"), "image_id"))
     val = placed.filter("role = 'val'").withColumn("place", place).filter(F.col("place") <= MAX_VALIDATION)
     val = scratch.keep(val.join(vectors, "image_id").select("fold", F.col("gender_label").alias("cls"), "v"), "gender-val")
-    queries = scratch.keep(placed.filter("role = 'test'").join(vectors, "image_id").select("fold", F.col("image_id").alias("probe"), "v"), "gender-tests")
-    fits = full.filter(F.col("draw") < linear_draws).orderBy(*by).collect()  # a row per fold, shot and draw: one fit each
-    for r in fits:
-        here = lambda t, keys: t.filter(reduce(lambda a, b: a & b, [F.col(k) == r[k] for k in keys])).drop(*keys)  # noqa: E731, B023
-        fitted, _ = vector.linear_probe(here(support, by), here(val, ("fold",)), here(queries, ("fold",)))
-        chance = fitted.filter("cls = 1").select("probe", F.round("score", 9).alias("p")).join(here(truth, ("fold",)), "probe")
-        row = metrics.gender_metrics(scratch.keep(chance, "gender-probe"))
-        out = out.unionByName(row.withColumns({k: F.lit(r[k]) for k in by} | {"classifier": F.lit("lp")}))
-    return out
+    probes = scratch.keep(vector.few_probes(support.filter(F.col("draw") < linear_draws), val, by, ("fold",)), "gender-probes")
+    queries = placed.filter("role = 'test'").join(vectors, "image_id").select("fold", F.col("image_id").alias("probe"), X.l2_normalize(F.col("v")).alias("f"))
+    margin = X.dot(F.col("f"), F.col("w")) + F.col("b")
+    chance = queries.join(F.broadcast(probes), "fold").select(*by, "probe", F.round(1 / (1 + F.exp(-margin)), 9).alias("p"))
+    fitted = metrics.gender_metrics(scratch.keep(chance.join(truth, ["fold", "probe"]), "gender-probe"), by=by)
+    return out.unionByName(fitted.withColumn("classifier", F.lit("lp")))
 
 
 def unsupervised(vectors: DataFrame, tasks: dict[str, DataFrame], restarts: int, seed: int, scratch: Scratch) -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galleria.functions import expr as X
-from galleria.session import Scratch
+from galleria.session import Scratch, ship
 
 from . import tiles
 from .dedup import centroids
@@ -379,3 +381,49 @@ def linear_probe(support: DataFrame, val: DataFrame, queries: DataFrame, grid: t
     back = F.array(*[F.lit(c) for c in classes])
     scored = best[2].transform(rows(queries, "probe")).select("probe", F.posexplode(vector_to_array("probability")).alias("k", "score"))
     return scored.select("probe", F.element_at(back, F.col("k") + 1).alias("cls"), "score"), best[1]
+
+
+def few_probe(z: np.ndarray, y: np.ndarray, reg: float, max_iter: int = 100) -> tuple[np.ndarray, float]:
+    """(w, b) of the logistic regression of 0/1 labels on few rows: Newton steps, halved where they do not descend, on mean loss
+    + reg / 4 |w|^2, which is linear_probe's objective for two classes."""
+    n, d = z.shape
+    a, t = np.hstack([z, np.ones((n, 1))]), 2.0 * y - 1.0
+    ridge = np.r_[np.full(d, reg / 2), 0.0]
+    loss = lambda x: np.logaddexp(0, -t * (a @ x)).mean() + x @ (ridge * x) / 2
+    x = np.zeros(d + 1)
+    for _ in range(max_iter):
+        p = 0.5 * (1 + np.tanh(a @ x / 2))
+        grad = a.T @ (p - y) / n + ridge * x
+        step = np.linalg.lstsq((a.T * (p * (1 - p) / n)) @ a + np.diag(ridge), grad, rcond=None)[0]
+        size, now = 1.0, loss(x)
+        while loss(x - size * step) > now and size > 1e-9:
+            size /= 2
+        x = x - size * step
+        if np.abs(size * step).max() < 1e-12:
+            break
+    return x[:-1], float(x[-1])
+
+
+def few_probes(support: DataFrame, val: DataFrame, by: By, val_by: By, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0)) -> DataFrame:
+    """(by, w, b): the linear probe of each run, whose support (by, cls 0 or 1, v) is a few rows of both classes: a run is one group
+    and its fits one task's, instead of a fit of many jobs each. C is chosen on val (val_by, cls, v), the smallest of equals."""
+    ship(support.sparkSession)
+
+    def fit(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values(["cls", "f"], key=lambda c: c if c.name == "cls" else c.map(tuple))
+        f, y = np.stack(t["f"].to_list()), t["cls"].to_numpy().astype(float)
+        # w lies in the span of the rows.
+        base = np.linalg.qr(f.T)[0]
+        fits = [few_probe(f @ base, y, 1.0 / (c * len(y))) for c in sorted(grid)]
+        run = {k: t[k].iloc[0] for k in by}
+        return pd.DataFrame([{**run, "c": c, "w": (base @ w).tolist(), "b": b} for c, (w, b) in zip(sorted(grid), fits, strict=True)])
+
+    rows = support.select(*by, "cls", X.l2_normalize(F.col("v")).alias("f"))
+    schema = T.StructType([support.schema[k] for k in by]).add("c", "double").add("w", T.ArrayType(T.DoubleType())).add("b", "double")
+    fits = Scratch(support.sparkSession).keep(rows.groupBy(*by).applyInPandas(fit, schema), "probes")
+    held = val.select(*val_by, F.col("cls").alias("y"), X.l2_normalize(F.col("v")).alias("f"))
+    right = ((X.dot(F.col("f"), F.col("w")) + F.col("b") > 0).cast("int") == F.col("y")).cast("double")
+    tried = held.join(F.broadcast(fits), list(val_by)).groupBy(*by, "c").agg(F.round(F.avg(right), 12).alias("acc"))
+    scored = fits.join(tried, [*by, "c"], "left").withColumn("acc", F.coalesce("acc", F.lit(0.0)))
+    best = scored.groupBy(*by).agg(F.max(F.struct("acc", (-F.col("c")).alias("o"), "w", "b")).alias("x"))
+    return best.select(*by, "x.w", "x.b")
