@@ -150,14 +150,17 @@ def _scan(p: Params, kind: str, asked=None):
     return make, f"id {kind}, t1 long, t2 long, pos long, ah long, c1 long, c2 long, l int, r int"
 
 
-def _keep_rows(bitmap, column: int):
-    """Rows whose key may be in a broadcast bitmap."""
+def _keep_rows(bitmap, column: int, once: bool = False):
+    """Rows whose key may be in a broadcast bitmap; once: equal rows of a batch once."""
 
     def make():
         bits = bitmap.value
 
         def fn(batch: pa.RecordBatch):
             rows = batch.filter(pa.array(bits.may_hold(batch.column(column).to_numpy())))
+            if once:
+                rows = pa.Table.from_batches([rows]).group_by(rows.schema.names).aggregate([]).combine_chunks()
+                rows = rows.to_batches()[0] if rows.num_rows else batch.slice(0, 0)
             if rows.num_rows:
                 yield rows.columns
 
@@ -443,16 +446,17 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
     whole = contexts.filter("n > 1").select("ah", "c1", "c2", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
     marks = scratch.keep(found.unionByName(hot).unionByName(whole), "marked")
     scratch.drop(contexts, wanted, bodies)
-    marked = marks.toDF("mah", "m1", "m2", "spans")
+    marked = marks.drop("ah").toDF("m1", "m2", "spans")
 
-    # Of the places of repeated anchors only those go on whose context has spans.
+    # Of the places of repeated anchors only those go on whose context has spans. A context's hashes tell its anchor, and equal
+    # places of copies meet at their context, where the set leaves one of them: no shuffle is needed to make them distinct.
     among = spark.sparkContext.broadcast(Bitmap(marks, "c1", 1 << 25))
-    held = some.select("ah", "c1", "c2", "t1", "t2", "pos", "l", "r")
-    held = map_arrow(held, _keep_rows(among, 1), held.schema).distinct()
-    hits = held.join(marked, (F.col("ah") == F.col("mah")) & (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")))
+    held = some.select("c1", "c2", "t1", "t2", "pos", "l", "r")
+    held = map_arrow(held, _keep_rows(among, 0, True), held.schema)
+    hits = held.join(marked, (F.col("c1") == F.col("m1")) & (F.col("c2") == F.col("m2")))
     all_of_it = F.array(F.struct((-F.col("l")).alias("lo"), F.col("r").alias("hi")))
     each = hits.select("t1", "t2", F.transform(F.coalesce("spans", all_of_it), lambda x: F.struct((F.col("pos") + x["lo"]).alias("lo"), (F.col("pos") + x["hi"]).alias("hi"))).alias("spans"))
-    out = scratch.keep(each.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    out = scratch.keep(each.groupBy("t1", "t2").agg(F.flatten(F.collect_set("spans")).alias("spans")), "spans")
     scratch.drop(some, marks)
     return out
 

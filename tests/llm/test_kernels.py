@@ -155,3 +155,13 @@ def test_no_runs_cover_nothing():
 
     none = np.zeros(0, np.int64)
     assert [len(x) for x in suffix_dedup._covers(none, none, 400)] == [0, 0, 0]
+
+
+def test_equal_places_of_a_batch_go_on_once():
+    """op8: copies of a text in a batch send a place once, and rows that the bitmap leaves out not at all."""
+    from types import SimpleNamespace
+
+    keep = suffix_dedup._keep_rows(SimpleNamespace(value=SimpleNamespace(may_hold=lambda h: h > 1)), 0, True)()
+    got = list(keep(pa.record_batch({"c1": [1, 2, 2, 3], "pos": [5, 6, 6, 7]})))
+    assert [sorted(zip(*[c.to_pylist() for c in cols])) for cols in got] == [[(2, 6), (3, 7)]]
+    assert not list(keep(pa.record_batch({"c1": [1], "pos": [5]})))
