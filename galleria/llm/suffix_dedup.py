@@ -120,8 +120,8 @@ def _anchor_lists(p: Params):
     return make, "t1 long, t2 long, ahs array<long>"
 
 
-def _scan(p: Params, kind: str, asked=None):
-    """Anchors of each text with the hashes of their contexts; asked: only those whose hash may be in a bitmap."""
+def _scan(p: Params, asked=None):
+    """Anchors of each text (hash of its id, text) with the hashes of their contexts; asked: only those whose hash may be in a bitmap."""
 
     def make():
         bits = asked.value if asked else None
@@ -147,7 +147,7 @@ def _scan(p: Params, kind: str, asked=None):
 
         return fn
 
-    return make, f"id {kind}, t1 long, t2 long, pos long, ah long, c1 long, c2 long, l int, r int"
+    return make, "who long, t1 long, t2 long, pos long, ah long, c1 long, c2 long, l int, r int"
 
 
 def _keep_rows(bitmap, column: int, once: bool = False):
@@ -169,26 +169,6 @@ def _keep_rows(bitmap, column: int, once: bool = False):
     return make
 
 
-def _texts(bitmap, kind: str, inside: bool):
-    """(id, text, t1, t2) of texts that may be (or are not) in a bitmap of text hashes."""
-
-    def make():
-        bits = bitmap.value
-
-        def fn(batch: pa.RecordBatch):
-            buf, offs = K.text_buffers(batch.column(1))
-            for i, j, b, o in K.blocks(buf, offs):
-                t1, t2 = text_hashes(b, o)
-                pick = bits.may_hold(t1) == inside
-                if pick.any():
-                    rows = batch.slice(i, j - i).filter(pa.array(pick))
-                    yield [*rows.columns, t1[pick], t2[pick]]
-
-        return fn
-
-    return make
-
-
 def _contexts(p: Params):
     """Units of the wanted contexts of a text: (ah, c1, c2, n, l, units, m) from rows (text, list of wanted)."""
 
@@ -403,15 +383,23 @@ def by_counting(contexts: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     return single.unionByName(whole).groupBy("ah", "c1", "c2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
+def _fetched(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, wanted) of the texts (who, text) that wanted (who, t1, t2, wanted) names; of repeated rows, one."""
+    keys = wanted.select(F.col("t1").bitwiseXOR(F.xxhash64("who")).alias("key"))
+    texts, _, t1, t2 = split_rows(rows, "text", rows.sparkSession.sparkContext.broadcast(Bitmap(keys, "key")), "who")
+    texts = texts.withColumnsRenamed({t1: "t1", t2: "t2"})
+    return texts.join(wanted, ["who", "t1", "t2"]).dropDuplicates(["who", "t1", "t2"]).select("text", "wanted")
+
+
 def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: str, done: DataFrame | None = None) -> DataFrame:
     """(t1, t2, spans): by text hash, the spans to remove (not merged).
 
     done: (t1, t2) of texts that are not asked about; others are compared with them, but they may come without spans."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # Of an id its hash will do: with the hash of the text it tells which of the copies is fetched, and any is as good.
+    rows = docs.select(F.xxhash64(id_col).alias("who"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     if done is None:
-        seen = scratch.keep(map_arrow(rows, *_scan(p, kind)), "anchors")
+        seen = scratch.keep(map_arrow(rows, *_scan(p)), "anchors")
         repeated = seen.groupBy("ah").agg(F.count("*").alias("k")).filter("k > 1")
         bitmap = spark.sparkContext.broadcast(Bitmap(repeated, "ah", 1 << 26))
         some = scratch.keep(map_arrow(seen, _keep_rows(bitmap, seen.columns.index("ah")), seen.schema), "repeated")
@@ -421,31 +409,29 @@ def spans(docs: DataFrame, p: Params, scratch: Scratch, id_col: str, text_col: s
         repeated = seen.select(F.explode("ahs").alias("ah")).groupBy("ah").agg(F.count("*").alias("k")).filter("k > 1")
         repeated = repeated.join(asked.select(F.explode("ahs").alias("ah")).distinct(), "ah", "left_semi")
         bitmap = spark.sparkContext.broadcast(Bitmap(repeated, "ah", 1 << 26))
-        some = scratch.keep(map_arrow(rows, *_scan(p, kind, bitmap)), "repeated")
+        some = scratch.keep(map_arrow(rows, *_scan(p, bitmap)), "repeated")
     scratch.drop(seen)
     contexts = some.groupBy("ah", "c1", "c2").agg(
-        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "t1", "t2", "pos", "l")]  # of one row
+        F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("who", "t1", "t2", "pos", "l")]  # of one row
     )
     contexts = scratch.keep(contexts, "contexts")
     per_anchor = contexts.groupBy("ah").agg(F.count("*").alias("m")).filter("m > 1").withColumnRenamed("ah", "mah")
     mixed = contexts.join(per_anchor, F.col("ah") == F.col("mah")).drop("mah")
 
-    # One text row fetches the representatives that lie in it.
-    wanted = mixed.select("id", "t1", "t2", F.struct("ah", "c1", "c2", "n", "l", "pos", "m").alias("x"))
-    wanted = wanted.groupBy("id", "t1", "t2").agg(F.collect_list("x").alias("wanted"))
+    # One text row fetches the representatives that lie in it, and its copies are not sent. Rows meet by plain keys, so they lie
+    # where repeated rows are told apart, and texts are shuffled once.
+    wanted = mixed.select("who", "t1", "t2", F.struct("ah", "c1", "c2", "n", "l", "pos", "m").alias("x"))
+    wanted = wanted.groupBy("who", "t1", "t2").agg(F.collect_list("x").alias("wanted"))
     wanted = scratch.keep(wanted, "wanted")
-    holders = spark.sparkContext.broadcast(Bitmap(wanted, "t1"))
-    texts = map_arrow(rows, _texts(holders, kind, True), f"id {kind}, text string, t1 long, t2 long")
-    on = [F.col("a.t1") == F.col("b.t1"), F.col("a.t2") == F.col("b.t2"), F.col("a.id").eqNullSafe(F.col("b.id"))]
-    fetched = texts.alias("a").join(wanted.alias("b"), on[0] & on[1] & on[2]).select("b.t1", "b.t2", "b.id", "a.text", "b.wanted")
-    fetched = fetched.dropDuplicates(["t1", "t2", "id"])  # of repeated rows, one
-    bodies = scratch.keep(map_arrow(fetched.select("text", "wanted"), *_contexts(p)), "bodies")
+    bodies = scratch.keep(map_arrow(_fetched(rows, wanted), *_contexts(p)), "bodies")
+    scratch.drop(wanted)
+    # One after the other, so that the shuffles of one are gone before those of the next.
     usual = bodies.filter(F.col("m") <= p.max_contexts).drop("m").repartition(F.col("ah")).sortWithinPartitions("ah", "c1", "c2")
-    found = map_sorted(usual, _by_suffix_array(p), _SPANS)
+    found = scratch.keep(map_sorted(usual, _by_suffix_array(p), _SPANS), "usual")
     hot = by_counting(bodies.filter(F.col("m") > p.max_contexts).drop("m"), p, scratch)
     whole = contexts.filter("n > 1").select("ah", "c1", "c2", F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("spans"))
     marks = scratch.keep(found.unionByName(hot).unionByName(whole), "marked")
-    scratch.drop(contexts, wanted, bodies)
+    scratch.drop(contexts, bodies, found)
     marked = marks.drop("ah").toDF("m1", "m2", "spans")
 
     # Of the places of repeated anchors only those go on whose context has spans. A context's hashes tell its anchor, and equal

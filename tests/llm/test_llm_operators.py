@@ -114,6 +114,25 @@ def test_suffix_dedup(docs, rows, params):
     assert multiset(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(rows, p.length)
 
 
+def test_texts_of_contexts_are_shuffled_once(spark, docs, rows, monkeypatch):
+    """op8: where both sides are shuffled, texts meet what is wanted of them in one shuffle a side, repeated rows told apart in place."""
+    plans, keep = {}, suffix_dedup.Scratch.keep
+
+    def noted(scratch, df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return keep(scratch, df, name)
+
+    monkeypatch.setattr(suffix_dedup.Scratch, "keep", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = multiset(suffix_dedup.removed(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == removed(rows, 400)
+    assert plans["bodies"].count("Exchange hashpartitioning") == 2
+
+
 def test_repeats_by_bytes_or_words(docs, rows):
     """Texts with a 400-byte string or 51 words that start anywhere else too."""
     raw = [(r[1] or "").encode() for r in rows]
