@@ -83,13 +83,9 @@ def single_gallery(images: DataFrame, vectors: DataFrame, draws: int, seed: int,
     return metrics.rank_summary(ranks, n, by=DRAW).drop("shot"), curve
 
 
-#: Validation images of a fold at most, for the choice of the linear probe's strength (a sample by hash).
-MAX_VALIDATION = 2000
-
-
 def fewshot_gender(images: DataFrame, vectors: DataFrame, folds: DataFrame, n_folds: int, shots: tuple[int, ...], draws: int, seed: int, scratch: Scratch, linear_draws: int = 0) -> DataFrame:
     """(classifier, fold, shot, draw, gender measures): prototypes, and in the first linear_draws the linear probe, of `shot` subjects of each gender, one image each, from the training
-    folds, measured on the test fold. images need gender_label (1 is female); folds: (subject, fold). A fold with too few
+    folds, measured on the test fold; the linear probe's strength is chosen on all images of the fold for validation. images need gender_label (1 is female); folds: (subject, fold). A fold with too few
     subjects of one gender for a shot is left out."""
     by = ("fold", *DRAW)
     spark = images.sparkSession
@@ -112,9 +108,7 @@ def fewshot_gender(images: DataFrame, vectors: DataFrame, folds: DataFrame, n_fo
     if not linear_draws:
         return out
     support = scratch.keep(support, "gender-support")
-    place = F.row_number().over(Window.partitionBy("fold").orderBy(X.hashed(seed, F.lit("val"), "fold", "image_id"), "image_id"))
-    val = placed.filter("role = 'val'").withColumn("place", place).filter(F.col("place") <= MAX_VALIDATION)
-    val = scratch.keep(val.join(vectors, "image_id").select("fold", F.col("gender_label").alias("cls"), "v"), "gender-val")
+    val = placed.filter("role = 'val'").join(vectors, "image_id").select("fold", F.col("gender_label").alias("cls"), "v")
     probes = scratch.keep(vector.few_probes(support.filter(F.col("draw") < linear_draws), val, by, ("fold",)), "gender-probes")
     queries = placed.filter("role = 'test'").join(vectors, "image_id").select("fold", F.col("image_id").alias("probe"), X.l2_normalize(F.col("v")).alias("f"))
     margin = X.dot(F.col("f"), F.col("w")) + F.col("b")
